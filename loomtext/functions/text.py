@@ -75,40 +75,35 @@ def sentences(col) -> Column:
     return F.split(_c(col), SENTENCE_SPLIT)
 
 
+def _shifted_grams(w: Column, n: int) -> Column:
+    """All (repeating) n-grams of an array column, in order.  Built from shifted slices and
+    `zip_with`, so the input expression is never captured inside a lambda (a lambda would
+    re-evaluate it once per element)."""
+    if n == 1:
+        return w
+    length = F.greatest(F.size(w) - n + 1, F.lit(0))
+    g = F.slice(w, 1, length)
+    for k in range(1, n):
+        g = F.zip_with(g, F.slice(w, k + 1, length), lambda a, b: F.concat(a, F.lit(" "), b))
+    return g
+
+
 def ngrams(words, n: int) -> Column:
     """TXT15: distinct space-joined n-grams of an array column, first-occurrence order."""
-    w = _c(words)
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size(w) - n),
-        lambda i: F.array_join(F.slice(w, i + 1, n), " "),
-    )
-    return F.when(F.size(w) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(_shifted_grams(_c(words), n))
 
 
 def word_ngrams_1_to_3(words) -> Column:
     """TXT16 (word analyzer): all 1..3-grams (with repeats, for term counting)."""
     w = _c(words)
-
-    def grams(n):
-        return F.when(
-            F.size(w) >= n,
-            F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(grams(1), grams(2), grams(3))
+    return F.concat(_shifted_grams(w, 1), _shifted_grams(w, 2), _shifted_grams(w, 3))
 
 
 def char_ngrams_1_to_3(col) -> Column:
     """TXT16 (char analyzer): white space collapsed, then all character 1..3-grams."""
-    s = F.regexp_replace(_c(col), r"\s\s+", " ")
-
-    def grams(n):
-        return F.when(
-            F.length(s) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n)),
-        ).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(grams(1), grams(2), grams(3))
+    chars = F.split(F.regexp_replace(_c(col), r"\s\s+", " "), "")
+    chars = F.when(F.size(chars) == 1, F.filter(chars, lambda x: F.length(x) > 0)).otherwise(chars)
+    return F.concat(_shifted_grams(chars, 1), _shifted_grams(chars, 2), _shifted_grams(chars, 3))
 
 
 def label_type(col) -> Column:
@@ -134,4 +129,6 @@ def l2_normalize(vec) -> Column:
     """TXT20: zero-safe L2 normalisation of an ARRAY<DOUBLE>."""
     v = _c(vec)
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
+    # the norm is passed as an argument (array_repeat), not captured by a lambda
+    scaled = F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, m: x / m)
+    return F.when(norm == 0, v).otherwise(scaled)

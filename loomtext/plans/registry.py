@@ -49,6 +49,163 @@ def q_mt1_join(spark: SparkSession, sf: str) -> DataFrame:
                                method="join")
 
 
+
+# ---------------------------------------------------------------- text scalars (2.B)
+from loomtext.functions import text as T  # noqa: E402
+from loomtext.operators import greedy as GR  # noqa: E402
+from loomtext.operators import weights as W  # noqa: E402
+from loomtext.sources import sinks as SK  # noqa: E402
+from loomtext.sources import tables as S  # noqa: E402
+
+
+def _docs(spark, sf):
+    return S.table(spark, sf, "documents")
+
+
+@register("txt1_clean", f"SELECT doc_id AS id, {Q.clean('text', lower=True, strip_nl=False)} AS clean FROM documents")
+def q_txt1(spark, sf):
+    return _docs(spark, sf).select(F.col("doc_id").alias("id"), T.clean_text("text", lower=True).alias("clean"))
+
+
+@register("txt3_question_text", f"SELECT doc_id AS id, {Q.question('text')} AS question FROM documents")
+def q_txt3(spark, sf):
+    return _docs(spark, sf).select(F.col("doc_id").alias("id"), T.question_text("text").alias("question"))
+
+
+@register("txt4_lower_trim", "SELECT conv_id * 1000 + turn AS id, trim(lower(text)) AS question FROM conversations")
+def q_txt4(spark, sf):
+    c = S.table(spark, sf, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.lower_trim("text").alias("question"))
+
+
+@register("txt5_preprocess", r"""SELECT page_id AS id,
+  regexp_replace(regexp_replace(lower(html), '&lt;/?.*?&gt;', ' &lt;&gt; ', 'g'),
+                 '([^\p{L}\p{Nl}\p{No}\p{M}_])+', ' ', 'g') AS pre FROM pages""")
+def q_txt5(spark, sf):
+    return S.table(spark, sf, "pages").select(F.col("page_id").alias("id"), T.pre_process("html").alias("pre"))
+
+
+@register("txt6_tokens", f"""SELECT doc_id AS id, u.pos - 1 AS pos, u.token FROM
+  (SELECT doc_id, regexp_extract_all({Q.question('text')}, '[{Q.WORD}]+') AS toks FROM documents) d,
+  LATERAL (SELECT generate_subscripts(d.toks, 1) AS pos, unnest(d.toks) AS token) u""")
+def q_txt6(spark, sf):
+    return _docs(spark, sf).select(F.col("doc_id").alias("id"),
+                                   F.posexplode(T.tokens(T.question_text("text"))).alias("pos", "token")) \
+        .withColumn("pos", F.col("pos").cast("long"))
+
+
+@register("txt15_bigrams", f"""SELECT DISTINCT id, gram FROM (
+  SELECT doc_id AS id, unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) AS gram
+  FROM (SELECT doc_id, {Q.lemmas(Q.question('text'))} AS l FROM documents))""")
+def q_txt15(spark, sf):
+    return _docs(spark, sf).select(F.col("doc_id").alias("id"),
+                                   F.explode(T.ngrams(T.lemmas(T.question_text("text")), 2)).alias("gram"))
+
+
+@register("txt17_label_type", f"""SELECT DISTINCT gram, CASE WHEN instr(gram, ' ') > 0 THEN 2 ELSE 1 END AS gram_type FROM (
+  SELECT unnest(list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]))) AS gram
+  FROM (SELECT {Q.lemmas(Q.question('text'))} AS l FROM conversations WHERE role = 'user'))""")
+def q_txt17(spark, sf):
+    c = S.table(spark, sf, "conversations").where(F.col("role") == "user")
+    lem = T.lemmas(T.question_text("text"))
+    g = c.select(F.explode(F.concat(T.ngrams(lem, 1), T.ngrams(lem, 2))).alias("gram")).distinct()
+    return g.select("gram", T.label_type("gram").alias("gram_type"))
+
+
+@register("txt18_pair_index", """
+WITH e AS (SELECT vec_id, vec_id + 1 AS pos, (SELECT count(*) FROM embeddings) AS n FROM embeddings)
+SELECT vec_id,
+  (SELECT count(*) - 1 FROM range(e.n) r(i) WHERE i * (2 * e.n - i - 1) / 2 < e.pos) AS row_idx,
+  e.pos - 1 - (SELECT max(i * (2 * e.n - i - 1) // 2) FROM range(e.n) r(i) WHERE i * (2 * e.n - i - 1) / 2 < e.pos)
+    + (SELECT count(*) - 1 FROM range(e.n) r(i) WHERE i * (2 * e.n - i - 1) / 2 < e.pos) + 1 AS col_idx
+FROM e""")
+def q_txt18(spark, sf):
+    e = S.table(spark, sf, "embeddings")
+    n = e.count()
+    return e.select("vec_id", T.pair_row(F.lit(n), F.col("vec_id") + 1).alias("row_idx"),
+                    T.pair_col(F.lit(n), F.col("vec_id") + 1).alias("col_idx"))
+
+
+# ---------------------------------------------------------------- term statistics (2.E)
+def _doc_tf(spark, sf):
+    return W.text_frequency(FX.doc_token_lemmas(spark, sf))
+
+
+@register("ag1_text_frequency", Q.with_(Q.DOC_TOKENS_SIMPLE) + "SELECT id, lemma, count(*) AS tf FROM doc_tok GROUP BY id, lemma")
+def q_ag1(spark, sf):
+    return _doc_tf(spark, sf)
+
+
+@register("ag2_document_frequency", Q.with_(Q.DOC_TOKENS_SIMPLE) + "SELECT lemma, count(DISTINCT id) AS df FROM doc_tok GROUP BY lemma")
+def q_ag2(spark, sf):
+    return W.document_frequency(_doc_tf(spark, sf))
+
+
+AG4_SQL = Q.with_(Q.DOC_TOKENS_SIMPLE, Q.BG_FREQ, Q.N_DOCS, """
+tf AS (SELECT id, lemma, count(*) AS tf FROM doc_tok GROUP BY id, lemma)""", """
+df AS (SELECT lemma, count(*) AS df FROM tf GROUP BY lemma)""") + """
+SELECT tf.id, tf.lemma, tf.tf,
+  round(tf.tf * ln((SELECT n FROM ndocs) / df.df::DOUBLE), 6) AS tfidf,
+  round(tf.tf * -ln(coalesce(CASE WHEN bg.freq > 0 THEN bg.freq END, 1e-9)), 6) AS global_tfidf
+FROM tf JOIN df USING (lemma) LEFT JOIN bg USING (lemma)"""
+
+
+@register("ag4_tfidf", AG4_SQL)
+def q_ag4(spark, sf):
+    out = W.tfidf(_doc_tf(spark, sf), FX.n_docs(spark, sf), FX.background(spark, sf))
+    return out.select("id", "lemma", "tf", F.round("tfidf", 6).alias("tfidf"),
+                      F.round("global_tfidf", 6).alias("global_tfidf"))
+
+
+@register("ag5_global_idf", Q.with_(Q.DOC_TOKENS_SIMPLE, Q.BG_FREQ) + f"""
+SELECT DISTINCT b.lemma, round(-ln(coalesce(CASE WHEN bg.freq > 0 THEN bg.freq END, 1e-9)), 6) AS global_idf
+FROM (SELECT unnest({Q.lemmas(Q.question('text'))}) AS lemma FROM benchmark) b LEFT JOIN bg USING (lemma)""")
+def q_ag5(spark, sf):
+    b = S.table(spark, sf, "benchmark").select(F.explode(T.lemmas(T.question_text("text"))).alias("lemma")).distinct()
+    bg = FX.background(spark, sf)
+    return b.join(bg, "lemma", "left").select("lemma", F.round(W.global_idf(F.col("freq")), 6).alias("global_idf"))
+
+
+# ---------------------------------------------------------------- greedy clustering (GR1, FLT2, SNK1)
+GREEDY_CTES = [Q.DOC_TOKENS_SIMPLE, Q.BG_FREQ, Q.N_DOCS, Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS)] \
+    + Q.greedy_sql(12)
+GR1_SQL = Q.with_(*GREEDY_CTES) + """
+SELECT d.doc_id AS id, coalesce(a12.kw, 'uncategorized') AS label FROM documents d LEFT JOIN a12 ON a12.id = d.doc_id"""
+
+
+def _greedy(spark, sf):
+    return GR.greedy_clusters(FX.doc_questions(spark, sf), FX.background(spark, sf), FX.stop_list(spark, sf),
+                              tokens=FX.doc_token_lemmas(spark, sf))
+
+
+@register("gr1_greedy", GR1_SQL)
+def q_gr1(spark, sf):
+    return _greedy(spark, sf)
+
+
+@register("snk1_members", Q.with_(*GREEDY_CTES, """
+lab AS (SELECT d.doc_id AS id, coalesce(a12.kw, 'uncategorized') AS label FROM documents d LEFT JOIN a12 ON a12.id = d.doc_id)""") + """
+SELECT label, floor(id / 1000)::BIGINT AS chunk, count(*) AS n_ids, array_to_string(list_sort(list(id)), ',') AS ids
+FROM lab GROUP BY label, floor(id / 1000)""")
+def q_snk1(spark, sf):
+    return SK.ids_as_text(SK.members_chunked(_greedy(spark, sf)))
+
+
+@register("flt2_candidates", Q.with_(Q.DOC_TOKENS_SIMPLE, Q.BG_FREQ, Q.N_DOCS,
+                                     Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS), """
+post AS (SELECT DISTINCT id, lemma FROM doc_tok)""", """
+bnd AS (SELECT greatest(ceil(0.08 * n), 2) AS lo, ceil(0.2 * n) AS hi FROM ndocs)""") + """
+SELECT p.lemma, p.size, round(bg.freq, 9) AS freq FROM (SELECT lemma, count(*) AS size FROM post GROUP BY lemma) p
+JOIN bg USING (lemma)
+WHERE p.size >= (SELECT lo FROM bnd) AND p.size <= (SELECT hi FROM bnd) AND bg.freq > 0 AND bg.freq < 1
+  AND p.lemma <> '-PRON-' AND p.lemma NOT IN (SELECT lemma FROM stop)""")
+def q_flt2(spark, sf):
+    lo, hi = W.cluster_size_bounds(FX.n_docs(spark, sf))
+    post = W.postings(FX.doc_token_lemmas(spark, sf))
+    c = W.candidate_keywords(post, FX.background(spark, sf), FX.stop_list(spark, sf), lo, hi)
+    return c.select("lemma", "size", F.round("freq", 9).alias("freq"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -55,3 +55,42 @@ kw AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+def stop_list_cte(seed: list[str], keep: list[str]) -> str:
+    seed_sql = ", ".join(f"('{w}')" for w in seed)
+    keep_sql = ", ".join(f"('{w}')" for w in keep)
+    return f"""
+stop AS (
+  (SELECT lemma FROM (
+     SELECT lemma, row_number() OVER (PARTITION BY lang ORDER BY df DESC, lemma) AS rn FROM (
+       SELECT lang, lemma, count(DISTINCT id) AS df FROM doc_tok GROUP BY lang, lemma)) WHERE rn <= 30
+   UNION SELECT w FROM (VALUES {seed_sql}) s(w))
+  EXCEPT SELECT w FROM (VALUES {keep_sql}) k(w)
+)"""
+
+
+def greedy_sql(rounds: int = 12) -> list[str]:
+    """CTEs for the unrolled greedy oracle; expects doc_tok, bg, ndocs, stop."""
+    ctes = ["""
+post AS (SELECT DISTINCT id, lemma FROM doc_tok)""", """
+bnd AS (SELECT greatest(ceil(0.08 * n), 2) AS lo, ceil(0.2 * n) AS hi FROM ndocs)""", """
+elig AS (
+  SELECT p.lemma, bg.freq FROM (SELECT lemma, count(*) AS df FROM post GROUP BY lemma) p JOIN bg USING (lemma)
+  WHERE p.df >= (SELECT lo FROM bnd) AND bg.freq > 0 AND bg.freq < 1 AND p.lemma <> '-PRON-'
+    AND p.lemma NOT IN (SELECT lemma FROM stop))""", """
+ep AS (SELECT id, lemma FROM post WHERE lemma IN (SELECT lemma FROM elig))""", """
+a0 AS (SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS kw WHERE false)"""]
+    for r in range(1, rounds + 1):
+        ctes.append(f"""
+k{r} AS (
+  SELECT s.lemma FROM (SELECT lemma, count(*) AS size FROM ep WHERE id NOT IN (SELECT id FROM a{r-1}) GROUP BY lemma) s
+  JOIN elig e USING (lemma)
+  WHERE s.size >= (SELECT lo FROM bnd) AND s.size <= (SELECT hi FROM bnd)
+  ORDER BY e.freq, s.lemma LIMIT 1)""")
+        ctes.append(f"""
+a{r} AS (
+  SELECT id, kw FROM a{r-1}
+  UNION ALL
+  SELECT DISTINCT ep.id, ep.lemma AS kw FROM ep JOIN k{r} USING (lemma) WHERE ep.id NOT IN (SELECT id FROM a{r-1}))""")
+    return ctes
