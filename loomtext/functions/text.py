@@ -106,6 +106,12 @@ def char_ngrams_1_to_3(col) -> Column:
     return F.concat(_shifted_grams(chars, 1), _shifted_grams(chars, 2), _shifted_grams(chars, 3))
 
 
+def char_ngrams_of_chars(chars) -> Column:
+    """Character 1..3-grams of an array of characters."""
+    c = _c(chars)
+    return F.concat(_shifted_grams(c, 1), _shifted_grams(c, 2), _shifted_grams(c, 3))
+
+
 def label_type(col) -> Column:
     """TXT17: 2 for a label containing a space (2-gram), else 1."""
     return F.when(F.instr(_c(col), " ") > 0, F.lit(2)).otherwise(F.lit(1))

@@ -20,29 +20,42 @@ def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return t.join(q.select("id", "lang"), "id")
 
 
+_MEMO: dict = {}
+
+
+def _memo(spark: SparkSession, sf: str, name: str, build):
+    """Fixtures shared by several queries of one session are built once and persisted
+    (memory and disk); they are recomputable from their lineage if an executor is lost."""
+    key = (id(spark.sparkContext._jsc), sf, name)
+    if key not in _MEMO:
+        v = build()
+        if isinstance(v, DataFrame):
+            from pyspark import StorageLevel
+
+            v = v.persist(StorageLevel.MEMORY_AND_DISK)
+        _MEMO[key] = v
+    return _MEMO[key]
+
+
 def doc_token_lemmas(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, lemma) without positions: cheapest token stream."""
+    """(id, lang, lemma) without positions: the token stream of the cleaned documents."""
     from loomtext.functions import text as T
 
-    return S.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), F.explode(T.lemmas(T.question_text("text"))).alias("lemma"))
+    return _memo(spark, sf, "doc_token_lemmas", lambda: S.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), "lang", F.explode(T.lemmas(T.question_text("text"))).alias("lemma")))
 
 
 def background(spark: SparkSession, sf: str) -> DataFrame:
-    return S.background_frequency(doc_token_lemmas(spark, sf))
+    return _memo(spark, sf, "background", lambda: S.background_frequency(doc_token_lemmas(spark, sf)))
 
 
 def n_docs(spark: SparkSession, sf: str) -> int:
-    return S.table(spark, sf, "documents").count()
+    return _memo(spark, sf, "n_docs", lambda: S.table(spark, sf, "documents").count())
 
 
 def keywords(spark: SparkSession, sf: str) -> DataFrame:
-    return S.derived_keywords(doc_token_lemmas(spark, sf), n_docs(spark, sf))
+    return _memo(spark, sf, "keywords", lambda: S.derived_keywords(doc_token_lemmas(spark, sf), n_docs(spark, sf)))
 
 
 def stop_list(spark: SparkSession, sf: str) -> DataFrame:
-    from loomtext.functions import text as T
-
-    toks = S.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), "lang", F.explode(T.lemmas(T.question_text("text"))).alias("lemma"))
-    return S.derived_stop_list(toks)
+    return _memo(spark, sf, "stop", lambda: S.derived_stop_list(doc_token_lemmas(spark, sf)))

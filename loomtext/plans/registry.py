@@ -206,6 +206,20 @@ def q_flt2(spark, sf):
     return c.select("lemma", "size", F.round("freq", 9).alias("freq"))
 
 
+
+# ---------------------------------------------------------------- complement naive Bayes (NB1, NB2)
+from loomtext.operators import bayes as NB  # noqa: E402
+
+NB2_SQL = Q.with_(Q.DOC_TOKENS_SIMPLE, Q.N_DOCS, Q.KEYWORDS,
+                  Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS), *Q.NB2_CTES) + """
+SELECT d.doc_id AS id, coalesce(best.keyword, 'uncategorized') AS label FROM documents d LEFT JOIN best ON best.id = d.doc_id"""
+
+
+@register("nb2_keyword_clusters", NB2_SQL)
+def q_nb2(spark, sf):
+    return NB.keyword_clusters(FX.doc_questions(spark, sf), FX.keywords(spark, sf), FX.stop_list(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -46,7 +46,7 @@ N_DOCS = "ndocs AS (SELECT count(*) AS n FROM documents)"
 
 KEYWORDS = """
 kw AS (
-  SELECT lemma AS keyword FROM (
+  SELECT lemma AS keyword, row_number() OVER (ORDER BY df, lemma) AS kw_pos FROM (
     SELECT lemma, count(DISTINCT id) AS df FROM doc_tok WHERE length(lemma) >= 4 GROUP BY lemma
   ) WHERE df >= 0.01 * (SELECT n FROM ndocs) AND df <= 0.2 * (SELECT n FROM ndocs)
   ORDER BY df, lemma LIMIT 20
@@ -94,3 +94,47 @@ a{r} AS (
   UNION ALL
   SELECT DISTINCT ep.id, ep.lemma AS kw FROM ep JOIN k{r} USING (lemma) WHERE ep.id NOT IN (SELECT id FROM a{r-1}))""")
     return ctes
+
+
+def nb_terms(src: str, id_expr: str, text_expr: str) -> str:
+    """Word 1..3-grams after stop-word removal (expects CTE stopl(l))."""
+    return f"""
+SELECT {id_expr} AS id, unnest(list_concat(t,
+    list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]),
+    list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) AS term
+FROM (SELECT {id_expr}, list_filter(regexp_extract_all(lower({text_expr}), '[{WORD}]{{2,}}'),
+                                    lambda x: NOT list_contains(stopl.l, x)) AS t FROM {src}, stopl)"""
+
+
+NB2_CTES = [
+    "stopl AS (SELECT list(lemma) AS l FROM stop)",
+    f"qterms AS ({nb_terms('documents', 'doc_id', 'text')})",
+    "tf AS (SELECT id, term, count(*) AS tf FROM qterms GROUP BY id, term)",
+    "dfx AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) <= 0.4 * (SELECT n FROM ndocs))",
+    "idf AS (SELECT term, ln((1 + (SELECT n FROM ndocs)) / (1 + df)::DOUBLE) + 1 AS idf FROM dfx)",
+    "x0 AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term))",
+    "X AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM x0)",
+    "Ff AS (SELECT term, sum(w) AS Ff FROM X GROUP BY term)",
+    "tot AS (SELECT sum(w) AS sF, count(DISTINCT term) AS V FROM X)",
+    """Xc AS (SELECT d.doc_id AS id, coalesce(s.Xc, 0.0) AS Xc FROM documents d
+          LEFT JOIN (SELECT id, sum(w) AS Xc FROM X GROUP BY id) s ON s.id = d.doc_id)""",
+    f"kterms AS ({nb_terms('kw', 'keyword', 'keyword')})",
+    "ktf AS (SELECT id AS keyword, term, count(*) AS tf FROM kterms GROUP BY id, term)",
+    "kq0 AS (SELECT keyword, term, (1 + ln(tf)) * idf AS q FROM ktf JOIN idf USING (term))",
+    "kq AS (SELECT keyword, term, q / sqrt(sum(q * q) OVER (PARTITION BY keyword)) AS q FROM kq0)",
+    """kst AS (SELECT k.keyword, coalesce(s.K, 0.0) AS K, coalesce(s.c, 0.0) AS c FROM kw k LEFT JOIN
+          (SELECT keyword, sum(q) AS K, sum(q * ln(Ff + 1)) AS c FROM kq JOIN Ff USING (term) GROUP BY keyword) s
+          ON s.keyword = k.keyword)""",
+    """corr AS (SELECT kq.keyword, X.id, sum(kq.q * (ln(Ff.Ff + 1) - ln(Ff.Ff + 1 - X.w))) AS corr
+          FROM kq JOIN X USING (term) JOIN Ff USING (term) GROUP BY kq.keyword, X.id)""",
+    """sc AS (SELECT a.keyword, a.id, a.K, a.score + coalesce(corr.corr, 0.0) AS score FROM
+          (SELECT kst.keyword, Xc.id, kst.K, kst.K * ln(tot.sF + tot.V - Xc.Xc) - kst.c AS score FROM kst, Xc, tot) a
+          LEFT JOIN corr ON corr.keyword = a.keyword AND corr.id = a.id)""",
+    "pr AS (SELECT keyword, id, K, exp(score - max(score) OVER (PARTITION BY keyword)) AS e FROM sc)",
+    "p AS (SELECT keyword, id, K, e / sum(e) OVER (PARTITION BY keyword) AS p FROM pr)",
+    "th AS (SELECT keyword, stddev_pop(p) + median(p) + var_pop(p) AS thr, max(K) AS K FROM p GROUP BY keyword)",
+    """kept AS (SELECT p.id, p.keyword, p.p, kw.kw_pos FROM p JOIN th USING (keyword) JOIN kw USING (keyword)
+          WHERE p.p > th.thr AND th.K > 0)""",
+    """best AS (SELECT id, keyword FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, kw_pos) AS rn
+          FROM kept) WHERE rn = 1)""",
+]

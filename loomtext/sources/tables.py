@@ -97,13 +97,17 @@ def document_frequency(tokens: DataFrame) -> DataFrame:
 def derived_keywords(tokens: DataFrame, n_docs: int, how_many: int = 20) -> DataFrame:
     """SRC3 fixture: `how_many` lemmas of >= 4 characters whose document frequency lies in
     [1 %, 20 %] of the documents, rarest first (df, lemma)."""
+    from pyspark.sql import Window
+
     df = document_frequency(tokens.where(F.length("lemma") >= 4))
-    return (
+    top = (
         df.where((F.col("df") >= F.lit(0.01 * n_docs)) & (F.col("df") <= F.lit(0.2 * n_docs)))
         .orderBy("df", "lemma")
         .limit(how_many)
-        .select(F.col("lemma").alias("keyword"))
     )
+    # numbering the `how_many` selected rows (a bounded list) gives the keyword order
+    return top.select(F.col("lemma").alias("keyword"),
+                      F.row_number().over(Window.orderBy("df", "lemma")).alias("kw_pos"))
 
 
 def derived_stop_list(tokens_with_lang: DataFrame, per_lang: int = 30) -> DataFrame:
