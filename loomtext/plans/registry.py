@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomtext.operators import match as MT
@@ -220,6 +221,61 @@ def q_nb2(spark, sf):
     return NB.keyword_clusters(FX.doc_questions(spark, sf), FX.keywords(spark, sf), FX.stop_list(spark, sf))
 
 
+
+# ---------------------------------------------------------------- labels (AG15, AG17, LB1, LB4)
+from loomtext.operators import labels as LB  # noqa: E402
+
+LB_CTES = [Q.DOC_TOKENS_SIMPLE, Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS),
+           "stopl AS (SELECT list(lemma) AS l FROM stop)", Q.LABEL_LISTS, Q.GRAMS_1, Q.GRAMS_2]
+
+
+def _label_lists(spark, sf):
+    return LB.lemma_lists(FX.doc_questions(spark, sf), FX.stop_list(spark, sf))
+
+
+def _membership_by_source(spark, sf):
+    return S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("cluster_id"))
+
+
+@register("ag15_global_keywords", Q.with_(*LB_CTES) + "SELECT gram FROM g1 UNION SELECT gram FROM g2")
+def q_ag15(spark, sf):
+    ll = _label_lists(spark, sf)
+    return LB.global_keywords(LB.gram_sets(ll, 1)).union(LB.global_keywords(LB.gram_sets(ll, 2))).distinct()
+
+
+@register("ag17_contingency", Q.with_(*LB_CTES, *Q.contingency_sql("g1")) + "SELECT * FROM cont_g1")
+def q_ag17(spark, sf):
+    return LB.contingency(LB.gram_sets(_label_lists(spark, sf), 1), _membership_by_source(spark, sf))
+
+
+@register("lb1_nmi", Q.with_(*LB_CTES, *Q.contingency_sql("g1")) +
+          f"SELECT cluster_id, gram, round({Q.nmi_expr()}, 6) AS nmi FROM cont_g1")
+def q_lb1(spark, sf):
+    c = LB.nmi(LB.contingency(LB.gram_sets(_label_lists(spark, sf), 1), _membership_by_source(spark, sf)))
+    return c.select("cluster_id", "gram", F.round("nmi", 6).alias("nmi"))
+
+
+LB4_SQL = Q.with_(*LB_CTES, *Q.contingency_sql("g1"), *Q.contingency_sql("g2")[1:2], *Q.contingency_sql("g2")[2:3],
+                  Q.contingency_sql("g2")[4], f"""
+sc AS (SELECT cluster_id, gram AS label, {Q.nmi_expr()} AS score FROM cont_g1
+       UNION ALL SELECT cluster_id, gram AS label, {Q.nmi_expr()} AS score FROM cont_g2)""", """
+rk AS (SELECT cluster_id, label, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, label) AS rank FROM sc)""", """
+piv AS (SELECT cluster_id, max(CASE WHEN rank = 1 THEN label END) AS L1, max(CASE WHEN rank = 2 THEN label END) AS L2,
+               max(CASE WHEN rank = 3 THEN label END) AS L3, max(CASE WHEN rank = 4 THEN label END) AS L4
+        FROM rk GROUP BY cluster_id)""") + Q.label_rule_sql("piv")
+
+
+@register("lb4_label_rule", LB4_SQL)
+def q_lb4(spark, sf):
+    ll = _label_lists(spark, sf)
+    mem = _membership_by_source(spark, sf)
+    sc = LB.nmi(LB.contingency(LB.gram_sets(ll, 1), mem)).unionByName(LB.nmi(LB.contingency(LB.gram_sets(ll, 2), mem)))
+    w = Window.partitionBy("cluster_id").orderBy(F.col("nmi").desc(), F.col("label"))
+    top = sc.select("cluster_id", F.col("gram").alias("label"), "nmi").withColumn("rank", F.row_number().over(w)) \
+        .where(F.col("rank") <= 4)
+    return LB.best_label_combination(top).select("cluster_id", F.array_join("labels", " , ").alias("labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -138,3 +138,74 @@ NB2_CTES = [
     """best AS (SELECT id, keyword FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, kw_pos) AS rn
           FROM kept) WHERE rn = 1)""",
 ]
+
+
+def upper_sql(x: str) -> str:
+    # Java (and Python) upper-case the German sharp s to "SS", DuckDB to the capital sharp s
+    return f"replace(upper({x}), 'ẞ', 'SS')"
+
+
+LABEL_LISTS = f"""
+ll AS (SELECT doc_id AS id, source AS cluster_id,
+  list_transform(list_filter(list_transform(regexp_extract_all(text, '[{WORD}]+'), lambda t: lower(t)),
+                             lambda x: NOT list_contains(stopl.l, x)), lambda t: {upper_sql('t')}) AS l
+  FROM documents, stopl)"""
+
+GRAMS_1 = "g1 AS (SELECT DISTINCT id, unnest(l) AS gram FROM ll)"
+GRAMS_2 = "g2 AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) AS gram FROM ll)"
+
+
+def contingency_sql(g: str) -> list[str]:
+    return [
+        "mem AS (SELECT doc_id AS id, source AS cluster_id FROM documents)",
+        f"n11_{g} AS (SELECT cluster_id, gram, count(*) AS n11 FROM {g} JOIN mem USING (id) GROUP BY cluster_id, gram)",
+        f"n1_{g} AS (SELECT gram, count(*) AS n1 FROM {g} GROUP BY gram)",
+        "nc AS (SELECT cluster_id, count(*) AS nc FROM mem GROUP BY cluster_id)",
+        f"""cont_{g} AS (SELECT cluster_id, gram, n11, n1, nc, (SELECT count(*) FROM mem) AS N
+           FROM n11_{g} JOIN n1_{g} USING (gram) JOIN nc USING (cluster_id))""",
+    ]
+
+
+def nmi_expr() -> str:
+    def plogp(p):
+        return f"(CASE WHEN {p} > 0 THEN {p} * log2({p}) ELSE 0.0 END)"
+
+    def term(pxy, px, py):
+        return f"(CASE WHEN {pxy} > 0 THEN {pxy} * log2({pxy} / ({px} * {py})) ELSE 0.0 END)"
+
+    N = "N::DOUBLE"
+    p11, p10, p01 = f"(n11 / {N})", f"((n1 - n11) / {N})", f"((nc - n11) / {N})"
+    p00 = f"((N - n1 - nc + n11) / {N})"
+    pt1, pt0, pu1, pu0 = f"(n1 / {N})", f"(1 - n1 / {N})", f"(nc / {N})", f"(1 - nc / {N})"
+    info = " + ".join([term(p00, pt0, pu0), term(p01, pt0, pu1), term(p10, pt1, pu0), term(p11, pt1, pu1)])
+    h = f"(-({plogp(pt0)} + {plogp(pt1)}) - ({plogp(pu0)} + {plogp(pu1)}))"
+    v = f"(CASE WHEN ({info}) <> 0 AND {h} <> 0 THEN 2 * ({info}) / {h} ELSE 0.0 END)"
+    sign = f"(CASE WHEN n11 / n1::DOUBLE < nc / {N} THEN -1.0 ELSE 1.0 END)"
+    return f"(CASE WHEN n11 > 0 THEN {v} * {sign} ELSE 0.0 END)"
+
+
+def label_rule_sql(src: str) -> str:
+    """A-12 over a table (cluster_id, L1..L4)."""
+    def g(x):
+        return f"(CASE WHEN instr({x}, ' ') > 0 THEN 2 ELSE 1 END)"
+
+    def inn(a, b):
+        return f"(instr({b}, {a}) > 0)"
+
+    in4 = "list_filter([L1, L2, L3], lambda x: instr(L4, x) > 0)"
+    in3 = "list_filter([L1, L2], lambda x: instr(L3, x) > 0)"
+    case1 = f"""CASE WHEN NOT {inn('L1', 'L2')} THEN [L1, L2] WHEN {g('L3')} = 2 THEN [L2, L3]
+        WHEN NOT {inn('L3', 'L2')} THEN [L2, L3] ELSE [L2, L4] END"""
+    case2 = f"""CASE WHEN {g('L3')} = 1 AND {g('L4')} = 1 THEN [L1, L2]
+        WHEN {g('L3')} = 1 AND len({in4}) = 0 THEN [L1, L2]
+        WHEN {g('L3')} = 1 THEN list_filter([L1, L2, L3, L4], lambda x: NOT list_contains({in4}, x))
+        WHEN len({in3}) = 0 THEN [L1, L2]
+        WHEN len({in3}) = 1 THEN list_filter([L1, L2, L3], lambda x: NOT list_contains({in3}, x))
+        ELSE [L3, L4] END"""
+    case3 = f"""CASE WHEN NOT {inn('L2', 'L1')} THEN [L1, L2] WHEN {g('L3')} = 2 THEN [L1, L3]
+        WHEN NOT {inn('L3', 'L1')} THEN [L1, L3] ELSE [L1, L4] END"""
+    res = f"""CASE WHEN {g('L1')} = 1 AND {g('L2')} = 2 THEN {case1}
+        WHEN {g('L1')} = 1 AND {g('L2')} = 1 THEN {case2}
+        WHEN {g('L1')} = 2 AND {g('L2')} = 1 THEN {case3}
+        ELSE [L1, L2] END"""
+    return f"SELECT cluster_id, array_to_string(list_filter({res}, lambda x: x IS NOT NULL), ' , ') AS labels FROM {src}"
