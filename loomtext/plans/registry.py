@@ -276,6 +276,61 @@ def q_lb4(spark, sf):
     return LB.best_label_combination(top).select("cluster_id", F.array_join("labels", " , ").alias("labels"))
 
 
+
+# ---------------------------------------------------------------- vectors and pairs (SIM1, AG11, JN12, SIL1)
+from loomtext.operators import pairs as PR  # noqa: E402
+
+
+def _emb_points(spark, sf, corpus=None):
+    e = S.table(spark, sf, "embeddings")
+    c = F.lit(0).cast("long") if corpus is None else F.col(corpus).cast("long")
+    return e.select(c.alias("corpus"), F.col("vec_id").alias("id"),
+                    F.col("embedding").cast("array<double>").alias("vec"), "label")
+
+
+EMB_PAIRS = """
+pairs AS (SELECT a.vec_id AS id, b.vec_id AS nb_id, a.label AS la, b.label AS lb,
+                 list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim,
+                 pow(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),
+                                             lambda x: pow(abs(x[1] - x[2]), 1.5))), 1 / 1.5) AS mink,
+                 sqrt(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),
+                                              lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS eucl
+          FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"""
+
+
+@register("jn12_knn", Q.with_(EMB_PAIRS) + """
+SELECT 0::BIGINT AS corpus, id, nb_id, round(mink, 6) AS d, rank FROM (
+  SELECT id, nb_id, mink, row_number() OVER (PARTITION BY id ORDER BY mink, nb_id) AS rank FROM pairs) WHERE rank <= 5""")
+def q_jn12(spark, sf):
+    r = PR.knn(_emb_points(spark, sf), k=5, metric="minkowski:1.5")
+    return r.select("corpus", "id", "nb_id", F.round("d", 6).alias("d"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("ag11_row_stats", Q.with_(EMB_PAIRS) + """
+SELECT 0::BIGINT AS corpus, id, round(avg(sim), 6) AS mean, round(stddev_pop(sim), 6) AS std FROM pairs GROUP BY id""")
+def q_ag11(spark, sf):
+    r = PR.row_stats(_emb_points(spark, sf))
+    return r.select("corpus", "id", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@register("sim1_top_similar", Q.with_(EMB_PAIRS) + """
+SELECT 0::BIGINT AS corpus, id, nb_id, round(sim, 6) AS sim, rank FROM (
+  SELECT id, nb_id, sim, row_number() OVER (PARTITION BY id ORDER BY sim DESC, nb_id) AS rank FROM pairs) WHERE rank <= 10""")
+def q_sim1(spark, sf):
+    r = PR.top_similar(_emb_points(spark, sf), k=10)
+    return r.select("corpus", "id", "nb_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("sil1_silhouette", Q.with_(EMB_PAIRS, """
+pl AS (SELECT id, la, lb, avg(eucl) AS md FROM pairs GROUP BY id, la, lb)""", """
+ab AS (SELECT id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b FROM pl GROUP BY id)""") + """
+SELECT 0::BIGINT AS corpus, 0 AS cut, round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS score
+FROM (SELECT e.vec_id AS id, ab.a, ab.b FROM embeddings e LEFT JOIN ab ON ab.id = e.vec_id)""")
+def q_sil1(spark, sf):
+    pts = _emb_points(spark, sf).withColumn("labels", F.array(F.col("label")))
+    return PR.silhouette(pts).select("corpus", "cut", F.round("score", 6).alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
