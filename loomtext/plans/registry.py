@@ -331,6 +331,76 @@ def q_sil1(spark, sf):
     return PR.silhouette(pts).select("corpus", "cut", F.round("score", 6).alias("score"))
 
 
+
+# ---------------------------------------------------------------- outliers, density, k-means, Ward, sparsification
+from loomtext.operators import density as DB  # noqa: E402
+from loomtext.operators import kmeans as KM  # noqa: E402
+from loomtext.operators import outliers as OUT  # noqa: E402
+from loomtext.operators import sparsify as SP  # noqa: E402
+from loomtext.operators import ward as WD  # noqa: E402
+
+
+@register("out1_lof", Q.with_(EMB_PAIRS, """
+kn AS (SELECT id, nb_id, mink AS d FROM (
+  SELECT id, nb_id, mink, row_number() OVER (PARTITION BY id ORDER BY mink, nb_id) AS rn FROM pairs) WHERE rn <= 5)""", """
+kd AS (SELECT id, max(d) AS kdist FROM kn GROUP BY id)""", """
+lrd AS (SELECT kn.id, 1.0 / (avg(greatest(kd.kdist, kn.d)) + 1e-10) AS lrd FROM kn JOIN kd ON kd.id = kn.nb_id GROUP BY kn.id)""", """
+lof AS (SELECT kn.id, avg(l2.lrd) / l1.lrd AS lof FROM kn JOIN lrd l2 ON l2.id = kn.nb_id JOIN lrd l1 ON l1.id = kn.id
+        GROUP BY kn.id, l1.lrd)""") + """
+SELECT 0::BIGINT AS corpus, id, round(lof, 6) AS lof, -lof < (SELECT quantile_cont(-lof, 0.05) FROM lof) AS outlier FROM lof""")
+def q_out1(spark, sf):
+    r = OUT.local_outlier_factor(_emb_points(spark, sf))
+    return r.select("corpus", "id", F.round("lof", 6).alias("lof"), "outlier")
+
+
+SP1_SQL = """
+WITH pp AS (SELECT a.label::BIGINT AS corpus, a.vec_id AS id, b.vec_id AS nb_id,
+                   list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim
+            FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
+st AS (SELECT corpus, id, avg(sim) AS mean, stddev_pop(sim) AS std FROM pp GROUP BY corpus, id),
+ky AS (SELECT p.corpus, p.id AS i, p.nb_id AS j, p.sim,
+              greatest((p.sim - si.mean) / si.std, (p.sim - sj.mean) / sj.std) AS key
+       FROM pp p JOIN st si ON si.corpus = p.corpus AND si.id = p.id JOIN st sj ON sj.corpus = p.corpus AND sj.id = p.nb_id
+       WHERE p.id < p.nb_id),
+nn AS (SELECT label::BIGINT AS corpus, count(*) AS n FROM embeddings GROUP BY label),
+kp AS (SELECT corpus, least(n * (n - 1) // 2, 2 * floor(n * (n / 4.0) / 2)::BIGINT) AS keep FROM nn)
+SELECT corpus, i, j, round(sim, 6) AS sim FROM (
+  SELECT ky.*, kp.keep, row_number() OVER (PARTITION BY ky.corpus ORDER BY key DESC, i, j) AS rn FROM ky JOIN kp USING (corpus))
+WHERE rn <= keep"""
+
+
+@register("sp1_kept_pairs", SP1_SQL)
+def q_sp1(spark, sf):
+    r = SP.kept_pairs(_emb_points(spark, sf, corpus="label"), k=4, type_n=2)
+    return r.select("corpus", "i", "j", F.round("sim", 6).alias("sim"))
+
+
+@register("db1_dbscan")
+def q_db1(spark, sf):
+    return DB.dbscan(_emb_points(spark, sf), eps=0.25, metric="cosine")
+
+
+@register("km1_kmeans")
+def q_km1(spark, sf):
+    return KM.kmeans(_emb_points(spark, sf), n_clusters=5, n_init=10)
+
+
+@register("wd2_ward")
+def q_wd2(spark, sf):
+    return WD.ward_k(_emb_points(spark, sf, corpus="label"), 4)
+
+
+@register("wd1_agglomerate")
+def q_wd1(spark, sf):
+    return WD.agglomerate(_emb_points(spark, sf, corpus="label"), threshold=1.4)
+
+
+@register("sel1_best_k")
+def q_sel1(spark, sf):
+    r = SP.best_k_normal(_emb_points(spark, sf, corpus="label"))
+    return r.select("corpus", "id", "label", "k", F.round("score", 6).alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
