@@ -401,6 +401,70 @@ def q_sel1(spark, sf):
     return r.select("corpus", "id", "label", "k", F.round("score", 6).alias("score"))
 
 
+
+# ---------------------------------------------------------------- validation (VAL1-VAL3)
+from loomtext.sources import validate as VL  # noqa: E402
+
+
+def _question_records(spark, sf):
+    c = S.table(spark, sf, "conversations").select(
+        F.lit("conversations").alias("src"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        F.to_json(F.struct(F.col("text").alias("question"), F.col("turn").alias("question_id"),
+                           F.col("conv_id").alias("course_id"))).alias("rec"))
+    e = S.table(spark, sf, "events").select(F.lit("events").alias("src"), F.col("event_id").alias("id"),
+                                            F.col("props").alias("rec"))
+    return c.unionByName(e)
+
+
+@register("val2_rejects", """
+WITH r AS (SELECT 'conversations' AS src, conv_id * 1000 + turn AS id,
+                  to_json({'question': text, 'question_id': turn, 'course_id': conv_id}) AS rec FROM conversations
+           UNION ALL SELECT 'events', event_id, props FROM events),
+t AS (SELECT src, id, json_type(rec::JSON, '$.question') AS tq, json_type(rec::JSON, '$.question_id') AS ti,
+             json_type(rec::JSON, '$.course_id') AS tc FROM r)
+SELECT src, id, CASE WHEN tq IS NULL OR ti IS NULL OR tc IS NULL THEN 2805
+                     WHEN tq <> 'VARCHAR' OR ti NOT IN ('BIGINT', 'UBIGINT') OR tc NOT IN ('BIGINT', 'UBIGINT', 'VARCHAR') THEN 2807
+                END AS error_code FROM t""")
+def q_val2(spark, sf):
+    return VL.check_records(_question_records(spark, sf), "rec").select("src", "id", "error_code")
+
+
+@register("val3_min_batch", """
+SELECT conv_id * 1000 + turn AS id, conv_id AS corpus,
+       CASE WHEN count(*) OVER (PARTITION BY conv_id) < 6 THEN 2801 END AS error_code
+FROM conversations WHERE role = 'user'""")
+def q_val3(spark, sf):
+    q = S.user_turns_as_questions(spark, sf).select("id", F.col("corpus_id").alias("corpus"))
+    return VL.min_batch(q, "corpus", 6).select("id", "corpus", "error_code")
+
+
+
+# ---------------------------------------------------------------- streaming (ST1)
+from loomtext.streaming import stream_match as ST  # noqa: E402
+
+
+@register("st1_stream_match", MT1_SQL)
+def q_st1(spark, sf):
+    """The documents table read as a file stream (availableNow), matched per micro-batch,
+    appended to a parquet sink under the session's checkpoint folder."""
+    import uuid
+
+    from loomtext.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/st1-{uuid.uuid4().hex}"
+    schema = S.table(spark, sf, "documents").schema
+    # one file per micro-batch keeps the stream incremental
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1) \
+        .option("pathGlobFilter", "documents.parquet").parquet(sf)
+    out = ST.categorize_stream(src.select(F.col("doc_id").alias("id"), F.col("text").alias("question")),
+                               FX.keywords(spark, sf), FX.background(spark, sf))
+    q = (out.writeStream.format("parquet").option("path", base + "/sink")
+         .option("checkpointLocation", base + "/state").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(base + "/sink")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
