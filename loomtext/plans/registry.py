@@ -465,6 +465,22 @@ def q_st1(spark, sf):
     return spark.read.parquet(base + "/sink")
 
 
+
+# ---------------------------------------------------------------- text rank (TR1)
+from loomtext.operators import textrank as TR  # noqa: E402
+
+TR1_SQL = Q.with_(Q.DOC_TOKENS_SIMPLE, Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS),
+                  "stopl AS (SELECT list(lemma) AS l FROM stop)", *Q.textrank_sql(10)) + """
+SELECT c.cluster_id, coalesce(b.word, 'uncategorized') AS keyword
+FROM (SELECT DISTINCT source AS cluster_id FROM documents) c LEFT JOIN best b ON b.cluster_id = c.cluster_id"""
+
+
+@register("tr1_textrank", TR1_SQL)
+def q_tr1(spark, sf):
+    d = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("cluster_id"))
+    return TR.cluster_keywords(d, FX.stop_list(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -209,3 +209,44 @@ def label_rule_sql(src: str) -> str:
         WHEN {g('L1')} = 2 AND {g('L2')} = 1 THEN {case3}
         ELSE [L1, L2] END"""
     return f"SELECT cluster_id, array_to_string(list_filter({res}, lambda x: x IS NOT NULL), ' , ') AS labels FROM {src}"
+
+
+def textrank_sql(rounds: int = 10) -> list[str]:
+    """CTEs for the unrolled text-rank oracle over documents clustered by source
+    (expects stopl(l))."""
+    ctes = [f"""
+sw AS (SELECT d.source AS cluster_id, d.doc_id AS id, u.sent - 1 AS sent,
+              list_filter(list_transform(regexp_extract_all(u.s, '[{WORD}]+'), lambda t: lower(t)),
+                          lambda x: NOT list_contains(stopl.l, x)) AS w
+       FROM documents d, stopl,
+            LATERAL (SELECT generate_subscripts(string_split_regex(d.text, '[.!?]+\\s+'), 1) AS sent,
+                            unnest(string_split_regex(d.text, '[.!?]+\\s+')) AS s) u)""", """
+occ AS (SELECT cluster_id, id, sent, u.pos - 1 AS pos, u.word FROM sw,
+        LATERAL (SELECT generate_subscripts(sw.w, 1) AS pos, unnest(sw.w) AS word) u)""", """
+vocab AS (SELECT cluster_id, word, min({'id': id, 'sent': sent, 'pos': pos}) AS first FROM occ GROUP BY cluster_id, word)""", """
+pr AS (SELECT DISTINCT cluster_id, p.a, p.b FROM
+       (SELECT cluster_id, unnest(list_transform(range(1, len(w)), lambda i: {'a': w[i], 'b': w[i + 1]})) AS p FROM sw))""", """
+gg AS (SELECT cluster_id, src, dst, count(*)::DOUBLE AS g FROM
+       (SELECT cluster_id, a AS src, b AS dst FROM pr UNION ALL SELECT cluster_id, b, a FROM pr WHERE a <> b)
+       GROUP BY cluster_id, src, dst)""", """
+edges AS (SELECT cluster_id, src, dst, g / sum(g) OVER (PARTITION BY cluster_id, dst) AS g FROM gg)""", """
+r0 AS (SELECT cluster_id, word, 1.0::DOUBLE AS r FROM vocab)""", """
+s0 AS (SELECT DISTINCT cluster_id, 0.0::DOUBLE AS s FROM vocab)"""]
+    for t in range(1, rounds + 1):
+        ctes.append(f"""
+r{t} AS (SELECT v.cluster_id, v.word, 0.15 + 0.85 * coalesce(c.gr, 0.0) AS r FROM vocab v LEFT JOIN
+         (SELECT e.cluster_id, e.src, sum(e.g * p.r) AS gr FROM edges e
+          JOIN r{t-1} p ON p.cluster_id = e.cluster_id AND p.word = e.dst GROUP BY e.cluster_id, e.src) c
+         ON c.cluster_id = v.cluster_id AND c.src = v.word)""")
+        ctes.append(f"s{t} AS (SELECT cluster_id, sum(r) AS s FROM r{t} GROUP BY cluster_id)")
+    stop_terms = " ".join(
+        f"WHEN abs(s{t-1}.s - s{t}.s) < 1e-5 THEN {t}" for t in range(1, rounds + 1))
+    joins = " ".join(f"JOIN s{t} USING (cluster_id)" for t in range(1, rounds + 1))
+    ctes.append(f"stopr AS (SELECT cluster_id, CASE {stop_terms} ELSE {rounds} END AS T FROM s0 {joins})")
+    union = " UNION ALL ".join(f"SELECT {t} AS t, cluster_id, word, r FROM r{t}" for t in range(1, rounds + 1))
+    ctes.append(f"rall AS ({union})")
+    ctes.append("""final AS (SELECT a.cluster_id, a.word, a.r, v.first FROM rall a JOIN stopr s ON s.cluster_id = a.cluster_id
+        AND s.T = a.t JOIN vocab v ON v.cluster_id = a.cluster_id AND v.word = a.word)""")
+    ctes.append("""best AS (SELECT cluster_id, word FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id
+        ORDER BY round(r, 9) DESC, first.id DESC, first.sent DESC, first.pos DESC) AS rn FROM final) WHERE rn = 1)""")
+    return ctes
