@@ -193,3 +193,112 @@ def best_label_combination(scores: DataFrame) -> DataFrame:
            .when((g[0] == 2) & (g[1] == 1), case3)
            .otherwise(arr(L[0], L[1])))
     return p.select("cluster_id", F.filter(res, lambda x: x.isNotNull()).alias("labels"))
+
+
+# ---------------------------------------------------------------- many corpora at once (LB5)
+
+def contingency_by_corpus(grams: DataFrame, membership: DataFrame) -> DataFrame:
+    """AG17 per corpus: grams (corpus, id, gram), membership (corpus, id, cluster_id) ->
+    (corpus, cluster_id, gram, n11, n1, nc, N)."""
+    N = membership.groupBy("corpus").agg(F.count(F.lit(1)).alias("N"))
+    n11 = grams.join(membership, ["corpus", "id"]).groupBy("corpus", "cluster_id", "gram").agg(
+        F.count(F.lit(1)).alias("n11"))
+    n1 = grams.groupBy("corpus", "gram").agg(F.count(F.lit(1)).alias("n1"))
+    nc = membership.groupBy("corpus", "cluster_id").agg(F.count(F.lit(1)).alias("nc"))
+    return n11.join(n1, ["corpus", "gram"]).join(nc, ["corpus", "cluster_id"]).join(N, "corpus")
+
+
+TERM_BLOCK = 4096
+
+
+def label_scores_by_corpus(nmi_table: DataFrame, terms: DataFrame, cents: DataFrame, top: int = TOP_LABELS) -> DataFrame:
+    """LB2 + LB3 per corpus: terms (corpus, gram, vec), cents (corpus, cluster_id, centroid),
+    nmi_table (corpus, cluster_id, gram, nmi) -> (corpus, cluster_id, label, score, rank).
+    Terms of a corpus are cut into blocks of <= TERM_BLOCK; each block task holds only the
+    centroids of its corpus; only per-block top candidates leave a task."""
+    ncl = cents.groupBy("corpus").agg(F.count(F.lit(1)).alias("c"))
+    cent_rows = cents.join(ncl, "corpus").collect() if cents.count() <= MAX_CENTROIDS else None
+    if cent_rows is None:
+        raise ValueError("too many clusters for per-block centroid matrices")
+    by_corpus: dict = {}
+    for r in cent_rows:
+        by_corpus.setdefault(r["corpus"], []).append((r["cluster_id"], np.asarray(r["centroid"], float)))
+    mats = {c: (np.array([x[0] for x in v]), np.vstack([x[1] for x in v])) for c, v in by_corpus.items()}
+
+    nt = terms.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / F.lit(TERM_BLOCK)).cast("int").alias("nb"))
+    per_term = nmi_table.where(F.col("nmi") != 0).groupBy("corpus", "gram").agg(
+        F.collect_list(F.struct("cluster_id", "nmi")).alias("nm"))  # <= one entry per cluster of the corpus
+    tt = terms.join(nt, "corpus").withColumn("blk", F.pmod(F.xxhash64("gram"), F.col("nb"))) \
+        .join(per_term, ["corpus", "gram"], "left")
+
+    def dists(corpus, pdf):
+        cids, C = mats[corpus]
+        V = np.vstack(pdf["vec"].to_numpy()).astype(float)
+        return cids, np.sqrt(((C[:, None, :] - V[None, :, :]) ** 2).sum(axis=2))
+
+    def dmin_fn(pdf):
+        c = pdf["corpus"].iloc[0]
+        if c not in mats:
+            return pd.DataFrame({"corpus": [], "cluster_id": [], "dmin": []})
+        cids, D = dists(c, pdf)
+        return pd.DataFrame({"corpus": c, "cluster_id": cids, "dmin": D.min(axis=1)})
+
+    cid_type = cents.schema["cluster_id"].dataType.simpleString()
+    cor_type = cents.schema["corpus"].dataType.simpleString()
+    dmin = tt.select("corpus", "blk", "gram", "vec").groupBy("corpus", "blk").applyInPandas(
+        dmin_fn, f"corpus {cor_type}, cluster_id {cid_type}, dmin double") \
+        .groupBy("corpus", "cluster_id").agg(F.min("dmin").alias("dmin"))
+    mx = nmi_table.groupBy("corpus", "cluster_id").agg(F.max("nmi").alias("mx"))
+    scale_rows = dmin.join(mx, ["corpus", "cluster_id"], "left").select(
+        "corpus", "cluster_id", (0.5 * F.greatest(F.coalesce("mx", F.lit(0.0)), F.lit(0.0)) * F.col("dmin")).alias("sc")).collect()
+    scale = {(r["corpus"], r["cluster_id"]): r["sc"] for r in scale_rows}
+    k = top
+
+    def score_fn(pdf):
+        c = pdf["corpus"].iloc[0]
+        if c not in mats:
+            return pd.DataFrame({"corpus": [], "cluster_id": [], "label": [], "score": []})
+        cids, D = dists(c, pdf)
+        sc = np.array([scale.get((c, x), 0.0) for x in cids])
+        S = np.where(D > 0, sc[:, None] / np.where(D > 0, D, 1.0), sc[:, None])
+        pos = {x: i for i, x in enumerate(cids)}
+        for j, nm in enumerate(pdf["nm"].to_numpy()):
+            if nm is not None:
+                for e in nm:
+                    S[pos[e["cluster_id"]], j] += e["nmi"]
+        grams = pdf["gram"].to_numpy()
+        take = min(k, S.shape[1])
+        idx = np.argsort(-S, axis=1, kind="stable")[:, :take]
+        rows_i = np.repeat(np.arange(len(cids)), take)
+        return pd.DataFrame({"corpus": c, "cluster_id": cids[rows_i], "label": grams[idx.ravel()],
+                             "score": S[rows_i, idx.ravel()]})
+
+    cand = tt.groupBy("corpus", "blk").applyInPandas(
+        score_fn, f"corpus {cor_type}, cluster_id {cid_type}, label string, score double")
+    w = Window.partitionBy("corpus", "cluster_id").orderBy(F.col("score").desc(), F.col("label"))
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def cluster_labels(questions: DataFrame, membership: DataFrame, qvec: DataFrame, stop: DataFrame | None = None,
+                   dims: int = 16) -> DataFrame:
+    """LB5: (corpus, cluster_id, labels ARRAY<STRING>) from 1-gram and 2-gram label scores
+    (top 5 each), merged and re-sorted (WN4), then the label rule (LB4) on the best four.
+    questions (corpus, id, question); membership (corpus, id, cluster_id); qvec (corpus, id, vec)."""
+    ll = lemma_lists(questions.select("id", "question", "corpus"), stop).join(
+        questions.select("corpus", "id"), "id")
+    cents = centroids(membership.join(qvec, ["corpus", "id"]).withColumn(
+        "ck", F.struct("corpus", "cluster_id")), key="ck", vec="vec") \
+        .select(F.col("ck.corpus").alias("corpus"), F.col("ck.cluster_id").alias("cluster_id"), "centroid")
+    parts = []
+    for n in (1, 2):
+        g = ll.select("corpus", "id", F.explode(T.ngrams(F.col("lems"), n)).alias("gram")).distinct()
+        nm = nmi(contingency_by_corpus(g, membership)).select("corpus", "cluster_id", "gram", "nmi")
+        terms = g.select("corpus", "gram").distinct().withColumn(
+            "vec", mean_word_vector(F.split(F.lower("gram"), " "), dims))
+        parts.append(label_scores_by_corpus(nm, terms, cents))
+    merged = parts[0].unionByName(parts[1])
+    w = Window.partitionBy("corpus", "cluster_id").orderBy(F.col("score").desc(), F.col("label"))
+    top4 = merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 4) \
+        .withColumn("cluster_id", F.struct("corpus", "cluster_id"))
+    lab = best_label_combination(top4)
+    return lab.select(F.col("cluster_id.corpus").alias("corpus"), F.col("cluster_id.cluster_id").alias("cluster_id"), "labels")

@@ -36,6 +36,7 @@ def replicate(pts: DataFrame) -> DataFrame:
 def run_pairs(points: DataFrame, kernel, schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Apply `kernel(A, B, same_block) -> pandas.DataFrame` to every block pair of every corpus."""
     rep = replicate(blocked(points, block_rows))
+    schema = schema.replace("corpus long", f"corpus {points.schema['corpus'].dataType.simpleString()}")
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
@@ -142,7 +143,7 @@ def row_stats(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
     parts = run_pairs(points, kern, "corpus long, id long, s1 double, s2 double, c long", block_rows)
     g = parts.groupBy("corpus", "id").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("c").alias("c"))
-    mean = F.col("s1") / F.col("c")
+    mean = F.try_divide("s1", "c")
     return g.select("corpus", "id", mean.alias("mean"),
                     F.sqrt(F.greatest(F.col("s2") / F.col("c") - mean * mean, F.lit(0.0))).alias("std"))
 
@@ -216,9 +217,9 @@ def silhouette(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     own = points.select("corpus", "id", F.posexplode("labels").alias("cut", "own"))
     j = s.join(own, ["corpus", "id", "cut"])
     per = j.groupBy("corpus", "id", "cut").agg(
-        F.max(F.when(F.col("label") == F.col("own"), F.col("dsum") / F.col("cnt"))).alias("a"),
+        F.max(F.when(F.col("label") == F.col("own"), F.try_divide("dsum", "cnt"))).alias("a"),
         F.max(F.when(F.col("label") == F.col("own"), F.col("cnt"))).alias("own_others"),
-        F.min(F.when(F.col("label") != F.col("own"), F.col("dsum") / F.col("cnt"))).alias("b"))
+        F.min(F.when(F.col("label") != F.col("own"), F.try_divide("dsum", "cnt"))).alias("b"))
     sil = F.when(F.coalesce(F.col("own_others"), F.lit(0)) == 0, F.lit(0.0)).otherwise(
         (F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return per.groupBy("corpus", "cut").agg(F.avg(F.coalesce(sil, F.lit(0.0))).alias("score"))

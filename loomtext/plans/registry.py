@@ -481,6 +481,23 @@ def q_tr1(spark, sf):
     return TR.cluster_keywords(d, FX.stop_list(spark, sf))
 
 
+
+# ---------------------------------------------------------------- whole embedding pipeline (PL1, LB5, SNK3)
+from loomtext.plans import pipelines as PL  # noqa: E402
+
+
+def _role_questions(spark, sf):
+    c = S.table(spark, sf, "conversations")
+    return c.select(F.col("role").alias("corpus"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+                    F.col("text").alias("question"))
+
+
+@register("pl1_pipeline")
+def q_pl1(spark, sf):
+    out, _ = PL.cluster_output(_role_questions(spark, sf), FX.stop_list(spark, sf))
+    return out.select("corpus", "cluster_id", "chunk", "label", F.array_join(F.col("q_ids").cast("array<string>"), ",").alias("q_ids"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
