@@ -498,6 +498,96 @@ def q_pl1(spark, sf):
     return out.select("corpus", "cluster_id", "chunk", "label", F.array_join(F.col("q_ids").cast("array<string>"), ",").alias("q_ids"))
 
 
+
+# ---------------------------------------------------------------- more sources, scalars and aggregates
+MD5_VEC_SQL = "list_transform(range(16), lambda i: ('0x' || substr(md5({w}), 1 + 2 * i, 2))::INT / 255.0 - 0.5)"
+
+
+@register("src5_background", Q.with_(Q.DOC_TOKENS_SIMPLE, Q.BG_FREQ) + "SELECT lemma, cnt, round(freq, 12) AS freq FROM bg")
+def q_src5(spark, sf):
+    return FX.background(spark, sf).select("lemma", "cnt", F.round("freq", 12).alias("freq"))
+
+
+@register("src6_word_vectors", Q.with_(Q.DOC_TOKENS_SIMPLE) + f"""
+SELECT lemma, array_to_string(list_transform({MD5_VEC_SQL.format(w='lemma')}, lambda x: round(x, 6)::VARCHAR), ',') AS vec
+FROM (SELECT DISTINCT lemma FROM doc_tok)""")
+def q_src6(spark, sf):
+    words = FX.doc_token_lemmas(spark, sf).select("lemma").distinct()
+    v = S.md5_word_vector(F.col("lemma"))
+    return words.select("lemma", F.array_join(F.transform(v, lambda x: F.round(x, 6).cast("string")), ",").alias("vec"))
+
+
+@register("src7_encode", f"""
+SELECT id, u.dim, round(u.x, 6) AS x FROM (
+  SELECT conv_id * 1000 + turn AS id, CASE WHEN len(w) = 0 THEN list_transform(range(16), lambda i: 0.0) ELSE
+    list_transform(range(16), lambda i: list_sum(list_transform(w, lambda x: ('0x' || substr(md5(x), 1 + 2 * i, 2))::INT / 255.0 - 0.5)) / len(w)) END AS v
+  FROM (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[{Q.WORD}]+'), lambda t: lower(t)) AS w FROM conversations)) e,
+  LATERAL (SELECT generate_subscripts(e.v, 1) - 1 AS dim, unnest(e.v) AS x) u""")
+def q_src7(spark, sf):
+    e = PL.encode(_role_questions(spark, sf))
+    return e.select("id", F.posexplode("vec").alias("dim", "x")).select(
+        "id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+@register("txt7_sentences", r"""SELECT doc_id AS id, u.sent - 1 AS sent, u.s AS sentence FROM documents d,
+  LATERAL (SELECT generate_subscripts(string_split_regex(d.text, '[.!?]+\s+'), 1) AS sent,
+                  unnest(string_split_regex(d.text, '[.!?]+\s+')) AS s) u""")
+def q_txt7(spark, sf):
+    return _docs(spark, sf).select(F.col("doc_id").alias("id"), F.posexplode(T.sentences("text")).alias("sent", "sentence")) \
+        .withColumn("sent", F.col("sent").cast("long"))
+
+
+@register("txt9_lemmatized", f"SELECT doc_id AS id, array_to_string({Q.lemmas(Q.question('text'))}, ' ') AS lemmatized FROM documents")
+def q_txt9(spark, sf):
+    return _docs(spark, sf).select(F.col("doc_id").alias("id"), F.array_join(T.lemmas(T.question_text("text")), " ").alias("lemmatized"))
+
+
+@register("txt14_lemma_lists", Q.with_(*LB_CTES) + "SELECT id, array_to_string(l, ' ') AS lems FROM ll")
+def q_txt14(spark, sf):
+    return _label_lists(spark, sf).select("id", F.array_join("lems", " ").alias("lems"))
+
+
+@register("ag10_centroids", """
+SELECT label::BIGINT AS cluster_id, u.dim, round(avg(u.x), 6) AS x FROM embeddings e,
+  LATERAL (SELECT generate_subscripts(e.embedding, 1) - 1 AS dim, unnest(e.embedding)::DOUBLE AS x) u
+GROUP BY label, u.dim""")
+def q_ag10(spark, sf):
+    pts = _emb_points(spark, sf).withColumn("cluster_id", F.col("label").cast("long"))
+    c = LB.centroids(pts, "cluster_id", "vec")
+    return c.select("cluster_id", F.posexplode("centroid").alias("dim", "x")).select(
+        "cluster_id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+@register("ag9_epsilon", Q.with_("""
+pp AS (SELECT a.label AS corpus, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d
+       FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)""", """
+nn AS (SELECT label AS corpus, count(*) AS n FROM embeddings GROUP BY label)""") + """
+SELECT nn.corpus::BIGINT AS corpus, round(sqrt(greatest((2 * s.s2) / (nn.n * nn.n) - pow((2 * s.s1) / (nn.n * nn.n), 2), 0)), 6) AS eps
+FROM nn JOIN (SELECT corpus, sum(d) AS s1, sum(d * d) AS s2 FROM pp GROUP BY corpus) s USING (corpus)""")
+def q_ag9(spark, sf):
+    from loomtext.operators import density as DBm
+
+    return DBm.epsilon_from_distances(_emb_points(spark, sf, corpus="label")).select(
+        "corpus", F.round("eps", 6).alias("eps"))
+
+
+@register("val4_messages", """
+SELECT conv_id * 1000 + turn AS id, conv_id AS corpus, 2801 AS error_code,
+  'There are too few questions to cluster. Try again when there       are six or more.' AS error_message, 400 AS status
+FROM conversations WHERE role = 'user' QUALIFY count(*) OVER (PARTITION BY conv_id) < 6""")
+def q_val4(spark, sf):
+    q = S.user_turns_as_questions(spark, sf).select("id", F.col("corpus_id").alias("corpus"))
+    r = VL.min_batch(q, "corpus", 6).where(F.col("error_code").isNotNull())
+    return VL.with_messages(r).select("id", "corpus", "error_code", "error_message", "status")
+
+
+@register("snk2_members")
+def q_snk2(spark, sf):
+    lab = SP.best_k_normal(_emb_points(spark, sf, corpus="label"))
+    ch = SK.members_chunked(lab.withColumn("key", F.concat_ws(":", "corpus", "label")), "key", "id")
+    return SK.ids_as_text(ch)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
