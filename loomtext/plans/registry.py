@@ -588,6 +588,16 @@ def q_snk2(spark, sf):
     return SK.ids_as_text(ch)
 
 
+
+# ---------------------------------------------------------------- G-means (GM1-GM3)
+from loomtext.operators import gmeans as GM  # noqa: E402
+
+
+@register("gm2_gaussian_split")
+def q_gm2(spark, sf):
+    return GM.gmeans(_emb_points(spark, sf, corpus="label"), strictness=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
