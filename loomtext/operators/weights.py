@@ -96,3 +96,27 @@ def smoothed_tfidf(terms: DataFrame, sublinear: bool = True, max_df: float | Non
         # a document's terms form a bounded window partition
         w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id"))))
     return w
+
+
+def cluster_keyword(docs: DataFrame, stop_arr, n_docs: int) -> DataFrame:
+    """VEC5: per cluster, the best term of the cluster's joined text under count vectors fitted
+    on the corpus: raw tf * smoothed idf, L2-normalised; top 5 by (score, term) descending,
+    scores rounded to 3 decimals, first of the highest rounded score.
+    docs: (id, text, cluster_id) -> (cluster_id, keyword, score)."""
+    from pyspark.sql import Window
+
+    from loomtext.functions import text as T
+
+    toks = F.regexp_extract_all(F.lower(F.col("text")), F.lit(f"[{T.WORD_CHARS}]{{2,}}"), 0)
+    if stop_arr is not None:
+        toks = F.filter(toks, lambda t: ~F.array_contains(stop_arr, t))
+    tk = docs.select("id", "cluster_id", F.explode(toks).alias("term"))
+    df = tk.select("id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.select("term", (F.ln(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1).alias("idf"))
+    tf = tk.groupBy("cluster_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    w = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("cluster_id"))))
+    r = w.withColumn("rn", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("w").desc(), F.col("term").desc()))) \
+        .where(F.col("rn") <= 5)
+    best = r.groupBy("cluster_id").agg(F.min(F.struct((-F.round("w", 3)).alias("ns"), "rn", "term")).alias("b"))
+    return best.select("cluster_id", F.col("b.term").alias("keyword"), (-F.col("b.ns")).alias("score"))

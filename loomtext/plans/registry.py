@@ -598,6 +598,52 @@ def q_gm2(spark, sf):
     return GM.gmeans(_emb_points(spark, sf, corpus="label"), strictness=0)
 
 
+
+# ---------------------------------------------------------------- naming, cluster keyword, vectors, text sink
+@register("nm1_named_clusters", TR1_SQL.replace("\nSELECT c.cluster_id, coalesce(b.word, 'uncategorized') AS keyword", """,
+kwn AS (SELECT c.cluster_id, coalesce(b.word, 'uncategorized') AS keyword
+        FROM (SELECT DISTINCT source AS cluster_id FROM documents) c LEFT JOIN best b ON b.cluster_id = c.cluster_id),
+lab AS (SELECT d.doc_id AS id, k.keyword AS label FROM documents d JOIN kwn k ON k.cluster_id = d.source)
+SELECT id, CASE WHEN count(*) OVER (PARTITION BY label) <= 1 THEN 'uncategorized' ELSE label END AS label FROM lab
+--""").split("--")[0].replace("FROM (SELECT DISTINCT source AS cluster_id FROM documents) c LEFT JOIN best b ON b.cluster_id = c.cluster_id\\n", ""))
+def q_nm1(spark, sf):
+    d = S.table(spark, sf, "documents")
+    mem = d.select(F.col("doc_id").alias("id"), F.col("source").alias("cluster_id"))
+    return TR.name_clusters(d.select(F.col("doc_id").alias("id"), "text"), mem, FX.stop_list(spark, sf))
+
+
+VEC5_SQL = Q.with_(Q.DOC_TOKENS_SIMPLE, Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS),
+                   "stopl AS (SELECT list(lemma) AS l FROM stop)", f"""
+tk AS (SELECT doc_id AS id, source AS cluster_id, unnest(list_filter(regexp_extract_all(lower(text), '[{Q.WORD}]{{2,}}'),
+          lambda x: NOT list_contains(stopl.l, x))) AS term FROM documents, stopl)""", """
+df AS (SELECT term, count(DISTINCT id) AS df FROM tk GROUP BY term)""", """
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1 AS idf FROM df)""", """
+w0 AS (SELECT cluster_id, term, count(*) * idf AS w FROM tk JOIN idf USING (term) GROUP BY cluster_id, term, idf)""", """
+w AS (SELECT cluster_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY cluster_id)) AS w FROM w0)""", """
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY w DESC, term DESC) AS rn FROM w) WHERE rn <= 5)""") + """
+SELECT cluster_id, term AS keyword, round(w, 3) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(w, 3) DESC, rn) AS pick FROM top) WHERE pick = 1"""
+
+
+@register("vec5_cluster_keyword", VEC5_SQL)
+def q_vec5(spark, sf):
+    from loomtext.operators import bayes as NBm
+
+    d = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("cluster_id"))
+    return W.cluster_keyword(d, NBm._stop_array(FX.stop_list(spark, sf)), FX.n_docs(spark, sf))
+
+
+@register("snk4_texts", Q.with_(*GREEDY_CTES, """
+lab AS (SELECT d.doc_id AS id, coalesce(a12.kw, 'uncategorized') AS label FROM documents d LEFT JOIN a12 ON a12.id = d.doc_id)""") + """
+SELECT label, floor(id / 1000)::BIGINT AS chunk, count(*) AS n_texts, sum(length(text)) AS n_chars
+FROM lab JOIN documents d ON d.doc_id = lab.id GROUP BY label, floor(id / 1000)""")
+def q_snk4(spark, sf):
+    q = FX.doc_questions(spark, sf)
+    t = SK.texts_per_cluster(_greedy(spark, sf), q)
+    return t.select("label", "chunk", F.size("texts").cast("long").alias("n_texts"),
+                    F.aggregate("texts", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
