@@ -644,6 +644,48 @@ def q_snk4(spark, sf):
                     F.aggregate("texts", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
 
 
+
+# ---------------------------------------------------------------- best-fit existing cluster (NB4, VEC4)
+NB4_SQL = f"""
+WITH t AS (SELECT d.doc_id AS id, l.doc_id IS NOT NULL AS train, l.quality::VARCHAR AS cluster,
+                  array_to_string({Q.lemmas(Q.question('d.text'))}, ' ') AS s
+           FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+ch AS (SELECT train, id, list_filter(string_split(regexp_replace(lower(s), '\\s\\s+', ' ', 'g'), ''), lambda x: length(x) > 0) AS c FROM t),
+terms AS (SELECT train, id, unnest(list_concat(c, list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]),
+                 list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))) AS term FROM ch),
+tf AS (SELECT train, id, term, count(*) AS tf FROM terms GROUP BY train, id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM t)) / (1 + df)::DOUBLE) + 1 AS idf FROM df),
+x0 AS (SELECT train, id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)),
+X AS (SELECT train, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY train, id)) AS w FROM x0),
+xcf AS (SELECT t.cluster, X.term, sum(X.w) AS x FROM X JOIN t ON t.id = X.id AND X.train WHERE t.train GROUP BY t.cluster, X.term),
+Ff AS (SELECT v.term, coalesce(sum(xcf.x), 0.0) AS Ff FROM (SELECT DISTINCT term FROM X) v LEFT JOIN xcf USING (term) GROUP BY v.term),
+tot AS (SELECT sum(Ff) AS sF, count(*) AS V FROM Ff),
+cls AS (SELECT cluster, sum(x) AS Xc FROM xcf GROUP BY cluster),
+lt AS (SELECT c.cluster, f.term, ln(tot.sF + tot.V - c.Xc) - ln(f.Ff + 1 - coalesce(x.x, 0.0)) AS lw
+       FROM Ff f CROSS JOIN cls c CROSS JOIN tot LEFT JOIN xcf x ON x.cluster = c.cluster AND x.term = f.term),
+sc AS (SELECT X.id, lt.cluster, sum(X.w * lt.lw) AS score FROM X JOIN lt USING (term) WHERE NOT X.train GROUP BY X.id, lt.cluster),
+al AS (SELECT o.id, c.cluster, coalesce(sc.score, 0.0) AS score FROM (SELECT id FROM t WHERE NOT train) o
+       CROSS JOIN cls c LEFT JOIN sc ON sc.id = o.id AND sc.cluster = c.cluster),
+pr AS (SELECT id, cluster, exp(score - max(score) OVER (PARTITION BY id)) AS e FROM al),
+p AS (SELECT id, cluster, e / sum(e) OVER (PARTITION BY id) AS p FROM pr)
+SELECT id, cluster AS cluster_id, round(p, 6) AS p FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, cluster) AS rn FROM p) WHERE rn = 1"""
+
+
+@register("nb4_best_cluster", NB4_SQL)
+def q_nb4(spark, sf):
+    from loomtext.operators import bayes as NBm
+
+    d = S.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.array_join(T.lemmas(T.question_text("text")), " ").alias("question"))
+    lab = S.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("cluster_id"))
+    orphans = d.join(lab, "id", "left_anti")
+    clustered = d.join(lab, "id")
+    r = NBm.best_fit_cluster(orphans, clustered)
+    return r.select("id", "cluster_id", F.round("p", 6).alias("p"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
