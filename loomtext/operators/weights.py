@@ -120,3 +120,24 @@ def cluster_keyword(docs: DataFrame, stop_arr, n_docs: int) -> DataFrame:
         .where(F.col("rn") <= 5)
     best = r.groupBy("cluster_id").agg(F.min(F.struct((-F.round("w", 3)).alias("ns"), "rn", "term")).alias("b"))
     return best.select("cluster_id", F.col("b.term").alias("keyword"), (-F.col("b.ns")).alias("score"))
+
+
+def weighted_bag_of_words(tokens: DataFrame, weights: DataFrame, vectors: DataFrame, stop: DataFrame | None = None,
+                          power: int = 2, normalize: bool = True) -> DataFrame:
+    """VEC1 / VEC2: document vector = sum over tokens of vec(lemma) * w(lemma)^power, stop words
+    skipped when `stop` is given, L2-normalised when `normalize` (zero vectors kept).
+    tokens (id, lemma) one row per occurrence; weights (id, lemma, w); vectors (lemma, vec).
+    Long form (id, dim, x): one partial/final aggregation per (id, dim), no dense matrix."""
+    from pyspark.sql import Window
+
+    t = tokens
+    if stop is not None:
+        t = t.join(F.broadcast(stop.select("lemma")), "lemma", "left_anti")
+    tf = t.groupBy("id", "lemma").agg(F.count(F.lit(1)).alias("n"))
+    x = tf.join(weights.select("id", "lemma", "w"), ["id", "lemma"]).join(vectors, "lemma")
+    x = x.select("id", (F.col("n") * F.pow(F.col("w"), power)).alias("c"), F.posexplode("vec").alias("dim", "v"))
+    s = x.groupBy("id", "dim").agg(F.sum(F.col("c") * F.col("v")).alias("x"))
+    if normalize:
+        norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))
+        s = s.withColumn("x", F.when(norm > 0, F.col("x") / norm).otherwise(F.col("x")))
+    return s

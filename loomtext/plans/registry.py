@@ -686,6 +686,33 @@ def q_nb4(spark, sf):
     return r.select("id", "cluster_id", F.round("p", 6).alias("p"))
 
 
+
+# ---------------------------------------------------------------- weighted bag of word vectors (VEC1)
+VEC1_SQL = Q.with_(Q.DOC_TOKENS_SIMPLE, Q.BG_FREQ, Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS), f"""
+ct AS (SELECT conv_id * 1000 + turn AS id, unnest({Q.lemmas(Q.question('text'))}) AS lemma FROM conversations WHERE role = 'user')""", """
+tf AS (SELECT id, lemma, count(*) AS tf FROM ct GROUP BY id, lemma)""", """
+w AS (SELECT id, lemma, tf, tf * -ln(coalesce(CASE WHEN bg.freq > 0 THEN bg.freq END, 1e-9)) AS w
+      FROM tf LEFT JOIN bg USING (lemma) WHERE lemma NOT IN (SELECT lemma FROM stop))""", f"""
+v AS (SELECT w.id, u.dim, sum(w.tf * w.w * w.w * u.x) AS x FROM w,
+      LATERAL (SELECT generate_subscripts(vv, 1) - 1 AS dim, unnest(vv) AS x FROM (SELECT {MD5_VEC_SQL.format(w='w.lemma')} AS vv)) u
+      GROUP BY w.id, u.dim)""") + """
+SELECT id, dim, round(CASE WHEN nrm > 0 THEN x / nrm ELSE x END, 6) AS x FROM (
+  SELECT id, dim, x, sqrt(sum(x * x) OVER (PARTITION BY id)) AS nrm FROM v)"""
+
+
+@register("vec1_bag_of_words", VEC1_SQL)
+def q_vec1(spark, sf):
+    c = S.table(spark, sf, "conversations").where(F.col("role") == "user")
+    toks = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+                    F.explode(T.lemmas(T.question_text("text"))).alias("lemma"))
+    tf = W.text_frequency(toks)
+    wts = tf.join(FX.background(spark, sf).select("lemma", "freq"), "lemma", "left") \
+        .select("id", "lemma", (F.col("tf") * W.global_idf(F.col("freq"))).alias("w"))
+    vecs = toks.select("lemma").distinct().withColumn("vec", S.md5_word_vector(F.col("lemma")))
+    r = W.weighted_bag_of_words(toks, wts, vecs, FX.stop_list(spark, sf))
+    return r.select("id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
