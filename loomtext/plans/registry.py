@@ -713,6 +713,27 @@ def q_vec1(spark, sf):
     return r.select("id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
 
 
+
+VEC2_SQL = VEC1_SQL.replace("sum(w.tf * w.w * w.w * u.x)", "sum(w.tf * w.w * u.x)") \
+    .replace(" WHERE lemma NOT IN (SELECT lemma FROM stop))", ")") \
+    .replace("round(CASE WHEN nrm > 0 THEN x / nrm ELSE x END, 6)", "round(x, 6)")
+
+
+@register("vec2_weighted_sum", VEC2_SQL)
+def q_vec2(spark, sf):
+    """VEC2 without a tagger: every token counts (stop words kept), weight to the first power,
+    no normalisation."""
+    c = S.table(spark, sf, "conversations").where(F.col("role") == "user")
+    toks = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+                    F.explode(T.lemmas(T.question_text("text"))).alias("lemma"))
+    tf = W.text_frequency(toks)
+    wts = tf.join(FX.background(spark, sf).select("lemma", "freq"), "lemma", "left") \
+        .select("id", "lemma", (F.col("tf") * W.global_idf(F.col("freq"))).alias("w"))
+    vecs = toks.select("lemma").distinct().withColumn("vec", S.md5_word_vector(F.col("lemma")))
+    r = W.weighted_bag_of_words(toks, wts, vecs, None, power=1, normalize=False)
+    return r.select("id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
