@@ -734,6 +734,50 @@ def q_vec2(spark, sf):
     return r.select("id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
 
 
+
+# ---------------------------------------------------------------- word-pair distances (SIM2-SIM4)
+from loomtext.operators import wordpairs as WP  # noqa: E402
+
+SIM4_SQL = Q.with_(Q.DOC_TOKENS_SIMPLE, Q.BG_FREQ, Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS), f"""
+ut AS (SELECT conv_id AS corpus, conv_id * 1000 + turn AS id, {Q.lemmas(Q.question('text'))} AS l FROM conversations WHERE role = 'user')""", f"""
+tv AS (SELECT corpus, id, u.lemma, {MD5_VEC_SQL.format(w='u.lemma')} AS v FROM ut, LATERAL (SELECT unnest(ut.l) AS lemma) u)""", """
+el AS (SELECT corpus, id, lemma, count(*) AS tf, first(v) AS v FROM tv WHERE lemma NOT IN (SELECT lemma FROM stop)
+       GROUP BY corpus, id, lemma)""", """
+elw AS (SELECT el.*, 1 + tf * -ln(coalesce(CASE WHEN bg.freq > 0 THEN bg.freq END, 1e-9)) AS w FROM el LEFT JOIN bg USING (lemma))""", """
+pr AS (SELECT a.corpus, a.id AS i, b.id AS j FROM ut a JOIN ut b ON a.corpus = b.corpus AND a.id < b.id)""", """
+op AS (SELECT corpus, i AS x, j AS y FROM pr UNION ALL SELECT corpus, j, i FROM pr)""", """
+dir AS (SELECT op.corpus, op.x, op.y, e.lemma, e.w, coalesce(max(abs(list_cosine_similarity(e.v, t.v))), 0) AS mc
+        FROM op JOIN elw e ON e.corpus = op.corpus AND e.id = op.x LEFT JOIN tv t ON t.corpus = op.corpus AND t.id = op.y
+        GROUP BY op.corpus, op.x, op.y, e.lemma, e.w)""", """
+tfs AS (SELECT corpus, id, sum(tf) AS tfs FROM el GROUP BY corpus, id)""", """
+dd AS (SELECT op.corpus, op.x, op.y, coalesce(s.tot, 0) / (1 + coalesce(tfs.tfs, 0)) AS d FROM op
+       LEFT JOIN (SELECT corpus, x, y, sum((1 - mc) * w) AS tot FROM dir GROUP BY corpus, x, y) s
+         ON s.corpus = op.corpus AND s.x = op.x AND s.y = op.y
+       LEFT JOIN tfs ON tfs.corpus = op.corpus AND tfs.id = op.x)""") + """
+SELECT a.corpus, a.x AS i, a.y AS j, round((a.d + b.d) / 2, 6) AS d FROM dd a JOIN dd b
+  ON b.corpus = a.corpus AND b.x = a.y AND b.y = a.x WHERE a.x < a.y"""
+
+
+def _user_turn_profiles(spark, sf):
+    c = S.table(spark, sf, "conversations").where(F.col("role") == "user")
+    docs = c.select(F.col("conv_id").alias("corpus"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    toks = docs.select("corpus", "id", F.posexplode(T.lemmas(T.question_text("text"))).alias("pos", "lemma"))
+    vecs = toks.select("lemma").distinct().withColumn("vec", S.md5_word_vector(F.col("lemma")))
+    return WP.doc_profiles(docs, toks, FX.background(spark, sf), vecs, FX.stop_list(spark, sf))
+
+
+@register("sim4_word_pair_distance", SIM4_SQL)
+def q_sim4(spark, sf):
+    r = WP.word_pair_distances(_user_turn_profiles(spark, sf))
+    return r.select("corpus", "i", "j", F.round("d", 6).alias("d"))
+
+
+
+@register("db2_word_pair_dbscan")
+def q_db2(spark, sf):
+    return DB.dbscan_word_pairs(_user_turn_profiles(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
