@@ -778,6 +778,46 @@ def q_db2(spark, sf):
     return DB.dbscan_word_pairs(_user_turn_profiles(spark, sf))
 
 
+
+_JN7_EXTRA = [f"""
+kt AS (SELECT keyword, u.lemma, {MD5_VEC_SQL.format(w='u.lemma')} AS v FROM kw,
+       LATERAL (SELECT unnest({Q.lemmas(Q.question('keyword'))}) AS lemma) u WHERE u.lemma NOT IN (SELECT lemma FROM stop))""", """
+kel AS (SELECT keyword, lemma, count(*) AS tf, first(v) AS v FROM kt GROUP BY keyword, lemma)""", """
+kw2 AS (SELECT kel.*, 1 + tf * -ln(coalesce(CASE WHEN bg.freq > 0 THEN bg.freq END, 1e-9)) AS w FROM kel LEFT JOIN bg USING (lemma))""", """
+ktfs AS (SELECT k.keyword, coalesce(sum(kel.tf), 0) AS tfs FROM kw k JOIN kel USING (keyword) GROUP BY k.keyword)""", """
+qk AS (SELECT q.corpus, q.id, k.keyword FROM ut q CROSS JOIN ktfs k)""", """
+near AS (SELECT qk.corpus, qk.id, qk.keyword, e.lemma, e.w, coalesce(max(abs(list_cosine_similarity(e.v, t.v))), 0) AS mc
+         FROM qk JOIN kw2 e ON e.keyword = qk.keyword LEFT JOIN tv t ON t.corpus = qk.corpus AND t.id = qk.id
+         GROUP BY qk.corpus, qk.id, qk.keyword, e.lemma, e.w)""", """
+dk AS (SELECT n.corpus, n.id, n.keyword, sum((1 - n.mc) * n.w) / (1 + k.tfs) AS d FROM near n JOIN ktfs k USING (keyword)
+       GROUP BY n.corpus, n.id, n.keyword, k.tfs)""", """
+bestk AS (SELECT corpus, id, keyword, d FROM (SELECT *, row_number() OVER (PARTITION BY corpus, id ORDER BY d, keyword) AS rn
+          FROM dk) WHERE rn = 1)"""]
+_JN7_BASE = SIM4_SQL.split("\npr AS")[0].rstrip().rstrip(",")
+_JN7_BASE = _JN7_BASE.replace(Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS).strip() + ",",
+                              Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS).strip() + ",\n" +
+                              Q.N_DOCS + ",\n" + Q.KEYWORDS.strip() + ",", 1)
+JN7_SQL = _JN7_BASE + ",\n" + ",\n".join(c.strip() for c in _JN7_EXTRA) + """
+SELECT u.corpus, u.id, CASE WHEN b.d < 1.5 THEN b.keyword ELSE 'uncategorized' END AS label, round(b.d, 6) AS d
+FROM ut u LEFT JOIN bestk b ON b.corpus = u.corpus AND b.id = u.id"""
+
+
+@register("jn7_keyword_distance_clusters", JN7_SQL)
+def q_jn7(spark, sf):
+    kw = FX.keywords(spark, sf)
+    ktoks = kw.select("keyword", F.explode(T.lemmas(T.question_text("keyword"))).alias("lemma"))
+    kt = ktoks.join(FX.stop_list(spark, sf).select("lemma"), "lemma", "left_anti") \
+        .groupBy("keyword", "lemma").agg(F.count(F.lit(1)).alias("tf"))
+    kt = kt.join(FX.background(spark, sf).select("lemma", "freq"), "lemma", "left") \
+        .withColumn("w", 1 + F.col("tf") * W.global_idf(F.col("freq"))).withColumn("vec", S.md5_word_vector(F.col("lemma")))
+    kp = kt.groupBy("keyword").agg(F.collect_list("vec").alias("ev"), F.collect_list("w").alias("ew"),
+                                   F.sum("tf").alias("tfs"))
+    kp = kw.select("keyword").join(kp, "keyword", "left").fillna(0, ["tfs"]) \
+        .withColumn("ev", F.coalesce("ev", F.array().cast("array<array<double>>")))
+    r = WP.cluster_on_keywords(_user_turn_profiles(spark, sf), kp)
+    return r.select("corpus", "id", "label", F.round("d", 6).alias("d"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
