@@ -77,13 +77,20 @@ def nmi(cont: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- sentence encoder (SRC7 default)
 
+def _hash_vector(h, dims: int):
+    return F.array(*[F.conv(F.substring(h, 1 + 2 * i, 2), 16, 10).cast("double") / 255.0 - 0.5 for i in range(dims)])
+
+
 def mean_word_vector(words_col, dims: int = 16):
     """Default encoder: mean of deterministic md5 word vectors (lower-case words); a narrow
     per-row expression (array aggregate), zero vector for an empty text."""
     from loomtext.sources.tables import md5_word_vector
 
     zero = F.array_repeat(F.lit(0.0), dims)
-    summed = F.aggregate(F.transform(words_col, lambda w: md5_word_vector(w, dims)), zero,
+    # one md5 per word, then the byte columns of that hash (the hash is a lambda argument, so
+    # it is not recomputed per dimension)
+    hashes = F.transform(words_col, lambda w: F.md5(w))
+    summed = F.aggregate(F.transform(hashes, lambda h: _hash_vector(h, dims)), zero,
                          lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
     n = F.greatest(F.size(words_col), F.lit(1)).cast("double")
     return F.zip_with(summed, F.array_repeat(n, dims), lambda a, m: a / m)
@@ -284,11 +291,13 @@ def cluster_labels(questions: DataFrame, membership: DataFrame, qvec: DataFrame,
     """LB5: (corpus, cluster_id, labels ARRAY<STRING>) from 1-gram and 2-gram label scores
     (top 5 each), merged and re-sorted (WN4), then the label rule (LB4) on the best four.
     questions (corpus, id, question); membership (corpus, id, cluster_id); qvec (corpus, id, vec)."""
-    ll = lemma_lists(questions.select("id", "question", "corpus"), stop).join(
-        questions.select("corpus", "id"), "id")
-    cents = centroids(membership.join(qvec, ["corpus", "id"]).withColumn(
-        "ck", F.struct("corpus", "cluster_id")), key="ck", vec="vec") \
-        .select(F.col("ck.corpus").alias("corpus"), F.col("ck.cluster_id").alias("cluster_id"), "centroid")
+    from loomtext.session import cut_lineage
+
+    ll = cut_lineage(lemma_lists(questions.select("id", "question", "corpus"), stop).join(
+        questions.select("corpus", "id"), "id"))
+    cents = cut_lineage(centroids(membership.join(qvec, ["corpus", "id"]).withColumn(
+        "ck", F.struct("corpus", "cluster_id")), key="ck", vec="vec")
+        .select(F.col("ck.corpus").alias("corpus"), F.col("ck.cluster_id").alias("cluster_id"), "centroid"))
     parts = []
     for n in (1, 2):
         g = ll.select("corpus", "id", F.explode(T.ngrams(F.col("lems"), n)).alias("gram")).distinct()
