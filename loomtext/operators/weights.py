@@ -141,3 +141,14 @@ def weighted_bag_of_words(tokens: DataFrame, weights: DataFrame, vectors: DataFr
         norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))
         s = s.withColumn("x", F.when(norm > 0, F.col("x") / norm).otherwise(F.col("x")))
     return s
+
+
+def known_documents(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """FLT1: (id, known) - whether a question has at least one token in the vector vocabulary
+    (semi join on the distinct (id, lemma) pairs; removed documents are the `known = false` rows)."""
+    from loomtext.functions import text as T
+
+    toks = questions.select("id", F.explode(T.lemmas(T.question_text("question"))).alias("lemma")).distinct()
+    hit = toks.join(vocabulary.select("lemma").distinct(), "lemma", "left_semi").select("id").distinct() \
+        .withColumn("known", F.lit(True))
+    return questions.select("id").join(hit, "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))

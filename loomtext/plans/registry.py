@@ -818,6 +818,56 @@ def q_jn7(spark, sf):
     return r.select("corpus", "id", "label", F.round("d", 6).alias("d"))
 
 
+
+# ---------------------------------------------------------------- JSON question source, unknown-word filter, idf text rank
+@register("src1_question_json", "SELECT doc_id AS id, text AS question FROM documents")
+def q_src1(spark, sf):
+    """Questions written as JSON lines ({id, question}) by Spark, read back with a fixed schema."""
+    import uuid
+
+    from loomtext.session import ensure_checkpoint_dir
+
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/src1-{uuid.uuid4().hex}"
+    FX.doc_questions(spark, sf).select("id", "question").write.json(path)
+    return spark.read.schema("id LONG, question STRING").json(path)
+
+
+@register("flt1_known_docs", f"""
+WITH voc AS (SELECT DISTINCT unnest({Q.lemmas(Q.question('text'))}) AS lemma FROM benchmark),
+ut AS (SELECT conv_id * 1000 + turn AS id, {Q.lemmas(Q.question('text'))} AS l FROM conversations WHERE role = 'user')
+SELECT id, EXISTS (SELECT 1 FROM (SELECT unnest(ut.l) AS lemma) x JOIN voc USING (lemma)) AS known FROM ut""")
+def q_flt1(spark, sf):
+    from loomtext.operators import match as MTm  # noqa: F401
+
+    voc = S.table(spark, sf, "benchmark").select(F.explode(T.lemmas(T.question_text("text"))).alias("lemma")).distinct()
+    u = S.user_turns_as_questions(spark, sf).select("id", "question")
+    return W.known_documents(u, voc)
+
+
+TR3_SQL = TR1_SQL.replace("""
+SELECT c.cluster_id, coalesce(b.word, 'uncategorized') AS keyword
+FROM (SELECT DISTINCT source AS cluster_id FROM documents) c LEFT JOIN best b ON b.cluster_id = c.cluster_id""", f""",
+dl AS (SELECT DISTINCT doc_id, unnest({Q.lemmas(Q.question('text'))}) AS lemma FROM documents),
+idf AS (SELECT lemma AS word, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM dl GROUP BY lemma),
+vs AS (SELECT cluster_id, count(*) AS V FROM final GROUP BY cluster_id),
+sc AS (SELECT f.cluster_id, f.word, f.first, round(f.r * coalesce(i.idf, 0.1) / vs.V, 9) AS score
+       FROM final f JOIN vs USING (cluster_id) LEFT JOIN idf i ON i.word = f.word)
+SELECT cluster_id, word AS keyword FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id
+  ORDER BY score DESC, first.id DESC, first.sent DESC, first.pos DESC) AS rn FROM sc) WHERE rn = 1""")
+
+
+@register("tr3_idf_textrank", TR3_SQL)
+def q_tr3(spark, sf):
+    d = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("cluster_id"))
+    sw = TR.sentence_words(d, FX.stop_list(spark, sf))
+    ranks = TR.rank_words(sw)
+    n = FX.n_docs(spark, sf)
+    dl = FX.doc_token_lemmas(spark, sf).select("id", "lemma").distinct()
+    idf = dl.groupBy("lemma").agg(F.count(F.lit(1)).alias("df")).select(
+        F.col("lemma").alias("term"), (F.ln(F.lit(1.0 + n) / (F.col("df") + 1)) + 1).alias("idf"))
+    return TR.idf_keywords(ranks, idf)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
