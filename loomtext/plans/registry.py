@@ -868,6 +868,35 @@ def q_tr3(spark, sf):
     return TR.idf_keywords(ranks, idf)
 
 
+
+# ---------------------------------------------------------------- phrase similarity, dispatch, keyword clusters + Ward
+@register("sim6_phrase_similarity", Q.with_(Q.DOC_TOKENS_SIMPLE, Q.N_DOCS, Q.KEYWORDS, f"""
+pv AS (SELECT keyword, kw_pos, w, CASE WHEN len(w) = 0 THEN NULL ELSE list_transform(range(16), lambda i:
+         list_sum(list_transform(w, lambda x: ('0x' || substr(md5(x), 1 + 2 * i, 2))::INT / 255.0 - 0.5)) / len(w)) END AS v
+       FROM (SELECT keyword, kw_pos, list_transform(regexp_extract_all(keyword, '[{Q.WORD}]+'), lambda t: lower(t)) AS w FROM kw))""") + """
+SELECT a.keyword AS a, b.keyword AS b, round(list_cosine_similarity(a.v, b.v), 6) AS sim,
+       CASE WHEN a.v IS NULL OR b.v IS NULL THEN 2802 END AS error_code
+FROM pv a JOIN pv b ON b.kw_pos = a.kw_pos + 1""")
+def q_sim6(spark, sf):
+    kw = FX.keywords(spark, sf)
+    pairs = kw.alias("x").join(kw.alias("y"), F.col("y.kw_pos") == F.col("x.kw_pos") + 1) \
+        .select(F.col("x.keyword").alias("a"), F.col("y.keyword").alias("b"))
+    r = PL.phrase_similarity(pairs)
+    return r.select("a", "b", F.round("sim", 6).alias("sim"), "error_code")
+
+
+@register("pl2_dispatch_agglomerative")
+def q_pl2(spark, sf):
+    vec = PL.encode(_role_questions(spark, sf))
+    return PL.custom_cluster(vec, "Agglomerative Clustering", [{"param": "threshold", "value": "1.4"}], True)
+
+
+@register("nb3_keywords_then_ward")
+def q_nb3(spark, sf):
+    q = S.user_turns_as_questions(spark, sf).select("id", "question")
+    return PL.keyword_clusters_then_ward(q, FX.keywords(spark, sf), FX.stop_list(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
