@@ -897,6 +897,23 @@ def q_nb3(spark, sf):
     return PL.keyword_clusters_then_ward(q, FX.keywords(spark, sf), FX.stop_list(spark, sf))
 
 
+
+# ---------------------------------------------------------------- token flags (TXT10, TXT12)
+@register("txt10_token_flags", Q.with_(Q.DOC_TOKENS_SIMPLE, Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS), f"""
+voc AS (SELECT DISTINCT unnest({Q.lemmas(Q.question('text'))}) AS lemma FROM benchmark)""", f"""
+ut AS (SELECT conv_id * 1000 + turn AS id, u.pos - 1 AS pos, u.token FROM conversations c,
+       LATERAL (SELECT generate_subscripts(regexp_extract_all({Q.question('c.text')}, '[{Q.WORD}]+'), 1) AS pos,
+                       unnest(regexp_extract_all({Q.question('c.text')}, '[{Q.WORD}]+')) AS token) u
+       WHERE c.role = 'user')""") + """
+SELECT id, pos, token, lower(token) AS lemma, lower(token) IN (SELECT lemma FROM stop) AS is_stop,
+       false AS is_punct, lower(token) NOT IN (SELECT lemma FROM voc) AS is_oov FROM ut""")
+def q_txt10(spark, sf):
+    u = S.user_turns_as_questions(spark, sf).select("id", "question")
+    toks = S.token_table(u).withColumn("pos", F.col("pos").cast("long"))
+    voc = S.table(spark, sf, "benchmark").select(F.explode(T.lemmas(T.question_text("text"))).alias("lemma"))
+    return S.token_flags(toks, FX.stop_list(spark, sf), voc).select("id", "pos", "token", "lemma", "is_stop", "is_punct", "is_oov")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

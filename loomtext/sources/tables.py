@@ -132,3 +132,39 @@ def md5_word_vector(word_col, dims: int = 16):
     return F.array(*[
         (F.conv(F.substring(h, 1 + 2 * i, 2), 16, 10).cast("double") / 255.0 - 0.5) for i in range(dims)
     ])
+
+
+def token_flags(tokens: DataFrame, stop: DataFrame | None, vocabulary: DataFrame | None) -> DataFrame:
+    """TXT10: adds is_stop (stop-list join), is_punct (no word character) and is_oov (no entry in
+    the vector vocabulary) to a token table (..., token, lemma).  Both lists are joined by key
+    (broadcast only behind the size guard)."""
+    from loomtext.session import broadcast_if_small
+
+    out = tokens
+    if stop is not None:
+        s = broadcast_if_small(stop.select("lemma").distinct().withColumn("_s", F.lit(True)))
+        out = out.join(s, "lemma", "left")
+    else:
+        out = out.withColumn("_s", F.lit(None).cast("boolean"))
+    if vocabulary is not None:
+        v = vocabulary.select("lemma").distinct().withColumn("_v", F.lit(True))
+        out = out.join(v, "lemma", "left")
+    else:
+        out = out.withColumn("_v", F.lit(True))
+    return out.withColumn("is_stop", F.coalesce("_s", F.lit(False))) \
+        .withColumn("is_punct", ~F.col("token").rlike(f"[{T.WORD_CHARS}]")) \
+        .withColumn("is_oov", F.col("_v").isNull()).drop("_s", "_v")
+
+
+def remove_stopwords(tokens: DataFrame) -> DataFrame:
+    """TXT12 on a flagged token table."""
+    return tokens.where(~F.col("is_stop"))
+
+
+def union_corpus(*texts: DataFrame) -> DataFrame:
+    """TXT19 / SO4: one text table from several (id, question) tables, keyed by source index."""
+    out = None
+    for i, t in enumerate(texts):
+        t = t.select(F.lit(i).alias("src"), "id", "question")
+        out = t if out is None else out.unionByName(t)
+    return out
