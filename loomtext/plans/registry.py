@@ -914,6 +914,19 @@ def q_txt10(spark, sf):
     return S.token_flags(toks, FX.stop_list(spark, sf), voc).select("id", "pos", "token", "lemma", "is_stop", "is_punct", "is_oov")
 
 
+
+# ---------------------------------------------------------------- JSON in / out (FN8)
+@register("fn8_json_roundtrip", """
+SELECT event_id, json_extract(props, '$.k')::BIGINT AS k,
+       to_json({'event_id': event_id, 'k': json_extract(props, '$.k')::BIGINT}) AS out
+FROM events""")
+def q_fn8(spark, sf):
+    e = S.table(spark, sf, "events")
+    parsed = e.select("event_id", F.from_json("props", "k BIGINT").alias("p"))
+    return parsed.select("event_id", F.col("p.k").alias("k"),
+                         F.to_json(F.struct("event_id", F.col("p.k").alias("k"))).alias("out"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
