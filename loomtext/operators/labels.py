@@ -71,7 +71,8 @@ def nmi(cont: DataFrame) -> DataFrame:
     info = term(p00, pt0, pu0) + term(p01, pt0, pu1) + term(p10, pt1, pu0) + term(p11, pt1, pu1)
     h = -(_plogp(pt0) + _plogp(pt1)) - (_plogp(pu0) + _plogp(pu1))
     v = F.when((info != 0) & (h != 0), 2 * info / h).otherwise(F.lit(0.0))
-    sign = F.when(F.col("n11") / F.col("n1") < F.col("nc") / N, F.lit(-1.0)).otherwise(F.lit(1.0))
+    size = F.col("nc_true") if "nc_true" in cont.columns else F.col("nc")
+    sign = F.when(F.col("n11") / F.col("n1") < size / N, F.lit(-1.0)).otherwise(F.lit(1.0))
     return cont.withColumn("nmi", F.when(F.col("n11") > 0, v * sign).otherwise(F.lit(0.0)))
 
 
@@ -204,15 +205,30 @@ def best_label_combination(scores: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- many corpora at once (LB5)
 
-def contingency_by_corpus(grams: DataFrame, membership: DataFrame) -> DataFrame:
+def gramset_membership(grams: DataFrame, membership: DataFrame) -> DataFrame:
+    """SO6 (Appendix B-14): a question counts as inside a cluster when its n-gram set equals the
+    set of any member of that cluster (so equal, also empty, sets elsewhere count as inside).
+    Returns the many-to-many (corpus, id, cluster_id)."""
+    keys = membership.select("corpus", "id").join(
+        grams.groupBy("corpus", "id").agg(F.array_sort(F.collect_set("gram")).alias("k")), ["corpus", "id"], "left") \
+        .select("corpus", "id", F.coalesce("k", F.array().cast("array<string>")).alias("k"))
+    ckeys = membership.join(keys, ["corpus", "id"]).select("corpus", "cluster_id", "k").distinct()
+    return keys.join(ckeys, ["corpus", "k"]).select("corpus", "id", "cluster_id")
+
+
+def contingency_by_corpus(grams: DataFrame, membership: DataFrame, match_by_gramset: bool = False) -> DataFrame:
     """AG17 per corpus: grams (corpus, id, gram), membership (corpus, id, cluster_id) ->
-    (corpus, cluster_id, gram, n11, n1, nc, N)."""
+    (corpus, cluster_id, gram, n11, n1, nc, nc_true, N).  With `match_by_gramset` the
+    cluster indicator follows SO6; the sign rule keeps the true cluster size (nc_true)."""
     N = membership.groupBy("corpus").agg(F.count(F.lit(1)).alias("N"))
-    n11 = grams.join(membership, ["corpus", "id"]).groupBy("corpus", "cluster_id", "gram").agg(
+    inside = gramset_membership(grams, membership) if match_by_gramset else membership
+    n11 = grams.join(inside, ["corpus", "id"]).groupBy("corpus", "cluster_id", "gram").agg(
         F.count(F.lit(1)).alias("n11"))
     n1 = grams.groupBy("corpus", "gram").agg(F.count(F.lit(1)).alias("n1"))
-    nc = membership.groupBy("corpus", "cluster_id").agg(F.count(F.lit(1)).alias("nc"))
-    return n11.join(n1, ["corpus", "gram"]).join(nc, ["corpus", "cluster_id"]).join(N, "corpus")
+    nc = inside.groupBy("corpus", "cluster_id").agg(F.count(F.lit(1)).alias("nc"))
+    nct = membership.groupBy("corpus", "cluster_id").agg(F.count(F.lit(1)).alias("nc_true"))
+    return n11.join(n1, ["corpus", "gram"]).join(nc, ["corpus", "cluster_id"]) \
+        .join(nct, ["corpus", "cluster_id"]).join(N, "corpus")
 
 
 TERM_BLOCK = 4096
