@@ -81,8 +81,11 @@ def smoothed_tfidf(terms: DataFrame, sublinear: bool = True, max_df: float | Non
     idf = ln((1+n)/(1+df)) + 1, w = (1+ln tf)*idf (raw tf when not sublinear), optional
     max_df pruning (FLT3) before weighting, L2 normalisation per document.
     Returns (id, term, tf, df, idf, w)."""
-    tf = terms.groupBy("id", term_col).agg(F.count(F.lit(1)).alias("tf"))
-    n = n_docs if n_docs is not None else terms.select("id").distinct().count()
+    from loomtext.session import cut_lineage
+
+    # tf feeds both the document frequencies and the weights: compute (tokenise) it once
+    tf = cut_lineage(terms.groupBy("id", term_col).agg(F.count(F.lit(1)).alias("tf")))
+    n = n_docs if n_docs is not None else tf.select("id").distinct().count()
     df = tf.groupBy(term_col).agg(F.count(F.lit(1)).alias("df"))
     if max_df is not None:
         df = df.where(F.col("df") <= F.lit(max_df * n))
