@@ -928,6 +928,38 @@ def q_fn8(spark, sf):
                          F.to_json(F.struct("event_id", F.col("p.k").alias("k"))).alias("out"))
 
 
+
+# ---------------------------------------------------------------- naming by nearest keyword to the centroid (WN11, FLT7)
+WN11_SQL = Q.with_(Q.DOC_TOKENS_SIMPLE, Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS), f"""
+dw AS (SELECT doc_id AS id, source AS cluster_id, list_transform(regexp_extract_all(text, '[{Q.WORD}]+'), lambda t: lower(t)) AS w
+       FROM documents)""", """
+dv AS (SELECT id, cluster_id, CASE WHEN len(w) = 0 THEN list_transform(range(16), lambda i: 0.0) ELSE
+         list_transform(range(16), lambda i: list_sum(list_transform(w, lambda x: ('0x' || substr(md5(x), 1 + 2 * i, 2))::INT / 255.0 - 0.5)) / len(w)) END AS v
+       FROM dw)""", """
+cent AS (SELECT cluster_id, list(x ORDER BY dim) AS c FROM (
+           SELECT cluster_id, u.dim, avg(u.x) AS x FROM dv, LATERAL (SELECT generate_subscripts(dv.v, 1) AS dim, unnest(dv.v) AS x) u
+           GROUP BY cluster_id, u.dim) GROUP BY cluster_id)""", f"""
+tk AS (SELECT d.doc_id AS id, d.source AS cluster_id, u.pos - 1 AS pos, u.token, lower(u.token) AS lemma FROM documents d,
+       LATERAL (SELECT generate_subscripts(regexp_extract_all({Q.question('d.text')}, '[{Q.WORD}]+'), 1) AS pos,
+                       unnest(regexp_extract_all({Q.question('d.text')}, '[{Q.WORD}]+')) AS token) u)""", f"""
+cand AS (SELECT tk.*, sqrt(list_sum(list_transform(list_zip({MD5_VEC_SQL.format(w='tk.lemma')}, cent.c),
+                                                   lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d
+         FROM tk JOIN cent USING (cluster_id)
+         WHERE length(trim(tk.token)) > 1 AND tk.lemma NOT IN (SELECT lemma FROM stop))""") + """
+SELECT cluster_id, token AS keyword FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY d, id, pos) AS rn FROM cand) WHERE rn = 1"""
+
+
+@register("wn11_centroid_keyword", WN11_SQL)
+def q_wn11(spark, sf):
+    d = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("question"),
+                                               F.col("source").alias("cluster_id"))
+    dv = PL.encode(d.withColumn("corpus", F.lit(0))).select("id", "vec")
+    toks = S.token_table(d.select("id", "question"))
+    vecs = toks.select("lemma").distinct().withColumn("vec", S.md5_word_vector(F.col("lemma")))
+    return TR.keyword_nearest_centroid(toks, d.select("id", "cluster_id"), vecs, dv, FX.stop_list(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
