@@ -11,6 +11,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.session import broadcast_if_small
+
 UNKNOWN_FREQ = 1e-9  # Appendix B-2: intended value for words missing from the frequency table
 
 
@@ -135,7 +137,7 @@ def weighted_bag_of_words(tokens: DataFrame, weights: DataFrame, vectors: DataFr
 
     t = tokens
     if stop is not None:
-        t = t.join(F.broadcast(stop.select("lemma")), "lemma", "left_anti")
+        t = t.join(broadcast_if_small(stop.select("lemma")), "lemma", "left_anti")
     tf = t.groupBy("id", "lemma").agg(F.count(F.lit(1)).alias("n"))
     x = tf.join(weights.select("id", "lemma", "w"), ["id", "lemma"]).join(vectors, "lemma")
     x = x.select("id", (F.col("n") * F.pow(F.col("w"), power)).alias("c"), F.posexplode("vec").alias("dim", "v"))

@@ -73,7 +73,9 @@ def lemmatize(tokens: DataFrame, lemma_dict: DataFrame | None) -> DataFrame:
     """TXT8 with a dictionary (token_lower, lemma): broadcast left join, identity fallback."""
     if lemma_dict is None:
         return tokens
-    d = F.broadcast(lemma_dict.select(F.col("token_lower"), F.col("lemma").alias("_lemma")))
+    from loomtext.session import broadcast_if_small
+
+    d = broadcast_if_small(lemma_dict.select(F.col("token_lower"), F.col("lemma").alias("_lemma")))
     return (
         tokens.join(d, F.lower(tokens["token"]) == d["token_lower"], "left")
         .withColumn("lemma", F.coalesce("_lemma", F.lower("token")))
