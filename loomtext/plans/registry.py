@@ -960,6 +960,30 @@ def q_wn11(spark, sf):
     return TR.keyword_nearest_centroid(toks, d.select("id", "cluster_id"), vecs, dv, FX.stop_list(spark, sf))
 
 
+
+# ---------------------------------------------------------------- smoothed n-gram tf-idf vectors (VEC3)
+VEC3_SQL = Q.with_(Q.DOC_TOKENS_SIMPLE, Q.N_DOCS, Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS),
+                   "stopl AS (SELECT list(lemma) AS l FROM stop)", f"""
+lt AS (SELECT doc_id, array_to_string({Q.lemmas(Q.question('text'))}, ' ') AS text FROM documents)""",
+                   f"qterms AS ({Q.nb_terms('lt', 'doc_id', 'text')})",
+                   "tf AS (SELECT id, term, count(*) AS tf FROM qterms GROUP BY id, term)",
+                   "dfx AS (SELECT term, count(*) AS df FROM tf GROUP BY term)",
+                   "idf AS (SELECT term, ln((1 + (SELECT n FROM ndocs)) / (1 + df)::DOUBLE) + 1 AS idf FROM dfx)",
+                   "x0 AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term))") + """
+SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS w FROM x0"""
+
+
+@register("vec3_tfidf_vectors", VEC3_SQL)
+def q_vec3(spark, sf):
+    from loomtext.operators import bayes as NBm
+
+    d = S.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.array_join(T.lemmas(T.question_text("text")), " ").alias("text"))
+    terms = NBm.word_terms(d, "id", "text", NBm._stop_array(FX.stop_list(spark, sf)))
+    X = W.smoothed_tfidf(terms, sublinear=True, n_docs=FX.n_docs(spark, sf))
+    return X.select("id", "term", F.round("w", 6).alias("w"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
