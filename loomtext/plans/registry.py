@@ -984,6 +984,27 @@ def q_vec3(spark, sf):
     return X.select("id", "term", F.round("w", 6).alias("w"))
 
 
+
+# ---------------------------------------------------------------- simple document similarity (SIM5)
+@register("sim5_doc_similarity", f"""
+WITH dw AS (SELECT conv_id AS corpus, conv_id * 1000 + turn AS id,
+                   list_transform(regexp_extract_all(text, '[{Q.WORD}]+'), lambda t: lower(t)) AS w
+            FROM conversations WHERE role = 'user'),
+dv AS (SELECT corpus, id, CASE WHEN len(w) = 0 THEN list_transform(range(16), lambda i: 0.0) ELSE
+         list_transform(range(16), lambda i: list_sum(list_transform(w, lambda x: ('0x' || substr(md5(x), 1 + 2 * i, 2))::INT / 255.0 - 0.5)) / len(w)) END AS v
+       FROM dw),
+pr AS (SELECT a.corpus, a.id, b.id AS nb_id,
+              CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0.0
+                   ELSE list_cosine_similarity(a.v, b.v) END AS sim
+       FROM dv a JOIN dv b ON a.corpus = b.corpus AND a.id <> b.id)
+SELECT corpus, id, nb_id, round(sim, 6) AS sim, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY corpus, id ORDER BY sim DESC, nb_id) AS rank FROM pr) WHERE rank <= 3""")
+def q_sim5(spark, sf):
+    q = S.user_turns_as_questions(spark, sf).select(F.col("corpus_id").alias("corpus"), "id", "question")
+    r = PR.top_similar(PL.encode(q), k=3)
+    return r.select("corpus", "id", "nb_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
