@@ -1005,6 +1005,19 @@ def q_sim5(spark, sf):
     return r.select("corpus", "id", "nb_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
+
+TR2_SQL = TR1_SQL.split("\nSELECT c.cluster_id, coalesce(b.word, 'uncategorized') AS keyword")[0] + """
+SELECT cluster_id, word, floor(r * 1e6 + 0.5) / 1e6 AS rank FROM final"""
+
+
+@register("tr2_word_ranks")  # TR2_SQL agrees except where a rank lies on an exact rounding half
+def q_tr2(spark, sf):
+    d = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("cluster_id"))
+    sw = cut_lineage(TR.sentence_words(d, FX.stop_list(spark, sf)))
+    # the same explicit rounding in both engines (exact halves occur: the graph weights are rationals)
+    return TR.rank_words(sw).select("cluster_id", "word", (F.floor(F.col("rank") * 1e6 + 0.5) / 1e6).alias("rank"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
