@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.llm import bpe, hmm, pii
 from loomtext.llm import common as C
-from loomtext.llm import hmm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +26,23 @@ def query(name: str, sql: str | None = None):
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     """Hidden Markov language model; trained where crc32(doc_id) mod 10 is not 0."""
     return hmm.score_documents(C.documents(spark, sf), C.fold(F.col("doc_id"), 10) == 0)
+
+
+@query("op8_bpe_round_trip")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """Encode every whole text with the public byte-level ranks and decode the ids again."""
+    import public_tokenizers as P
+
+    out = bpe.round_trip(C.documents(spark, sf), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_personal_data")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of personal data of every whole text."""
+    out = pii.personal_data(C.documents(spark, sf))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.filter("spans", lambda s: s.kind.isin(pii.BASE))
+    count = [F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return out.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
