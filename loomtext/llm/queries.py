@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, hmm, pii
+from loomtext.llm import bpe, hmm, pii, simhash
 from loomtext.llm import common as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,13 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return hmm.score_documents(C.documents(spark, sf), C.fold(F.col("doc_id"), 10) == 0)
 
 
+@query("op7_simhash_near_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of 4-word shingles, linked at 4 or fewer differing bits."""
+    out = simhash.near_duplicates(C.documents(spark, sf), shingle=4, max_bits=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op8_bpe_round_trip")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     """Encode every whole text with the public byte-level ranks and decode the ids again."""
