@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, hmm, pii, simhash
+from loomtext.llm import bpe, hmm, mixing, pii, simhash
 from loomtext.llm import common as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,13 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op9_source_mix")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents mixed to 150% of their words, sources weighted 3, 1, 2 in turn."""
+    out = mixing.mix(C.documents(spark, sf))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 @query("op10_personal_data")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of personal data of every whole text."""
