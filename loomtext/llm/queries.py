@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, hmm, mixing, pii, simhash
+from loomtext.llm import bpe, exact_dedup, hmm, line_dedup, mixing, pii, simhash
 from loomtext.llm import common as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,52 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return hmm.score_documents(C.documents(spark, sf), C.fold(F.col("doc_id"), 10) == 0)
 
 
+OP3_SQL = r"""
+WITH t AS (
+  SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+      '<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'gis'),
+      '</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)([\s/][^>]*)?>', chr(10), 'gi'),
+      '<[^>]*>', '', 'g'), '[ \t\r]*\n\s*', chr(10), 'g'), ' ') AS text
+  FROM pages),
+l AS (SELECT *, string_split(text, chr(10)) AS ls FROM t),
+once AS (SELECT host, text, any_value(ls) AS ls FROM l GROUP BY host, text),
+total AS (SELECT host, count(*) AS pages FROM once GROUP BY host),
+seen AS (SELECT host, unnest(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS line FROM once),
+boiler AS (SELECT seen.host, list(line) AS bl FROM (
+    SELECT host, line, count(*) AS n FROM seen GROUP BY host, line) seen JOIN total USING (host)
+  WHERE n >= 3 AND n > 0.05 * pages GROUP BY seen.host)
+SELECT page_id, l.host,
+  len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_lines,
+  len(ls) - len(list_filter(ls, lambda x: NOT list_contains(coalesce(bl, []), x))) AS n_dropped,
+  array_to_string(list_filter(ls, lambda x: NOT list_contains(coalesce(bl, []), x)), chr(10)) AS text
+FROM l LEFT JOIN boiler ON boiler.host = l.host"""
+
+
+@query("op3_line_dedup", OP3_SQL)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Visible lines of all pages without those on over 5% of their host's pages."""
+    pages = line_dedup.page_lines(spark.read.parquet(f"{sf}/pages.parquet"))
+    out = line_dedup.drop_boilerplate(pages, "page_id", F.col("host"), max_ratio=0.05, min_pages=3)
+    return out.select("page_id", "host", "n_lines", "n_dropped", "text")
+
+
+OP6_SQL = """
+WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
+           FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+  h AS text_sha256 FROM t WINDOW w AS (PARTITION BY h)"""
+
+
+@query("op6_exact_dedup", OP6_SQL)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents: a quarter (by crc32 of doc_id) arrives as a batch, the rest are three snapshots."""
+    part = C.fold(F.col("doc_id"), 4)
+    docs = C.documents(spark, sf).withColumn("snapshot", F.when(part > 0, part))
+    out = exact_dedup.dedup(docs)
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 @query("op7_simhash_near_dedup")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of 4-word shingles, linked at 4 or fewer differing bits."""
@@ -58,5 +104,6 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     out = pii.personal_data(C.documents(spark, sf))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     base = F.filter("spans", lambda s: s.kind.isin(pii.BASE))
-    count = [F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    kinds = F.transform("spans", lambda s: s.kind)
+    count = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in pii.BASE]
     return out.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
