@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, exact_dedup, hmm, line_dedup, mixing, pii, simhash
+from loomtext.llm import bpe, exact_dedup, hmm, line_dedup, mixing, pii, rules, simhash
 from loomtext.llm import common as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,12 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of all documents; outliers per language and source are rejected."""
+    return rules.quality_rules(C.documents(spark, sf))
+
+
 OP6_SQL = """
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
            FROM documents)
@@ -98,12 +104,15 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def _of_kind(kind: str):
+    return lambda span: span.kind == kind
+
+
 @query("op10_personal_data")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of personal data of every whole text."""
     out = pii.personal_data(C.documents(spark, sf))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     base = F.filter("spans", lambda s: s.kind.isin(pii.BASE))
-    kinds = F.transform("spans", lambda s: s.kind)
-    count = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    count = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
     return out.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
