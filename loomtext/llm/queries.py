@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, exact_dedup, hmm, line_dedup, mixing, pii, rules, simhash
+from loomtext.llm import bpe, exact_dedup, hmm, line_dedup, mixing, pii, pu, rules, simhash, toxicity
 from loomtext.llm import common as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,25 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return hmm.score_documents(C.documents(spark, sf), C.fold(F.col("doc_id"), 10) == 0)
 
 
+def _learn(scores, spark: SparkSession, sf: str, threshold: float) -> DataFrame:
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = scores(C.documents(spark, sf), labels, C.fold(F.col("doc_id"), 5) == 0)
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """Positive-unlabelled quality scores; labels of crc32(doc_id) mod 5 = 0 are held out."""
+    return _learn(pu.quality_scores, spark, sf, 0.3).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest-example toxicity scores; labels of crc32(doc_id) mod 5 = 0 are held out."""
+    return _learn(toxicity.toxicity_scores, spark, sf, 0.5).select(
+        "doc_id", "held_out", "score", "predicted", F.to_json("evidence").alias("evidence"))
+
+
 OP3_SQL = r"""
 WITH t AS (
   SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
