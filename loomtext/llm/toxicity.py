@@ -2,17 +2,19 @@
 
 Terms are lower-case letter runs.  Documents and examples are TF-IDF vectors over the terms whose
 presence is significantly tied to a label (G-test and log odds over all labelled rows of the
-learning folds).  Up to `max_examples` labelled rows form the index, a bounded and broadcast one:
-postings in order of example, cut in blocks, with the largest weight of every term in every block.
-For a query, the sum of its weights times the block maxima bounds every cosine in a block; blocks are
-visited in falling order of the bound until it lies below the k-th best cosine found, so the
+learning folds); all other terms fold into one common term, so that one telling word in a long text
+weighs less than in a short one.  Up to `max_examples` labelled rows form the index, a bounded and
+broadcast one: examples of the same vector make one entry with their number and labels; postings in
+order of entry are cut in blocks, with the largest weight of every term in every block.  For a query,
+the sum of its weights times the block maxima bounds every cosine in a block; blocks are visited in
+falling order of the bound until it lies below the cosine of the k-th best example found, so the
 neighbours are exact.  Votes weigh 1 / (distance + 0.05); the share of toxic votes is calibrated by
-pooled adjacent violators on the learning rows, each scored without itself.  Documents without any
-selected term have no neighbours and get the rate of the learning rows like them.
+pooled adjacent violators on the learning rows, each scored without itself.
 
-Null and empty texts have no terms.  Null or other labels are ignored; of a document labelled more
-than once the largest label counts.  Ties between neighbours go to the earlier example.  Repeated rows
-are scored row by row; an example never votes for a row with its own doc_id.
+Null texts and texts without letters have no terms, hence no neighbours, and get the rate of the
+learning rows.  Null or other labels are ignored; of a document labelled more than once the largest
+label counts.  Of entries at the same cosine the earlier counts first.  Repeated rows are scored row by
+row; an example never votes for a row with its own doc_id.
 """
 from __future__ import annotations
 
@@ -33,10 +35,6 @@ TERM = regex.compile(r"\p{L}+")
 BLOCK = 64
 
 
-def term_counts(text: str) -> Counter:
-    return Counter(TERM.findall(text.lower()))
-
-
 # ------------------------------------------------------------------ selection of terms
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.slices(batches):
@@ -65,74 +63,103 @@ def select_terms(labelled: DataFrame, n_clean: int, n_toxic: int, max_terms: int
 # ------------------------------------------------------------------ index
 @dataclass
 class Index:
-    """Examples in index order with their unit vectors as postings; `first[t, b]` is where the
-    postings of term t for block b begin, `most[t, b]` the largest weight among them."""
+    """Entries in index order with their unit vectors as postings; `first[t, b]` (flat) is where the
+    postings of term t for block b begin, `most[t, b]` the largest weight among them.  An entry stands
+    for `n` examples of one vector, `toxic` of them toxic, `ids` the smallest doc_id; `members` maps
+    the doc_id of every example to its entry and label."""
     number: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray
+    n: np.ndarray
     toxic: np.ndarray
-    example: np.ndarray
+    members: dict[int, tuple[int, int]]
+    entry: np.ndarray
     weight: np.ndarray
     first: np.ndarray
     most: np.ndarray
 
 
+def weigh(terms: list, n_docs: int) -> tuple[dict[str, int], np.ndarray]:
+    """Numbers of the selected terms, and the idf of each and (last) of the common term."""
+    return ({t: i for i, (t, _) in enumerate(terms)},
+            np.array([1 + math.log((n_docs + 1) / (d + 1)) for _, d in terms] + [1.0]))
+
+
 def vector(text: str, number: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Selected terms of a text and their unit weights (1 + log tf) idf."""
-    counts = {number[t]: n for t, n in term_counts(text).items() if t in number}
-    terms = np.array(sorted(counts), np.int64)
-    w = np.array([(1 + math.log(counts[t])) * idf[t] for t in terms.tolist()])
+    """Terms of a text and their unit weights (1 + log tf) idf."""
+    found = TERM.findall(text.lower())
+    counts = Counter(t for t in found if t in number)
+    rest = len(found) - sum(counts.values())
+    tf = {number[t]: n for t, n in counts.items()} | ({len(number): rest} if rest else {})
+    terms = np.array(sorted(tf), np.int64)
+    w = np.array([(1 + math.log(tf[t])) * idf[t] for t in terms.tolist()])
     return terms, w / np.linalg.norm(w) if len(w) else w
 
 
 def build_index(examples: list, terms: list, n_docs: int) -> Index:
     """examples: (doc_id, label, term numbers, weights), in any order."""
-    number = {t: i for i, (t, _) in enumerate(terms)}
-    idf = np.array([math.log((n_docs + 1) / (d + 0.5)) for _, d in terms])
+    number, idf = weigh(terms, n_docs)
+    groups: dict[tuple, list] = {}
+    for e in sorted(examples, key=lambda e: e[0]):
+        groups.setdefault((tuple(e[2].tolist()), tuple(np.round(e[3], 9).tolist())), []).append(e)
     heaviest = lambda e: int(e[2][np.argmax(e[3])])
-    examples = sorted(examples, key=lambda e: (heaviest(e), len(e[2]), e[0]))  # alike examples share blocks
-    blocks = -(-len(examples) // BLOCK)
-    t = np.concatenate([np.zeros(0, np.int64), *(e[2] for e in examples)]).astype(np.int64)
-    w = np.concatenate([np.zeros(0), *(e[3] for e in examples)])
-    e = np.repeat(np.arange(len(examples)), [len(x[2]) for x in examples])
+    entries = sorted(groups.values(), key=lambda g: (heaviest(g[0]), len(g[0][2]), g[0][0]))  # alike entries share blocks
+    blocks = -(-len(entries) // BLOCK)
+    t = np.concatenate([np.zeros(0, np.int64), *(g[0][2] for g in entries)]).astype(np.int64)
+    w = np.concatenate([np.zeros(0), *(g[0][3] for g in entries)])
+    e = np.repeat(np.arange(len(entries)), [len(g[0][2]) for g in entries])
     order = np.lexsort((e, t))
     t, w, e = t[order], w[order], e[order]
     cell = t * blocks + e // BLOCK
-    most = np.zeros(len(terms) * blocks)
+    most = np.zeros(len(idf) * blocks)
     np.maximum.at(most, cell, w)
-    first = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(terms) * blocks))])
-    return Index(number, idf, np.array([x[0] for x in examples], np.int64), np.array([x[1] for x in examples], np.int64),
-                 e, w, first, most.reshape(len(terms), blocks) if blocks else np.zeros((len(terms), 0)))
+    first = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(idf) * blocks))])
+    members = {x[0]: (i, x[1]) for i, g in enumerate(entries) for x in g}
+    return Index(number, idf, np.array([g[0][0] for g in entries], np.int64), np.array([len(g) for g in entries], np.int64),
+                 np.array([sum(x[1] for x in g) for g in entries], np.int64), members, e, w, first, most.reshape(len(idf), blocks))
 
 
 def neighbours(index: Index, terms: np.ndarray, weights: np.ndarray, k: int, own: int | None = None):
-    """The k examples of largest cosine (above 0) to a unit vector: (examples, cosines), exact."""
+    """Entries that hold the k examples of largest cosine (above 0) to a unit vector, exact:
+    (entries, cosines, examples, toxic ones), without the example `own`."""
     blocks = index.most.shape[1]
+    none = np.zeros(0, np.int64)
     if not len(terms) or not blocks:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return none, np.zeros(0), none, none
+    mine, label = index.members.get(own, (-1, 0))
     bound = weights @ index.most[terms]
-    order = np.argsort(-bound, kind="stable")
-    found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-    for b in order.tolist():
-        if bound[b] <= 0 or (len(found) == k and bound[b] < least - 1e-12):
+    found, cosines, least = none, np.zeros(0), 0.0
+    for b in np.argsort(-bound, kind="stable").tolist():
+        if bound[b] <= 0 or bound[b] < least - 1e-12:
             break
         score = np.zeros(BLOCK)
         for t, w in zip(terms.tolist(), weights.tolist()):
             lo, hi = index.first[t * blocks + b], index.first[t * blocks + b + 1]
-            score[index.example[lo:hi] - b * BLOCK] += w * index.weight[lo:hi]
+            score[index.entry[lo:hi] - b * BLOCK] += w * index.weight[lo:hi]
         at = np.flatnonzero(score > 0)
         new = at + b * BLOCK
-        if own is not None:
-            at, new = at[index.ids[new] != own], new[index.ids[new] != own]
-        found, cosines = np.concatenate([found, new]), np.concatenate([cosines, score[at]])
-        best = np.lexsort((found, -np.round(cosines, 12)))[:k]
+        real = index.n[new] > (new == mine)
+        found, cosines = np.concatenate([found, new[real]]), np.concatenate([cosines, score[at[real]]])
+        best = np.lexsort((found, -np.round(cosines, 12)))
         found, cosines = found[best], cosines[best]
-        least = cosines[-1] if len(found) == k else 0.0
-    return found, cosines
+        reach = int(np.searchsorted(np.cumsum(index.n[found] - (found == mine)), k)) + 1
+        least = cosines[reach - 1] if reach <= len(found) else 0.0
+        found, cosines = found[:reach], cosines[:reach]
+    is_mine = (found == mine).astype(np.int64)
+    return found, cosines, index.n[found] - is_mine, index.toxic[found] - is_mine * label
+
+
+def vote(cosines: np.ndarray, n: np.ndarray, toxic: np.ndarray, k: int) -> float | None:
+    """Share of toxic votes among the nearest k examples, weighing 1 / (distance + 0.05)."""
+    if not len(n):
+        return None
+    before = np.cumsum(n) - n
+    w = np.minimum(n, k - before) / (1 - np.minimum(cosines, 1) + 0.05)
+    return float(w @ (toxic / n) / w.sum())
 
 
-RAW = "doc_id long, held_out boolean, raw double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>"
-_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
+RAW = "doc_id long, held_out boolean, raw double, evidence array<struct<doc_id: long, n: long, toxic: long, cosine: double>>"
+_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("toxic", pa.int64()), ("cosine", pa.float64())]))
 
 
 def _votes(sent, k: int, shown: int):
@@ -142,11 +169,10 @@ def _votes(sent, k: int, shown: int):
             ids = C.column(batch, "doc_id")
             raw, evidence = [], []
             for own, text in zip(ids.to_pylist(), C.utf8(C.column(batch, "text")).to_pylist()):
-                found, cosine = neighbours(index, *vector(text, index.number, index.idf), k, own)
-                votes = 1 / (1 - np.minimum(cosine, 1) + 0.05)
-                raw.append(float(votes @ index.toxic[found] / votes.sum()) if len(found) else None)
-                evidence.append([{"doc_id": int(index.ids[f]), "toxic": int(index.toxic[f]), "cosine": float(c)}
-                                 for f, c in zip(found[:shown], cosine[:shown])])
+                found, cosine, n, toxic = neighbours(index, *vector(text, index.number, index.idf), k, own)
+                raw.append(vote(cosine, n, toxic, k))
+                evidence.append([{"doc_id": int(index.ids[f]), "n": int(m), "toxic": int(y), "cosine": float(c)}
+                                 for f, c, m, y in zip(found[:shown], cosine, n, toxic)])
             yield pa.RecordBatch.from_arrays([ids, C.column(batch, "held_out"), pa.array(raw, pa.float64()), pa.array(evidence, _EVIDENCE)],
                                              names=["doc_id", "held_out", "raw", "evidence"])
     return run
@@ -177,8 +203,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held: Column, k: int = 1
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     rate = (ones + 0.5) / (n + 1)
     terms = select_terms(labelled, n - ones, ones, max_terms, g_least, odds_least) if 0 < ones < n else []
-    number = {t: i for i, (t, _) in enumerate(terms)}
-    idf = np.array([math.log((n + 1) / (d + 0.5)) for _, d in terms])
+    number, idf = weigh(terms, n)
 
     def vectors(batches):
         for batch in C.slices(batches):
