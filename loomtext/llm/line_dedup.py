@@ -50,24 +50,22 @@ def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame
 
 
 def drop_boilerplate(pages: DataFrame, id_col: str, host: Column, max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
-    """Every column of `pages` with `text` cleaned, `n_lines` and `n_dropped` added."""
+    """(row, text, n_lines, n_dropped): `row` holds all columns of a page, `text` its cleaned text."""
     site = F.coalesce(F.concat(F.lit("h:"), host.cast("string")), F.lit("none"))
-    keyed = pages.withColumn("_site", site).withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    found = C.materialise(boilerplate(keyed.select(F.col(id_col).alias("id"), F.col("_site").alias("site"),
-                                                   F.col("_text").alias("text")), max_ratio, min_pages))
-    found = found.select(F.col("site").alias("_site"), F.col("lines").alias("_drop"))
-    if found.agg(F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()[0] <= C.BROADCAST_ROWS:
-        joined = keyed.join(F.broadcast(found), "_site", "left")
+    keyed = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), F.col(id_col).alias("id"),
+                         site.alias("site"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = C.materialise(boilerplate(keyed.select("id", "site", "text"), max_ratio, min_pages))
+    found = found.withColumnRenamed("lines", "drop")
+    if found.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0] <= C.BROADCAST_ROWS:
+        joined = keyed.join(F.broadcast(found), "site", "left")
     else:
-        salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(
-            salted, ["_site", "_salt"], "left").drop("_salt")
-    lines = _lines(F.col("_text"))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_drop", x)))
-    out = joined.withColumn("_kept", kept)
-    counted = lambda x: F.size(F.filter(x, _has_word)).cast("long")
-    return (out.withColumn("n_lines", counted(lines)).withColumn("n_dropped", F.size(lines).cast("long") - F.size("_kept"))
-            .withColumn("text", F.array_join("_kept", "\n")).drop("_site", "_text", "_drop", "_kept"))
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["site", "salt"], "left")
+    lines = _lines(F.col("text"))
+    kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("drop", x)))
+    words = lambda x: F.size(F.filter(x, _has_word)).cast("long")
+    return joined.select("row", words(lines).alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"),
+                         F.array_join(kept, "\n").alias("text"))
 
 
 #: Tags that end a line of a page, and parts without visible text.

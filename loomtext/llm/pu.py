@@ -123,19 +123,22 @@ def fit(rows: DataFrame, prior: float, ridge: float = 1e-3, rounds: int = 14, to
     return w
 
 
+def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-(w[x].sum(1) + w[-1])))
+
+
 def _scores(w: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = w[_indicators(b)].sum(1) + w[-1]
-            yield pa.RecordBatch.from_arrays([C.column(b, "doc_id"), C.column(b, "held_out"), pa.array(1 / (1 + np.exp(-z)))],
+            yield pa.RecordBatch.from_arrays([C.column(b, "doc_id"), C.column(b, "held_out"), pa.array(probability(_indicators(b), w))],
                                              names=["doc_id", "held_out", "score"])
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, held: Column, max_labelled: int = 200_000) -> DataFrame:
-    """(doc_id, text), (doc_id, quality) -> (doc_id, held_out, score).  Labels count only where `held`
-    (an expression over doc_id) is false.  Beyond `max_labelled` label rows, positives are the rows of
-    lowest hash in about that number; unlabelled text is never sampled."""
+def learn(docs: DataFrame, labels: DataFrame, held: Column, max_labelled: int = 200_000) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, held_out, cells) of every document, and the fitted weights.  Labels count only where
+    `held` (an expression over doc_id) is false.  Beyond `max_labelled` label rows, positives are the
+    rows of lowest hash in about that number; unlabelled text is never sampled."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q"), held.alias("h"))
     known = C.materialise(labels.where("not h and q in (0, 1)"))
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("q"), F.lit(0))).first()
@@ -145,4 +148,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held: Column, max_labelle
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
     seen = rows.mapInArrow(_cells, "doc_id long, held_out boolean, cells binary")
     seen = C.materialise(C.join_small(seen, positive, "doc_id").withColumn("p", F.coalesce("p", F.lit(0))))
-    return seen.mapInArrow(_scores(fit(seen, prior)), "doc_id long, held_out boolean, score double")
+    return seen, fit(seen, prior)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, held: Column, **bounds) -> DataFrame:
+    """(doc_id, text), (doc_id, quality) -> (doc_id, held_out, score)."""
+    seen, w = learn(docs, labels, held, **bounds)
+    return seen.mapInArrow(_scores(w), "doc_id long, held_out boolean, score double")
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, held: Column, threshold: float, **bounds) -> DataFrame:
+    """Rows of `docs`, all columns, whose score reaches the threshold (scored in one pass, row by row)."""
+    _, w = learn(docs, labels, held, **bounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            yield batch.filter(pa.array(probability(cells(C.utf8(C.column(batch, "text"))), w) >= threshold))
+    return docs.mapInArrow(run, docs.schema)

@@ -74,7 +74,7 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     """Visible lines of all pages without those on over 5% of their host's pages."""
     pages = line_dedup.page_lines(spark.read.parquet(f"{sf}/pages.parquet"))
     out = line_dedup.drop_boilerplate(pages, "page_id", F.col("host"), max_ratio=0.05, min_pages=3)
-    return out.select("page_id", "host", "n_lines", "n_dropped", "text")
+    return out.select("row.page_id", "row.host", "n_lines", "n_dropped", "text")
 
 
 @query("op5_quality_rules")
