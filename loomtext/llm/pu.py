@@ -100,7 +100,7 @@ def _evaluate(rows: DataFrame, w: np.ndarray) -> np.ndarray:
     return total
 
 
-def fit(rows: DataFrame, prior: float, ridge: float = 1e-3, rounds: int = 14, tolerance: float = 1e-5) -> np.ndarray:
+def fit(rows: DataFrame, prior: float, ridge: float = 5e-4, rounds: int = 14, tolerance: float = 1e-5) -> np.ndarray:
     """Weights that minimise the non-negative risk over (cells, p)."""
     w, last = np.zeros(WIDTH), np.zeros(WIDTH)
     penalty = np.full(WIDTH, ridge)
