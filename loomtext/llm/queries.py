@@ -72,7 +72,7 @@ FROM l LEFT JOIN boiler ON boiler.host = l.host"""
 @query("op3_line_dedup", OP3_SQL)
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     """Visible lines of all pages without those on over 5% of their host's pages."""
-    pages = line_dedup.page_lines(spark.read.parquet(f"{sf}/pages.parquet"))
+    pages = C.materialise(line_dedup.page_lines(spark.read.parquet(f"{sf}/pages.parquet")))  # several scans follow
     out = line_dedup.drop_boilerplate(pages, "page_id", F.col("host"), max_ratio=0.05, min_pages=3)
     return out.select("row.page_id", "row.host", "n_lines", "n_dropped", "text")
 
