@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm import common as C
-from loomtext.session import cut_lineage
 
 #: Members of a class that are ranked together.
 CELL = 4096
@@ -39,28 +38,29 @@ def targets(sources: DataFrame, weights: list[float], share: float, cap: float)
     last) take the weights in turn."""
     order = Window.orderBy(F.col("source").asc_nulls_last())  # one row per source
     turn = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = cut_lineage(sources.withColumn("weight", turn.cast("double")).withColumn("limit", F.lit(cap) * F.col("source_size")))
-    total = share * (s.agg(F.sum("source_size")).first()[0] or 0)
-    level, full = 0.0, -1
-    while True:  # a full source stays full, so this ends after as many rounds as sources fill up
-        at = F.lit(level) * F.col("weight") >= F.col("limit")
-        left, weight, now = s.agg(F.coalesce(F.sum(F.when(at, F.col("limit"))), F.lit(0.0)),
-                                  F.coalesce(F.sum(F.when(~at, F.col("weight"))), F.lit(0.0)),
-                                  F.count(F.when(at, 1))).first()
-        if now == full or weight == 0:
-            break
-        full, level = now, (total - left) / weight
-    return s.withColumn("target", F.least("limit", F.lit(level) * F.col("weight"))).drop("limit", "weight")
+    s = sources.withColumn("weight", turn.cast("double")).withColumn("limit", F.lit(float(cap)) * F.col("source_size"))
+    # Sources fill up in the order of limit / weight.  With the first k of them full, the rest get
+    # (total - limits of the k) / (weights of the rest) per unit of weight; the first k whose level
+    # lies below the next source's ratio is where the dealing ends.
+    fills = Window.orderBy((F.col("limit") / F.col("weight")), F.col("source").asc_nulls_last())
+    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before, rest = fills.rowsBetween(Window.unboundedPreceding, -1), fills.rowsBetween(0, Window.unboundedFollowing)
+    s = s.withColumn("level", (F.lit(share) * F.sum("source_size").over(whole) - F.coalesce(F.sum("limit").over(before), F.lit(0.0)))
+                     / F.sum("weight").over(rest))
+    s = s.withColumn("place", F.row_number().over(fills))
+    ends = F.when(F.col("level") < F.col("limit") / F.col("weight"), F.col("place"))
+    s = s.withColumn("level", F.min_by("level", ends).over(whole))
+    return s.withColumn("target", F.least("limit", F.coalesce(F.col("level") * F.col("weight"), "limit"))).drop("limit", "weight", "level", "place")
 
 
 def _rate(cap: float) -> Column:
     return F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("x"), F.lit(50.0))))
 
 
-def multipliers(classes: DataFrame, goals: DataFrame, cap: float, tolerance: float, rounds: int = 200) -> DataFrame:
+def multipliers(classes: DataFrame, goals: DataFrame, cap: float, tolerance: float, rounds: int = 100) -> DataFrame:
     """(source, lam, mean): Newton on the dual; classes (source, size, n), goals (source, target, mean)."""
     state = goals.select("source", "target", "mean", F.lit(0.0).alias("lam"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"))
-    for _ in range(rounds):  # each round halves a bracket at least: 200 rounds go below the last bit
+    for _ in range(rounds):  # a step that leaves its bracket halves it, so the rounds suffice for the last bit
         rows = classes.join(state, classes["source"].eqNullSafe(state["source"])).drop(classes["source"])
         rows = rows.withColumn("x", F.col("size") / F.col("mean")).withColumn("r", _rate(cap))
         tokens = F.col("n") * F.col("size") * F.col("r")
@@ -70,45 +70,55 @@ def multipliers(classes: DataFrame, goals: DataFrame, cap: float, tolerance: flo
         lo, hi = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") - gap / F.col("slope")
         inside = (F.col("slope") > 0) & (newton > lo) & (newton < hi)
-        done = F.abs(gap) <= tolerance * F.greatest(F.col("target"), F.lit(1.0))
-        state = cut_lineage(step.select(
+        done = (F.abs(gap) <= tolerance * F.greatest(F.col("target"), F.lit(1.0))) | (hi - lo < 1e-12)
+        state = C.materialise(step.select(
             "source", "target", "mean", F.when(done, F.col("lam")).when(inside, newton).otherwise((lo + hi) / 2).alias("lam"),
             lo.alias("lo"), hi.alias("hi"), done.alias("done")))
-        if not state.where("not done and hi - lo > 1e-12").limit(1).count():
+        if not state.where("not done").limit(1).count():
             break
         state = state.drop("done")
-    return state.select("source", "target", "mean", F.round("lam", 9).alias("lam"))
+    return state.select("source", "mean", F.round("lam", 9).alias("lam"))
+
+
+def _corrected(k: DataFrame, cap: int) -> DataFrame:
+    """(source, size, n, target, k) with one copy added to or taken from the class of each source that
+    brings it nearest to its target, if any does."""
+    of_source = Window.partitionBy("source")  # classes: as many rows as sizes occur
+    gap = F.max("target").over(of_source) - F.sum(F.col("k") * F.col("size")).over(of_source)
+    c = k.withColumn("gap", gap).withColumn("sign", F.signum("gap").cast("long"))
+    after = F.abs(F.col("gap") - F.col("sign") * F.col("size"))
+    may = (F.col("size") > 0) & (F.col("k") + F.col("sign")).between(F.lit(0), F.col("n") * cap) & (after < F.abs("gap"))
+    c = c.withColumn("best", F.min(F.when(may, F.struct(after.alias("after"), "size"))).over(of_source))
+    return c.select("source", "size", "n", "target", (F.col("k") + F.when(F.col("best.size") == F.col("size"), F.col("sign"))
+                                                      .otherwise(0)).alias("k"))
 
 
-def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, cap: int = 2, tolerance: float = 1e-9,
-        corrections: int = 8) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, cap: int = 2, tolerance: float = 1e-8,
+        corrections: int = 4) -> DataFrame:
     """(doc_id, source, text) -> (doc_id, source, size, source_size, target, copies)."""
     rows = C.materialise(docs.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size")))
     classes = C.materialise(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     sources = classes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
-    sources = cut_lineage(targets(sources, list(weights), share, cap))
-    goals = sources.where("source_size > 0").select("source", "target", (F.col("source_size") / F.col("docs")).alias("mean"))
-    lam = cut_lineage(multipliers(classes, goals, cap, tolerance))
+    sources = C.materialise(targets(sources, list(weights), share, cap))
+    # a source whose target is its limit takes every document `cap` times; a wordless one has nothing to balance
+    goals = sources.where(F.col("target") < cap * F.col("source_size")).select(
+        "source", "target", (F.col("source_size") / F.col("docs")).alias("mean"))
+    lam = multipliers(classes, goals, cap, tolerance)
 
     # cumulative floors over the sizes of a source (as many rows as sizes occur)
     priced = classes.join(lam.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    priced = priced.withColumn("x", F.col("size") / F.col("mean")).withColumn("r", F.coalesce(_rate(cap), F.lit(1.0)))
+    known = sources.select(F.col("source").alias("of"), "source_size", "target")
+    priced = priced.join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    full = F.when(F.col("source_size") > 0, float(cap)).otherwise(1.0)
+    priced = priced.withColumn("x", F.col("size") / F.col("mean")).withColumn(
+        "r", F.when(F.col("lam").isNotNull(), _rate(cap)).otherwise(full))
     by_size = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.floor(F.sum(F.col("n") * F.col("r")).over(by_size) + F.lit(0.5))
     copies = F.col("upto") - F.coalesce(F.lag("upto").over(Window.partitionBy("source").orderBy("size")), F.lit(0))
-    k = cut_lineage(priced.withColumn("upto", upto).select(
-        "source", "size", "n", "target", F.least(F.greatest(copies, F.lit(0)), F.col("n") * cap).alias("k")))
+    k = priced.withColumn("upto", upto).select(
+        "source", "size", "n", "target", F.least(F.greatest(copies, F.lit(0)), F.col("n") * cap).alias("k"))
     for _ in range(corrections):
-        gap = k.groupBy("source").agg(F.max("target").alias("goal"), F.sum(F.col("k") * F.col("size")).alias("got"))
-        gap = gap.select(F.col("source").alias("of"), (F.col("goal") - F.col("got")).alias("gap"))
-        c = k.join(gap, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-        sign = F.signum("gap").cast("long")
-        after = F.abs(F.col("gap") - sign * F.col("size"))
-        open_ = (F.col("size") > 0) & (F.col("k") + sign).between(F.lit(0), F.col("n") * cap) & (after < F.abs("gap"))
-        best = c.where(open_).groupBy("source").agg(F.min(F.struct(after.alias("after"), "size")).alias("b"))
-        best = best.select(F.col("source").alias("of"), F.col("b.size").alias("pick"))
-        k = cut_lineage(c.join(best, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("pick")), "left").select(
-            "source", "size", "n", "target", (F.col("k") + F.when(F.col("pick").isNotNull(), sign).otherwise(0)).alias("k")))
+        k = C.materialise(_corrected(k, cap))
 
     # copies of a class are dealt over its cells, then over the documents of a cell
     k = k.select(F.col("source").alias("of"), F.col("size").alias("in"), "n", "k", F.ceil(F.col("n") / CELL).alias("cells"))
@@ -125,6 +135,5 @@ def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, c
     out = placed.join(dealt, mine & (F.col("cell") == F.col("c"))).withColumn("rank", rank)
     each = F.floor(F.col("mine") / F.col("m")) + F.when(F.col("rank") <= F.pmod("mine", "m"), 1).otherwise(0)
     out = out.select("doc_id", "source", "size", F.least(each, F.lit(cap)).cast("int").alias("copies"))
-    known = sources.select(F.col("source").alias("of"), "source_size", "target")
     return out.join(known, F.col("source").eqNullSafe(F.col("of"))).select(
         "doc_id", "source", "size", "source_size", "target", "copies")
