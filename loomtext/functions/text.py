@@ -5,7 +5,7 @@ are spelled out with Unicode properties because Java's `\\w` is ASCII-only.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values that must match the reference's behaviour.
@@ -138,3 +138,22 @@ def l2_normalize(vec) -> Column:
     # the norm is passed as an argument (array_repeat), not captured by a lambda
     scaled = F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, m: x / m)
     return F.when(norm == 0, v).otherwise(scaled)
+
+
+#: Word lists up to this length become a hashed set inside the expression; longer ones are joined.
+LITERAL_WORDS = 10_000
+
+
+def without_words(df: DataFrame, column: str, words: DataFrame) -> DataFrame:
+    """`df` with the words of the one-column table `words` removed from the array `column`, order kept."""
+    found = [r[0] for r in words.distinct().limit(LITERAL_WORDS + 1).collect()]
+    if len(found) <= LITERAL_WORDS:
+        return df.withColumn(column, F.filter(column, lambda t: ~t.isin(found))) if found else df
+    rest = [c for c in df.columns if c != column]
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    each = rows.select("_row", *rest, F.posexplode_outer(column).alias("_pos", "_word"))
+    listed = words.distinct().select(F.col(words.columns[0]).alias("_word"), F.lit(True).alias("_listed"))
+    marked = each.join(listed, "_word", "left")
+    kept = F.collect_list(F.when(F.col("_listed").isNull() & F.col("_word").isNotNull(), F.struct("_pos", "_word")))
+    out = marked.groupBy("_row").agg(*(F.first(c).alias(c) for c in rest), F.sort_array(kept).alias(column))
+    return out.select(*(F.transform(column, lambda e: e["_word"]).alias(c) if c == column else F.col(c) for c in df.columns))

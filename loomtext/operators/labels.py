@@ -12,23 +12,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
-from loomtext.session import broadcast_if_small
+from loomtext.session import broadcast_if_small, cut_lineage
 
 TOP_LABELS = 5
-MAX_CENTROIDS = 100_000  # centroid table handed to every term block
 
 
 def lemma_lists(questions: DataFrame, stop: DataFrame | None = None, id_col: str = "id",
-                text_col: str = "question") -> DataFrame:
-    """TXT14: (id, lems) upper-case keyword lemmas per question, stop words and punctuation
+                text_col: str = "question", keep: tuple[str, ...] = ()) -> DataFrame:
+    """TXT14: (`keep`..., id, lems) upper-case keyword lemmas per question, stop words and punctuation
     removed, order kept (part-of-speech filter off: no tagger is available)."""
     toks = T.tokens(F.col(text_col))
-    out = questions.select(F.col(id_col).alias("id"), F.transform(toks, lambda t: F.lower(t)).alias("l"))
+    out = questions.select(*keep, F.col(id_col).alias("id"), F.transform(toks, lambda t: F.lower(t)).alias("l"))
     if stop is not None:
-        words = [r[0] for r in stop.select("lemma").distinct().collect()]
-        arr = F.array(*[F.lit(w) for w in sorted(words)])
-        out = out.select("id", F.filter("l", lambda t: ~F.array_contains(arr, t)).alias("l"))
-    return out.select("id", F.transform("l", lambda t: F.upper(t)).alias("lems"))
+        out = T.without_words(out, "l", stop.select("lemma"))
+    return out.select(*keep, "id", F.transform("l", lambda t: F.upper(t)).alias("lems"))
 
 
 def gram_sets(lists: DataFrame, n: int) -> DataFrame:
@@ -104,65 +101,6 @@ def centroids(points: DataFrame, key: str = "cluster_id", vec: str = "vec") -> D
         .select(key, F.transform("s", lambda e: e["x"]).alias("centroid"))
 
 
-def label_scores(nmi_table: DataFrame, terms: DataFrame, cents: DataFrame, top: int = TOP_LABELS) -> DataFrame:
-    """LB2 + LB3: per cluster the `top` terms by nmi + 0.5 * maxNMI * dmin / d, over every
-    global term (absent terms have nmi 0).  Terms are processed in blocks (mapInPandas)
-    against the centroid table; only per-block top candidates leave a task.
-    terms: (gram, vec); cents: (cluster_id, centroid); nmi_table: (cluster_id, gram, nmi)."""
-    spark = terms.sparkSession
-    if cents.count() > MAX_CENTROIDS:
-        raise ValueError("too many clusters for the per-block centroid matrix")
-    cpd = cents.toPandas()
-    cids = cpd["cluster_id"].to_numpy()
-    C = np.vstack(cpd["centroid"].to_numpy()).astype(float) if len(cpd) else np.zeros((0, 1))
-    pos = {c: i for i, c in enumerate(cids)}
-
-    def dists(pdf):
-        V = np.vstack(pdf["vec"].to_numpy()).astype(float)
-        return np.sqrt(((C[:, None, :] - V[None, :, :]) ** 2).sum(axis=2))  # clusters x terms
-
-    def dmin_part(it):
-        for pdf in it:
-            if len(pdf):
-                yield pd.DataFrame({"cluster_id": cids, "dmin": dists(pdf).min(axis=1)})
-
-    dmin = terms.mapInPandas(dmin_part, f"cluster_id {cents.schema['cluster_id'].dataType.simpleString()}, dmin double") \
-        .groupBy("cluster_id").agg(F.min("dmin").alias("dmin"))
-    maxn = nmi_table.groupBy("cluster_id").agg(F.max("nmi").alias("mx"))
-    g = dmin.join(maxn, "cluster_id", "left").select("cluster_id", "dmin", F.greatest(F.coalesce("mx", F.lit(0.0)), F.lit(0.0)).alias("mx")).toPandas()
-    scale = np.zeros(len(cids))
-    for r in g.itertuples():
-        scale[pos[r.cluster_id]] = 0.5 * r.mx * r.dmin
-    per_term = nmi_table.where(F.col("nmi") != 0).groupBy("gram").agg(
-        F.collect_list(F.struct("cluster_id", "nmi")).alias("nm"))  # <= one entry per cluster
-    tt = terms.join(per_term, "gram", "left")
-    k = top
-
-    def score_part(it):
-        for pdf in it:
-            if not len(pdf):
-                continue
-            D = dists(pdf)
-            with np.errstate(divide="ignore"):
-                S = np.where(D > 0, scale[:, None] / np.where(D > 0, D, 1.0), scale[:, None])
-            for j, nm in enumerate(pdf["nm"].to_numpy()):
-                if nm is not None:
-                    for e in nm:
-                        S[pos[e["cluster_id"]], j] += e["nmi"]
-            grams = pdf["gram"].to_numpy()
-            take = min(k, S.shape[1])
-            idx = np.argpartition(-S, take - 1, axis=1)[:, :take] if take < S.shape[1] else \
-                np.tile(np.arange(S.shape[1]), (S.shape[0], 1))
-            rows_c = np.repeat(cids, idx.shape[1])
-            yield pd.DataFrame({"cluster_id": rows_c, "label": grams[idx.ravel()],
-                                "score": S[np.repeat(np.arange(len(cids)), idx.shape[1]), idx.ravel()]})
-
-    # ties at the cut are kept by the per-block candidates (k per block) then ranked exactly
-    cand = tt.mapInPandas(score_part, f"cluster_id {cents.schema['cluster_id'].dataType.simpleString()}, label string, score double")
-    w = Window.partitionBy("cluster_id").orderBy(F.col("score").desc(), F.col("label"))
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-
-
 def best_label_combination(scores: DataFrame) -> DataFrame:
     """LB4 (A-12): (cluster_id, labels ARRAY<STRING>) from the four best labels per cluster
     (`rank` 1..4); missing labels are dropped from the result."""
@@ -231,98 +169,98 @@ def contingency_by_corpus(grams: DataFrame, membership: DataFrame, match_by_gram
         .join(nct, ["corpus", "cluster_id"]).join(N, "corpus")
 
 
-TERM_BLOCK = 4096
+TERM_BLOCK, CLUSTER_BLOCK = 4096, 512
 
 
 def label_scores_by_corpus(nmi_table: DataFrame, terms: DataFrame, cents: DataFrame, top: int = TOP_LABELS) -> DataFrame:
     """LB2 + LB3 per corpus: terms (corpus, gram, vec), cents (corpus, cluster_id, centroid),
     nmi_table (corpus, cluster_id, gram, nmi) -> (corpus, cluster_id, label, score, rank).
-    Terms of a corpus are cut into blocks of <= TERM_BLOCK; each block task holds only the
-    centroids of its corpus; only per-block top candidates leave a task."""
-    ncl = cents.groupBy("corpus").agg(F.count(F.lit(1)).alias("c"))
-    cent_rows = cents.join(ncl, "corpus").collect() if cents.count() <= MAX_CENTROIDS else None
-    if cent_rows is None:
-        raise ValueError("too many clusters for per-block centroid matrices")
-    by_corpus: dict = {}
-    for r in cent_rows:
-        by_corpus.setdefault(r["corpus"], []).append((r["cluster_id"], np.asarray(r["centroid"], float)))
-    mats = {c: (np.array([x[0] for x in v]), np.vstack([x[1] for x in v])) for c, v in by_corpus.items()}
-
-    nt = terms.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / F.lit(TERM_BLOCK)).cast("int").alias("nb"))
-    per_term = nmi_table.where(F.col("nmi") != 0).groupBy("corpus", "gram").agg(
-        F.collect_list(F.struct("cluster_id", "nmi")).alias("nm"))  # <= one entry per cluster of the corpus
-    tt = terms.join(nt, "corpus").withColumn("blk", F.pmod(F.xxhash64("gram"), F.col("nb"))) \
-        .join(per_term, ["corpus", "gram"], "left")
-
-    def dists(corpus, pdf):
-        cids, C = mats[corpus]
-        V = np.vstack(pdf["vec"].to_numpy()).astype(float)
-        return cids, np.sqrt(((C[:, None, :] - V[None, :, :]) ** 2).sum(axis=2))
-
-    def dmin_fn(pdf):
-        c = pdf["corpus"].iloc[0]
-        if c not in mats:
-            return pd.DataFrame({"corpus": [], "cluster_id": [], "dmin": []})
-        cids, D = dists(c, pdf)
-        return pd.DataFrame({"corpus": c, "cluster_id": cids, "dmin": D.min(axis=1)})
-
-    cid_type = cents.schema["cluster_id"].dataType.simpleString()
-    cor_type = cents.schema["corpus"].dataType.simpleString()
-    dmin = tt.select("corpus", "blk", "gram", "vec").groupBy("corpus", "blk").applyInPandas(
-        dmin_fn, f"corpus {cor_type}, cluster_id {cid_type}, dmin double") \
-        .groupBy("corpus", "cluster_id").agg(F.min("dmin").alias("dmin"))
+
+    Blocks of at most about TERM_BLOCK terms and CLUSTER_BLOCK centroids of a corpus meet in one task
+    each (cogroup), so neither the driver nor a task holds a corpus's centroids or terms.  A first pass
+    finds each cluster's nearest term, a second the scores; only the best `top` of a block leave it,
+    ties by gram."""
+    hashed = lambda key, rows: F.pmod(F.xxhash64(key), F.greatest(rows, F.lit(1))).cast("int")
+    nt = terms.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / F.lit(TERM_BLOCK)).cast("int").alias("tbs"))
+    nc = cents.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / F.lit(CLUSTER_BLOCK)).cast("int").alias("cbs"))
+    n = cut_lineage(nt.join(nc, "corpus"))
+    to_all = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    tt = cut_lineage(terms.join(n, "corpus").withColumn("tb", hashed("gram", F.col("tbs"))).withColumn("cb", to_all("cbs"))
+                     .select("corpus", "tb", "cb", "gram", F.col("vec").cast("array<double>").alias("vec")))
+    cc = cents.join(n, "corpus").withColumn("cb", hashed("cluster_id", F.col("cbs")))
+    cor_type, cid_type = (cents.schema[c].dataType.simpleString() for c in ("corpus", "cluster_id"))
+    keys = ["corpus", "tb", "cb"]
+    block = lambda df: df.withColumn("tb", to_all("tbs")).drop("tbs", "cbs").groupBy(*keys)
+
+    def matrix(column) -> np.ndarray:
+        return np.vstack(column.to_numpy()).astype(float)
+
+    def nearest(c: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(c) or not len(t):
+            return pd.DataFrame(columns=["corpus", "cluster_id", "dmin"], dtype=object)
+        return pd.DataFrame({"corpus": c["corpus"], "cluster_id": c["cluster_id"],
+                             "dmin": _distances(matrix(c["centroid"]), matrix(t["vec"])).min(axis=1)})
+
+    dmin = block(cc).cogroup(tt.groupBy(*keys)).applyInPandas(
+        nearest, f"corpus {cor_type}, cluster_id {cid_type}, dmin double").groupBy("corpus", "cluster_id").agg(F.min("dmin").alias("dmin"))
     mx = nmi_table.groupBy("corpus", "cluster_id").agg(F.max("nmi").alias("mx"))
-    scale_rows = dmin.join(mx, ["corpus", "cluster_id"], "left").select(
-        "corpus", "cluster_id", (0.5 * F.greatest(F.coalesce("mx", F.lit(0.0)), F.lit(0.0)) * F.col("dmin")).alias("sc")).collect()
-    scale = {(r["corpus"], r["cluster_id"]): r["sc"] for r in scale_rows}
-    k = top
-
-    def score_fn(pdf):
-        c = pdf["corpus"].iloc[0]
-        if c not in mats:
-            return pd.DataFrame({"corpus": [], "cluster_id": [], "label": [], "score": []})
-        cids, D = dists(c, pdf)
-        sc = np.array([scale.get((c, x), 0.0) for x in cids])
+    scaled = cc.join(dmin, ["corpus", "cluster_id"]).join(mx, ["corpus", "cluster_id"], "left").withColumn(
+        "sc", 0.5 * F.greatest(F.coalesce("mx", F.lit(0.0)), F.lit(0.0)) * F.col("dmin")).drop("mx", "dmin")
+    per_term = nmi_table.where(F.col("nmi") != 0).join(cc.select("corpus", "cluster_id", "cb"), ["corpus", "cluster_id"]).groupBy(
+        "corpus", "gram", "cb").agg(F.collect_list(F.struct("cluster_id", "nmi")).alias("nm"))  # <= one entry per cluster of the block
+    tn = tt.join(per_term, ["corpus", "gram", "cb"], "left")
+
+    def scores(c: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(c) or not len(t):
+            return pd.DataFrame(columns=["corpus", "cluster_id", "label", "score"], dtype=object)
+        t = t.sort_values("gram", kind="stable").reset_index(drop=True)
+        cids = c["cluster_id"].to_numpy()
+        D, sc = _distances(matrix(c["centroid"]), matrix(t["vec"])), c["sc"].to_numpy()
         S = np.where(D > 0, sc[:, None] / np.where(D > 0, D, 1.0), sc[:, None])
         pos = {x: i for i, x in enumerate(cids)}
-        for j, nm in enumerate(pdf["nm"].to_numpy()):
+        for j, nm in enumerate(t["nm"].to_numpy()):
             if nm is not None:
                 for e in nm:
                     S[pos[e["cluster_id"]], j] += e["nmi"]
-        grams = pdf["gram"].to_numpy()
-        take = min(k, S.shape[1])
-        idx = np.argsort(-S, axis=1, kind="stable")[:, :take]
-        rows_i = np.repeat(np.arange(len(cids)), take)
-        return pd.DataFrame({"corpus": c, "cluster_id": cids[rows_i], "label": grams[idx.ravel()],
-                             "score": S[rows_i, idx.ravel()]})
-
-    cand = tt.groupBy("corpus", "blk").applyInPandas(
-        score_fn, f"corpus {cor_type}, cluster_id {cid_type}, label string, score double")
-    w = Window.partitionBy("corpus", "cluster_id").orderBy(F.col("score").desc(), F.col("label"))
+        best = np.argsort(-np.round(S, 12), axis=1, kind="stable")[:, :top]  # columns are in order of gram
+        rows = np.repeat(np.arange(len(cids)), best.shape[1])
+        return pd.DataFrame({"corpus": c["corpus"].iloc[0], "cluster_id": cids[rows], "label": t["gram"].to_numpy()[best.ravel()],
+                             "score": S[rows, best.ravel()]})
+
+    cand = block(scaled).cogroup(tn.groupBy(*keys)).applyInPandas(
+        scores, f"corpus {cor_type}, cluster_id {cid_type}, label string, score double")
+    w = Window.partitionBy("corpus", "cluster_id").orderBy(F.round("score", 12).desc(), F.col("label"))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def _distances(C: np.ndarray, V: np.ndarray) -> np.ndarray:
+    """Euclidean distances clusters x terms, a dimension at a time (exact zeros for equal vectors)."""
+    d2 = np.zeros((len(C), len(V)))
+    for i in range(C.shape[1]):
+        d2 += (C[:, i, None] - V[None, :, i]) ** 2
+    return np.sqrt(d2)
+
+
 def cluster_labels(questions: DataFrame, membership: DataFrame, qvec: DataFrame, stop: DataFrame | None = None,
-                   dims: int = 16) -> DataFrame:
+                   dims: int = 16, encoder=None) -> DataFrame:
     """LB5: (corpus, cluster_id, labels ARRAY<STRING>) from 1-gram and 2-gram label scores
     (top 5 each), merged and re-sorted (WN4), then the label rule (LB4) on the best four.
-    questions (corpus, id, question); membership (corpus, id, cluster_id); qvec (corpus, id, vec)."""
-    from loomtext.session import cut_lineage
-
-    ll = cut_lineage(lemma_lists(questions.select("id", "question", "corpus"), stop).join(
-        questions.select("corpus", "id"), "id"))
+    questions (corpus, id, question); membership (corpus, id, cluster_id); qvec (corpus, id, vec).
+    An id belongs to its corpus: the same id may occur in several.  Terms are embedded by `encoder` (a
+    Column function over text) or by the default word vectors in `dims` dimensions."""
+    ll = cut_lineage(lemma_lists(questions, stop, keep=("corpus",)))
     cents = cut_lineage(centroids(membership.join(qvec, ["corpus", "id"]).withColumn(
         "ck", F.struct("corpus", "cluster_id")), key="ck", vec="vec")
         .select(F.col("ck.corpus").alias("corpus"), F.col("ck.cluster_id").alias("cluster_id"), "centroid"))
     parts = []
     for n in (1, 2):
-        g = ll.select("corpus", "id", F.explode(T.ngrams(F.col("lems"), n)).alias("gram")).distinct()
-        nm = nmi(contingency_by_corpus(g, membership)).select("corpus", "cluster_id", "gram", "nmi")
-        terms = g.select("corpus", "gram").distinct().withColumn(
-            "vec", mean_word_vector(F.split(F.lower("gram"), " "), dims))
-        parts.append(label_scores_by_corpus(nm, terms, cents))
+        g = cut_lineage(ll.select("corpus", "id", F.explode(T.ngrams(F.col("lems"), n)).alias("gram")).distinct())
+        nm = cut_lineage(nmi(contingency_by_corpus(g, membership)).select("corpus", "cluster_id", "gram", "nmi"))
+        text = F.lower("gram")
+        vec = encoder(text) if encoder is not None else mean_word_vector(F.split(text, " "), dims)
+        parts.append(label_scores_by_corpus(nm, g.select("corpus", "gram").distinct().withColumn("vec", vec), cents))
     merged = parts[0].unionByName(parts[1])
-    w = Window.partitionBy("corpus", "cluster_id").orderBy(F.col("score").desc(), F.col("label"))
+    w = Window.partitionBy("corpus", "cluster_id").orderBy(F.round("score", 12).desc(), F.col("label"))
     top4 = merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 4) \
         .withColumn("cluster_id", F.struct("corpus", "cluster_id"))
     lab = best_label_combination(top4)

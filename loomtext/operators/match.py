@@ -38,13 +38,15 @@ def _match_by_array(questions: DataFrame, kw_rows: list, id_col: str, text_col:
 def _match_by_join(questions: DataFrame, kw_freq: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Large keyword lists: explode tokens, broadcast hash join, then one aggregation by question
     that is partially aggregated before the shuffle (one row per question leaves each task)."""
-    toks = questions.select(
-        F.col(id_col).alias("id"),
+    # a row is its own key: repeated ids stay separate rows, as in the array form
+    rows = questions.select(F.col(id_col).alias("id"), F.col(text_col), F.monotonically_increasing_id().alias("row"))
+    toks = rows.select(
+        "row", "id",
         F.explode_outer(T.lemmas(T.clean_text(T.strip_newlines(text_col)))).alias("lemma"),
     )
     kw = kw_freq.withColumnRenamed("keyword", "lemma")
     joined = toks.join(F.broadcast(kw) if kw_freq.count() <= DEFAULT_BROADCAST_ROWS else kw, "lemma", "left")
-    best = joined.groupBy("id").agg(
+    best = joined.groupBy("row", "id").agg(
         F.min(F.when(F.col("freq").isNotNull(), F.struct("freq", F.col("lemma").alias("kw")))).alias("b")
     )
     return best.select("id", F.coalesce(F.col("b.kw"), F.lit(UNCATEGORIZED)).alias("label"))

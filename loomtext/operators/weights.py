@@ -103,7 +103,7 @@ def smoothed_tfidf(terms: DataFrame, sublinear: bool = True, max_df: float | Non
     return w
 
 
-def cluster_keyword(docs: DataFrame, stop_arr, n_docs: int) -> DataFrame:
+def cluster_keyword(docs: DataFrame, stop: DataFrame | None, n_docs: int) -> DataFrame:
     """VEC5: per cluster, the best term of the cluster's joined text under count vectors fitted
     on the corpus: raw tf * smoothed idf, L2-normalised; top 5 by (score, term) descending,
     scores rounded to 3 decimals, first of the highest rounded score.
@@ -113,9 +113,10 @@ def cluster_keyword(docs: DataFrame, stop_arr, n_docs: int) -> DataFrame:
     from loomtext.functions import text as T
 
     toks = F.regexp_extract_all(F.lower(F.col("text")), F.lit(f"[{T.WORD_CHARS}]{{2,}}"), 0)
-    if stop_arr is not None:
-        toks = F.filter(toks, lambda t: ~F.array_contains(stop_arr, t))
-    tk = docs.select("id", "cluster_id", F.explode(toks).alias("term"))
+    tk = docs.select("id", "cluster_id", toks.alias("term"))
+    if stop is not None:
+        tk = T.without_words(tk, "term", stop.select("lemma"))
+    tk = tk.select("id", "cluster_id", F.explode("term").alias("term"))
     df = tk.select("id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("term", (F.ln(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1).alias("idf"))
     tf = tk.groupBy("cluster_id", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -106,9 +106,9 @@ def q_txt15(spark, sf):
 
 @register("txt17_label_type", f"""SELECT DISTINCT gram, CASE WHEN instr(gram, ' ') > 0 THEN 2 ELSE 1 END AS gram_type FROM (
   SELECT unnest(list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]))) AS gram
-  FROM (SELECT {Q.lemmas(Q.question('text'))} AS l FROM conversations WHERE role = 'user'))""")
+  FROM (SELECT {Q.lemmas(Q.question('text'))} AS l FROM conversations))""")
 def q_txt17(spark, sf):
-    c = S.table(spark, sf, "conversations").where(F.col("role") == "user")
+    c = S.table(spark, sf, "conversations")
     lem = T.lemmas(T.question_text("text"))
     g = c.select(F.explode(F.concat(T.ngrams(lem, 1), T.ngrams(lem, 2))).alias("gram")).distinct()
     return g.select("gram", T.label_type("gram").alias("gram_type"))
@@ -360,7 +360,8 @@ WITH pp AS (SELECT a.label::BIGINT AS corpus, a.vec_id AS id, b.vec_id AS nb_id,
             FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
 st AS (SELECT corpus, id, avg(sim) AS mean, stddev_pop(sim) AS std FROM pp GROUP BY corpus, id),
 ky AS (SELECT p.corpus, p.id AS i, p.nb_id AS j, p.sim,
-              greatest((p.sim - si.mean) / si.std, (p.sim - sj.mean) / sj.std) AS key
+              greatest(CASE WHEN si.std < 1e-7 THEN 0 ELSE (p.sim - si.mean) / si.std END,
+                       CASE WHEN sj.std < 1e-7 THEN 0 ELSE (p.sim - sj.mean) / sj.std END) AS key
        FROM pp p JOIN st si ON si.corpus = p.corpus AND si.id = p.id JOIN st sj ON sj.corpus = p.corpus AND sj.id = p.nb_id
        WHERE p.id < p.nb_id),
 nn AS (SELECT label::BIGINT AS corpus, count(*) AS n FROM embeddings GROUP BY label),
@@ -433,9 +434,9 @@ def q_val2(spark, sf):
 @register("val3_min_batch", """
 SELECT conv_id * 1000 + turn AS id, conv_id AS corpus,
        CASE WHEN count(*) OVER (PARTITION BY conv_id) < 6 THEN 2801 END AS error_code
-FROM conversations WHERE role = 'user'""")
+FROM conversations""")
 def q_val3(spark, sf):
-    q = S.user_turns_as_questions(spark, sf).select("id", F.col("corpus_id").alias("corpus"))
+    q = S.turns_as_questions(spark, sf).select("id", F.col("corpus_id").alias("corpus"))
     return VL.min_batch(q, "corpus", 6).select("id", "corpus", "error_code")
 
 
@@ -575,9 +576,9 @@ def q_ag9(spark, sf):
 @register("val4_messages", """
 SELECT conv_id * 1000 + turn AS id, conv_id AS corpus, 2801 AS error_code,
   'There are too few questions to cluster. Try again when there       are six or more.' AS error_message, 400 AS status
-FROM conversations WHERE role = 'user' QUALIFY count(*) OVER (PARTITION BY conv_id) < 6""")
+FROM conversations QUALIFY count(*) OVER (PARTITION BY conv_id) < 6""")
 def q_val4(spark, sf):
-    q = S.user_turns_as_questions(spark, sf).select("id", F.col("corpus_id").alias("corpus"))
+    q = S.turns_as_questions(spark, sf).select("id", F.col("corpus_id").alias("corpus"))
     r = VL.min_batch(q, "corpus", 6).where(F.col("error_code").isNotNull())
     return VL.with_messages(r).select("id", "corpus", "error_code", "error_message", "status")
 
@@ -631,7 +632,7 @@ def q_vec5(spark, sf):
     from loomtext.operators import bayes as NBm
 
     d = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("cluster_id"))
-    return W.cluster_keyword(d, NBm._stop_array(FX.stop_list(spark, sf)), FX.n_docs(spark, sf))
+    return W.cluster_keyword(d, FX.stop_list(spark, sf), FX.n_docs(spark, sf))
 
 
 @register("snk4_texts", Q.with_(*GREEDY_CTES, """
@@ -690,7 +691,7 @@ def q_nb4(spark, sf):
 
 # ---------------------------------------------------------------- weighted bag of word vectors (VEC1)
 VEC1_SQL = Q.with_(Q.DOC_TOKENS_SIMPLE, Q.BG_FREQ, Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS), f"""
-ct AS (SELECT conv_id * 1000 + turn AS id, unnest({Q.lemmas(Q.question('text'))}) AS lemma FROM conversations WHERE role = 'user')""", """
+ct AS (SELECT conv_id * 1000 + turn AS id, unnest({Q.lemmas(Q.question('text'))}) AS lemma FROM conversations)""", """
 tf AS (SELECT id, lemma, count(*) AS tf FROM ct GROUP BY id, lemma)""", """
 w AS (SELECT id, lemma, tf, tf * -ln(coalesce(CASE WHEN bg.freq > 0 THEN bg.freq END, 1e-9)) AS w
       FROM tf LEFT JOIN bg USING (lemma) WHERE lemma NOT IN (SELECT lemma FROM stop))""", f"""
@@ -703,7 +704,7 @@ SELECT id, dim, round(CASE WHEN nrm > 0 THEN x / nrm ELSE x END, 6) AS x FROM (
 
 @register("vec1_bag_of_words", VEC1_SQL)
 def q_vec1(spark, sf):
-    c = S.table(spark, sf, "conversations").where(F.col("role") == "user")
+    c = S.table(spark, sf, "conversations")
     toks = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
                     F.explode(T.lemmas(T.question_text("text"))).alias("lemma"))
     tf = W.text_frequency(toks)
@@ -724,7 +725,7 @@ VEC2_SQL = VEC1_SQL.replace("sum(w.tf * w.w * w.w * u.x)", "sum(w.tf * w.w * u.x
 def q_vec2(spark, sf):
     """VEC2 without a tagger: every token counts (stop words kept), weight to the first power,
     no normalisation."""
-    c = S.table(spark, sf, "conversations").where(F.col("role") == "user")
+    c = S.table(spark, sf, "conversations")
     toks = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
                     F.explode(T.lemmas(T.question_text("text"))).alias("lemma"))
     tf = W.text_frequency(toks)
@@ -740,7 +741,7 @@ def q_vec2(spark, sf):
 from loomtext.operators import wordpairs as WP  # noqa: E402
 
 SIM4_SQL = Q.with_(Q.DOC_TOKENS_SIMPLE, Q.BG_FREQ, Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS), f"""
-ut AS (SELECT conv_id AS corpus, conv_id * 1000 + turn AS id, {Q.lemmas(Q.question('text'))} AS l FROM conversations WHERE role = 'user')""", f"""
+ut AS (SELECT conv_id AS corpus, conv_id * 1000 + turn AS id, {Q.lemmas(Q.question('text'))} AS l FROM conversations)""", f"""
 tv AS (SELECT corpus, id, u.lemma, {MD5_VEC_SQL.format(w='u.lemma')} AS v FROM ut, LATERAL (SELECT unnest(ut.l) AS lemma) u)""", """
 el AS (SELECT corpus, id, lemma, count(*) AS tf, first(v) AS v FROM tv WHERE lemma NOT IN (SELECT lemma FROM stop)
        GROUP BY corpus, id, lemma)""", """
@@ -760,7 +761,7 @@ SELECT a.corpus, a.x AS i, a.y AS j, round((a.d + b.d) / 2, 6) AS d FROM dd a JO
 
 
 def _user_turn_profiles(spark, sf):
-    c = S.table(spark, sf, "conversations").where(F.col("role") == "user")
+    c = S.table(spark, sf, "conversations")
     docs = c.select(F.col("conv_id").alias("corpus"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     toks = docs.select("corpus", "id", F.posexplode(T.lemmas(T.question_text("text"))).alias("pos", "lemma"))
     vecs = toks.select("lemma").distinct().withColumn("vec", S.md5_word_vector(F.col("lemma")))
@@ -835,13 +836,13 @@ def q_src1(spark, sf):
 
 @register("flt1_known_docs", f"""
 WITH voc AS (SELECT DISTINCT unnest({Q.lemmas(Q.question('text'))}) AS lemma FROM benchmark),
-ut AS (SELECT conv_id * 1000 + turn AS id, {Q.lemmas(Q.question('text'))} AS l FROM conversations WHERE role = 'user')
+ut AS (SELECT conv_id * 1000 + turn AS id, {Q.lemmas(Q.question('text'))} AS l FROM conversations)
 SELECT id, EXISTS (SELECT 1 FROM (SELECT unnest(ut.l) AS lemma) x JOIN voc USING (lemma)) AS known FROM ut""")
 def q_flt1(spark, sf):
     from loomtext.operators import match as MTm  # noqa: F401
 
     voc = S.table(spark, sf, "benchmark").select(F.explode(T.lemmas(T.question_text("text"))).alias("lemma")).distinct()
-    u = S.user_turns_as_questions(spark, sf).select("id", "question")
+    u = S.turns_as_questions(spark, sf).select("id", "question")
     return W.known_documents(u, voc)
 
 
@@ -894,7 +895,7 @@ def q_pl2(spark, sf):
 
 @register("nb3_keywords_then_ward")
 def q_nb3(spark, sf):
-    q = S.user_turns_as_questions(spark, sf).select("id", "question")
+    q = S.turns_as_questions(spark, sf).select("id", "question")
     return PL.keyword_clusters_then_ward(q, FX.keywords(spark, sf), FX.stop_list(spark, sf))
 
 
@@ -905,11 +906,11 @@ voc AS (SELECT DISTINCT unnest({Q.lemmas(Q.question('text'))}) AS lemma FROM ben
 ut AS (SELECT conv_id * 1000 + turn AS id, u.pos - 1 AS pos, u.token FROM conversations c,
        LATERAL (SELECT generate_subscripts(regexp_extract_all({Q.question('c.text')}, '[{Q.WORD}]+'), 1) AS pos,
                        unnest(regexp_extract_all({Q.question('c.text')}, '[{Q.WORD}]+')) AS token) u
-       WHERE c.role = 'user')""") + """
+      )""") + """
 SELECT id, pos, token, lower(token) AS lemma, lower(token) IN (SELECT lemma FROM stop) AS is_stop,
        false AS is_punct, lower(token) NOT IN (SELECT lemma FROM voc) AS is_oov FROM ut""")
 def q_txt10(spark, sf):
-    u = S.user_turns_as_questions(spark, sf).select("id", "question")
+    u = S.turns_as_questions(spark, sf).select("id", "question")
     toks = S.token_table(u).withColumn("pos", F.col("pos").cast("long"))
     voc = S.table(spark, sf, "benchmark").select(F.explode(T.lemmas(T.question_text("text"))).alias("lemma"))
     return S.token_flags(toks, FX.stop_list(spark, sf), voc).select("id", "pos", "token", "lemma", "is_stop", "is_punct", "is_oov")
@@ -979,7 +980,7 @@ def q_vec3(spark, sf):
 
     d = S.table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), F.array_join(T.lemmas(T.question_text("text")), " ").alias("text"))
-    terms = NBm.word_terms(d, "id", "text", NBm._stop_array(FX.stop_list(spark, sf)))
+    terms = NBm.word_terms(d, "id", "text", FX.stop_list(spark, sf))
     X = W.smoothed_tfidf(terms, sublinear=True, n_docs=FX.n_docs(spark, sf))
     return X.select("id", "term", F.round("w", 6).alias("w"))
 
@@ -989,7 +990,7 @@ def q_vec3(spark, sf):
 @register("sim5_doc_similarity", f"""
 WITH dw AS (SELECT conv_id AS corpus, conv_id * 1000 + turn AS id,
                    list_transform(regexp_extract_all(text, '[{Q.WORD}]+'), lambda t: lower(t)) AS w
-            FROM conversations WHERE role = 'user'),
+            FROM conversations),
 dv AS (SELECT corpus, id, CASE WHEN len(w) = 0 THEN list_transform(range(16), lambda i: 0.0) ELSE
          list_transform(range(16), lambda i: list_sum(list_transform(w, lambda x: ('0x' || substr(md5(x), 1 + 2 * i, 2))::INT / 255.0 - 0.5)) / len(w)) END AS v
        FROM dw),
@@ -1000,7 +1001,7 @@ pr AS (SELECT a.corpus, a.id, b.id AS nb_id,
 SELECT corpus, id, nb_id, round(sim, 6) AS sim, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY corpus, id ORDER BY sim DESC, nb_id) AS rank FROM pr) WHERE rank <= 3""")
 def q_sim5(spark, sf):
-    q = S.user_turns_as_questions(spark, sf).select(F.col("corpus_id").alias("corpus"), "id", "question")
+    q = S.turns_as_questions(spark, sf).select(F.col("corpus_id").alias("corpus"), "id", "question")
     r = PR.top_similar(PL.encode(q), k=3)
     return r.select("corpus", "id", "nb_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 

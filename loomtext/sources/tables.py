@@ -33,11 +33,10 @@ def documents_as_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def user_turns_as_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short texts: user turns of `conversations`; id = conv_id*1000+turn, corpus = conv_id."""
+def turns_as_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short texts: all turns of `conversations`; id = conv_id*1000+turn, corpus = conv_id."""
     return (
         table(spark, sf_dir, "conversations")
-        .where(F.col("role") == "user")
         .select(
             (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
             F.col("text").alias("question"),
