@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.session import broadcast_if_small
+from loomtext.session import broadcast_if_small, cut_lineage
 
 BLOCK_ROWS = 256
 
@@ -99,6 +99,21 @@ def _both_ways(a, b, same, D):
     return views
 
 
+def _smallest(a, b, same, D, k: int, name: str) -> pd.DataFrame:
+    """(id, nb_id, `name`): per row the k smallest finite entries of D, ties by the other id."""
+    out = []
+    for ia, ib, M in _both_ways(a, b, same, D):
+        M = M.copy()
+        if same:
+            np.fill_diagonal(M, np.inf)
+        by_id = np.argsort(ib, kind="stable")
+        best = by_id[np.argsort(M[:, by_id], axis=1, kind="stable")[:, :k]]
+        v = np.take_along_axis(M, best, 1)
+        real = np.isfinite(v)
+        out.append(pd.DataFrame({"id": np.repeat(ia, best.shape[1])[real.ravel()], "nb_id": ib[best][real], name: v[real]}))
+    return pd.concat(out)
+
+
 # ------------------------------------------------------------------ operators
 
 def knn(points: DataFrame, k: int = 5, metric: str = "minkowski:1.5", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -109,18 +124,7 @@ def knn(points: DataFrame, k: int = 5, metric: str = "minkowski:1.5", block_rows
 
     def kern(a, b, same):
         D = dist(mat(a), mat(b))
-        rows = []
-        for ia, ib, M in _both_ways(a, b, same, D):
-            M = M.copy()
-            if same:
-                np.fill_diagonal(M, np.inf)
-            kk = min(k, M.shape[1])
-            for r in range(M.shape[0]):
-                idx = np.lexsort((ib, M[r]))[:kk]
-                for c in idx:
-                    if np.isfinite(M[r, c]):
-                        rows.append((int(ia[r]), int(ib[c]), float(M[r, c])))
-        return pd.DataFrame(rows, columns=["id", "nb_id", "d"])
+        return _smallest(a, b, same, D, k, "d")
 
     cand = run_pairs(points, kern, "corpus long, id long, nb_id long, d double", block_rows)
     w = Window.partitionBy("corpus", "id").orderBy("d", "nb_id")
@@ -128,24 +132,68 @@ def knn(points: DataFrame, k: int = 5, metric: str = "minkowski:1.5", block_rows
 
 
 def row_stats(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """AG11: cosine similarity mean and population std of each row without its diagonal."""
-    def kern(a, b, same):
-        S = cosine_sim(mat(a), mat(b))
-        out = []
-        for ia, ib, M in _both_ways(a, b, same, S):
-            M = M.copy()
-            cnt = np.full(M.shape[0], M.shape[1], dtype=np.int64)
-            if same:
-                np.fill_diagonal(M, 0.0)
-                cnt -= 1
-            out.append(pd.DataFrame({"id": ia, "s1": M.sum(1), "s2": (M * M).sum(1), "c": cnt}))
-        return pd.concat(out)
-
-    parts = run_pairs(points, kern, "corpus long, id long, s1 double, s2 double, c long", block_rows)
-    g = parts.groupBy("corpus", "id").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("c").alias("c"))
-    mean = F.try_divide("s1", "c")
-    return g.select("corpus", "id", mean.alias("mean"),
-                    F.sqrt(F.greatest(F.col("s2") / F.col("c") - mean * mean, F.lit(0.0))).alias("std"))
+    """AG11: cosine similarity mean and population std of each row without its diagonal.
+
+    No pair is formed: with unit rows x, sum_j s_ij = x_i . sum_j x_j and sum_j (s_ij - m)^2 follows
+    from the second moment matrix of the corpus about its mean direction.  With c = mean of the rows and
+    s_ij = x_i . c + x_i . (x_j - c), the variance of a row is x_i' C x_i (C the covariance of the rows)
+    up to the diagonal term, which is taken out; this form does not cancel for rows that are nearly
+    equal.  Per corpus the tasks send d sums and d x d products (partial sums, no group in one task)."""
+    cor = points.schema["corpus"].dataType.simpleString()
+    pts = points.select("corpus", "id", F.col("vec").cast("array<double>").alias("vec"))
+
+    def unit(pdf: pd.DataFrame) -> np.ndarray:
+        X = np.vstack(pdf["vec"].to_numpy()).astype(float)
+        n = np.linalg.norm(X, axis=1, keepdims=True)
+        return X / np.where(n == 0, 1.0, n)
+
+    def sums(it):
+        total: dict = {}
+        for pdf in it:
+            for corpus, part in pdf.groupby("corpus", sort=False):
+                s = unit(part).sum(0)
+                total[corpus] = (total[corpus][0] + len(part), total[corpus][1] + s) if corpus in total else (len(part), s)
+        if total:
+            yield pd.DataFrame({"corpus": list(total), "n": [n for n, _ in total.values()], "s": [list(s) for _, s in total.values()]})
+
+    first = pts.mapInPandas(sums, f"corpus {cor}, n long, s array<double>")
+    per = first.select("corpus", "n", F.posexplode("s").alias("i", "x")).groupBy("corpus", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    mean = cut_lineage(per.groupBy("corpus").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s")).select(
+        "corpus", "n", F.transform("s", lambda e: e["x"] / F.col("n")).alias("c")))
+    centred = pts.join(broadcast_if_small(mean), "corpus")
+
+    def products(it):
+        total: dict = {}
+        for pdf in it:
+            for corpus, part in pdf.groupby("corpus", sort=False):
+                Y = unit(part) - np.asarray(part["c"].iloc[0])
+                total[corpus] = total.get(corpus, 0) + Y.T @ Y
+        for corpus, P in total.items():
+            yield pd.DataFrame({"corpus": [corpus] * len(P), "i": np.arange(len(P)), "row": list(P)})
+
+    second = centred.mapInPandas(products, f"corpus {cor}, i int, row array<double>")
+    cells = second.select("corpus", "i", F.posexplode("row").alias("j", "x")).groupBy("corpus", "i", "j").agg(F.sum("x").alias("x"))
+    matrix = cut_lineage(cells.groupBy("corpus").agg(F.sort_array(F.collect_list(F.struct("i", "j", "x"))).alias("p"))  # d x d
+                         .select("corpus", F.transform("p", lambda e: e["x"]).alias("p")))
+
+    def stats(it):
+        for pdf in it:
+            for corpus, part in pdf.groupby("corpus", sort=False):
+                X, c, n = unit(part), np.asarray(part["c"].iloc[0]), int(part["n"].iloc[0])
+                P = np.asarray(part["p"].iloc[0]).reshape(len(c), len(c))
+                own = (X * X).sum(1)  # the diagonal: 1, or 0 for a zero row
+                if n < 2:
+                    yield pd.DataFrame({"corpus": corpus, "id": part["id"], "mean": np.nan, "std": np.nan})
+                    continue
+                at = X @ c
+                shift = (own - at) / (n - 1)  # mean of the others = at - shift
+                ss = np.einsum("ni,ij,nj->n", X, P, X) - (own - at) ** 2  # of the others about at
+                yield pd.DataFrame({"corpus": corpus, "id": part["id"], "mean": at - shift,
+                                    "std": np.sqrt(np.maximum(ss / (n - 1) - shift ** 2, 0.0))})
+
+    both = mean.join(matrix, "corpus")
+    out = pts.join(broadcast_if_small(both), "corpus").mapInPandas(stats, f"corpus {cor}, id long, mean double, std double")
+    return out.select("corpus", "id", F.when(~F.isnan("mean"), F.col("mean")).alias("mean"), F.when(~F.isnan("std"), F.col("std")).alias("std"))
 
 
 def top_similar(points: DataFrame, k: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -154,16 +202,9 @@ def top_similar(points: DataFrame, k: int = 10, block_rows: int = BLOCK_ROWS) ->
 
     def kern(a, b, same):
         S = cosine_sim(mat(a), mat(b))
-        rows = []
-        for ia, ib, M in _both_ways(a, b, same, S):
-            M = M.copy()
-            if same:
-                np.fill_diagonal(M, -np.inf)
-            kk = min(k, M.shape[1])
-            for r in range(M.shape[0]):
-                idx = np.lexsort((ib, -M[r]))[:kk]
-                rows.extend((int(ia[r]), int(ib[c]), float(M[r, c])) for c in idx if np.isfinite(M[r, c]))
-        return pd.DataFrame(rows, columns=["id", "nb_id", "sim"])
+        out = _smallest(a, b, same, -S, k, "sim")
+        out["sim"] = -out["sim"]
+        return out
 
     cand = run_pairs(points, kern, "corpus long, id long, nb_id long, sim double", block_rows)
     w = Window.partitionBy("corpus", "id").orderBy(F.col("sim").desc(), "nb_id")

@@ -77,21 +77,27 @@ def candidate_keywords(post: DataFrame, freq: DataFrame, stop: DataFrame | None,
 
 # ------------------------------------------------------------------ VEC3 / VEC4 / VEC5 (A-1)
 
-def smoothed_tfidf(terms: DataFrame, sublinear: bool = True, max_df: float | None = None,
-                   normalize: bool = True, term_col: str = "term", n_docs: int | None = None) -> DataFrame:
-    """A-1 over a long (id, term) table with one row per occurrence:
-    idf = ln((1+n)/(1+df)) + 1, w = (1+ln tf)*idf (raw tf when not sublinear), optional
-    max_df pruning (FLT3) before weighting, L2 normalisation per document.
-    Returns (id, term, tf, df, idf, w)."""
+def term_and_document_frequencies(terms: DataFrame, max_df: float | None = None, n_docs: int | None = None,
+                                  term_col: str = "term") -> tuple[DataFrame, DataFrame]:
+    """(id, term, tf) and (term, df, idf) of a long (id, term) table, terms above `max_df` left out of
+    the second; both are checkpointed, so texts are tokenised once."""
     from loomtext.session import cut_lineage
 
-    # tf feeds both the document frequencies and the weights: compute (tokenise) it once
     tf = cut_lineage(terms.groupBy("id", term_col).agg(F.count(F.lit(1)).alias("tf")))
     n = n_docs if n_docs is not None else tf.select("id").distinct().count()
     df = tf.groupBy(term_col).agg(F.count(F.lit(1)).alias("df"))
     if max_df is not None:
         df = df.where(F.col("df") <= F.lit(max_df * n))
-    df = df.withColumn("idf", F.ln(F.lit(1.0 + n) / (F.col("df") + 1)) + 1)
+    return tf, cut_lineage(df.withColumn("idf", F.ln(F.lit(1.0 + n) / (F.col("df") + 1)) + 1))
+
+
+def smoothed_tfidf(terms: DataFrame, sublinear: bool = True, max_df: float | None = None,
+                   normalize: bool = True, term_col: str = "term", n_docs: int | None = None) -> DataFrame:
+    """A-1 over a long (id, term) table with one row per occurrence:
+    idf = ln((1+n)/(1+df)) + 1, w = (1+ln tf)*idf (raw tf when not sublinear), optional
+    max_df pruning (FLT3) before weighting, L2 normalisation per document.
+    Returns (id, term, tf, df, idf, w)."""
+    tf, df = term_and_document_frequencies(terms, max_df, n_docs, term_col)
     w = tf.join(df, term_col)
     raw = (1 + F.ln("tf")) if sublinear else F.col("tf").cast("double")
     w = w.withColumn("w", raw * F.col("idf"))
