@@ -29,7 +29,7 @@ from loomtext.llm import common as C
 #: Matches of the pattern look at most so many characters past their end or start.
 LOOK = 3
 #: Encoded matches kept by each Python worker; beyond that the table starts anew.
-KEPT = 1 << 18
+KEPT = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

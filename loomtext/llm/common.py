@@ -15,7 +15,7 @@ from loomtext.session import ensure_checkpoint_dir
 #: Words of the contracts: runs of bytes other than ASCII space and \t \n \v \f \r.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Text handled at once inside a task; longer single texts are handled alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: A side joined by broadcast is first counted; above this number of rows it is shuffled instead.
 BROADCAST_ROWS = 200_000
 
