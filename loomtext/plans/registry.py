@@ -377,9 +377,25 @@ def q_sp1(spark, sf):
     return r.select("corpus", "i", "j", F.round("sim", 6).alias("sim"))
 
 
-@register("db1_dbscan")
+DB1_SQL = """
+WITH RECURSIVE p AS (SELECT label::BIGINT AS corpus, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+e AS (SELECT a.corpus, a.id, b.id AS nb FROM p a JOIN p b ON a.corpus = b.corpus AND a.id <> b.id
+      WHERE 1 - list_cosine_similarity(a.v, b.v) <= 0.85),
+nn AS (SELECT corpus, greatest(ceil(count(*) * 0.05), 2) AS ms FROM p GROUP BY corpus),
+core AS (SELECT p.corpus, p.id FROM p JOIN nn USING (corpus) LEFT JOIN e USING (corpus, id) GROUP BY p.corpus, p.id, nn.ms HAVING count(e.nb) + 1 >= nn.ms),
+ce AS (SELECT e.* FROM e JOIN core c ON c.corpus = e.corpus AND c.id = e.id JOIN core d ON d.corpus = e.corpus AND d.id = e.nb),
+reach AS (SELECT corpus, id, id AS root FROM core UNION SELECT ce.corpus, ce.nb, r.root FROM reach r JOIN ce ON ce.corpus = r.corpus AND ce.id = r.id),
+lab AS (SELECT corpus, id, min(root) AS root FROM reach GROUP BY corpus, id),
+allp AS (SELECT corpus, id, root FROM lab UNION ALL
+         SELECT e.corpus, e.id, min(lab.root) FROM e JOIN lab ON lab.corpus = e.corpus AND lab.id = e.nb
+         WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.corpus = e.corpus AND c.id = e.id) GROUP BY e.corpus, e.id),
+num AS (SELECT corpus, id, dense_rank() OVER (PARTITION BY corpus ORDER BY root) - 1 AS label FROM allp)
+SELECT p.corpus, p.id, coalesce(num.label, -1)::INT AS label FROM p LEFT JOIN num USING (corpus, id)"""
+
+
+@register("db1_dbscan", DB1_SQL)
 def q_db1(spark, sf):
-    return DB.dbscan(_emb_points(spark, sf), eps=0.25, metric="cosine")
+    return DB.dbscan(_emb_points(spark, sf, corpus="label"), eps=0.85, metric="cosine")
 
 
 @register("km1_kmeans")
@@ -415,13 +431,16 @@ def _question_records(spark, sf):
                            F.col("conv_id").alias("course_id"))).alias("rec"))
     e = S.table(spark, sf, "events").select(F.lit("events").alias("src"), F.col("event_id").alias("id"),
                                             F.col("props").alias("rec"))
-    return c.unionByName(e)
+    wrong = S.table(spark, sf, "labels").select(F.lit("labels").alias("src"), F.col("doc_id").alias("id"), F.to_json(F.struct(
+        F.col("quality").alias("question"), F.col("doc_id").cast("string").alias("question_id"), F.col("doc_id").alias("course_id"))).alias("rec"))
+    return c.unionByName(e).unionByName(wrong)
 
 
 @register("val2_rejects", """
 WITH r AS (SELECT 'conversations' AS src, conv_id * 1000 + turn AS id,
                   to_json({'question': text, 'question_id': turn, 'course_id': conv_id}) AS rec FROM conversations
-           UNION ALL SELECT 'events', event_id, props FROM events),
+           UNION ALL SELECT 'events', event_id, props FROM events
+           UNION ALL SELECT 'labels', doc_id, to_json({'question': quality, 'question_id': doc_id::VARCHAR, 'course_id': doc_id}) FROM labels),
 t AS (SELECT src, id, json_type(rec::JSON, '$.question') AS tq, json_type(rec::JSON, '$.question_id') AS ti,
              json_type(rec::JSON, '$.course_id') AS tc FROM r)
 SELECT src, id, CASE WHEN tq IS NULL OR ti IS NULL OR tc IS NULL THEN 2805
@@ -637,13 +656,15 @@ def q_vec5(spark, sf):
 
 @register("snk4_texts", Q.with_(*GREEDY_CTES, """
 lab AS (SELECT d.doc_id AS id, coalesce(a12.kw, 'uncategorized') AS label FROM documents d LEFT JOIN a12 ON a12.id = d.doc_id)""") + """
-SELECT label, floor(id / 1000)::BIGINT AS chunk, count(*) AS n_texts, sum(length(text)) AS n_chars
+SELECT label, floor(id / 1000)::BIGINT AS chunk, count(*) AS n_texts, sum(length(text)) AS n_chars,
+       md5(string_agg(text, chr(10) ORDER BY id)) AS texts_md5
 FROM lab JOIN documents d ON d.doc_id = lab.id GROUP BY label, floor(id / 1000)""")
 def q_snk4(spark, sf):
     q = FX.doc_questions(spark, sf)
     t = SK.texts_per_cluster(_greedy(spark, sf), q)
     return t.select("label", "chunk", F.size("texts").cast("long").alias("n_texts"),
-                    F.aggregate("texts", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
+                    F.aggregate("texts", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"),
+                    F.md5(F.array_join("texts", "\n")).alias("texts_md5"))
 
 
 
@@ -872,19 +893,25 @@ def q_tr3(spark, sf):
 
 
 # ---------------------------------------------------------------- phrase similarity, dispatch, keyword clusters + Ward
-@register("sim6_phrase_similarity", Q.with_(Q.DOC_TOKENS_SIMPLE, Q.N_DOCS, Q.KEYWORDS, f"""
-pv AS (SELECT keyword, kw_pos, w, CASE WHEN len(w) = 0 THEN NULL ELSE list_transform(range(16), lambda i:
-         list_sum(list_transform(w, lambda x: ('0x' || substr(md5(x), 1 + 2 * i, 2))::INT / 255.0 - 0.5)) / len(w)) END AS v
-       FROM (SELECT keyword, kw_pos, list_transform(regexp_extract_all(keyword, '[{Q.WORD}]+'), lambda t: lower(t)) AS w FROM kw))""") + """
-SELECT a.keyword AS a, b.keyword AS b, round(list_cosine_similarity(a.v, b.v), 6) AS sim,
-       CASE WHEN a.v IS NULL OR b.v IS NULL THEN 2802 END AS error_code
-FROM pv a JOIN pv b ON b.kw_pos = a.kw_pos + 1""")
+@register("sim6_phrase_similarity", f"""
+WITH t AS (SELECT conv_id * 1000 + turn AS id, text AS a, CASE WHEN turn % 5 = 4 THEN '?!' ELSE
+             coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '...') END AS b FROM conversations),
+w AS (SELECT *, list_transform(regexp_extract_all(a, '[{Q.WORD}]+'), lambda t: lower(t)) AS wa,
+             list_transform(regexp_extract_all(b, '[{Q.WORD}]+'), lambda t: lower(t)) AS wb FROM t),
+v AS (SELECT id, """ + ", ".join(f"list_transform(range(16), lambda i: coalesce(list_sum(list_transform({c}, "
+      f"lambda x: ('0x' || substr(md5(x), 1 + 2 * i, 2))::INT / 255.0 - 0.5)), 0.0) / greatest(len({c}), 1)) AS v{c}" for c in ("wa", "wb")) + """,
+      len(wa) > 0 AND len(wb) > 0 AS known FROM w)
+SELECT id, CASE WHEN known THEN round(list_dot_product(vwa, vwb) / sqrt(list_dot_product(vwa, vwa) * list_dot_product(vwb, vwb)), 6) END AS sim,
+  CASE WHEN NOT known THEN 2802 END AS error_code FROM v""")
 def q_sim6(spark, sf):
-    kw = FX.keywords(spark, sf)
-    pairs = kw.alias("x").join(kw.alias("y"), F.col("y.kw_pos") == F.col("x.kw_pos") + 1) \
-        .select(F.col("x.keyword").alias("a"), F.col("y.keyword").alias("b"))
-    r = PL.phrase_similarity(pairs)
-    return r.select("a", "b", F.round("sim", 6).alias("sim"), "error_code")
+    """Every turn against the next one of its conversation; some against a phrase without a word."""
+    from pyspark.sql import Window
+
+    c = S.table(spark, sf, "conversations")
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("a"),
+                     F.when(F.col("turn") % 5 == 4, F.lit("?!")).otherwise(F.coalesce(following, F.lit("..."))).alias("b"))
+    return PL.phrase_similarity(pairs).select("id", F.round("sim", 6).alias("sim"), "error_code")
 
 
 @register("pl2_dispatch_agglomerative")
@@ -904,14 +931,14 @@ def q_nb3(spark, sf):
 @register("txt10_token_flags", Q.with_(Q.DOC_TOKENS_SIMPLE, Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS), f"""
 voc AS (SELECT DISTINCT unnest({Q.lemmas(Q.question('text'))}) AS lemma FROM benchmark)""", f"""
 ut AS (SELECT conv_id * 1000 + turn AS id, u.pos - 1 AS pos, u.token FROM conversations c,
-       LATERAL (SELECT generate_subscripts(regexp_extract_all({Q.question('c.text')}, '[{Q.WORD}]+'), 1) AS pos,
-                       unnest(regexp_extract_all({Q.question('c.text')}, '[{Q.WORD}]+')) AS token) u
-      )""") + """
+       LATERAL (SELECT generate_subscripts(regexp_extract_all(c.text, '[{Q.WORD}]+|[^{Q.WORD}\\s]'), 1) AS pos,
+                       unnest(regexp_extract_all(c.text, '[{Q.WORD}]+|[^{Q.WORD}\\s]')) AS token) u
+      )""") + f"""
 SELECT id, pos, token, lower(token) AS lemma, lower(token) IN (SELECT lemma FROM stop) AS is_stop,
-       false AS is_punct, lower(token) NOT IN (SELECT lemma FROM voc) AS is_oov FROM ut""")
+       NOT regexp_matches(token, '[{Q.WORD}]') AS is_punct, lower(token) NOT IN (SELECT lemma FROM voc) AS is_oov FROM ut""")
 def q_txt10(spark, sf):
     u = S.turns_as_questions(spark, sf).select("id", "question")
-    toks = S.token_table(u).withColumn("pos", F.col("pos").cast("long"))
+    toks = S.token_table(u, clean=False, punctuation=True).withColumn("pos", F.col("pos").cast("long"))
     voc = S.table(spark, sf, "benchmark").select(F.explode(T.lemmas(T.question_text("text"))).alias("lemma"))
     return S.token_flags(toks, FX.stop_list(spark, sf), voc).select("id", "pos", "token", "lemma", "is_stop", "is_punct", "is_oov")
 
@@ -1007,16 +1034,16 @@ def q_sim5(spark, sf):
 
 
 
+# Ranks are rationals, so exact halves of the last digit occur; rounding just above them agrees in both engines.
 TR2_SQL = TR1_SQL.split("\nSELECT c.cluster_id, coalesce(b.word, 'uncategorized') AS keyword")[0] + """
-SELECT cluster_id, word, floor(r * 1e6 + 0.5) / 1e6 AS rank FROM final"""
+SELECT cluster_id, word, floor(r * 1e6 + 0.501) / 1e6 AS rank FROM final"""
 
 
-@register("tr2_word_ranks")  # TR2_SQL agrees except where a rank lies on an exact rounding half
+@register("tr2_word_ranks", TR2_SQL)
 def q_tr2(spark, sf):
     d = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("cluster_id"))
     sw = cut_lineage(TR.sentence_words(d, FX.stop_list(spark, sf)))
-    # the same explicit rounding in both engines (exact halves occur: the graph weights are rationals)
-    return TR.rank_words(sw).select("cluster_id", "word", (F.floor(F.col("rank") * 1e6 + 0.5) / 1e6).alias("rank"))
+    return TR.rank_words(sw).select("cluster_id", "word", (F.floor(F.col("rank") * 1e6 + 0.501) / 1e6).alias("rank"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -60,11 +60,13 @@ def string_array_json(spark: SparkSession, path: str, field: str = "questions")
 
 
 def token_table(questions: DataFrame, id_col: str = "id", text_col: str = "question",
-                clean: bool = True) -> DataFrame:
-    """TXT2/TXT1/TXT3 -> TXT6 -> TXT8: long table (id, pos, token, lemma)."""
+                clean: bool = True, punctuation: bool = False) -> DataFrame:
+    """TXT2/TXT1/TXT3 -> TXT6 -> TXT8: long table (id, pos, token, lemma); with `punctuation` every
+    other visible character is a token of its own."""
     txt = T.question_text(text_col) if clean else F.col(text_col)
+    found = F.regexp_extract_all(txt, F.lit(f"[{T.WORD_CHARS}]+|[^{T.WORD_CHARS}\\s]"), 0) if punctuation else T.tokens(txt)
     return questions.select(
-        F.col(id_col).alias("id"), F.posexplode(T.tokens(txt)).alias("pos", "token")
+        F.col(id_col).alias("id"), F.posexplode(found).alias("pos", "token")
     ).withColumn("lemma", F.lower("token"))
 
 
