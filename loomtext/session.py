@@ -61,3 +61,27 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers of this application (once), so that Arrow functions can
+    import it wherever the driver was started."""
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_loomtext_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    path = os.path.join(tempfile.mkdtemp(prefix="loomtext-ship-"), "loomtext.zip")  # read by the driver's file server only
+    with open(path, "wb") as f:
+        f.write(data.getvalue())
+    sc.addPyFile(path)
+    sc._loomtext_shipped = True
