@@ -796,7 +796,55 @@ def q_sim4(spark, sf):
 
 
 
-@register("db2_word_pair_dbscan")
+_SIM3_BASE = SIM4_SQL.split("\nSELECT a.corpus, a.x AS i")[0]
+
+
+def _sim3_sql(closest: str) -> str:
+    return _SIM3_BASE.replace("coalesce(max(abs(list_cosine_similarity(e.v, t.v))), 0)", closest) + """
+SELECT corpus, x AS id, y AS cmp_id, round(d, 6) AS d FROM dd"""
+
+
+def _directional(spark, sf, metric):
+    r = WP.directional_distances(_user_turn_profiles(spark, sf), metric)
+    return r.select("corpus", "id", "cmp_id", F.round("d", 6).alias("d"))
+
+
+@register("sim3_directional_cosine", _sim3_sql("coalesce(max(abs(list_cosine_similarity(e.v, t.v))), 0)"))
+def q_sim3(spark, sf):
+    return _directional(spark, sf, "cosine")
+
+
+@register("sim2_directional_similarity", _sim3_sql("coalesce(max(list_cosine_similarity(e.v, t.v)), 0)"))
+def q_sim2_similarity(spark, sf):
+    return _directional(spark, sf, "similarity")
+
+
+@register("sim2_directional_euclidean", _sim3_sql("1 - coalesce(min(list_distance(e.v, t.v)), sqrt(list_dot_product(any_value(e.v), any_value(e.v))))"))
+def q_sim2_euclidean(spark, sf):
+    return _directional(spark, sf, "euclidean")
+
+
+DB2_SQL = SIM4_SQL.replace("WITH ", "WITH RECURSIVE ", 1).split("\nSELECT a.corpus, a.x AS i")[0] + """,
+sd AS (SELECT a.corpus, a.x AS i, a.y AS j, (a.d + b.d) / 2 AS d FROM dd a JOIN dd b ON b.corpus = a.corpus AND b.x = a.y AND b.y = a.x WHERE a.x < a.y),
+nn AS (SELECT corpus, count(*) AS n FROM ut GROUP BY corpus),
+ep AS (SELECT nn.corpus, nn.n, sqrt(greatest(coalesce(sum(2 * d * d), 0) / (nn.n * nn.n) - pow(coalesce(sum(2 * d), 0) / (nn.n * nn.n), 2), 0)) AS eps
+       FROM nn LEFT JOIN sd ON sd.corpus = nn.corpus GROUP BY nn.corpus, nn.n),
+e AS (SELECT sd.corpus, i AS id, j AS nb FROM sd JOIN ep USING (corpus) WHERE eps > 0 AND d <= eps
+      UNION ALL SELECT sd.corpus, j, i FROM sd JOIN ep USING (corpus) WHERE eps > 0 AND d <= eps),
+core AS (SELECT ut.corpus, ut.id FROM ut JOIN ep ON ep.corpus = ut.corpus AND ep.eps > 0 LEFT JOIN e ON e.corpus = ut.corpus AND e.id = ut.id
+         GROUP BY ut.corpus, ut.id, ep.n HAVING count(e.nb) + 1 >= greatest(ceil(ep.n * 0.05), 2)),
+ce AS (SELECT e.* FROM e JOIN core c ON c.corpus = e.corpus AND c.id = e.id JOIN core d ON d.corpus = e.corpus AND d.id = e.nb),
+reach AS (SELECT corpus, id, id AS root FROM core UNION SELECT ce.corpus, ce.nb, r.root FROM reach r JOIN ce ON ce.corpus = r.corpus AND ce.id = r.id),
+lab AS (SELECT corpus, id, min(root) AS root FROM reach GROUP BY corpus, id),
+allp AS (SELECT corpus, id, root FROM lab UNION ALL
+         SELECT e.corpus, e.id, min(lab.root) FROM e JOIN lab ON lab.corpus = e.corpus AND lab.id = e.nb
+         WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.corpus = e.corpus AND c.id = e.id) GROUP BY e.corpus, e.id),
+num AS (SELECT corpus, id, dense_rank() OVER (PARTITION BY corpus ORDER BY root) - 1 AS label FROM allp)
+SELECT ut.corpus, ut.id, coalesce(num.label, -1)::INT AS label, CASE WHEN ep.eps > 0 THEN NULL ELSE 2802 END AS error_code
+FROM ut JOIN ep USING (corpus) LEFT JOIN num ON num.corpus = ut.corpus AND num.id = ut.id"""
+
+
+@register("db2_word_pair_dbscan", DB2_SQL)
 def q_db2(spark, sf):
     return DB.dbscan_word_pairs(_user_turn_profiles(spark, sf))
 
@@ -843,16 +891,75 @@ def q_jn7(spark, sf):
 
 
 # ---------------------------------------------------------------- JSON question source, unknown-word filter, idf text rank
-@register("src1_question_json", "SELECT doc_id AS id, text AS question FROM documents")
-def q_src1(spark, sf):
-    """Questions written as JSON lines ({id, question}) by Spark, read back with a fixed schema."""
+def _scratch(spark, name: str) -> str:
     import uuid
 
     from loomtext.session import ensure_checkpoint_dir
 
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/src1-{uuid.uuid4().hex}"
-    FX.doc_questions(spark, sf).select("id", "question").write.json(path)
-    return spark.read.schema("id LONG, question STRING").json(path)
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+
+
+def _requests(spark, sf):
+    """Question and keyword tables read back from request bodies {questions: [..], keywords: [..]?}, one
+    JSON line per 500 documents, the keywords in the first."""
+    path = _scratch(spark, "src1")
+    q = FX.doc_questions(spark, sf).groupBy(F.floor(F.col("id") / 500).alias("part")).agg(
+        F.collect_list(F.struct("id", "question")).alias("questions"))
+    kw = FX.keywords(spark, sf).agg(F.sort_array(F.collect_list(F.struct("kw_pos", "keyword"))).alias("k")).select(
+        F.lit(0).alias("part"), F.transform("k", lambda e: e["keyword"]).alias("keywords"))  # the 20 derived keywords
+    q.join(kw, "part", "left").drop("part").write.json(path)
+    return S.question_request(spark, path, multi_line=False)
+
+
+@register("src1_question_json", "SELECT doc_id AS id, text AS question FROM documents")
+def q_src1(spark, sf):
+    return _requests(spark, sf)[0]
+
+
+@register("pl3_keyword_request", NB2_SQL)
+def q_pl3(spark, sf):
+    """A request with keywords goes to the keyword clusters (one without goes to greedy clustering)."""
+    q, kw = _requests(spark, sf)
+    return PL.keyword_dispatch(q, cut_lineage(kw), FX.background(spark, sf), FX.stop_list(spark, sf))
+
+
+@register("src2_typed_questions", """
+SELECT text AS question, turn AS question_id, conv_id::VARCHAR AS course_id FROM conversations""")
+def q_src2(spark, sf):
+    """The valid ones among records of three tables, as typed rows."""
+    return S.typed_questions(_question_records(spark, sf), "rec")
+
+
+@register("src4_question_array", "SELECT row_number() OVER (ORDER BY item_id) - 1 AS id, text AS question FROM benchmark")
+def q_src4(spark, sf):
+    """The benchmark passages as one JSON object holding an array (a bounded list), ids by position."""
+    path = _scratch(spark, "src4")
+    b = S.table(spark, sf, "benchmark").agg(F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("s"))
+    b.select(F.transform("s", lambda e: e["text"]).alias("questions")).coalesce(1).write.json(path)
+    return S.string_array_json(spark, path)
+
+
+@register("txt8_lemma_dictionary", f"""
+WITH t AS (SELECT conv_id * 1000 + turn AS id, {Q.lemmas(Q.question('text'))} AS l FROM conversations)
+SELECT id, u.pos - 1 AS pos, CASE WHEN length(u.w) > 3 AND u.w LIKE '%s' THEN left(u.w, length(u.w) - 1) ELSE u.w END AS lemma
+FROM t, LATERAL (SELECT generate_subscripts(t.l, 1) AS pos, unnest(t.l) AS w) u""")
+def q_txt8(spark, sf):
+    """Lemmas by a dictionary table (here: words of four or more letters lose a final s)."""
+    toks = S.token_table(S.turns_as_questions(spark, sf).select("id", "question"))
+    words = toks.select(F.lower("token").alias("token_lower")).distinct().where("length(token_lower) > 3 and token_lower like '%s'")
+    out = S.lemmatize(toks, words.withColumn("lemma", F.expr("left(token_lower, length(token_lower) - 1)")))
+    return out.select("id", F.col("pos").cast("long").alias("pos"), "lemma")
+
+
+@register("txt13_content_words", f"""
+WITH t AS (SELECT conv_id * 1000 + turn AS id, {Q.lemmas(Q.question('text'))} AS l FROM conversations)
+SELECT id, u.pos - 1 AS pos, u.w AS lemma FROM t, LATERAL (SELECT generate_subscripts(t.l, 1) AS pos, unnest(t.l) AS w) u WHERE length(u.w) % 3 <> 0""")
+def q_txt13(spark, sf):
+    """Content words by a (lemma, tag) table; the tag here follows from the length of the word."""
+    toks = S.token_table(S.turns_as_questions(spark, sf).select("id", "question"))
+    tag = F.element_at(F.array(F.lit("ADJ"), F.lit("NOUN"), F.lit("VERB")), (F.length("lemma") % 3 + 1).cast("int"))
+    lexicon = toks.select("lemma").distinct().withColumn("tag", tag)
+    return S.content_words(toks, lexicon).select("id", F.col("pos").cast("long").alias("pos"), "lemma")
 
 
 @register("flt1_known_docs", f"""

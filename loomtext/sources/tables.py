@@ -45,14 +45,6 @@ def turns_as_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def question_batch_json(spark: SparkSession, path: str) -> DataFrame:
-    """SRC1: JSON request body `{questions:[{id, question}], keywords?}` -> (id, question)."""
-    raw = spark.read.option("multiLine", True).schema(
-        "questions ARRAY<STRUCT<id: LONG, question: STRING>>, keywords ARRAY<STRING>"
-    ).json(path)
-    return raw.select(F.inline("questions"))
-
-
 def string_array_json(spark: SparkSession, path: str, field: str = "questions") -> DataFrame:
     """SRC4: `{questions:[str,...]}` -> (id = 0-based position, question)."""
     raw = spark.read.option("multiLine", True).schema(f"{field} ARRAY<STRING>").json(path)
@@ -171,3 +163,37 @@ def union_corpus(*texts: DataFrame) -> DataFrame:
         t = t.select(F.lit(i).alias("src"), "id", "question")
         out = t if out is None else out.unionByName(t)
     return out
+
+
+#: Content tags kept by default; labels also keep adjectives.
+CONTENT_TAGS = ("NOUN", "PROPN", "VERB")
+
+
+def content_words(tokens: DataFrame, lexicon: DataFrame | None, tags: tuple[str, ...] = CONTENT_TAGS,
+                  ignore_pos: bool = False) -> DataFrame:
+    """TXT13: rows of a token table (..., lemma) whose lemma has one of `tags` in `lexicon`
+    (lemma, tag); all rows with `ignore_pos` or without a lexicon."""
+    if lexicon is None or ignore_pos:
+        return tokens
+    listed = lexicon.where(F.col("tag").isin(*tags)).select("lemma").distinct()
+    return tokens.join(listed, "lemma", "left_semi")
+
+
+def question_request(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """SRC1: request bodies `{questions: [{id, question}], keywords: [..]?}` ->
+    ((id, question), (keyword, kw_pos)); kw_pos is the place in its list.  A body is a file, or a line
+    with multi_line=False (so that many bodies are read in parallel)."""
+    raw = spark.read.option("multiLine", multi_line).schema(
+        "questions ARRAY<STRUCT<id: LONG, question: STRING>>, keywords ARRAY<STRING>").json(path)
+    return (raw.select(F.inline("questions")),
+            raw.select(F.posexplode("keywords").alias("kw_pos", "keyword")).select("keyword", (F.col("kw_pos") + 1).alias("kw_pos")))
+
+
+def typed_questions(records: DataFrame, json_col: str) -> DataFrame:
+    """SRC2: valid JSON records -> (question STRING, question_id LONG, course_id STRING)."""
+    from loomtext.sources.validate import check_records
+
+    ok = check_records(records, json_col).where(F.col("error_code").isNull())
+    v = F.parse_json(F.col(json_col))
+    get = lambda name, kind: F.variant_get(v, f"$.{name}", kind).alias(name)
+    return ok.select(get("question", "string"), get("question_id", "bigint"), get("course_id", "string"))
