@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from loomtext.llm import common as C
 
 #: Members of a class that are ranked together.
-CELL = 4096
+CELL = 512
 
 
 def word_count(text: Column) -> Column:
