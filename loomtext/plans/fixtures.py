@@ -59,3 +59,11 @@ def keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 def stop_list(spark: SparkSession, sf: str) -> DataFrame:
     return _memo(spark, sf, "stop", lambda: S.derived_stop_list(doc_token_lemmas(spark, sf)))
+
+
+def release() -> None:
+    """Forget the shared fixtures and free what the executors keep of them."""
+    for v in _MEMO.values():
+        if isinstance(v, DataFrame):
+            v.unpersist()
+    _MEMO.clear()

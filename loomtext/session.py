@@ -6,9 +6,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Above this many rows a "small" side (keyword list, centroid table, ...) is joined with a
+# Above this many rows or bytes a "small" side (keyword list, centroid table, ...) is joined with a
 # shuffle instead of being broadcast.  The guard is applied by `broadcast_if_small`.
 DEFAULT_BROADCAST_ROWS = 200_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "loomtext") -> SparkSession:
@@ -55,12 +56,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a checked row count; larger sides are left to AQE."""
+def _width(field) -> "Column":
+    """About the bytes of a value: long enough strings and arrays count by their length."""
     from pyspark.sql import functions as F
+    from pyspark.sql import types as T
 
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+        return F.greatest(F.size(c), F.lit(0)) * (8 if isinstance(inner, T.NumericType) else 64) + 24
+    return F.lit(8 if isinstance(kind, (T.NumericType, T.BooleanType)) else 64)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only behind a check of rows and bytes; larger sides are left to AQE."""
+    from pyspark.sql import functions as F
+
+    size = F.lit(0)
+    for field in df.schema.fields:
+        size = size + _width(field)
+    n, width = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and width <= max_bytes else df
 
 
 def ship(spark: SparkSession) -> None:
