@@ -28,8 +28,9 @@ from loomtext.llm import common as C
 
 #: Matches of the pattern look at most so many characters past their end or start.
 LOOK = 3
-#: Encoded matches kept by each Python worker; beyond that the table starts anew.
-KEPT = 1 << 17
+#: Encoded matches that each Python worker keeps in each of two generations: when the younger is full it
+#: becomes the older, whose entries come back on use.
+KEPT = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +48,7 @@ class Encoder(dict):
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     # -------------------------------------------------------------- one match
@@ -88,11 +90,15 @@ class Encoder(dict):
         return self.join(self.halves(data[:mid]), self.halves(data[mid:]))
 
     def __missing__(self, match: str) -> bytes:
-        data = match.encode()
-        ids = [self.ranks[data]] if data in self.ranks else self.halves(data)
+        packed = self.older.get(match)
+        if packed is None:
+            data = match.encode()
+            ids = [self.ranks[data]] if data in self.ranks else self.halves(data)
+            packed = np.array(ids, "<u4").tobytes()
         if len(self) >= KEPT:
+            self.older = dict(self)
             self.clear()
-        packed = self[match] = np.array(ids, "<u4").tobytes()
+        self[match] = packed
         return packed
 
     # -------------------------------------------------------------- one text
