@@ -1,15 +1,15 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-case letter runs.  Documents and examples are TF-IDF vectors over the terms whose
-presence is significantly tied to a label (G-test and log odds over all labelled rows of the
-learning folds); all other terms fold into one common term, so that one telling word in a long text
-weighs less than in a short one.  Up to `max_examples` labelled rows form the index, a bounded and
-broadcast one: examples of the same vector make one entry with their number and labels; postings in
-order of entry are cut in blocks, with the largest weight of every term in every block.  For a query,
-the sum of its weights times the block maxima bounds every cosine in a block; blocks are visited in
-falling order of the bound until it lies below the cosine of the k-th best example found, so the
-neighbours are exact.  Votes weigh 1 / (distance + 0.05); the share of toxic votes is calibrated by
-pooled adjacent violators on the learning rows, each scored without itself.
+Terms are lower-case letter runs.  Documents and examples are TF-IDF vectors over all terms of the
+indexed examples, with document frequencies over all labelled rows of the learning folds; no term is
+dropped.  A term significantly tied to a label (G-test and log odds over the same rows) weighs more.
+Terms of a text that no example has count in its length alone.  Up to `max_examples` labelled rows
+form the index, a bounded and broadcast one: examples of the same vector make one entry with their
+number and labels.  Every entry is scored for every text: terms in many entries as a dense matrix
+product over a slice of texts, all others over their postings, both in single precision; what can be
+among the nearest k within the rounding error is scored again in double precision, so the neighbours
+are exact.  Votes weigh 1 / (distance + 0.05); the share of toxic votes is calibrated by pooled
+adjacent violators on the learning rows, each scored without itself.
 
 Null texts and texts without letters have no terms, hence no neighbours, and get the rate of the
 learning rows.  Null or other labels are ignored; of a document labelled more than once the largest
@@ -19,20 +19,29 @@ row; an example never votes for a row with its own doc_id.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm import common as C
 
 TERM = regex.compile(r"\p{L}+")
-BLOCK = 64
+#: At most so many terms, each in one of 50 entries at least, are scored as a dense matrix.
+DENSE = 512
+#: Above the error of a cosine summed in single precision.
+ROUNDING = np.float32(2e-5)
+#: Texts whose dense part is computed at once.
+TOGETHER = 128
 
 
 # ------------------------------------------------------------------ selection of terms
@@ -46,54 +55,96 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([b for _, b in seen.values()], pa.int64())], names=["term", "clean", "toxic"])
 
 
-def select_terms(labelled: DataFrame, n_clean: int, n_toxic: int, max_terms: int, g_least: float, odds_least: float) -> list:
-    """[(term, documents)] most tied to a label: at most `max_terms`, by falling G, then term."""
+def term_weights(labelled: DataFrame, vocabulary: DataFrame, n_clean: int, n_toxic: int, g_least: float, odds_least: float) -> pa.Table:
+    """(term, docs, factor) of all terms of the vocabulary, by term.  The factor is above 1 for
+    terms tied to a label: it grows with the square root of G."""
     t = (labelled.mapInArrow(_tallies, "term string, clean long, toxic long")
-         .groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")))
+         .groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).join(vocabulary, "term", "left_semi"))
     n = n_clean + n_toxic
     part = lambda seen, rows: F.when(seen > 0, seen * F.log(seen * n / ((F.col("a") + F.col("b")) * rows))).otherwise(0.0)
     rest = lambda seen, rows: F.when(seen < rows, (rows - seen) * F.log((rows - seen) * n / ((n - F.col("a") - F.col("b")) * rows))).otherwise(0.0)
     g = 2 * (part(F.col("a"), F.lit(n_clean)) + part(F.col("b"), F.lit(n_toxic)) + rest(F.col("a"), F.lit(n_clean)) + rest(F.col("b"), F.lit(n_toxic)))
     odds = F.log((F.col("b") + 0.5) / (n_toxic - F.col("b") + 0.5)) - F.log((F.col("a") + 0.5) / (n_clean - F.col("a") + 0.5))
+    tied = (F.col("g") >= g_least) & (F.abs("odds") >= odds_least)
     found = t.select("term", (F.col("a") + F.col("b")).alias("docs"), g.alias("g"), odds.alias("odds"))
-    best = found.where((F.col("g") >= g_least) & (F.abs("odds") >= odds_least)).orderBy(F.desc("g"), "term").limit(max_terms)
-    return [(r["term"], r["docs"]) for r in best.collect()]
+    factor = F.when(tied, 1 + F.sqrt(F.col("g") / g_least)).otherwise(1.0).alias("factor")
+    return found.select("term", "docs", factor).toArrow().combine_chunks().sort_by("term")
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in C.slices(batches):
+        found = [Counter(TERM.findall(t.lower())) for t in C.utf8(C.column(batch, "text")).to_pylist()]
+        out = pa.RecordBatch.from_arrays(
+            [C.column(batch, "doc_id"), C.column(batch, "y"), pa.array([list(c) for c in found], pa.list_(pa.string())),
+             pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "y", "terms", "tf"])
+        yield out.filter(pa.array([bool(c) for c in found]))
 
 
 # ------------------------------------------------------------------ index
 @dataclass
 class Index:
-    """Entries in index order with their unit vectors as postings; `first[t, b]` (flat) is where the
-    postings of term t for block b begin, `most[t, b]` the largest weight among them.  An entry stands
-    for `n` examples of one vector, `toxic` of them toxic, `ids` the smallest doc_id; `members` maps
-    the doc_id of every example to its entry and label."""
+    """Entries by smallest doc_id with their unit vectors: entry e has the terms `terms` and weights
+    `weights` from `start[e]` on, term t the entries `entry` and weights `weight` from `first[t]` on.
+    An entry stands for `n` examples of one vector, `toxic` of them toxic, `ids` the smallest doc_id;
+    `members` maps the doc_id of every example to its entry and label."""
     number: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray
     n: np.ndarray
     toxic: np.ndarray
     members: dict[int, tuple[int, int]]
+    start: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+    first: np.ndarray
     entry: np.ndarray
     weight: np.ndarray
-    first: np.ndarray
-    most: np.ndarray
+
+    @cached_property
+    def buffer(self) -> np.ndarray:
+        """A vector over all terms, 0 between uses."""
+        return np.zeros(len(self.idf))
+
+    @cached_property
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """(column of each term or -1, [column, entry] weights) of the terms in most entries."""
+        df = np.diff(self.first)
+        chosen = np.argsort(-df, kind="stable")[:DENSE]
+        chosen = chosen[df[chosen] * 50 >= max(1, len(self.n))]
+        column = np.full(len(df), -1)
+        column[chosen] = np.arange(len(chosen))
+        table = np.zeros((len(chosen), len(self.n)), np.float32)
+        for j, t in enumerate(chosen.tolist()):
+            at = slice(self.first[t], self.first[t + 1])
+            table[j, self.entry[at]] = self.weight[at]
+        return column, table
 
 
 def weigh(terms: list, n_docs: int) -> tuple[dict[str, int], np.ndarray]:
-    """Numbers of the selected terms, and the idf of each and (last) of the common term."""
-    return ({t: i for i, (t, _) in enumerate(terms)},
-            np.array([1 + math.log((n_docs + 1) / (d + 1)) for _, d in terms] + [1.0]))
+    """Numbers of the terms, (term, documents) or (term, documents, factor), and the idf of each times
+    its factor, and (last) the idf of a term no document has."""
+    idf = lambda d, factor=1.0: (1 + math.log((n_docs + 1) / (d + 1))) * factor
+    return {t[0]: i for i, t in enumerate(terms)}, np.array([idf(*t[1:]) for t in terms] + [idf(0)])
+
+
+def counted(counts: Counter, number: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers and unit weights (1 + log tf) idf; terms without a number share the last one,
+    with the length of their vector as weight."""
+    at = np.fromiter((number.get(t, -1) for t in counts), np.int64, len(counts))
+    tf = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+    known = at >= 0
+    terms = at[known]
+    order = np.argsort(terms)
+    terms = terms[order]
+    w = (tf[known] * idf[at[known]])[order]
+    if not known.all():
+        terms, w = np.append(terms, len(number)), np.append(w, np.linalg.norm(tf[~known]) * idf[-1])
+    return terms, w / np.linalg.norm(w) if len(w) else w
 
 
 def vector(text: str, number: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of a text and their unit weights (1 + log tf) idf."""
-    found = TERM.findall(text.lower())
-    counts = Counter(t for t in found if t in number)
-    rest = len(found) - sum(counts.values())
-    tf = {number[t]: n for t, n in counts.items()} | ({len(number): rest} if rest else {})
-    terms = np.array(sorted(tf), np.int64)
-    w = np.array([(1 + math.log(tf[t])) * idf[t] for t in terms.tolist()])
-    return terms, w / np.linalg.norm(w) if len(w) else w
+    """Terms of a text and their unit weights."""
+    return counted(Counter(TERM.findall(text.lower())), number, idf)
 
 
 def build_index(examples: list, terms: list, n_docs: int) -> Index:
@@ -101,50 +152,90 @@ def build_index(examples: list, terms: list, n_docs: int) -> Index:
     number, idf = weigh(terms, n_docs)
     groups: dict[tuple, list] = {}
     for e in sorted(examples, key=lambda e: e[0]):
-        groups.setdefault((tuple(e[2].tolist()), tuple(np.round(e[3], 9).tolist())), []).append(e)
-    heaviest = lambda e: int(e[2][np.argmax(e[3])])
-    entries = sorted(groups.values(), key=lambda g: (heaviest(g[0]), len(g[0][2]), g[0][0]))  # alike entries share blocks
-    blocks = -(-len(entries) // BLOCK)
-    t = np.concatenate([np.zeros(0, np.int64), *(g[0][2] for g in entries)]).astype(np.int64)
+        groups.setdefault((e[2].tobytes(), np.round(e[3], 9).tobytes()), []).append(e)
+    entries = list(groups.values())
+    t = np.concatenate([np.zeros(0, np.int64), *(g[0][2] for g in entries)]).astype(np.int32)
     w = np.concatenate([np.zeros(0), *(g[0][3] for g in entries)])
-    e = np.repeat(np.arange(len(entries)), [len(g[0][2]) for g in entries])
-    order = np.lexsort((e, t))
-    t, w, e = t[order], w[order], e[order]
-    cell = t * blocks + e // BLOCK
-    most = np.zeros(len(idf) * blocks)
-    np.maximum.at(most, cell, w)
-    first = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(idf) * blocks))])
+    lens = np.array([len(g[0][2]) for g in entries], np.int64)
+    order = np.argsort(t, kind="stable")
     members = {x[0]: (i, x[1]) for i, g in enumerate(entries) for x in g}
     return Index(number, idf, np.array([g[0][0] for g in entries], np.int64), np.array([len(g) for g in entries], np.int64),
-                 np.array([sum(x[1] for x in g) for g in entries], np.int64), members, e, w, first, most.reshape(len(idf), blocks))
-
-
-def neighbours(index: Index, terms: np.ndarray, weights: np.ndarray, k: int, own: int | None = None):
+                 np.array([sum(x[1] for x in g) for g in entries], np.int64), members, np.concatenate([[0], np.cumsum(lens)]), t, w,
+                 np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(idf)))]),
+                 np.repeat(np.arange(len(entries), dtype=np.int32), lens)[order], w[order].astype(np.float32))
+
+
+class Packed:
+    """Terms and examples as broadcast: compressed counts, from which each worker builds its index."""
+
+    def __init__(self, terms: pa.Table, sample: pa.Table, n_docs: int):
+        flat = lambda c: sample[c].combine_chunks().flatten()
+        t = pc.index_in(flat("terms"), value_set=terms["term"].combine_chunks()).to_numpy().astype(np.int32)
+        lens = pc.list_value_length(sample["terms"]).to_numpy().astype(np.int64)
+        order = np.lexsort((t, np.repeat(np.arange(len(lens)), lens)))
+        t, tf = t[order], flat("tf").to_numpy()[order]
+        parts = ("\n".join(terms["term"].to_pylist()), terms["docs"].to_numpy(), terms["factor"].to_numpy(), n_docs,
+                 pc.fill_null(sample["doc_id"], -1).to_numpy(), sample["y"].to_numpy(), lens, np.diff(t, prepend=np.int32(0)), tf)
+        self.data = zstandard.ZstdCompressor(level=3).compress(pickle.dumps(parts))
+
+    @cached_property
+    def index(self) -> Index:
+        words, docs, factor, n_docs, ids, y, lens, t, tf = pickle.loads(zstandard.ZstdDecompressor().decompress(self.data))
+        terms = list(zip(words.split("\n"), docs.tolist(), factor.tolist())) if len(docs) else []
+        t = np.cumsum(t, dtype=np.int64)
+        ends = np.cumsum(lens)
+        w = (1 + np.log(tf)) * weigh(terms, n_docs)[1][t]
+        w /= np.repeat(np.sqrt(np.add.reduceat(w * w, ends - lens)), lens) if len(lens) else 1
+        examples = [(i, label, t[b - m:b], w[b - m:b]) for i, label, b, m in zip(ids.tolist(), y.tolist(), ends.tolist(), lens.tolist())]
+        return build_index(examples, terms, n_docs)
+
+
+def dense_scores(index: Index, vectors: list) -> np.ndarray:
+    """[text, entry]: the part of the cosines that the dense terms make."""
+    column, table = index.dense
+    q = np.zeros((len(vectors), len(table)), np.float32)
+    for i, (terms, weights) in enumerate(vectors):
+        j = column[terms]
+        q[i, j[j >= 0]] = weights[j >= 0]
+    return q @ table
+
+
+def _ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges from a to b, one after another, and the length of each."""
+    lens = b - a
+    ends = np.cumsum(lens)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(a - (ends - lens), lens), lens
+
+
+def neighbours(index: Index, terms: np.ndarray, weights: np.ndarray, k: int, own: int | None = None, score: np.ndarray | None = None):
     """Entries that hold the k examples of largest cosine (above 0) to a unit vector, exact:
-    (entries, cosines, examples, toxic ones), without the example `own`."""
-    blocks = index.most.shape[1]
+    (entries, cosines, examples, toxic ones), without the example `own`.  `score` is the vector's row
+    of dense_scores, which is changed."""
     none = np.zeros(0, np.int64)
-    if not len(terms) or not blocks:
+    if not len(terms) or not len(index.n):
         return none, np.zeros(0), none, none
     mine, label = index.members.get(own, (-1, 0))
-    bound = weights @ index.most[terms]
-    found, cosines, least = none, np.zeros(0), 0.0
-    for b in np.argsort(-bound, kind="stable").tolist():
-        if bound[b] <= 0 or bound[b] < least - 1e-12:
-            break
-        score = np.zeros(BLOCK)
-        for t, w in zip(terms.tolist(), weights.tolist()):
-            lo, hi = index.first[t * blocks + b], index.first[t * blocks + b + 1]
-            score[index.entry[lo:hi] - b * BLOCK] += w * index.weight[lo:hi]
-        at = np.flatnonzero(score > 0)
-        new = at + b * BLOCK
-        real = index.n[new] > (new == mine)
-        found, cosines = np.concatenate([found, new[real]]), np.concatenate([cosines, score[at[real]]])
-        best = np.lexsort((found, -np.round(cosines, 12)))
-        found, cosines = found[best], cosines[best]
-        reach = int(np.searchsorted(np.cumsum(index.n[found] - (found == mine)), k)) + 1
-        least = cosines[reach - 1] if reach <= len(found) else 0.0
-        found, cosines = found[:reach], cosines[:reach]
+    score = dense_scores(index, [(terms, weights)])[0] if score is None else score
+    rare = terms[index.dense[0][terms] < 0]
+    of, lens = _ranges(index.first[rare], index.first[rare + 1])
+    query = index.buffer
+    query[terms] = weights
+    score += np.bincount(index.entry[of], np.repeat(query[rare], lens) * index.weight[of], len(score)).astype(np.float32)
+    if mine >= 0 and index.n[mine] == 1:
+        score[mine] = -1
+    # k entries other than `mine`'s remainder hold k examples at least
+    least = np.partition(score, -k)[-k] - ROUNDING if len(score) > k else np.float32(-1)
+    at = np.flatnonzero(score >= max(least, -ROUNDING))
+    if mine >= 0 and index.n[mine] == 1:
+        at = at[at != mine]
+    of, lens = _ranges(index.start[at], index.start[at + 1])
+    cosines = np.add.reduceat(index.weights[of] * query[index.terms[of]], np.cumsum(lens) - lens) if len(at) else np.zeros(0)
+    query[terms] = 0
+    at, cosines = at[cosines > 0], cosines[cosines > 0]
+    best = np.lexsort((at, -np.round(cosines, 12)))
+    found, cosines = at[best], cosines[best]
+    reach = int(np.searchsorted(np.cumsum(index.n[found] - (found == mine)), k)) + 1
+    found, cosines = found[:reach], cosines[:reach]
     is_mine = (found == mine).astype(np.int64)
     return found, cosines, index.n[found] - is_mine, index.toxic[found] - is_mine * label
 
@@ -164,15 +255,18 @@ _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("tox
 
 def _votes(sent, k: int, shown: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index = sent.value.index
         for batch in C.slices(batches):
             ids = C.column(batch, "doc_id")
             raw, evidence = [], []
-            for own, text in zip(ids.to_pylist(), C.utf8(C.column(batch, "text")).to_pylist()):
-                found, cosine, n, toxic = neighbours(index, *vector(text, index.number, index.idf), k, own)
-                raw.append(vote(cosine, n, toxic, k))
-                evidence.append([{"doc_id": int(index.ids[f]), "n": int(m), "toxic": int(y), "cosine": float(c)}
-                                 for f, c, m, y in zip(found[:shown], cosine, n, toxic)])
+            own, texts = ids.to_pylist(), C.utf8(C.column(batch, "text")).to_pylist()
+            for a in range(0, len(texts), TOGETHER):
+                vectors = [vector(t, index.number, index.idf) for t in texts[a:a + TOGETHER]]
+                for i, v, scores in zip(own[a:a + TOGETHER], vectors, dense_scores(index, vectors)):
+                    found, cosine, n, toxic = neighbours(index, *v, k, i, scores)
+                    raw.append(vote(cosine, n, toxic, k))
+                    evidence.append([{"doc_id": int(index.ids[f]), "n": int(m), "toxic": int(y), "cosine": float(c)}
+                                     for f, c, m, y in zip(found[:shown], cosine, n, toxic)])
             yield pa.RecordBatch.from_arrays([ids, C.column(batch, "held_out"), pa.array(raw, pa.float64()), pa.array(evidence, _EVIDENCE)],
                                              names=["doc_id", "held_out", "raw", "evidence"])
     return run
@@ -191,9 +285,9 @@ def isotonic(cells: list[tuple[float, int, int]]) -> list[tuple[float, float]]:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held: Column, k: int = 15, max_examples: int = 20_000,
-                    max_terms: int = 4096, g_least: float = 25.0, odds_least: float = 1.0, shown: int = 3) -> DataFrame:
+                    g_least: float = 25.0, odds_least: float = 1.0, shown: int = 3) -> DataFrame:
     """(doc_id, text), (doc_id, toxic) -> (doc_id, held_out, score, evidence).  Labels count only where
-    `held` (an expression over doc_id) is false.  All such rows select the terms; the index holds
+    `held` (an expression over doc_id) is false.  All such rows weigh the terms; the index holds
     those of lowest hash, about `max_examples`."""
     spark = docs.sparkSession
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"), held.alias("h"))
@@ -202,23 +296,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held: Column, k: int = 1
     labelled = C.join_small(rows, known, "doc_id", "inner").select("doc_id", "text", "y")
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     rate = (ones + 0.5) / (n + 1)
-    terms = select_terms(labelled, n - ones, ones, max_terms, g_least, odds_least) if 0 < ones < n else []
-    number, idf = weigh(terms, n)
-
-    def vectors(batches):
-        for batch in C.slices(batches):
-            out = [(i, y, *vector(t, number, idf)) for i, y, t in zip(*(C.column(batch, c).to_pylist() for c in ("doc_id", "y")), C.utf8(C.column(batch, "text")).to_pylist())]
-            out = [e for e in out if len(e[2])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int32()),
-                 pa.array([e[2] for e in out], pa.list_(pa.int64())), pa.array([e[3] for e in out], pa.list_(pa.float64()))],
-                names=["doc_id", "y", "t", "w"])
 
     share = int((1 << 20) * min(1.0, max_examples / max(n, 1)))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
-    got = sample.mapInArrow(vectors, "doc_id long, y int, t array<long>, w array<double>").toArrow().to_pylist()
-    examples = [(e["doc_id"] if e["doc_id"] is not None else -1, e["y"], np.array(e["t"], np.int64), np.array(e["w"])) for e in got]
-    sent = spark.sparkContext.broadcast(build_index(examples, terms, n))
+    sample = C.materialise(labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+                           .mapInArrow(_counts, "doc_id long, y int, terms array<string>, tf array<int>"))
+    vocabulary = sample.select(F.explode("terms").alias("term")).distinct()
+    terms = term_weights(labelled, vocabulary, n - ones, ones, g_least, odds_least)
+    sent = spark.sparkContext.broadcast(Packed(terms, sample.toArrow(), n))
     raw = C.materialise(rows.mapInArrow(_votes(sent, k, shown), RAW))
 
     # calibration on the learning rows, in cells of one fortieth

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -67,6 +68,21 @@ def test_block_search_equals_brute_force():
         assert (n > 0).all() and (toxic <= n).all()
 
 
+def test_copies_are_nearest_without_telling_terms(spark):
+    """A held-out copy of a toxic example that shares no term tied to a label finds that example."""
+    given, labels = _corpus()
+    text = "an entirely plain passage whose toxicity no single word gives away"
+    is_held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    one, other = (next(i for i in range(9000, 9100) if is_held(i) == h) for h in (False, True))
+    given += [(one, text), (other, text)]
+    got = {r.doc_id: r for r in T.toxicity_scores(docs(spark, given), spark.createDataFrame(labels + [(one, 1, 1)], LABELS),
+                                                  C.fold(F.col("doc_id"), 5) == 0).collect()}
+    first = got[other].evidence[0]
+    assert (first.doc_id, first.n, first.toxic) == (one, 1, 1) and abs(first.cosine - 1) < 1e-9
+    a, b = (got[next(i for i, r in got.items() if i < 600 and i % 6 and r.held_out == h)] for h in (True, False))
+    assert a.evidence[0].cosine < 1 and b.evidence[0].n == 1  # plain texts do not collapse into one entry
+
+
 def test_isotonic():
     out = T.isotonic([(0.0, 10, 1), (0.5, 10, 5), (0.7, 10, 3), (1.0, 10, 9)])
     rates = [p for _, p in out]
