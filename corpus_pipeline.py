@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that more than 5% of their source's documents share."""
-    out = line_dedup.drop_boilerplate(docs, "doc_id", F.col("source"), max_ratio=0.05, min_pages=5)
+    """Documents without the lines that more than 1% of their source's documents (and 5 at least) share."""
+    out = line_dedup.drop_boilerplate(docs, "doc_id", F.col("source"), max_ratio=0.01, min_pages=5)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
 

@@ -49,6 +49,13 @@ def test_near_copies_keeps_the_smallest_id(spark):
     assert got == [None, 3, 7]
 
 
+def test_lines_drops_what_some_hundredths_of_a_source_share(spark):
+    given = [(i, f"text number {i}\n" + "Licensed alike.\n" * (i % 25 == 0) + "Only here." * (i % 100 == 1)) for i in range(200)]
+    got = {r.doc_id: r.text for r in P.lines(spark, docs(spark, given), SF).collect()}
+    assert len(got) == 200 and not any("Licensed alike." in t for t in got.values())
+    assert all("text number" in t for t in got.values()) and sum("Only here." in t for t in got.values()) == 2
+
+
 def test_run_equals_the_stages(spark):
     importlib.reload(P)
     assert [n for n, _ in P.STAGES][0] == "quality classifier" and len(P.STAGES) == 5 and P.ORACLE_SQL is None
