@@ -6,8 +6,9 @@ any match through the anchor could use and validates what it finds there:
 * email: the local part is the run to the left of the at-sign, the domain is parsed to its right;
 * ip, card, phone: the run of digits and number punctuation around the anchor, in which each kind
   is matched leftmost and without overlap, then validated (parts, Luhn, number of digits);
-* added to these: `url` (a scheme whose authority carries user information), `iban` (mod 97),
-  `account` (an identifier with a digit that follows a cue such as "account number:" or "token =").
+* added to these: `url` (a scheme whose authority carries user information), `iban` (length
+  by country and mod 97, anywhere in the line behind the cue), `account` (an identifier with a digit that
+  follows a cue such as "account number:", "token =" or "account", in any case).
 A run is delimited by characters that no match of its kinds can hold, so matching inside it gives
 the matches of the whole text.  Spans are code points, end exclusive, ordered by kind, then start.
 
@@ -37,10 +38,16 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,15}\Z")
 AUTHORITY = re.compile(r"[^\s/?#@\"'<>]++@[^\s/?#\"'<>]++")
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-VALUE = re.compile(r"(?:[ \t]{1,3}(?:number|no\.?|id|nr\.?))?[ \t]{0,3}[:=#][ \t]{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9-]{4,62}[A-Za-z0-9])(?![A-Za-z0-9-])", re.I)
-#: Cues of identifiers, each looked for in lower case, upper case and with a capital.
+IBAN = re.compile(r"(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {c: int(n) for n, codes in (p.split(":") for p in (
+    "15:NO|16:BE|18:DK FK FI FO GL NL SD|19:MK SI|20:AT BA EE KZ LT LU MN XK|21:CH HR LI LV|22:BG BH CR DE GB GE IE ME RS VA|"
+    "23:AE GI IL IQ OM SO TL|24:AD CZ ES MD PK RO SA SE SK TN VG|25:LY PT ST|26:IS TR|27:BI DJ FR GR IT MC MR SM|"
+    "28:AL AZ BY CY DO GT HN HU LB NI PL SV|29:BR EG PS QA UA|30:JO KW MU YE|31:MT SC|32:LC|33:RU").split("|")) for c in codes.split()}
+VALUE = re.compile(r"(?:[ \t]{1,3}(?:number|no\.?|id|nr\.?))?(?:[ \t]{0,3}[:=#][ \t]{0,3}|[ \t]{1,3})[\"']?([A-Za-z0-9][A-Za-z0-9-]{4,62}[A-Za-z0-9])(?![A-Za-z0-9-])", re.I)
+#: Cues of identifiers, looked for in any case.
 CUES = ["account", "acct", "iban", "konto", "compte", "cuenta", "passport", "ssn", "token", "api_key", "password"]
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -50,8 +57,7 @@ def automaton() -> ahocorasick.Automaton:
     a.add_word("@", ("at", 1))
     a.add_word("://", ("scheme", 3))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(form, ("cue", len(form)))
+        a.add_word(cue, ("cue", len(cue)))
     a.make_automaton()
     return a
 
@@ -79,11 +85,28 @@ def _numbers(text: str, a: int, b: int, out: list) -> None:
                 out.append((3, a + m.start(), a + m.end()))
 
 
+def _ibans(text: str, a: int, b: int, out: list) -> None:
+    """All valid IBANs between a and b, leftmost first: as long as their country has them, for
+    other countries as long as mod 97 allows."""
+    done = a
+    for m in IBAN.finditer(text, a, b):
+        if m.start() < done:
+            continue
+        at = [i for i in range(*m.span(1)) if text[i] != " "]
+        iban, length = m[1].replace(" ", ""), IBAN_LENGTHS.get(m[1][:2])
+        for n in [length] if length else range(len(iban), 14, -1):
+            if n <= len(iban) and _mod97(iban[:n]):
+                done = at[n - 1] + 1
+                out.append((5, m.start(), done))
+                break
+
+
 def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(number of the kind, start, end) of every span, by kind, then start."""
     out: list[tuple[int, int, int]] = []
-    numbers_done = email_done = 0
-    for last, (kind, width) in anchors.iter(text):
+    numbers_done = email_done = iban_done = 0
+    lower = text.lower() if text.isascii() else text.translate(LOWER)  # both keep every position
+    for last, (kind, width) in anchors.iter(lower):
         at = last - width + 1
         if kind == "number":
             if at < numbers_done:
@@ -111,10 +134,10 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]
             m = VALUE.match(text, last + 1)
             if m and any(c.isdigit() for c in m[1]):
                 out.append((6, m.start(1), m.end(1)))
-            if text[at:last + 1].lower() == "iban":
-                m = IBAN.search(text, last + 1, last + 48)
-                if m and _mod97(m[0].replace(" ", "")):
-                    out.append((5, m.start(), m.end()))
+            if lower[at:last + 1] == "iban" and last >= iban_done:
+                end = text.find("\n", last)
+                iban_done = len(text) if end < 0 else end
+                _ibans(text, last + 1, iban_done, out)
     return sorted(set(out))
 
 

@@ -42,6 +42,23 @@ def test_added_kinds():
     assert found("the account of the matter, a token: of thanks") == []
 
 
+def test_added_kinds_in_running_text():
+    found = lambda t: [(pii.KINDS[k], t[a:b]) for k, a, b in pii.find(t, pii.automaton()) if k > 3]
+    iban = ("iban", "DE89 3704 0044 0532 0130 00")
+    assert found(f"IBAN {iban[1]} BIC COBADEFFXXX") == [iban]
+    assert found(f"IBAN {iban[1]} 2024 EUR") == [iban]
+    assert found(f"The IBAN of the firm that you will have to pay the whole sum to is {iban[1]} or\nso") == [iban]
+    assert found(f"İ iBaN {iban[1]} and GB82 WEST 1234 5698 7654 32 X") == [iban, ("iban", "GB82 WEST 1234 5698 7654 32")]
+    assert found(f"IBAN below\n{iban[1]}") == found("IBAN DE88 3704 0044 0532 0130 00 BIC") == []
+    assert found("account 12345678 was closed") == [("account", "12345678")]
+    assert found("Api_Key = a1b2c3d4") == [("account", "a1b2c3d4")]
+    assert found("İ aCCount NO 12-34567") == [("account", "12-34567")]
+
+
+def test_many_ibans_take_linear_time():
+    assert pii.find("iban AB12 " * 20_000, pii.automaton()) == []
+
+
 def test_documents(spark):
     given = odd_texts() + [(700, "mail me.x@y.org or +49 (0)30 1234567"), (700, "mail me.x@y.org or +49 (0)30 1234567")]
     got = pii.personal_data(docs(spark, given)).collect()
