@@ -8,8 +8,8 @@ Newton's iterations on the dual run as one aggregation per round over the table
 classes, since documents of one source and size share their rate; a bracket guards each step.
 
 Rounding.  Rates are rounded over the classes of a source in order of size (cumulative floors, so
-that errors cancel between neighbours of nearly equal size); then, a few times, the one copy whose
-addition or removal brings the source nearest to its target is added or removed.  Inside a class the
+that errors cancel between neighbours of nearly equal size); then the one copy whose addition or
+removal brings the source nearest to its target is added or removed, until no copy brings any nearer.  Inside a class the
 copies go to documents in the order of a hash of their id, dealt over hash cells of bounded size.
 All parts are DataFrame operations, and the result does not depend on partitioning.
 
@@ -57,7 +57,7 @@ def _rate(cap: float) -> Column:
     return F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("x"), F.lit(50.0))))
 
 
-def multipliers(classes: DataFrame, goals: DataFrame, cap: float, tolerance: float, rounds: int = 100) -> DataFrame:
+def multipliers(classes: DataFrame, goals: DataFrame, cap: float, tolerance: float, rounds: int = 200) -> DataFrame:
     """(source, lam, mean): Newton on the dual; classes (source, size, n), goals (source, target, mean)."""
     state = goals.select("source", "target", "mean", F.lit(0.0).alias("lam"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"))
     for _ in range(rounds):  # a step that leaves its bracket halves it, so the rounds suffice for the last bit
@@ -81,7 +81,7 @@ def multipliers(classes: DataFrame, goals: DataFrame, cap: float, tolerance: flo
 
 
 def _corrected(k: DataFrame, cap: int) -> DataFrame:
-    """(source, size, n, target, k) with one copy added to or taken from the class of each source that
+    """(source, size, n, target, k, moved) with one copy added to or taken from the class of each source that
     brings it nearest to its target, if any does."""
     of_source = Window.partitionBy("source")  # classes: as many rows as sizes occur
     gap = F.max("target").over(of_source) - F.sum(F.col("k") * F.col("size")).over(of_source)
@@ -90,11 +90,10 @@ def _corrected(k: DataFrame, cap: int) -> DataFrame:
     may = (F.col("size") > 0) & (F.col("k") + F.col("sign")).between(F.lit(0), F.col("n") * cap) & (after < F.abs("gap"))
     c = c.withColumn("best", F.min(F.when(may, F.struct(after.alias("after"), "size"))).over(of_source))
     return c.select("source", "size", "n", "target", (F.col("k") + F.when(F.col("best.size") == F.col("size"), F.col("sign"))
-                                                      .otherwise(0)).alias("k"))
+                                                      .otherwise(0)).alias("k"), F.col("best").isNotNull().alias("moved"))
 
 
-def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, cap: int = 2, tolerance: float = 1e-8,
-        corrections: int = 4) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, cap: int = 2, tolerance: float = 1e-9) -> DataFrame:
     """(doc_id, source, text) -> (doc_id, source, size, source_size, target, copies)."""
     rows = C.materialise(docs.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size")))
     classes = C.materialise(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -117,8 +116,10 @@ def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, c
     copies = F.col("upto") - F.coalesce(F.lag("upto").over(Window.partitionBy("source").orderBy("size")), F.lit(0))
     k = priced.withColumn("upto", upto).select(
         "source", "size", "n", "target", F.least(F.greatest(copies, F.lit(0)), F.col("n") * cap).alias("k"))
-    for _ in range(corrections):
+    while True:  # every step brings the words of a source, a whole number, nearer to its target: this ends
         k = C.materialise(_corrected(k, cap))
+        if not k.where("moved").limit(1).count():
+            break
 
     # copies of a class are dealt over its cells, then over the documents of a cell
     k = k.select(F.col("source").alias("of"), F.col("size").alias("in"), "n", "k", F.ceil(F.col("n") / CELL).alias("cells"))

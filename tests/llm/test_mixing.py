@@ -67,3 +67,14 @@ def test_empty_and_wordless(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     got = mixing.mix(docs(spark, [(1, None), (2, ""), (3, " ")])).collect()
     assert [(r.size, r.target, r.copies) for r in got] == [(0, 0.0, 1)] * 3
+
+
+def test_no_single_copy_brings_a_source_nearer(spark):
+    given = [(100 * s + i, "w " * 2 ** i, "en", f"s{s}") for s in range(12) for i in range(13 - s % 3)]
+    got = mixing.mix(docs(spark, given)).collect()
+    for s in {r.source for r in got}:
+        mine = [r for r in got if r.source == s]
+        gap = mine[0].target - sum(r.size * r.copies for r in mine)
+        for r in mine:
+            assert r.copies == 2 or abs(gap - r.size) >= abs(gap) - 1e-6
+            assert r.copies == 0 or abs(gap + r.size) >= abs(gap) - 1e-6
