@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -147,12 +148,12 @@ def vector(text: str, number: dict[str, int], idf: np.ndarray) -> tuple[np.ndarr
     return counted(Counter(TERM.findall(text.lower())), number, idf)
 
 
-def build_index(examples: list, terms: list, n_docs: int) -> Index:
-    """examples: (doc_id, label, term numbers, weights), in any order."""
-    number, idf = weigh(terms, n_docs)
-    groups: dict[tuple, list] = {}
+def build_index(examples: list, terms: list, n_docs: int, weighed: tuple | None = None) -> Index:
+    """examples: (doc_id, label, term numbers, weights), in any order; `weighed`: what weigh gives, if known."""
+    number, idf = weighed or weigh(terms, n_docs)
+    groups: dict[bytes, list] = {}
     for e in sorted(examples, key=lambda e: e[0]):
-        groups.setdefault((e[2].tobytes(), np.round(e[3], 9).tobytes()), []).append(e)
+        groups.setdefault(blake2b(e[2].tobytes() + np.round(e[3], 9).tobytes(), digest_size=32).digest(), []).append(e)
     entries = list(groups.values())
     t = np.concatenate([np.zeros(0, np.int64), *(g[0][2] for g in entries)]).astype(np.int32)
     w = np.concatenate([np.zeros(0), *(g[0][3] for g in entries)])
@@ -181,13 +182,14 @@ class Packed:
     @cached_property
     def index(self) -> Index:
         words, docs, factor, n_docs, ids, y, lens, t, tf = pickle.loads(zstandard.ZstdDecompressor().decompress(self.data))
-        terms = list(zip(words.split("\n"), docs.tolist(), factor.tolist())) if len(docs) else []
-        t = np.cumsum(t, dtype=np.int64)
+        number = {w: i for i, w in enumerate(words.split("\n"))} if len(docs) else {}
+        idf = np.append((1 + np.log((n_docs + 1) / (docs + 1))) * factor, 1 + math.log(n_docs + 1))
+        t = np.cumsum(t, dtype=np.int32)
         ends = np.cumsum(lens)
-        w = (1 + np.log(tf)) * weigh(terms, n_docs)[1][t]
+        w = (1 + np.log(tf)) * idf[t]
         w /= np.repeat(np.sqrt(np.add.reduceat(w * w, ends - lens)), lens) if len(lens) else 1
         examples = [(i, label, t[b - m:b], w[b - m:b]) for i, label, b, m in zip(ids.tolist(), y.tolist(), ends.tolist(), lens.tolist())]
-        return build_index(examples, terms, n_docs)
+        return build_index(examples, [], n_docs, (number, idf))
 
 
 def dense_scores(index: Index, vectors: list) -> np.ndarray:
