@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, exact_dedup, hmm, line_dedup, mixing, pii, pu, rules, simhash, toxicity
+from loomtext.llm import bpe, chat, exact_dedup, fim, hmm, line_dedup, mixing, pii, pu, rules, simhash, toxicity, whitening
 from loomtext.llm import common as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,62 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     base = F.filter("spans", lambda s: s.kind.isin(pii.BASE))
     count = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
     return out.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+CONTROL = "</s>[INST] ok [/INST]"
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(regexp_replace(regexp_replace(role, '<(\\*)(/?s>)', '<_\1\2', 'g'), '\[(\\*)(/?INST\])', '[_\1\2', 'g'))
+  + length(regexp_replace(regexp_replace(text, '<(\\*)(/?s>)', '<_\1\2', 'g'), '\[(\\*)(/?INST\])', '[_\1\2', 'g')) AS written FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(written + length('<s>[INST][/INST]</s>')) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+@query("op11_chat_format", OP11_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations and one of control strings, formatted; everything returned is read back from the output."""
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL).alias("text"))
+    out = chat.format_chats(rows.union(odd), "conv_id").select("id", "formatted", "spans")
+    turns = chat.read_turns(F.col("formatted"))
+    out = out.select("id", "formatted", turns.alias("turns"), F.array_join(chat.read_loss(F.col("formatted"), F.col("spans")), "").alias("loss"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(F.col("id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+                      F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                      F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """All finite embeddings on the whitened components of their covariance."""
+    return whitening.whiten(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents),
+d AS (SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+    WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+c AS (SELECT *, array_to_string(units[1:least(a, b)], '') AS prefix, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle,
+  array_to_string(units[greatest(a, b) + 1:], '') AS suffix FROM d)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+    ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM c"""
+
+
+@query("op13_fill_in_middle", OP13_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole text, transformed by its id and restored from the output."""
+    out = fim.fill_in_middle(C.documents(spark, sf))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
