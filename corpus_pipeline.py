@@ -15,31 +15,37 @@ from loomtext.llm import common as C
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches 0.3."""
+    """Documents whose quality score reaches 0.3, row by row: null texts are scored as empty ones, repeated
+    rows stay or go together."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return pu.keep_quality(docs, labels, C.fold(F.col("doc_id"), 5) == 0, threshold=0.3)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that more than 1% of their source's documents (and 5 at least) share."""
+    """Documents without the lines that more than 1% of their source's documents (and 5 at least) share.
+    Null texts become empty; repeated rows, null and repeated ids count as line_dedup says."""
     out = line_dedup.drop_boilerplate(docs, "doc_id", F.col("source"), max_ratio=0.01, min_pages=5)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.  Rows without a
-    doc_id cannot be told apart and stay; of rows that repeat a doc_id one stays."""
-    found = C.materialise(simhash.near_duplicates(docs.select("doc_id", "text"), shingle=4, max_bits=4))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    out = C.join_small(docs, gone, "doc_id", "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.where("doc_id is null").union(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return out
+    """One document of each group of near copies: the one with the smallest doc_id (null ids last; among
+    equal ones any).  Rows are told apart by a number of their own, so repeated rows are copies like
+    others, rows that share an id but not the text are documents of their own, and so are rows without one."""
+    row, doc = "row of near_copies", F.col("doc_id")
+    numbered = C.materialise(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = simhash.near_duplicates(numbered.select(F.col(f"`{row}`").alias("doc_id"), "text"), shingle=4, max_bits=4)
+    found = C.materialise(found.select(F.col("doc_id").alias("r"), "component_id"))
+    ids = numbered.select(F.col(f"`{row}`").alias("r"), doc.isNull().alias("unknown"), doc.alias("id"))
+    first = found.join(ids, "r").groupBy("component_id").agg(F.min(F.struct("unknown", "id", "r")).alias("first"))
+    gone = C.materialise(found.select("r").join(first.select(F.col("first.r").alias("r")), "r", "left_anti"))
+    return C.join_small(numbered, gone.withColumnRenamed("r", row), row, "left_anti").drop(row)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it (DataFrame operations only)."""
+    """Every document as often as the mix takes it (DataFrame operations only).  Null texts hold no words and stay
+    once; repeated rows are taken row by row."""
     taken = mixing.mix(docs)
     # rows are matched by doc_id and size, numbered among rows that repeat both
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
@@ -53,7 +59,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit) of every text, and digests of ids and decoded bytes."""
+    """Token ids (little-endian unsigned 32-bit) of every text, and digests of ids and decoded bytes.  Null texts
+    have no ids; repeated rows are encoded row by row."""
     out = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
