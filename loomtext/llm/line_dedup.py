@@ -11,7 +11,9 @@ cannot have more than (its mean lines per page) / max_ratio boilerplate lines, w
 joined to its pages; the list is broadcast if a count proves it small, else pages and lists meet over
 salts, so a host with a third of all rows is spread.
 
-A null text gives an empty one, a null host is a host of its own; repeated rows are one page.
+A null text gives an empty one, a null host is a host of its own.  Rows are told apart by their host
+and text alone: ids may be null or repeated, repeated rows are one page, and rows that share an id but
+not the text are pages of their own.
 """
 from __future__ import annotations
 
@@ -32,12 +34,14 @@ def _has_word(line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
-    """(id, site, text) -> (site, lines): the boilerplate lines of each site."""
+    """(site, text) -> (site, lines): the boilerplate lines of each site."""
     whole = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
     pages = pages.withColumn("whole", whole)
-    copies = C.materialise(pages.groupBy("site", "whole").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
-                           .where("n > 1").select("site", "whole", "first_id"))
-    once = C.join_small(pages, copies, ["site", "whole"]).where("first_id is null or id = first_id")
+    copies = C.materialise(pages.groupBy("site", "whole").agg(F.count("*").alias("n"))
+                           .where("n > 1").select("site", "whole", F.lit(True).alias("copied")))
+    marked = C.join_small(pages, copies, ["site", "whole"])
+    first = marked.where("copied").groupBy("site", "whole").agg(F.first("text").alias("text"))  # all texts of a group are the same
+    once = marked.where("copied is null").select("site", "text").union(C.materialise(first.select("site", "text")))
     line = F.explode(F.array_distinct(F.filter(_lines(F.col("text")), _has_word))).alias("line")
     total = C.materialise(pages.groupBy("site", "whole").count().groupBy("site").agg(F.count("*").alias("pages")))
     often = (F.col("n") >= min_pages) & (F.col("n") > max_ratio * F.col("pages"))
@@ -54,13 +58,13 @@ def drop_boilerplate(pages: DataFrame, id_col: str, host: Column, max_ratio: flo
     site = F.coalesce(F.concat(F.lit("h:"), host.cast("string")), F.lit("none"))
     keyed = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), F.col(id_col).alias("id"),
                          site.alias("site"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = C.materialise(boilerplate(keyed.select("id", "site", "text"), max_ratio, min_pages))
+    found = C.materialise(boilerplate(keyed.select("site", "text"), max_ratio, min_pages))
     found = found.withColumnRenamed("lines", "drop")
     if found.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0] <= C.BROADCAST_ROWS:
         joined = keyed.join(F.broadcast(found), "site", "left")
     else:
         salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["site", "salt"], "left")
+        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("id", "text"), F.lit(SALTS)).cast("int")).join(salted, ["site", "salt"], "left")
     lines = _lines(F.col("text"))
     kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("drop", x)))
     words = lambda x: F.size(F.filter(x, _has_word)).cast("long")

@@ -26,6 +26,8 @@ def _given():
     out = odd_texts()
     for i in range(200, 240):
         out.append((i, f"own line {i}\nCookie notice\n\nshared by {i % 4}\nCookie notice", "en", "s1" if i % 3 else None))
+    out += [(250, "page of four rows\nits second line", "en", "s2")] * 4 + [(None, "page of null ids\nits second line, too", "en", "s2")] * 5
+    out += [(260, f"one id, text {i}\nand a line of all its texts", "en", "s9") for i in range(4)]
     return out + [(300 + i, "a copied page\nof two lines", "en", "s2") for i in range(30)]
 
 
@@ -40,6 +42,8 @@ def test_equals_plain_version(spark):
     assert sum(w[2] for w in want) >= 80
     copied = [w for w in want if w[0] is not None and 300 <= w[0] < 330]
     assert all(w[2] == 0 for w in copied)  # copies of one page are one page
+    assert [w[2] for w in want if w[0] in (250, None) and "page of" in w[3]] == [0] * 9  # so are repeated rows
+    assert [w[2] for w in want if w[0] == 260] == [1] * 4  # rows of one id with different texts are not
 
 
 def test_salted_form_gives_the_same(spark, monkeypatch):
