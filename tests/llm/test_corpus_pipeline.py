@@ -44,9 +44,10 @@ def test_stages_take_odd_rows_and_empty_tables(spark):
 
 
 def test_near_copies_keeps_the_smallest_id(spark):
-    given = [(i, "one two three four five six " + "seven " * 20) for i in (5, 3, 9, 9)] + [(7, "quite another text of a few words"), (None, "nobody's text")]
-    got = sorted((r.doc_id for r in P.near_copies(spark, docs(spark, given), SF).collect()), key=lambda i: -1 if i is None else i)
-    assert got == [None, 3, 7]
+    a, b = "one two three four five six " + "seven " * 20, "quite another text of a few words"
+    given = [(i, a) for i in (5, 3, 9, 9, None)] + [(7, b), (5, "a text unlike A that shares its id with a copy of A"), (None, "nobody's text"), (None, "nobody's text")]
+    got = sorted(((r.doc_id, r.text) for r in P.near_copies(spark, docs(spark, given).repartition(3), SF).collect()), key=repr)
+    assert got == sorted([(3, a), (5, "a text unlike A that shares its id with a copy of A"), (7, b), (None, "nobody's text")], key=repr)
 
 
 def test_lines_drops_what_some_hundredths_of_a_source_share(spark):
