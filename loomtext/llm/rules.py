@@ -3,7 +3,8 @@
 Every text gives a vector of transformed statistics.  Within each (language, source) the location
 and scatter of the most concentrated `share` of the vectors are estimated: concentration steps start
 from coordinate medians and median deviations (a deterministic start) and repeat mean, covariance
-and selection of the nearest vectors until the determinant settles; one reweighting step follows.  A
+and selection of the nearest vectors, each group until its determinant falls no further (a group that
+is done takes no part in later steps, and keeps its smallest determinant); one reweighting step follows.  A
 document is rejected when its squared Mahalanobis distance exceeds the chi-square `quantile`.
 
 Each step is an aggregation over the statistics table: moments per group, then a histogram of the
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ D = len(NAMES)
 FLOOR = 0.1
 #: Cells of the histograms: per unit of a coordinate, and per unit of the logarithm of a distance.
 CELLS, LOG_CELLS = 64, 32
+#: A concentration step that lowers the logarithm of a group's determinant by no more than this is its last.
+LEAST_FALL = 1e-6
 ROW = ("doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
        "n_repeat_words long, x array<double>")
 
@@ -154,7 +158,7 @@ def _nearest(rows: DataFrame, share: float) -> DataFrame:
     return C.join_small(rows, cut, "g").where("cell <= cut")
 
 
-def fit(x: DataFrame, share: float = 0.75, steps: int = 6) -> DataFrame:
+def fit(x: DataFrame, share: float = 0.75) -> DataFrame:
     """(g, x) -> robust centre and inverse scatter of every group."""
     long_ = x.select("g", F.posexplode("x").alias("i", "v"))
     med = C.materialise(_medians(long_))
@@ -164,14 +168,19 @@ def fit(x: DataFrame, share: float = 0.75, steps: int = 6) -> DataFrame:
     scale = F.transform("c", lambda e: 1 / F.pow(F.greatest(1.4826 * e["mad"], F.lit(FLOOR)), F.lit(2.0)))
     diagonal = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(D - 1)), lambda i: F.transform(
         F.sequence(F.lit(0), F.lit(D - 1)), lambda j: F.when(i == j, F.element_at(scale, (i + 1).cast("int"))).otherwise(0.0))))
-    state = cut_lineage(start.select("g", F.transform("c", lambda e: e["med"]).alias("m"), diagonal.alias("inv"), F.lit(0.0).alias("logdet")))
-    before = None
-    for _ in range(steps):
-        state = _moments(_nearest(C.join_small(x, state, "g"), share), consistency(share, D))
-        now = state.agg(F.round(F.sum("logdet"), 4)).first()[0]
-        if now == before:
+    active = cut_lineage(start.select("g", F.transform("c", lambda e: e["med"]).alias("m"), diagonal.alias("inv"), F.lit(float("inf")).alias("logdet")))
+    settled = []
+    while True:  # determinants fall by a least amount in each step and are bounded by FLOOR: this ends
+        step = _moments(_nearest(C.join_small(x, active, "g", "inner"), share), consistency(share, D))
+        falls = F.col("n.logdet") < F.col("a.logdet") - LEAST_FALL
+        both = active.alias("a").join(step.alias("n"), F.col("a.g") == F.col("n.g"), "left").select(
+            F.struct("a.*").alias("old"), F.struct("n.*").alias("new"), F.coalesce(falls, F.lit(False)).alias("falls"))
+        both = cut_lineage(both)
+        settled.append(both.where("not falls").select("old.*"))
+        active = both.where("falls").select("new.*")
+        if not active.limit(1).count():
             break
-        before = now
+    state = cut_lineage(reduce(DataFrame.union, settled))
     near = C.join_small(x, state, "g").where(_distance() <= chi2_quantile(0.975, D))
     again = _moments(near, consistency(0.975, D))
     return state.join(again.select("g", F.col("m").alias("m2"), F.col("inv").alias("inv2")), "g", "left").select(

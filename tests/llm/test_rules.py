@@ -50,9 +50,14 @@ def _plain_mcd(x, share=0.75):
     m = med(x)
     inv = np.diag(1 / np.maximum(1.4826 * med(np.abs(x - m)), rules.FLOOR) ** 2)
     fit = lambda rows, f: (rows.mean(0), np.linalg.inv(np.cov(rows.T, bias=True) * f + np.eye(rules.D) * rules.FLOOR ** 2))
-    for _ in range(6):
+    last = np.inf
+    while True:
         near, _ = nearest(m, inv, share)
-        m, inv = fit(x[near], rules.consistency(share, rules.D))
+        step = fit(x[near], rules.consistency(share, rules.D))
+        now = -np.linalg.slogdet(step[1])[1]
+        if now >= last - 1e-6:
+            break
+        (m, inv), last = step, now
     _, d = nearest(m, inv, share)
     return fit(x[d <= rules.chi2_quantile(0.975, rules.D)], rules.consistency(0.975, rules.D))
 
@@ -61,10 +66,15 @@ def test_distributed_estimate_equals_plain_one(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, rules.D)) @ rng.normal(size=(rules.D, rules.D)) + 3
     x[:60] += 40
-    rows = spark.createDataFrame([("g", v.tolist()) for v in x], "g string, x array<double>").repartition(5)
-    got = rules.fit(rows, steps=6).first()
-    m, inv = _plain_mcd(x)
-    assert np.allclose(got.m, m, atol=0.05) and np.allclose(np.array(got.inv).reshape(inv.shape), inv, rtol=0.1, atol=0.05)
+    groups = {"g": x, "h": rng.normal(size=(400, rules.D)) * np.arange(1, rules.D + 1), "i": rng.standard_t(2, size=(300, rules.D))}
+    rows = spark.createDataFrame([(g, v.tolist()) for g, part in groups.items() for v in part], "g string, x array<double>").repartition(5)
+    fitted = {r.g: r for r in rules.fit(rows).collect()}
+    assert set(fitted) == set(groups)
+    for g, part in groups.items():  # groups settle after different numbers of steps
+        m, inv = _plain_mcd(part)
+        assert np.allclose(fitted[g].m, m, atol=1e-6) and np.allclose(np.array(fitted[g].inv).reshape(inv.shape), inv, rtol=1e-5, atol=1e-6)
+    got = fitted["g"]
+    inv = np.array(got.inv).reshape(rules.D, rules.D)
     d = np.einsum("ni,ij,nj->n", x - got.m, np.array(got.inv).reshape(inv.shape), x - got.m)
     assert (d[:60] > rules.chi2_quantile(0.99999, rules.D)).all() and (d[60:] < rules.chi2_quantile(0.99999, rules.D)).mean() > 0.99
 
