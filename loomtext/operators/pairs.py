@@ -44,7 +44,7 @@ def run_pairs(points: DataFrame, kernel, schema: str, block_rows: int = BLOCK_RO
         b = a if bi == bj else pdf[pdf["blk"] == bj].reset_index(drop=True)
         out = kernel(a, b, bi == bj)
         if out is None or not len(out):
-            return pd.DataFrame({f.split()[0]: [] for f in schema.split(",")})
+            return pd.DataFrame({f.split()[0]: [] for f in schema.split(",")}, dtype=object)
         out.insert(0, "corpus", pdf["corpus"].iloc[0])
         return out
 

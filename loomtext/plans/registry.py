@@ -784,11 +784,22 @@ SELECT a.corpus, a.x AS i, a.y AS j, round((a.d + b.d) / 2, 6) AS d FROM dd a JO
 def _user_turn_profiles(spark, sf):
     c = S.table(spark, sf, "conversations")
     docs = c.select(F.col("conv_id").alias("corpus"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    toks = docs.select("corpus", "id", F.posexplode(T.lemmas(T.question_text("text"))).alias("pos", "lemma"))
+    toks = docs.select("corpus", "id", F.explode(T.lemmas(T.question_text("text"))).alias("lemma"))
     vecs = toks.select("lemma").distinct().withColumn("vec", S.md5_word_vector(F.col("lemma")))
     return WP.doc_profiles(docs, toks, FX.background(spark, sf), vecs, FX.stop_list(spark, sf))
 
 
+@register("jn6_similar_words", Q.with_(Q.DOC_TOKENS_SIMPLE, f"""
+v AS (SELECT lemma, {MD5_VEC_SQL.format(w='lemma')} AS v FROM (SELECT DISTINCT unnest({Q.lemmas(Q.question('text'))}) AS lemma FROM conversations))""") + """
+SELECT a.lemma, b.lemma AS other, round(abs(list_cosine_similarity(a.v, b.v)), 6) AS score
+FROM v a JOIN v b ON a.lemma <> b.lemma WHERE abs(list_cosine_similarity(a.v, b.v)) >= 0.8""")
+def q_jn6(spark, sf):
+    """Pairs of different words of the conversations whose vectors are alike."""
+    lemmas = S.table(spark, sf, "conversations").select(F.explode(T.lemmas(T.question_text("text"))).alias("lemma")).distinct()
+    r = WP.similar_words(lemmas.withColumn("vec", S.md5_word_vector(F.col("lemma"))), "cosine", 0.8)
+    return r.select("lemma", "other", F.round("score", 6).alias("score"))
+
+
 @register("sim4_word_pair_distance", SIM4_SQL)
 def q_sim4(spark, sf):
     r = WP.word_pair_distances(_user_turn_profiles(spark, sf))
@@ -873,6 +884,12 @@ SELECT u.corpus, u.id, CASE WHEN b.d < 1.5 THEN b.keyword ELSE 'uncategorized' E
 FROM ut u LEFT JOIN bestk b ON b.corpus = u.corpus AND b.id = u.id"""
 
 
+def _with_words(p, words):
+    """The profiles with vectors for the keywords' words too."""
+    lemmas = p.vectors.select("lemma").union(words.select("lemma")).distinct()
+    return p._replace(vectors=lemmas.withColumn("vec", S.md5_word_vector(F.col("lemma"))))
+
+
 @register("jn7_keyword_distance_clusters", JN7_SQL)
 def q_jn7(spark, sf):
     kw = FX.keywords(spark, sf)
@@ -880,12 +897,8 @@ def q_jn7(spark, sf):
     kt = ktoks.join(FX.stop_list(spark, sf).select("lemma"), "lemma", "left_anti") \
         .groupBy("keyword", "lemma").agg(F.count(F.lit(1)).alias("tf"))
     kt = kt.join(FX.background(spark, sf).select("lemma", "freq"), "lemma", "left") \
-        .withColumn("w", 1 + F.col("tf") * W.global_idf(F.col("freq"))).withColumn("vec", S.md5_word_vector(F.col("lemma")))
-    kp = kt.groupBy("keyword").agg(F.collect_list("vec").alias("ev"), F.collect_list("w").alias("ew"),
-                                   F.sum("tf").alias("tfs"))
-    kp = kw.select("keyword").join(kp, "keyword", "left").fillna(0, ["tfs"]) \
-        .withColumn("ev", F.coalesce("ev", F.array().cast("array<array<double>>")))
-    r = WP.cluster_on_keywords(_user_turn_profiles(spark, sf), kp)
+        .select("keyword", "lemma", "tf", (1 + F.col("tf") * W.global_idf(F.col("freq"))).alias("w"))
+    r = WP.cluster_on_keywords(_with_words(_user_turn_profiles(spark, sf), kt), kt)
     return r.select("corpus", "id", "label", F.round("d", 6).alias("d"))
 
 
