@@ -116,19 +116,11 @@ def _smallest(a, b, same, D, k: int, name: str) -> pd.DataFrame:
 
 # ------------------------------------------------------------------ operators
 
-def knn(points: DataFrame, k: int = 5, metric: str = "minkowski:1.5", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """JN12: (corpus, id, nb_id, d, rank) the k nearest other points (ties by nb_id)."""
-    from pyspark.sql import Window
-
-    dist = metric_fn(metric)
+def knn(points: DataFrame, k: int = 5, metric: str = "minkowski:1.5") -> DataFrame:
+    """JN12: (corpus, id, nb_id, d, rank) the k nearest other points (ties by nb_id), over pivot cells."""
+    from loomtext.operators import cells
 
-    def kern(a, b, same):
-        D = dist(mat(a), mat(b))
-        return _smallest(a, b, same, D, k, "d")
-
-    cand = run_pairs(points, kern, "corpus long, id long, nb_id long, d double", block_rows)
-    w = Window.partitionBy("corpus", "id").orderBy("d", "nb_id")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return cells.knn(points, k, metric)
 
 
 def row_stats(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -211,20 +203,11 @@ def top_similar(points: DataFrame, k: int = 10, block_rows: int = BLOCK_ROWS) ->
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def within_radius(points: DataFrame, eps: float, metric: str = "cosine", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """JN11: every ordered pair (id, nb_id), id != nb_id, with distance <= eps."""
-    dist = metric_fn(metric)
-
-    def kern(a, b, same):
-        D = dist(mat(a), mat(b))
-        out = []
-        for ia, ib, M in _both_ways(a, b, same, D):
-            r, c = np.nonzero(M <= eps)
-            keep = ia[r] != ib[c]
-            out.append(pd.DataFrame({"id": ia[r][keep], "nb_id": ib[c][keep], "d": M[r, c][keep]}))
-        return pd.concat(out)
+def within_radius(points: DataFrame, eps: float, metric: str = "cosine") -> DataFrame:
+    """JN11: every ordered pair (id, nb_id), id != nb_id, with distance <= eps, over pivot cells."""
+    from loomtext.operators import cells
 
-    return run_pairs(points, kern, "corpus long, id long, nb_id long, d double", block_rows)
+    return cells.within_radius(points, eps, metric)
 
 
 def silhouette_sums(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
