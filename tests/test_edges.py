@@ -41,6 +41,29 @@ def test_tied_heights_give_exactly_k_clusters(spark, k):
         assert all(rows[2 * i] == rows[2 * i + 1] for i in range(8 - k))
 
 
+def test_corpora_of_few_points_keep_their_rows(spark):
+    """k = n and k > n give one cluster for each point; without a candidate k the best k is the size."""
+    rng = np.random.default_rng(5)
+    sizes = {0: 1, 1: 3, 2: 4, 3: 5, 4: 9}
+    rows = [(c, 10 * c + i, rng.normal(size=3).tolist()) for c, n in sizes.items() for i in range(n)]
+    points = spark.createDataFrame(rows, "corpus long, id long, vec array<double>")
+    for out in (WD.ward_k(points, 4), WD.ward_k_distributed(points, 4)):
+        got = {}
+        for r in out.collect():
+            got.setdefault(r.corpus, {})[r.id] = r.label
+        assert {c: len(x) for c, x in got.items()} == sizes
+        assert all(len(set(x.values())) == min(4, sizes[c]) for c, x in got.items())
+        assert [got[1][10 + i] for i in range(3)] == [0, 1, 2]
+    for out in (SP.best_k_normal(points), SP.best_k_sparse(points), SP.route_best_k(points)):
+        got = {}
+        for r in out.collect():
+            got.setdefault(r.corpus, []).append(r)
+        assert {c: len(x) for c, x in got.items()} == sizes
+        for c, x in got.items():
+            assert len({r.label for r in x}) == x[0].k == (sizes[c] if sizes[c] <= 4 else x[0].k)
+            assert all((r.score is None) == (sizes[c] <= 4) for r in x)
+
+
 def test_repeated_ids_are_rows_of_their_own(spark):
     q = spark.createDataFrame([(1, "red fox"), (1, "blue sky"), (2, "nothing here")], "id long, question string")
     kw = spark.createDataFrame([("fox",), ("sky",)], "keyword string")
