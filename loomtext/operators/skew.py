@@ -23,6 +23,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
         return left.join(right, keys, how)
     hot = broadcast_if_small(cut_lineage(hot))
     last = F.coalesce("__salts", F.lit(1)) - 1
-    dealt = left.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in left.columns)), last + 1).cast("int"))
+    hashed = [F.col(f"`{f.name}`") for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
+    dealt = left.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*hashed), last + 1).cast("int"))
     copied = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), last)))
     return dealt.drop("__salts").join(copied.drop("__salts"), [*keys, "__salt"], how).drop("__salt")

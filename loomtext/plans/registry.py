@@ -1133,6 +1133,31 @@ def q_vec3(spark, sf):
 
 
 
+# ---------------------------------------------------------------- cosine join of tf-idf vectors (SIM1 on text)
+SIM1_SPARSE_SQL = Q.with_(Q.DOC_TOKENS_SIMPLE, Q.N_DOCS, """
+tf AS (SELECT id, lemma, count(*) AS tf FROM doc_tok GROUP BY id, lemma)""", """
+df AS (SELECT lemma, count(*) AS df FROM tf GROUP BY lemma)""", """
+w AS (SELECT id, lemma, tf, tf * ln((SELECT n FROM ndocs) / df::DOUBLE) AS w FROM tf JOIN df USING (lemma))""", """
+kl AS (SELECT id, string_agg(lemma || ':' || tf, ' ' ORDER BY lemma) AS k, sqrt(sum(w * w)) AS norm FROM w WHERE w <> 0 GROUP BY id)""", """
+rp AS (SELECT min(id) AS rep, count(*) AS n, any_value(norm) AS norm FROM kl GROUP BY k)""", """
+u AS (SELECT rep, n, lemma, w / norm AS w FROM rp JOIN w ON w.id = rp.rep WHERE w <> 0)""") + """
+SELECT a.rep AS a, b.rep AS b, a.n AS n_a, b.n AS n_b, round(sum(a.w * b.w), 6) AS sim
+FROM u a JOIN u b ON a.lemma = b.lemma AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING sum(a.w * b.w) >= 0.8"""
+
+
+@register("sim1_sparse_cosine", SIM1_SPARSE_SQL)
+def q_sim1_sparse(spark, sf):
+    """All pairs of different documents whose tf-idf cosine is 0.8 or more, with the number of copies of each."""
+    from loomtext.operators import sparse as SPA
+
+    tfidf = W.tfidf(_doc_tf(spark, sf), FX.n_docs(spark, sf), FX.background(spark, sf))
+    pairs, members = SPA.cosine_join(tfidf.select("id", F.col("lemma").alias("term"), F.col("tfidf").alias("w")), 0.8)
+    n = members.select("rep", "n").distinct()
+    out = pairs.join(n.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a").join(n.select(F.col("rep").alias("b"), F.col("n").alias("n_b")), "b")
+    return out.select("a", "b", "n_a", "n_b", F.round("sim", 6).alias("sim"))
+
+
+
 # ---------------------------------------------------------------- simple document similarity (SIM5)
 @register("sim5_doc_similarity", f"""
 WITH dw AS (SELECT conv_id AS corpus, conv_id * 1000 + turn AS id,
