@@ -3,12 +3,19 @@
 Terms are lower-case letter runs.  Documents and examples are TF-IDF vectors over all terms of the
 indexed examples, with document frequencies over all labelled rows of the learning folds; no term is
 dropped.  A term significantly tied to a label (G-test and log odds over the same rows) weighs more.
-Terms of a text that no example has count in its length alone.  Up to `max_examples` labelled rows
-form the index, a bounded and broadcast one: examples of the same vector make one entry with their
-number and labels.  Every entry is scored for every text: terms in many entries as a dense matrix
-product over a slice of texts, all others over their postings, both in single precision; what can be
-among the nearest k within the rounding error is scored again in double precision, so the neighbours
-are exact.  Votes weigh 1 / (distance + 0.05); the share of toxic votes is calibrated by pooled
+Terms of a text that no example has count in its length alone.  Up to `max_examples` labelled rows and
+about `max_bytes` of their text form the index, a bounded and broadcast one: examples of the same vector make one entry with their
+number and labels.
+
+The index is inverted and has block maxima.  Entries are put into blocks of alike ones (halved again and
+again along the main direction of a sketch of their vectors).  The terms in few entries are scored over
+their postings; of the frequent terms each block keeps its largest weights, whose product with the text's
+weights, added to the best posting score in the block, bounds every cosine in it.  The blocks with the
+highest bounds are scored first and give a k-th cosine; of the others only those are scored (a dense
+product over the texts that need the block) whose bound reaches it, the rest are skipped.  Scores are in
+single precision; what can be among the nearest k within the rounding error is scored again in double
+precision, so the neighbours are exact.  The cosines that choose, order and show neighbours are those of
+these weights: TF-IDF times the factor of tied terms.  Votes weigh 1 / (distance + 0.05); the share of toxic votes is calibrated by pooled
 adjacent violators on the learning rows, each scored without itself.
 
 Null texts and texts without letters have no terms, hence no neighbours, and get the rate of the
@@ -41,8 +48,10 @@ TERM = regex.compile(r"\p{L}+")
 DENSE = 512
 #: Above the error of a cosine summed in single precision.
 ROUNDING = np.float32(2e-5)
-#: Texts whose dense part is computed at once.
+#: Texts that are looked up together.
 TOGETHER = 128
+#: Entries of a block, and blocks that are scored first for each text.
+BLOCK, FIRST = 64, 6
 
 
 # ------------------------------------------------------------------ selection of terms
@@ -107,8 +116,8 @@ class Index:
         return np.zeros(len(self.idf))
 
     @cached_property
-    def dense(self) -> tuple[np.ndarray, np.ndarray]:
-        """(column of each term or -1, [column, entry] weights) of the terms in most entries."""
+    def dense(self) -> "Dense":
+        """The terms in most entries as a matrix whose columns are the entries in the order of the blocks."""
         df = np.diff(self.first)
         chosen = np.argsort(-df, kind="stable")[:DENSE]
         chosen = chosen[df[chosen] * 50 >= max(1, len(self.n))]
@@ -118,7 +127,44 @@ class Index:
         for j, t in enumerate(chosen.tolist()):
             at = slice(self.first[t], self.first[t + 1])
             table[j, self.entry[at]] = self.weight[at]
-        return column, table
+        order = alike(table)
+        table = np.ascontiguousarray(table[:, order])
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        starts = np.arange(0, len(order), BLOCK)
+        tops = np.maximum.reduceat(table, starts, axis=1) if len(starts) else table
+        return Dense(column, table, order, place.astype(np.int32)[self.entry], place, starts, tops)
+
+
+@dataclass
+class Dense:
+    """column of each term or -1; table [column, place] of weights; order: the entry at each place, place: the
+    reverse, entry_place: the same for the postings; starts of the blocks and their largest weights [column, block]."""
+    column: np.ndarray
+    table: np.ndarray
+    order: np.ndarray
+    entry_place: np.ndarray
+    place: np.ndarray
+    starts: np.ndarray
+    tops: np.ndarray
+
+
+def alike(table: np.ndarray, sketch: int = 32) -> np.ndarray:
+    """Columns of a matrix in an order that puts alike ones into one block: halves along the main direction,
+    down to blocks, of a random projection of them."""
+    x = table.T @ np.random.default_rng(4).standard_normal((len(table), sketch)).astype(np.float32)
+    todo, out = [np.arange(len(x))], []
+    while todo:
+        part = todo.pop()
+        if len(part) <= BLOCK:
+            out.append(part)
+            continue
+        y = x[part] - x[part].mean(0)
+        direction = np.linalg.eigh(y.T.astype(float) @ y)[1][:, -1]
+        part = part[np.argsort(y @ direction, kind="stable")]
+        half = -(-len(part) // (2 * BLOCK)) * BLOCK
+        todo += [part[half:], part[:half]]
+    return np.concatenate([np.zeros(0, np.int64), *out])
 
 
 def weigh(terms: list, n_docs: int) -> tuple[dict[str, int], np.ndarray]:
@@ -192,16 +238,6 @@ class Packed:
         return build_index(examples, [], n_docs, (number, idf))
 
 
-def dense_scores(index: Index, vectors: list) -> np.ndarray:
-    """[text, entry]: the part of the cosines that the dense terms make."""
-    column, table = index.dense
-    q = np.zeros((len(vectors), len(table)), np.float32)
-    for i, (terms, weights) in enumerate(vectors):
-        j = column[terms]
-        q[i, j[j >= 0]] = weights[j >= 0]
-    return q @ table
-
-
 def _ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all ranges from a to b, one after another, and the length of each."""
     lens = b - a
@@ -209,27 +245,68 @@ def _ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(a - (ends - lens), lens), lens
 
 
-def neighbours(index: Index, terms: np.ndarray, weights: np.ndarray, k: int, own: int | None = None, score: np.ndarray | None = None):
-    """Entries that hold the k examples of largest cosine (above 0) to a unit vector, exact:
-    (entries, cosines, examples, toxic ones), without the example `own`.  `score` is the vector's row
-    of dense_scores, which is changed."""
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, -1 if there are fewer."""
+    return np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(scores), -1, np.float32)
+
+
+def block_scores(index: Index, vectors: list, k: int, without: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(scores [text, place], which (text, block) were scored).  Scores of blocks that were skipped are -1, as
+    are those of the entry `without` (-1: none) of each text; every entry that may be among the k nearest
+    has its score."""
+    d = index.dense
+    scores = np.zeros((len(vectors), len(d.order)), np.float32)
+    q = np.zeros((len(vectors), len(d.table)), np.float32)
+    for i, (terms, weights) in enumerate(vectors):
+        j = d.column[terms]
+        q[i, j[j >= 0]] = weights[j >= 0]
+        rare, w = terms[j < 0], weights[j < 0]
+        of, lens = _ranges(index.first[rare], index.first[rare + 1])
+        scores[i] = np.bincount(d.entry_place[of], np.repeat(w, lens) * index.weight[of], len(d.order))
+        if without[i] >= 0:
+            scores[i, d.place[without[i]]] = -10
+    blocks = len(d.starts)
+    bounds = q @ d.tops + np.maximum.reduceat(scores, d.starts, axis=1)
+    wanted = np.zeros((len(vectors), blocks), bool)
+    least = np.full(len(vectors), -1, np.float32)
+    if blocks > FIRST:
+        first = np.argpartition(-bounds, FIRST, axis=1)[:, :FIRST]
+        best = np.full((len(vectors), FIRST * BLOCK), -1, np.float32)
+        for i, some in enumerate(first):
+            for m, b in enumerate(some.tolist()):
+                at = slice(b * BLOCK, b * BLOCK + BLOCK)
+                best[i, m * BLOCK:m * BLOCK + len(d.order[at])] = scores[i, at] + q[i] @ d.table[:, at]
+        least = _kth(best, k) - ROUNDING
+    wanted |= bounds >= least[:, None] - ROUNDING
+    for b in range(blocks):
+        at = slice(b * BLOCK, b * BLOCK + BLOCK)
+        need = wanted[:, b]
+        if need.any():
+            scores[need, at] += q[need] @ d.table[:, at]
+        scores[~need, at] = -1
+    return np.maximum(scores, -1), wanted
+
+
+def neighbours(index: Index, vectors: list, k: int, own: list) -> list[tuple]:
+    """For each unit vector (terms, weights) the entries that hold the k examples of largest cosine (above 0),
+    exact: (entries, cosines, examples, toxic ones), without the example of the doc_id in `own`."""
     none = np.zeros(0, np.int64)
-    if not len(terms) or not len(index.n):
-        return none, np.zeros(0), none, none
-    mine, label = index.members.get(own, (-1, 0))
-    score = dense_scores(index, [(terms, weights)])[0] if score is None else score
-    rare = terms[index.dense[0][terms] < 0]
-    of, lens = _ranges(index.first[rare], index.first[rare + 1])
+    empty = (none, np.zeros(0), none, none)
+    if not len(index.n) or not all(len(t) for t, _ in vectors):
+        some = [i for i, (t, _) in enumerate(vectors) if len(t) and len(index.n)]
+        found = dict(zip(some, neighbours(index, [vectors[i] for i in some], k, [own[i] for i in some]) if some else []))
+        return [found.get(i, empty) for i in range(len(vectors))]
+    mine = [index.members.get(o, (-1, 0)) for o in own]
+    scores, _ = block_scores(index, vectors, k, [e if e >= 0 and index.n[e] == 1 else -1 for e, _ in mine])
+    # k entries other than `mine`'s remainder hold k examples at least
+    least = np.maximum(_kth(scores, k) - ROUNDING, -ROUNDING)
+    return [_exact(index, *v, np.sort(index.dense.order[s >= low]), k, *m) for v, s, low, m in zip(vectors, scores, least, mine)]
+
+
+def _exact(index: Index, terms: np.ndarray, weights: np.ndarray, at: np.ndarray, k: int, mine: int, label: int) -> tuple:
+    """The nearest of the entries `at`, by cosines in double precision."""
     query = index.buffer
     query[terms] = weights
-    score += np.bincount(index.entry[of], np.repeat(query[rare], lens) * index.weight[of], len(score)).astype(np.float32)
-    if mine >= 0 and index.n[mine] == 1:
-        score[mine] = -1
-    # k entries other than `mine`'s remainder hold k examples at least
-    least = np.partition(score, -k)[-k] - ROUNDING if len(score) > k else np.float32(-1)
-    at = np.flatnonzero(score >= max(least, -ROUNDING))
-    if mine >= 0 and index.n[mine] == 1:
-        at = at[at != mine]
     of, lens = _ranges(index.start[at], index.start[at + 1])
     cosines = np.add.reduceat(index.weights[of] * query[index.terms[of]], np.cumsum(lens) - lens) if len(at) else np.zeros(0)
     query[terms] = 0
@@ -264,8 +341,7 @@ def _votes(sent, k: int, shown: int):
             own, texts = ids.to_pylist(), C.utf8(C.column(batch, "text")).to_pylist()
             for a in range(0, len(texts), TOGETHER):
                 vectors = [vector(t, index.number, index.idf) for t in texts[a:a + TOGETHER]]
-                for i, v, scores in zip(own[a:a + TOGETHER], vectors, dense_scores(index, vectors)):
-                    found, cosine, n, toxic = neighbours(index, *v, k, i, scores)
+                for found, cosine, n, toxic in neighbours(index, vectors, k, own[a:a + TOGETHER]):
                     raw.append(vote(cosine, n, toxic, k))
                     evidence.append([{"doc_id": int(index.ids[f]), "n": int(m), "toxic": int(y), "cosine": float(c)}
                                      for f, c, m, y in zip(found[:shown], cosine, n, toxic)])
@@ -286,11 +362,11 @@ def isotonic(cells: list[tuple[float, int, int]]) -> list[tuple[float, float]]:
     return [(raw, (ones + 0.5) / (n + 1)) for raws, n, ones in pools for raw in raws]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, held: Column, k: int = 15, max_examples: int = 20_000,
+def toxicity_scores(docs: DataFrame, labels: DataFrame, held: Column, k: int = 15, max_examples: int = 20_000, max_bytes: int = 128 << 20,
                     g_least: float = 25.0, odds_least: float = 1.0, shown: int = 3) -> DataFrame:
     """(doc_id, text), (doc_id, toxic) -> (doc_id, held_out, score, evidence).  Labels count only where
     `held` (an expression over doc_id) is false.  All such rows weigh the terms; the index holds
-    those of lowest hash, about `max_examples`."""
+    those of lowest hash, about `max_examples` and `max_bytes` of text."""
     spark = docs.sparkSession
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"), held.alias("h"))
     known = C.materialise(labels.where("not h and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y")))
@@ -299,7 +375,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held: Column, k: int = 1
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     rate = (ones + 0.5) / (n + 1)
 
-    share = int((1 << 20) * min(1.0, max_examples / max(n, 1)))
+    size = labelled.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    share = int((1 << 20) * min(1.0, max_examples / max(n, 1), max_bytes / max(size, 1)))
     sample = C.materialise(labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
                            .mapInArrow(_counts, "doc_id long, y int, terms array<string>, tf array<int>"))
     vocabulary = sample.select(F.explode("terms").alias("term")).distinct()

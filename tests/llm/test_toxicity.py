@@ -58,7 +58,7 @@ def test_block_search_equals_brute_force():
     for q in range(120):
         own = examples[q][0] if q % 2 else None
         t, w = (examples[q][2], examples[q][3]) if q % 2 else T.vector(text(), number, idf)
-        found, cosines, n, toxic = T.neighbours(index, t, w, 9, own)
+        found, cosines, n, toxic = T.neighbours(index, [(t, w)], 9, [own])[0]
         if not len(t):
             assert not len(found)
             continue
@@ -68,6 +68,34 @@ def test_block_search_equals_brute_force():
         assert (n > 0).all() and (toxic <= n).all()
 
 
+def test_blocks_are_skipped_without_losing_a_neighbour(monkeypatch):
+    """Examples in languages that share no frequent word: blocks of other languages are skipped, the
+    neighbours are those of all examples."""
+    monkeypatch.setattr(T, "BLOCK", 8)
+    monkeypatch.setattr(T, "FIRST", 3)
+    rng = random.Random(7)
+    vocab = {la: [la + a + b for a in "abcdefgh" for b in "abcde"] for la in "qwxy"}
+    text = lambda la: " ".join(rng.choice(vocab[la]) for _ in range(rng.randint(5, 40)))
+    terms = sorted((w, 40) for words in vocab.values() for w in words)
+    number, idf = T.weigh(terms, 800)
+    examples = [(i, i % 2, *T.vector(text("qwxy"[i % 4]), number, idf)) for i in range(800)]
+    index = T.build_index(examples, terms, 800)
+    assert len(index.dense.table) > 30 and sorted(index.dense.order.tolist()) == list(range(len(index.n)))
+    table = np.zeros((len(examples), len(idf)))
+    for row, (_, _, t, w) in zip(table, examples):
+        row[t] = w
+    queries = [T.vector(text(rng.choice("qwxy")), number, idf) for _ in range(60)] + [T.vector("", number, idf), T.vector("unknown", number, idf)]
+    own = [examples[i][0] if i % 3 == 0 else None for i in range(60)] + [None, None]
+    queries = [(examples[i][2], examples[i][3]) if o is not None else q for i, (q, o) in enumerate(zip(queries, own))]
+    _, scored = T.block_scores(index, queries[:60], 9, [-1] * 60)
+    assert 0 < scored.mean() < 0.6  # blocks skipped: more than two of five
+    for (t, w), o, (found, cosines, n, _) in zip(queries, own, T.neighbours(index, queries, 9, own)):
+        dense = np.zeros(len(idf))
+        dense[t] = w
+        want = np.sort([c for c, e in zip(table @ dense, examples) if e[0] != o and c > 1e-12])[::-1]
+        assert np.allclose(np.repeat(cosines, n)[:9], want[:9], atol=1e-9) and len(np.repeat(cosines, n)) >= min(9, len(want))
+
+
 def test_copies_are_nearest_without_telling_terms(spark):
     """A held-out copy of a toxic example that shares no term tied to a label finds that example."""
     given, labels = _corpus()
