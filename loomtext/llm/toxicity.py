@@ -49,9 +49,9 @@ DENSE = 512
 #: Above the error of a cosine summed in single precision.
 ROUNDING = np.float32(2e-5)
 #: Texts that are looked up together.
-TOGETHER = 128
+TOGETHER = 256
 #: Entries of a block, and blocks that are scored first for each text.
-BLOCK, FIRST = 64, 6
+BLOCK, FIRST = 128, 3
 
 
 # ------------------------------------------------------------------ selection of terms
@@ -245,15 +245,10 @@ def _ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(a - (ends - lens), lens), lens
 
 
-def _kth(scores: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest of each row, -1 if there are fewer."""
-    return np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(scores), -1, np.float32)
-
-
-def block_scores(index: Index, vectors: list, k: int, without: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(scores [text, place], which (text, block) were scored).  Scores of blocks that were skipped are -1, as
-    are those of the entry `without` (-1: none) of each text; every entry that may be among the k nearest
-    has its score."""
+def block_scores(index: Index, vectors: list, k: int, without: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores [text, place], which (text, block) were scored, a bound that the k-th score of each text reaches).
+    Scores of blocks that were skipped are -1, that of the entry `without` (-1: none) of each text is below
+    all; every entry that may be among the k nearest has its score."""
     d = index.dense
     scores = np.zeros((len(vectors), len(d.order)), np.float32)
     q = np.zeros((len(vectors), len(d.table)), np.float32)
@@ -267,24 +262,27 @@ def block_scores(index: Index, vectors: list, k: int, without: list[int]) -> tup
             scores[i, d.place[without[i]]] = -10
     blocks = len(d.starts)
     bounds = q @ d.tops + np.maximum.reduceat(scores, d.starts, axis=1)
-    wanted = np.zeros((len(vectors), blocks), bool)
-    least = np.full(len(vectors), -1, np.float32)
+    out = np.full((len(vectors), blocks * BLOCK), -1, np.float32)
+    scored = np.zeros((len(vectors), blocks), bool)
+
+    def score(wanted: np.ndarray) -> None:
+        for b in np.flatnonzero(wanted.any(0)).tolist():
+            rows, at = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, min(b * BLOCK + BLOCK, len(d.order)))
+            if 2 * len(rows) > len(vectors):  # most texts need it: all are multiplied, which is no dearer
+                out[:, at] = np.where(wanted[:, b, None], scores[:, at] + q @ d.table[:, at], out[:, at])
+            else:
+                out[rows, at] = scores[rows, at] + q[rows] @ d.table[:, at]
+        scored[wanted] = True
+
+    least = np.full(len(vectors), -ROUNDING)
     if blocks > FIRST:
-        first = np.argpartition(-bounds, FIRST, axis=1)[:, :FIRST]
-        best = np.full((len(vectors), FIRST * BLOCK), -1, np.float32)
-        for i, some in enumerate(first):
-            for m, b in enumerate(some.tolist()):
-                at = slice(b * BLOCK, b * BLOCK + BLOCK)
-                best[i, m * BLOCK:m * BLOCK + len(d.order[at])] = scores[i, at] + q[i] @ d.table[:, at]
-        least = _kth(best, k) - ROUNDING
-    wanted |= bounds >= least[:, None] - ROUNDING
-    for b in range(blocks):
-        at = slice(b * BLOCK, b * BLOCK + BLOCK)
-        need = wanted[:, b]
-        if need.any():
-            scores[need, at] += q[need] @ d.table[:, at]
-        scores[~need, at] = -1
-    return np.maximum(scores, -1), wanted
+        first, highest = np.zeros_like(scored), np.argpartition(-bounds, FIRST, axis=1)[:, :FIRST]
+        np.put_along_axis(first, highest, True, 1)
+        score(first)
+        best = out.reshape(len(vectors), blocks, BLOCK)[np.arange(len(vectors))[:, None], highest].reshape(len(vectors), -1)
+        least = np.maximum(np.partition(best, -k, axis=1)[:, -k] - ROUNDING, least) if best.shape[1] >= k else least
+    score((bounds >= least[:, None] - ROUNDING) & ~scored)
+    return out, scored, least
 
 
 def neighbours(index: Index, vectors: list, k: int, own: list) -> list[tuple]:
@@ -297,10 +295,14 @@ def neighbours(index: Index, vectors: list, k: int, own: list) -> list[tuple]:
         found = dict(zip(some, neighbours(index, [vectors[i] for i in some], k, [own[i] for i in some]) if some else []))
         return [found.get(i, empty) for i in range(len(vectors))]
     mine = [index.members.get(o, (-1, 0)) for o in own]
-    scores, _ = block_scores(index, vectors, k, [e if e >= 0 and index.n[e] == 1 else -1 for e, _ in mine])
-    # k entries other than `mine`'s remainder hold k examples at least
-    least = np.maximum(_kth(scores, k) - ROUNDING, -ROUNDING)
-    return [_exact(index, *v, np.sort(index.dense.order[s >= low]), k, *m) for v, s, low, m in zip(vectors, scores, least, mine)]
+    scores, _, least = block_scores(index, vectors, k, [e if e >= 0 and index.n[e] == 1 else -1 for e, _ in mine])
+    out = []
+    for v, s, low, m in zip(vectors, scores, least, mine):
+        at = np.flatnonzero(s >= low)
+        if len(at) > k:  # k entries other than `mine`'s remainder hold k examples at least
+            at = at[s[at] >= np.partition(s[at], -k)[-k] - ROUNDING]
+        out.append(_exact(index, *v, np.sort(index.dense.order[at]), k, *m))
+    return out
 
 
 def _exact(index: Index, terms: np.ndarray, weights: np.ndarray, at: np.ndarray, k: int, mine: int, label: int) -> tuple:

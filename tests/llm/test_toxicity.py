@@ -87,7 +87,7 @@ def test_blocks_are_skipped_without_losing_a_neighbour(monkeypatch):
     queries = [T.vector(text(rng.choice("qwxy")), number, idf) for _ in range(60)] + [T.vector("", number, idf), T.vector("unknown", number, idf)]
     own = [examples[i][0] if i % 3 == 0 else None for i in range(60)] + [None, None]
     queries = [(examples[i][2], examples[i][3]) if o is not None else q for i, (q, o) in enumerate(zip(queries, own))]
-    _, scored = T.block_scores(index, queries[:60], 9, [-1] * 60)
+    _, scored, _ = T.block_scores(index, queries[:60], 9, [-1] * 60)
     assert 0 < scored.mean() < 0.6  # blocks skipped: more than two of five
     for (t, w), o, (found, cosines, n, _) in zip(queries, own, T.neighbours(index, queries, 9, own)):
         dense = np.zeros(len(idf))
