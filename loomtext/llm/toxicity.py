@@ -3,8 +3,8 @@
 Terms are lower-case letter runs.  Documents and examples are TF-IDF vectors over all terms of the
 indexed examples, with document frequencies over all labelled rows of the learning folds; no term is
 dropped.  A term significantly tied to a label (G-test and log odds over the same rows) weighs more.
-Terms of a text that no example has count in its length alone.  Up to `max_examples` labelled rows and
-about `max_bytes` of their text form the index, a bounded and broadcast one: examples of the same vector make one entry with their
+Terms of a text that no example has count in its length alone.  Up to `max_examples` labelled rows, fewer
+if their distinct terms are more than `max_terms` in all, form the index, a bounded and broadcast one: examples of the same vector make one entry with their
 number and labels.
 
 The index is inverted and has block maxima.  Entries are put into blocks of alike ones (halved again and
@@ -31,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import repeat
 from hashlib import blake2b
 
 import numpy as np
@@ -49,7 +50,7 @@ DENSE = 512
 #: Above the error of a cosine summed in single precision.
 ROUNDING = np.float32(2e-5)
 #: Texts that are looked up together.
-TOGETHER = 256
+TOGETHER = 192
 #: Entries of a block, and blocks that are scored first for each text.
 BLOCK, FIRST = 128, 3
 
@@ -177,8 +178,8 @@ def weigh(terms: list, n_docs: int) -> tuple[dict[str, int], np.ndarray]:
 def counted(counts: Counter, number: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Term numbers and unit weights (1 + log tf) idf; terms without a number share the last one,
     with the length of their vector as weight."""
-    at = np.fromiter((number.get(t, -1) for t in counts), np.int64, len(counts))
-    tf = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+    at = np.array(list(map(number.get, counts, repeat(-1))), np.int64)
+    tf = 1 + np.log(np.array(list(counts.values()), np.float64))
     known = at >= 0
     terms = at[known]
     order = np.argsort(terms)
@@ -364,11 +365,11 @@ def isotonic(cells: list[tuple[float, int, int]]) -> list[tuple[float, float]]:
     return [(raw, (ones + 0.5) / (n + 1)) for raws, n, ones in pools for raw in raws]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, held: Column, k: int = 15, max_examples: int = 20_000, max_bytes: int = 128 << 20,
+def toxicity_scores(docs: DataFrame, labels: DataFrame, held: Column, k: int = 15, max_examples: int = 20_000, max_terms: int = 16 << 20,
                     g_least: float = 25.0, odds_least: float = 1.0, shown: int = 3) -> DataFrame:
     """(doc_id, text), (doc_id, toxic) -> (doc_id, held_out, score, evidence).  Labels count only where
     `held` (an expression over doc_id) is false.  All such rows weigh the terms; the index holds
-    those of lowest hash, about `max_examples` and `max_bytes` of text."""
+    those of lowest hash, about `max_examples` with `max_terms` (distinct in their text) in all."""
     spark = docs.sparkSession
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"), held.alias("h"))
     known = C.materialise(labels.where("not h and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y")))
@@ -377,10 +378,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held: Column, k: int = 1
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     rate = (ones + 0.5) / (n + 1)
 
-    size = labelled.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    share = int((1 << 20) * min(1.0, max_examples / max(n, 1), max_bytes / max(size, 1)))
-    sample = C.materialise(labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    hashed, share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), int((1 << 20) * min(1.0, max_examples / max(n, 1)))
+    sample = C.materialise(labelled.where(hashed < share)
                            .mapInArrow(_counts, "doc_id long, y int, terms array<string>, tf array<int>"))
+    size = sample.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    if size > max_terms:  # long texts: fewer examples, by the same hash
+        sample = C.materialise(sample.where(hashed < int(share * max_terms / size)))
     vocabulary = sample.select(F.explode("terms").alias("term")).distinct()
     terms = term_weights(labelled, vocabulary, n - ones, ones, g_least, odds_least)
     sent = spark.sparkContext.broadcast(Packed(terms, sample.toArrow(), n))

@@ -96,6 +96,14 @@ def test_blocks_are_skipped_without_losing_a_neighbour(monkeypatch):
         assert np.allclose(np.repeat(cosines, n)[:9], want[:9], atol=1e-9) and len(np.repeat(cosines, n)) >= min(9, len(want))
 
 
+def test_long_texts_leave_fewer_examples(spark):
+    given, labels = _corpus(200)
+    got = T.toxicity_scores(docs(spark, given), spark.createDataFrame(labels, LABELS), C.fold(F.col("doc_id"), 5) == 0, max_terms=1500).collect()
+    every = T.toxicity_scores(docs(spark, given), spark.createDataFrame(labels, LABELS), C.fold(F.col("doc_id"), 5) == 0).collect()
+    used = lambda rows: {e.doc_id for r in rows for e in r.evidence}
+    assert len(got) == len(every) == 200 and 0 < len(used(got)) < 0.7 * len(used(every))
+
+
 def test_copies_are_nearest_without_telling_terms(spark):
     """A held-out copy of a toxic example that shares no term tied to a label finds that example."""
     given, labels = _corpus()
