@@ -247,3 +247,30 @@ def silhouette(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     sil = F.when(F.coalesce(F.col("own_others"), F.lit(0)) == 0, F.lit(0.0)).otherwise(
         (F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return per.groupBy("corpus", "cut").agg(F.avg(F.coalesce(sil, F.lit(0.0))).alias("score"))
+
+
+def silhouette_squared(points: DataFrame) -> DataFrame:
+    """SIL1 by squared euclidean distances: (corpus, score) of points (corpus, id, vec, label), without pairs.
+
+    With n, s and q the number, sum and sum of squares of a cluster's vectors, the mean squared distance of x
+    from it is |x|^2 - 2 x.s/n + q/n; within its own cluster x itself takes no part (factor n / (n - 1)).  One
+    aggregation gives the moments, one the score.  Vectors are taken about the mean of their corpus, so that
+    distant clusters lose no digits.  A point alone in its cluster scores 0, a corpus of one cluster 0."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    kind = lambda cells, *key: cells.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s")).select(
+        *key, F.transform("s", lambda e: e["x"]).alias("m"))
+    vec = F.col("vec").cast("array<double>")
+    entries = points.select("corpus", F.posexplode(vec).alias("i", "x"))
+    centre = kind(entries.groupBy("corpus", "i").agg(F.avg("x").alias("x")), "corpus")
+    pts = cut_lineage(points.join(broadcast_if_small(centre), "corpus").select(
+        "corpus", "id", "label", F.zip_with(vec, F.col("m"), lambda x, m: x - m).alias("v")))
+    sizes = pts.groupBy("corpus", "label").agg(F.count(F.lit(1)).alias("n"), F.avg(dot("v", "v")).alias("q"))
+    cells = pts.select("corpus", "label", F.posexplode("v").alias("i", "x")).groupBy("corpus", "label", "i").agg(F.avg("x").alias("x"))
+    moments = cut_lineage(sizes.join(kind(cells, "corpus", "label"), ["corpus", "label"]).withColumnRenamed("label", "other"))
+    far = pts.join(broadcast_if_small(moments), "corpus")  # a row for each cluster of the corpus
+    d = F.greatest(dot("v", "v") - 2 * dot("v", "m") + F.col("q"), F.lit(0.0))
+    own = F.col("label") == F.col("other")
+    per = far.groupBy("corpus", "id", "label").agg(
+        F.max(F.when(own & (F.col("n") > 1), d * F.col("n") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, d)).alias("b"))
+    score = F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return per.groupBy("corpus").agg(F.avg(F.coalesce(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), score), F.lit(0.0))).alias("score"))

@@ -333,6 +333,16 @@ def q_sil1(spark, sf):
 
 
 
+@register("sil1_squared", Q.with_(EMB_PAIRS, """
+pl AS (SELECT id, la, lb, avg(eucl * eucl) AS md FROM pairs GROUP BY id, la, lb)""", """
+ab AS (SELECT id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b FROM pl GROUP BY id)""") + """
+SELECT 0::BIGINT AS corpus, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS score
+FROM (SELECT e.vec_id AS id, ab.a, ab.b FROM embeddings e LEFT JOIN ab ON ab.id = e.vec_id)""")
+def q_sil1_squared(spark, sf):
+    return PR.silhouette_squared(_emb_points(spark, sf)).select("corpus", F.round("score", 6).alias("score"))
+
+
+
 # ---------------------------------------------------------------- outliers, density, k-means, Ward, sparsification
 from loomtext.operators import density as DB  # noqa: E402
 from loomtext.operators import kmeans as KM  # noqa: E402
@@ -945,11 +955,15 @@ def q_src2(spark, sf):
 
 @register("src4_question_array", "SELECT row_number() OVER (ORDER BY item_id) - 1 AS id, text AS question FROM benchmark")
 def q_src4(spark, sf):
-    """The benchmark passages as one JSON object holding an array (a bounded list), ids by position."""
+    """The benchmark passages as JSON objects, each an array of a range of item_id and the position of its
+    first; ids by position."""
     path = _scratch(spark, "src4")
-    b = S.table(spark, sf, "benchmark").agg(F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("s"))
-    b.select(F.transform("s", lambda e: e["text"]).alias("questions")).coalesce(1).write.json(path)
-    return S.string_array_json(spark, path)
+    b = S.table(spark, sf, "benchmark").withColumn("part", F.floor(F.col("item_id") / 500))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 500 items
+    first = b.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    s = b.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("s")).join(first, "part")
+    s.select(F.transform("s", lambda e: e["text"]).alias("questions"), "first").write.json(path)
+    return S.string_array_json(spark, path, multi_line=False)
 
 
 @register("txt8_lemma_dictionary", f"""

@@ -45,10 +45,12 @@ def turns_as_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def string_array_json(spark: SparkSession, path: str, field: str = "questions") -> DataFrame:
-    """SRC4: `{questions:[str,...]}` -> (id = 0-based position, question)."""
-    raw = spark.read.option("multiLine", True).schema(f"{field} ARRAY<STRING>").json(path)
-    return raw.select(F.posexplode(field).alias("id", "question")).withColumn("id", F.col("id").cast("long"))
+def string_array_json(spark: SparkSession, path: str, field: str = "questions", multi_line: bool = True) -> DataFrame:
+    """SRC4: `{questions:[str,...]}` -> (id = 0-based position, question).  A long list may be cut into objects
+    of one line each (multi_line False), which give the position of their first element as `first`."""
+    raw = spark.read.option("multiLine", multi_line).schema(f"{field} ARRAY<STRING>, first BIGINT").json(path)
+    at = F.coalesce("first", F.lit(0)).alias("first")
+    return raw.select(at, F.posexplode(field).alias("id", "question")).select((F.col("first") + F.col("id")).alias("id"), "question")
 
 
 def token_table(questions: DataFrame, id_col: str = "id", text_col: str = "question",
