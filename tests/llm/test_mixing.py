@@ -1,3 +1,5 @@
+import math
+import random
 from collections import defaultdict
 
 import pytest
@@ -43,6 +45,40 @@ def test_targets_rates_and_rounding(spark):
             assert abs(taken[s] - want[s]) <= max(5, 0.002 * want[s])
 
 
+def _dual(sizes, target, cap=2):
+    """Plainly: the multiplier at which the tilted rates of all documents give the target, by bisection."""
+    mean = sum(sizes) / len(sizes)
+    rates = lambda lam: [min(cap, math.exp(min(lam * s / mean, 50))) for s in sizes]
+    lo, hi = -1e4, 1e4
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(s * r for s, r in zip(sizes, rates(mid))) < target else (lo, mid)
+    return hi, dict(zip(sizes, rates(hi)))
+
+
+def test_multipliers_and_copies_follow_the_plain_dual(spark):
+    rng = random.Random(12)
+    sizes = {"a": [rng.randint(1, 60) for _ in range(400)], "b": [rng.choice((3, 40)) for _ in range(300)], None: [rng.randint(5, 9) for _ in range(200)]}
+    targets = {s: share * sum(x) for (s, x), share in zip(sizes.items(), (1.3, 0.4, 1.0))}
+    classes = spark.createDataFrame([(s, k, x.count(k)) for s, x in sizes.items() for k in set(x)], "source string, size long, n long")
+    goals = spark.createDataFrame([(s, targets[s], sum(x) / len(x)) for s, x in sizes.items()], "source string, target double, mean double")
+    lam = {r.source: r.lam for r in mixing.multipliers(classes, goals, 2, 1e-9).collect()}
+    for s, x in sizes.items():
+        assert abs(lam[s] - _dual(x, targets[s])[0]) < 1e-6
+    given = [(1000 * k + i, "w " * n, "en", s) for k, (s, x) in enumerate(sizes.items()) for i, n in enumerate(x)]
+    out = mixing.mix(docs(spark, given)).collect()
+    for s, x in sizes.items():
+        mine = [r for r in out if r.source == s]
+        if mine[0].target >= 2 * sum(x):
+            assert all(r.copies == 2 for r in mine)
+            continue
+        rates = _dual(x, mine[0].target)[1]
+        for part in (lambda n: n <= 10, lambda n: n <= 30, lambda n: True):  # copies follow the rates from the smallest size on
+            want = sum(rates[r.size] for r in mine if part(r.size))
+            # rounding leaves a gap of half the largest size at most, which copies of the smallest sizes fill
+            assert abs(sum(r.copies for r in mine if part(r.size)) - want) <= 2 + max(x) / (2 * min(x))
+
+
 def test_reruns_and_partitions_agree(spark):
     key = lambda out: sorted((r.doc_id if r.doc_id is not None else -1, r.size, r.copies) for r in out.collect())
     assert key(mixing.mix(docs(spark, _given()))) == key(mixing.mix(docs(spark, _given()[::-1]).repartition(7)))
