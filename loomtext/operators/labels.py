@@ -241,13 +241,10 @@ def _distances(C: np.ndarray, V: np.ndarray) -> np.ndarray:
     return np.sqrt(d2)
 
 
-def cluster_labels(questions: DataFrame, membership: DataFrame, qvec: DataFrame, stop: DataFrame | None = None,
-                   dims: int = 16, encoder=None) -> DataFrame:
-    """LB5: (corpus, cluster_id, labels ARRAY<STRING>) from 1-gram and 2-gram label scores
-    (top 5 each), merged and re-sorted (WN4), then the label rule (LB4) on the best four.
-    questions (corpus, id, question); membership (corpus, id, cluster_id); qvec (corpus, id, vec).
-    An id belongs to its corpus: the same id may occur in several.  Terms are embedded by `encoder` (a
-    Column function over text) or by the default word vectors in `dims` dimensions."""
+def label_scores(questions: DataFrame, membership: DataFrame, qvec: DataFrame, stop: DataFrame | None = None,
+                 dims: int = 16, encoder=None, top: int = TOP_LABELS) -> DataFrame:
+    """LB2 + LB3 for 1-grams and 2-grams, each length on its own (WN3): (corpus, cluster_id, gram_type, label, score,
+    rank up to `top`).  Arguments as `cluster_labels`."""
     ll = cut_lineage(lemma_lists(questions, stop, keep=("corpus",)))
     cents = cut_lineage(centroids(membership.join(qvec, ["corpus", "id"]).withColumn(
         "ck", F.struct("corpus", "cluster_id")), key="ck", vec="vec")
@@ -258,10 +255,20 @@ def cluster_labels(questions: DataFrame, membership: DataFrame, qvec: DataFrame,
         nm = cut_lineage(nmi(contingency_by_corpus(g, membership)).select("corpus", "cluster_id", "gram", "nmi"))
         text = F.lower("gram")
         vec = encoder(text) if encoder is not None else mean_word_vector(F.split(text, " "), dims)
-        parts.append(label_scores_by_corpus(nm, g.select("corpus", "gram").distinct().withColumn("vec", vec), cents))
-    merged = parts[0].unionByName(parts[1])
+        parts.append(label_scores_by_corpus(nm, g.select("corpus", "gram").distinct().withColumn("vec", vec), cents, top)
+                     .withColumn("gram_type", F.lit(n)))
+    return parts[0].unionByName(parts[1])
+
+
+def cluster_labels(questions: DataFrame, membership: DataFrame, qvec: DataFrame, stop: DataFrame | None = None,
+                   dims: int = 16, encoder=None) -> DataFrame:
+    """LB5: (corpus, cluster_id, labels ARRAY<STRING>) from 1-gram and 2-gram label scores
+    (top 5 each), merged and re-sorted (WN4), then the label rule (LB4) on the best four.
+    questions (corpus, id, question); membership (corpus, id, cluster_id); qvec (corpus, id, vec).
+    An id belongs to its corpus: the same id may occur in several.  Terms are embedded by `encoder` (a
+    Column function over text) or by the default word vectors in `dims` dimensions."""
     w = Window.partitionBy("corpus", "cluster_id").orderBy(F.round("score", 12).desc(), F.col("label"))
-    top4 = merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 4) \
-        .withColumn("cluster_id", F.struct("corpus", "cluster_id"))
+    top4 = label_scores(questions, membership, qvec, stop, dims, encoder).withColumn("rank", F.row_number().over(w)) \
+        .where(F.col("rank") <= 4).withColumn("cluster_id", F.struct("corpus", "cluster_id"))
     lab = best_label_combination(top4)
     return lab.select(F.col("cluster_id.corpus").alias("corpus"), F.col("cluster_id.cluster_id").alias("cluster_id"), "labels")

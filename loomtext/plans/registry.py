@@ -1205,6 +1205,96 @@ def q_tr2(spark, sf):
     return TR.rank_words(sw).select("cluster_id", "word", (F.floor(F.col("rank") * 1e6 + 0.501) / 1e6).alias("rank"))
 
 
+# ---------------------------------------------------------------- label scores and labelled output (LB2, LB3, LB5, AG16, SNK3)
+# every conversation is a corpus, its roles are the clusters
+def _gram_scores_sql(n: int) -> list[str]:
+    g = "unnest(l)" if n == 1 else "unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]))"
+    words = "string_split(lower(gram), ' ')"
+    return [f"h{n} AS (SELECT DISTINCT corpus, id, {g} AS gram FROM cl)",
+            f"hn11_{n} AS (SELECT corpus, cluster_id, gram, count(*) AS n11 FROM h{n} JOIN cmem USING (corpus, id) GROUP BY ALL)",
+            f"hn1_{n} AS (SELECT corpus, gram, count(*) AS n1 FROM h{n} GROUP BY ALL)",
+            f"""hnmi_{n} AS (SELECT corpus, cluster_id, gram, {Q.nmi_expr()} AS nmi FROM (
+              SELECT corpus, cluster_id, gram, n11, n1, nc, N FROM hn11_{n} JOIN hn1_{n} USING (corpus, gram)
+              JOIN cnc USING (corpus, cluster_id) JOIN cn USING (corpus)))""",
+            f"""hd_{n} AS (SELECT t.corpus, c.cluster_id, t.gram, list_distance(c.v, t.v) AS d FROM (
+              SELECT corpus, gram, list_transform(range(16), lambda i: list_sum(list_transform({words},
+                lambda x: ('0x' || substr(md5(x), 1 + 2 * i, 2))::INT / 255.0 - 0.5)) / len({words})) AS v FROM hn1_{n}) t
+              JOIN ccent c USING (corpus))""",
+            f"""hsc_{n} AS (SELECT a.corpus, a.cluster_id, 0.5 * greatest(coalesce(mx, 0.0), 0.0) * dmin AS sc FROM
+              (SELECT corpus, cluster_id, min(d) AS dmin FROM hd_{n} GROUP BY ALL) a LEFT JOIN
+              (SELECT corpus, cluster_id, max(nmi) AS mx FROM hnmi_{n} GROUP BY ALL) b
+              ON b.corpus = a.corpus AND b.cluster_id = a.cluster_id)""",
+            f"""hs_{n} AS (SELECT *, row_number() OVER (PARTITION BY corpus, cluster_id ORDER BY round(score, 12) DESC, label) AS rank FROM (
+              SELECT d.corpus, d.cluster_id, d.gram AS label, coalesce(m.nmi, 0.0) + CASE WHEN d.d > 0 THEN s.sc / d.d ELSE s.sc END AS score
+              FROM hd_{n} d JOIN hsc_{n} s ON s.corpus = d.corpus AND s.cluster_id = d.cluster_id
+              LEFT JOIN hnmi_{n} m ON m.corpus = d.corpus AND m.cluster_id = d.cluster_id AND m.gram = d.gram))"""]
+
+
+CONV_LABEL_CTES = [
+    Q.DOC_TOKENS_SIMPLE, Q.stop_list_cte(S.ENGLISH_STOP_SEED, T.KEEP_QUESTION_WORDS), "stopl AS (SELECT list(lemma) AS l FROM stop)",
+    f"""cq AS (SELECT conv_id AS corpus, conv_id * 1000 + turn AS id, role AS cluster_id,
+      list_transform(regexp_extract_all(text, '[{Q.WORD}]+'), lambda t: lower(t)) AS w FROM conversations)""",
+    f"""cl AS (SELECT corpus, id, list_transform(list_filter(w, lambda x: NOT list_contains(stopl.l, x)), lambda t: {Q.upper_sql('t')}) AS l
+      FROM cq, stopl)""",
+    "cmem AS (SELECT corpus, id, cluster_id FROM cq)",
+    "cnc AS (SELECT corpus, cluster_id, count(*) AS nc FROM cmem GROUP BY ALL)",
+    "cn AS (SELECT corpus, count(*) AS N FROM cmem GROUP BY ALL)",
+    """cvec AS (SELECT corpus, cluster_id, CASE WHEN len(w) = 0 THEN list_transform(range(16), lambda i: 0.0) ELSE
+      list_transform(range(16), lambda i: list_sum(list_transform(w, lambda x: ('0x' || substr(md5(x), 1 + 2 * i, 2))::INT / 255.0 - 0.5)) / len(w)) END AS v FROM cq)""",
+    """ccent AS (SELECT corpus, cluster_id, list(x ORDER BY dim) AS v FROM (
+      SELECT corpus, cluster_id, u.dim, avg(u.x) AS x FROM cvec, LATERAL (SELECT generate_subscripts(cvec.v, 1) AS dim, unnest(cvec.v) AS x) u
+      GROUP BY ALL) GROUP BY ALL)""", *_gram_scores_sql(1), *_gram_scores_sql(2),
+    """hall AS (SELECT corpus, cluster_id, 1 AS gram_type, label, score, rank FROM hs_1 WHERE rank <= 5
+      UNION ALL SELECT corpus, cluster_id, 2, label, score, rank FROM hs_2 WHERE rank <= 5)"""]
+CONV_NAME_CTES = [*CONV_LABEL_CTES, """
+hrk AS (SELECT corpus || ':' || cluster_id AS cluster_id, label,
+  row_number() OVER (PARTITION BY corpus, cluster_id ORDER BY round(score, 12) DESC, label) AS rank FROM hall)""", """
+hpiv AS (SELECT cluster_id, max(CASE WHEN rank = 1 THEN label END) AS L1, max(CASE WHEN rank = 2 THEN label END) AS L2,
+         max(CASE WHEN rank = 3 THEN label END) AS L3, max(CASE WHEN rank = 4 THEN label END) AS L4 FROM hrk GROUP BY cluster_id)""",
+                  f"hname AS ({Q.label_rule_sql('hpiv')})"]
+
+
+def _conversation_clusters(spark, sf):
+    c = S.table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("corpus"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question"),
+        F.col("role").alias("cluster_id"))
+    q = c.select("corpus", "id", "question")
+    return q, c.select("corpus", "id", "cluster_id"), PL.encode(q)
+
+
+def _conversation_names(spark, sf):
+    q, members, vec = _conversation_clusters(spark, sf)
+    key = F.concat_ws(":", "corpus", "cluster_id").alias("cluster_id")
+    names = LB.cluster_labels(q, members, vec, FX.stop_list(spark, sf)).select(key, "labels")
+    return members.select(key, "id"), names
+
+
+@register("lb3_scores", Q.with_(*CONV_LABEL_CTES) + """
+SELECT corpus, cluster_id, gram_type, label, round(score, 6) AS score, rank FROM hall""")
+def q_lb3(spark, sf):
+    """The five best 1-grams and 2-grams of every role of every conversation, by mutual information plus nearness
+    to the role's centroid."""
+    q, members, vec = _conversation_clusters(spark, sf)
+    s = LB.label_scores(q, members, vec, FX.stop_list(spark, sf))
+    return s.select("corpus", "cluster_id", "gram_type", "label", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("lb5_labels", Q.with_(*CONV_NAME_CTES) + "SELECT cluster_id, labels FROM hname")
+def q_lb5(spark, sf):
+    _, names = _conversation_names(spark, sf)
+    return names.select("cluster_id", F.array_join("labels", " , ").alias("labels"))
+
+
+@register("snk3_labelled_output", Q.with_(*CONV_NAME_CTES) + """
+SELECT corpus || ':' || m.cluster_id AS cluster_id, id // 1000 AS chunk, any_value(labels) AS label,
+       string_agg(id::VARCHAR, ',' ORDER BY id) AS q_ids
+FROM cmem m LEFT JOIN hname ON hname.cluster_id = corpus || ':' || m.cluster_id GROUP BY ALL""")
+def q_snk3(spark, sf):
+    members, names = _conversation_names(spark, sf)
+    out = SK.labelled_output(members, names)
+    return out.withColumn("q_ids", F.array_join(F.col("q_ids").cast("array<string>"), ","))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
