@@ -1295,6 +1295,84 @@ def q_snk3(spark, sf):
     return out.withColumn("q_ids", F.array_join(F.col("q_ids").cast("array<string>"), ","))
 
 
+# ---------------------------------------------------------------- fitted corpus model (VEC7, SO4), word vectors (SRC6), ML stages (UD2, VEC6)
+from loomtext.operators import corpusmodel as CM  # noqa: E402
+from loomtext.operators import wordvectors as WV  # noqa: E402
+
+VEC7_SQL = Q.with_(Q.DOC_TOKENS_SIMPLE, Q.N_DOCS, """
+mt AS (SELECT lemma, ln((1.0 + n) / (count(DISTINCT id) + 1)) + 1 AS idf FROM doc_tok, ndocs GROUP BY lemma, n)""", f"""
+tt AS (SELECT id, lemma, count(*) AS tf FROM (SELECT conv_id * 1000 + turn AS id, unnest({Q.lemmas(Q.question('text'))}) AS lemma
+       FROM conversations) GROUP BY id, lemma)""", """
+tw AS (SELECT id, lemma, tf, (1 + ln(tf)) * idf AS w FROM tt JOIN mt USING (lemma))""") + """
+SELECT id, lemma, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS w FROM tw"""
+
+
+def _turn_lemmas(df):
+    return df.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.lemmas(T.question_text("text")).alias("lemmas"))
+
+
+def _document_model(spark, sf):
+    path = _scratch(spark, "corpus-model")
+    CM.fit_corpus(FX.doc_token_lemmas(spark, sf).select("id", "lemma"), path, FX.n_docs(spark, sf))
+    return CM.load_corpus(spark, path)
+
+
+@register("vec7_fitted_model", VEC7_SQL)
+def q_vec7(spark, sf):
+    """Vocabulary and idf fitted on the documents, saved, loaded and applied to the turns of the conversations."""
+    turns = _turn_lemmas(S.table(spark, sf, "conversations"))
+    w = CM.weigh(_document_model(spark, sf), turns.select("id", F.explode("lemmas").alias("lemma")))
+    return w.select("id", "lemma", "tf", F.round("w", 6).alias("w"))
+
+
+@register("so4_model_stream", VEC7_SQL)
+def q_so4(spark, sf):
+    """The same model applied to the conversations read as a stream of files."""
+    base = _scratch(spark, "so4")
+    src = spark.readStream.schema(S.table(spark, sf, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    CM.weigh_stream(_turn_lemmas(src), _document_model(spark, sf), base + "/sink", base + "/state").awaitTermination()
+    return spark.read.parquet(base + "/sink").select("id", "lemma", "tf", F.round("w", 6).alias("w"))
+
+
+@register("src6_learned_vectors")
+def q_src6_learned(spark, sf):
+    """Vectors of the words of all documents from the words near them."""
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), T.lemmas(T.question_text("text")).alias("lemmas"))
+    return WV.learn_word_vectors(docs).select("lemma", F.transform("vec", lambda x: F.round(x, 4)).alias("vec"))
+
+
+@register("src6_phrase_means", Q.with_(Q.DOC_TOKENS_SIMPLE, Q.BG_FREQ, f"""
+ct AS (SELECT conv_id * 1000 + turn AS id, unnest({Q.lemmas(Q.question('text'))}) AS lemma FROM conversations)""", f"""
+cv AS (SELECT id, u.dim, avg(u.x) AS x FROM (SELECT id, {MD5_VEC_SQL.format(w='lemma')} AS v FROM ct
+       WHERE lemma IN (SELECT lemma FROM bg WHERE cnt >= 3)) t,
+       LATERAL (SELECT generate_subscripts(t.v, 1) - 1 AS dim, unnest(t.v) AS x) u GROUP BY id, u.dim)""") + """
+SELECT i.id, cv.dim, round(cv.x, 6) AS x FROM (SELECT DISTINCT id FROM ct) i LEFT JOIN cv USING (id)""")
+def q_src6_means(spark, sf):
+    """Mean vector of every turn by a (word, vector) table written and read back: the words seen three times or
+    more in the documents."""
+    path = _scratch(spark, "word-vectors")
+    FX.background(spark, sf).where("cnt >= 3").select("lemma", S.md5_word_vector(F.col("lemma")).alias("vec")).write.parquet(path)
+    turns = _turn_lemmas(S.table(spark, sf, "conversations")).select("id", F.explode("lemmas").alias("lemma"))
+    v = WV.phrase_vectors(turns, spark.read.parquet(path), 16)
+    return v.select("id", F.posexplode_outer("vec").alias("dim", "x")).select("id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+@register("ud2_stages", ORACLES["src7_encode"])
+def q_ud2(spark, sf):
+    """A pipeline of text stages, saved and loaded again, over all turns."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    from loomtext.plans import stages as ST2
+
+    turns = S.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question"))
+    path = _scratch(spark, "stages")
+    Pipeline(stages=[ST2.Lemmas(clean=False), ST2.MeanWordVector()]).fit(turns).write().save(path)
+    out = PipelineModel.load(path).transform(turns)
+    return out.select("id", F.posexplode(vector_to_array("features")).alias("dim", "x")).select(
+        "id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
