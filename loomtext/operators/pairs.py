@@ -18,9 +18,10 @@ from loomtext.session import broadcast_if_small, cut_lineage
 BLOCK_ROWS = 256
 
 
-def blocked(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """points (corpus, id, vec, ...) -> + blk, nb.  Block = hash of id modulo the corpus's block count."""
-    nb = points.groupBy("corpus").agg(F.count(F.lit(1)).alias("_n")).select(
+def blocked(points: DataFrame, block_rows: int = BLOCK_ROWS, blocks: DataFrame | None = None) -> DataFrame:
+    """points (corpus, id, vec, ...) -> + blk, nb.  Block = hash of id modulo the corpus's block count
+    (`blocks` (corpus, nb), else by rows)."""
+    nb = blocks if blocks is not None else points.groupBy("corpus").agg(F.count(F.lit(1)).alias("_n")).select(
         "corpus", F.greatest(F.ceil(F.col("_n") / F.lit(block_rows)), F.lit(1)).cast("int").alias("nb"))
     return points.join(broadcast_if_small(nb), "corpus").withColumn(
         "blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
@@ -33,9 +34,9 @@ def replicate(pts: DataFrame) -> DataFrame:
     return r.withColumn("bi", F.least("blk", "_x")).withColumn("bj", F.greatest("blk", "_x")).drop("_x")
 
 
-def run_pairs(points: DataFrame, kernel, schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def run_pairs(points: DataFrame, kernel, schema: str, block_rows: int = BLOCK_ROWS, blocks: DataFrame | None = None) -> DataFrame:
     """Apply `kernel(A, B, same_block) -> pandas.DataFrame` to every block pair of every corpus."""
-    rep = replicate(blocked(points, block_rows))
+    rep = replicate(blocked(points, block_rows, blocks))
     schema = schema.replace("corpus long", f"corpus {points.schema['corpus'].dataType.simpleString()}")
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -413,17 +413,60 @@ def q_km1(spark, sf):
     return KM.kmeans(_emb_points(spark, sf), n_clusters=5, n_init=10)
 
 
-@register("wd2_ward")
+# points and squared distances of Ward inside a label's vectors
+WARD_EMB = ["""
+wv AS (SELECT label::BIGINT AS corpus, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)""", "wn AS (SELECT corpus, id FROM wv)", """
+wp AS (SELECT a.corpus, a.id AS a, b.id AS b, list_distance(a.v, b.v) ** 2 AS d2 FROM wv a JOIN wv b ON a.corpus = b.corpus AND a.id < b.id)"""]
+WARD_SQL = Q.with_(*WARD_EMB, *Q.WARD_CTES).replace("WITH ", "WITH RECURSIVE ", 1)
+BEST_K_SQL = WARD_SQL + f""", ck AS (SELECT corpus, n, least(k, n)::INT AS k FROM wc, range(4, 11) t(k) WHERE k < n OR k = 4),
+lk AS ({Q.ward_cut("c.n - c.k", "c.k,", "(SELECT DISTINCT * FROM ck)")}),
+dl AS (SELECT x.corpus, x.k, x.id, x.label AS own, y.label, avg(list_distance(p.v, q.v)) AS md
+       FROM lk x JOIN lk y ON x.corpus = y.corpus AND x.k = y.k AND x.id <> y.id
+       JOIN wv p ON p.corpus = x.corpus AND p.id = x.id JOIN wv q ON q.corpus = y.corpus AND q.id = y.id
+       GROUP BY x.corpus, x.k, x.id, x.label, y.label),
+ab AS (SELECT corpus, k, id, max(CASE WHEN own = label THEN md END) AS a, min(CASE WHEN own <> label THEN md END) AS b
+       FROM dl GROUP BY corpus, k, id),
+sc AS (SELECT ab.corpus, k, CASE WHEN k < n THEN avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END) END AS score
+       FROM ab JOIN wc USING (corpus) GROUP BY ab.corpus, k, n),
+bk AS (SELECT corpus, k, score FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY score DESC NULLS LAST, k) AS rn FROM sc) WHERE rn = 1),
+bl AS (SELECT lk.corpus, lk.id, lk.label, lk.k, round(bk.score, 6) AS score FROM lk JOIN bk USING (corpus, k))"""
+
+
+@register("wd2_ward", WARD_SQL + Q.ward_cut("greatest(c.n - 4, 0)"))
 def q_wd2(spark, sf):
     return WD.ward_k(_emb_points(spark, sf, corpus="label"), 4)
 
 
-@register("wd1_agglomerate")
+@register("wd1_agglomerate", WARD_SQL + """, below AS (SELECT c.corpus, count(m.step) AS steps
+  FROM wc c LEFT JOIN wm m ON m.corpus = c.corpus AND m.h < 1.4 GROUP BY c.corpus)
+""" + Q.ward_cut("c.steps", source="below"))
 def q_wd1(spark, sf):
     return WD.agglomerate(_emb_points(spark, sf, corpus="label"), threshold=1.4)
 
 
-@register("sel1_best_k")
+@register("wd2_merge_tree", WARD_SQL + """
+SELECT corpus, parent, child, round(h, 6) AS h FROM wm""")
+def q_wd2_merges(spark, sf):
+    """The whole tree as of a large corpus: reciprocal-neighbour rounds down to 20 clusters, then one task."""
+    tree = WD.merge_tree(_emb_points(spark, sf, corpus="label"), local_n=20)
+    return tree.select("corpus", "parent", "child", F.round("h", 6).alias("h"))
+
+
+@register("wd3_sparse_ward", "WITH RECURSIVE sp AS (" + SP1_SQL.replace("round(sim, 6) AS sim", "sim") + """),
+wn AS (SELECT label::BIGINT AS corpus, vec_id AS id FROM embeddings),
+en AS (SELECT corpus, i AS id, j AS c, sim AS x FROM sp UNION ALL SELECT corpus, j, i, sim FROM sp UNION ALL SELECT corpus, id, id, 1.0 FROM wn),
+sq AS (SELECT corpus, id, sum(x * x) AS q FROM en GROUP BY corpus, id),
+dt AS (SELECT e.corpus, e.id AS a, f.id AS b, sum(e.x * f.x) AS dot FROM en e JOIN en f
+       ON e.corpus = f.corpus AND e.c = f.c AND e.id < f.id GROUP BY e.corpus, e.id, f.id),
+wp AS (SELECT x.corpus, x.id AS a, y.id AS b, x.q + y.q - 2 * coalesce(dt.dot, 0) AS d2 FROM sq x
+       JOIN sq y ON x.corpus = y.corpus AND x.id < y.id LEFT JOIN dt ON dt.corpus = x.corpus AND dt.a = x.id AND dt.b = y.id),
+""" + ",\n".join(Q.WARD_CTES) + "\n" + Q.ward_cut("greatest(c.n - 4, 0)"))
+def q_wd3(spark, sf):
+    """Ward on the rows of the sparse similarity matrix by rounds over the kept pairs."""
+    return SP.sparse_ward(_emb_points(spark, sf, corpus="label"), 4, local_n=20)
+
+
+@register("sel1_best_k", BEST_K_SQL + " SELECT * FROM bl")
 def q_sel1(spark, sf):
     r = SP.best_k_normal(_emb_points(spark, sf, corpus="label"))
     return r.select("corpus", "id", "label", "k", F.round("score", 6).alias("score"))
@@ -612,7 +655,9 @@ def q_val4(spark, sf):
     return VL.with_messages(r).select("id", "corpus", "error_code", "error_message", "status")
 
 
-@register("snk2_members")
+@register("snk2_members", BEST_K_SQL + """
+SELECT corpus || ':' || label AS label, id // 1000 AS chunk, count(*) AS n_ids, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids
+FROM bl GROUP BY corpus, label, id // 1000""")
 def q_snk2(spark, sf):
     lab = SP.best_k_normal(_emb_points(spark, sf, corpus="label"))
     ch = SK.members_chunked(lab.withColumn("key", F.concat_ws(":", "corpus", "label")), "key", "id")

@@ -250,3 +250,38 @@ r{t} AS (SELECT v.cluster_id, v.word, 0.15 + 0.85 * coalesce(c.gr, 0.0) AS r FRO
     ctes.append("""best AS (SELECT cluster_id, word FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id
         ORDER BY round(r, 9) DESC, first.id DESC, first.sent DESC, first.pos DESC) AS rn FROM final) WHERE rn = 1)""")
     return ctes
+
+
+# Ward clustering of wp (corpus, a, b, d2), a < b, over the points wn (corpus, id): one merge a round and corpus,
+# the pair of the lowest squared height by (height, a, b); the distances from the merged cluster follow by
+# Lance-Williams.  wm: merges in order; wl: the root of each point after every step.
+WARD_CTES = ["""
+ws AS (
+  SELECT corpus, 0 AS step, a, b, d2, 1 AS na, 1 AS nb FROM wp
+  UNION ALL
+  SELECT corpus, any_value(step) + 1, a, b,
+         CASE WHEN bool_or(hit) THEN (sum((nk + nm) * d2) - any_value(nk) * any_value(dm)) / (sum(nm) + any_value(nk)) ELSE any_value(d2) END,
+         CASE WHEN bool_or(hit AND m_first) THEN sum(nm) ELSE any_value(na) END::INT,
+         CASE WHEN bool_or(hit AND NOT m_first) THEN sum(nm) ELSE any_value(nb) END::INT
+  FROM (SELECT corpus, step, least(x, y) AS a, greatest(x, y) AS b, d2, dm, hit, CASE WHEN a_in THEN x < y ELSE y < x END AS m_first,
+               CASE WHEN a_in THEN nb ELSE na END AS nk, CASE WHEN a_in THEN na ELSE nb END AS nm,
+               CASE WHEN x < y THEN na ELSE nb END AS na, CASE WHEN x < y THEN nb ELSE na END AS nb
+        FROM (SELECT s.corpus, s.step, s.d2, s.na, s.nb, p.m.d2 AS dm, s.a IN (p.m.a, p.m.b) AS a_in,
+                     s.a IN (p.m.a, p.m.b) OR s.b IN (p.m.a, p.m.b) AS hit,
+                     CASE WHEN s.a = p.m.b THEN p.m.a ELSE s.a END AS x, CASE WHEN s.b = p.m.b THEN p.m.a ELSE s.b END AS y
+              FROM ws s JOIN (SELECT corpus, arg_min({'a': a, 'b': b, 'd2': d2}, {'d2': d2, 'a': a, 'b': b}) AS m
+                              FROM ws GROUP BY corpus) p ON p.corpus = s.corpus
+              WHERE s.a <> p.m.a OR s.b <> p.m.b))
+  GROUP BY corpus, a, b)""", """
+wm AS (SELECT corpus, step, m.a AS parent, m.b AS child, sqrt(greatest(m.d2, 0)) AS h FROM (
+  SELECT corpus, step, arg_min({'a': a, 'b': b, 'd2': d2}, {'d2': d2, 'a': a, 'b': b}) AS m FROM ws GROUP BY corpus, step))""", """
+wl AS (SELECT corpus, id, 0 AS step, id AS root FROM wn
+       UNION ALL SELECT l.corpus, l.id, l.step + 1, CASE WHEN l.root = m.child THEN m.parent ELSE l.root END
+       FROM wl l JOIN wm m ON m.corpus = l.corpus AND m.step = l.step)""", """
+wc AS (SELECT corpus, count(*) AS n FROM wn GROUP BY corpus)"""]
+
+
+def ward_cut(steps: str, columns: str = "", source: str = "wc") -> str:
+    """Labels after `steps` merges (an expression over `source` with corpus and n): clusters numbered by their smallest id."""
+    return (f"SELECT l.corpus, {columns} l.id, (dense_rank() OVER (PARTITION BY l.corpus, l.step ORDER BY l.root) - 1)::INT AS label "
+            f"FROM wl l JOIN {source} c ON c.corpus = l.corpus AND l.step = {steps}")
