@@ -55,6 +55,7 @@ def q_mt1_join(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- text scalars (2.B)
 from loomtext.functions import text as T  # noqa: E402
 from loomtext.operators import greedy as GR  # noqa: E402
+from loomtext.operators import lexicon as LX  # noqa: E402
 from loomtext.operators import weights as W  # noqa: E402
 from loomtext.sources import sinks as SK  # noqa: E402
 from loomtext.sources import tables as S  # noqa: E402
@@ -1023,6 +1024,35 @@ def q_txt8(spark, sf):
     return out.select("id", F.col("pos").cast("long").alias("pos"), "lemma")
 
 
+LEMMA_SQL = Q.with_(Q.DOC_TOKENS_SIMPLE, """
+lw AS (SELECT DISTINCT lemma AS word FROM doc_tok WHERE regexp_matches(lemma, '^\\p{L}+$'))""", """
+cu AS (SELECT word, left(word, length(word) - k) AS stem, substr(word, length(word) - k + 1) AS ending
+       FROM lw, range(0, 5) r(k) WHERE length(word) - k >= 3)""", """
+en AS (SELECT ending, count(*) AS stems FROM cu GROUP BY ending ORDER BY stems DESC, ending LIMIT 100)""", """
+ru AS (SELECT x.ending, y.ending AS base, count(*) AS support, count(*) / any_value(en.stems) AS share
+       FROM cu x JOIN en ON en.ending = x.ending JOIN cu y ON y.stem = x.stem AND length(y.ending) < length(x.ending)
+       WHERE y.ending IN (SELECT ending FROM en) GROUP BY x.ending, y.ending HAVING support >= 3 AND share >= 0.1)""", """
+ld AS (SELECT token_lower, lemma FROM (
+  SELECT cu.word AS token_lower, lw.word AS lemma, row_number() OVER (PARTITION BY cu.word ORDER BY share DESC, support DESC, lw.word) AS rn
+  FROM cu JOIN ru USING (ending) JOIN lw ON lw.word = cu.stem || ru.base) WHERE rn = 1)""")
+
+
+@register("txt8_learned_lemmas", LEMMA_SQL + "SELECT * FROM ld")
+def q_txt8_learned(spark, sf):
+    """The lemma dictionary learned from the endings of the words of `documents`."""
+    return LX.learn(FX.doc_token_lemmas(spark, sf))
+
+
+@register("txt8_lemmatized", LEMMA_SQL + f""", t AS (SELECT conv_id * 1000 + turn AS id, {Q.lemmas(Q.question('text'))} AS l FROM conversations)
+SELECT id, u.pos - 1 AS pos, coalesce(ld.lemma, u.w) AS lemma
+FROM (SELECT id, u.pos, u.w FROM t, LATERAL (SELECT generate_subscripts(t.l, 1) AS pos, unnest(t.l) AS w) u) u LEFT JOIN ld ON ld.token_lower = u.w""")
+def q_txt8_lemmatized(spark, sf):
+    """Turns in lemmas of the dictionary learned from `documents`."""
+    toks = S.token_table(S.turns_as_questions(spark, sf).select("id", "question"))
+    out = S.lemmatize(toks, LX.learn(FX.doc_token_lemmas(spark, sf)))
+    return out.select("id", F.col("pos").cast("long").alias("pos"), "lemma")
+
+
 @register("txt13_content_words", f"""
 WITH t AS (SELECT conv_id * 1000 + turn AS id, {Q.lemmas(Q.question('text'))} AS l FROM conversations)
 SELECT id, u.pos - 1 AS pos, u.w AS lemma FROM t, LATERAL (SELECT generate_subscripts(t.l, 1) AS pos, unnest(t.l) AS w) u WHERE length(u.w) % 3 <> 0""")
