@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.session import broadcast_if_small, cut_lineage
+from loomtext.session import broadcast_if_small, cut_lineage, share_if_small
 
 BLOCK_ROWS = 256
 
@@ -124,6 +124,15 @@ def knn(points: DataFrame, k: int = 5, metric: str = "minkowski:1.5") -> DataFra
     return cells.knn(points, k, metric)
 
 
+def _beside(points: DataFrame, table: DataFrame):
+    """(rows, get): get(corpus, part) is the row of `table` (one a corpus) for a part of `rows`; the table is sent
+    to the tasks once, or joined to the points where it is too large for that."""
+    shared = share_if_small(table)
+    if shared is not None:
+        return points, lambda corpus, part: shared.value[corpus][0]
+    return points.join(broadcast_if_small(table), "corpus"), lambda corpus, part: part.iloc[0]
+
+
 def row_stats(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """AG11: cosine similarity mean and population std of each row without its diagonal.
 
@@ -153,13 +162,13 @@ def row_stats(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     per = first.select("corpus", "n", F.posexplode("s").alias("i", "x")).groupBy("corpus", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     mean = cut_lineage(per.groupBy("corpus").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s")).select(
         "corpus", "n", F.transform("s", lambda e: e["x"] / F.col("n")).alias("c")))
-    centred = pts.join(broadcast_if_small(mean), "corpus")
+    centred, mean_of = _beside(pts, mean)
 
     def products(it):
         total: dict = {}
         for pdf in it:
             for corpus, part in pdf.groupby("corpus", sort=False):
-                Y = unit(part) - np.asarray(part["c"].iloc[0])
+                Y = unit(part) - np.asarray(mean_of(corpus, part)["c"])
                 total[corpus] = total.get(corpus, 0) + Y.T @ Y
         for corpus, P in total.items():
             yield pd.DataFrame({"corpus": [corpus] * len(P), "i": np.arange(len(P)), "row": list(P)})
@@ -172,8 +181,9 @@ def row_stats(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     def stats(it):
         for pdf in it:
             for corpus, part in pdf.groupby("corpus", sort=False):
-                X, c, n = unit(part), np.asarray(part["c"].iloc[0]), int(part["n"].iloc[0])
-                P = np.asarray(part["p"].iloc[0]).reshape(len(c), len(c))
+                found = both_of(corpus, part)
+                X, c, n = unit(part), np.asarray(found["c"]), int(found["n"])
+                P = np.asarray(found["p"]).reshape(len(c), len(c))
                 own = (X * X).sum(1)  # the diagonal: 1, or 0 for a zero row
                 if n < 2:
                     yield pd.DataFrame({"corpus": corpus, "id": part["id"], "mean": np.nan, "std": np.nan})
@@ -184,8 +194,8 @@ def row_stats(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
                 yield pd.DataFrame({"corpus": corpus, "id": part["id"], "mean": at - shift,
                                     "std": np.sqrt(np.maximum(ss / (n - 1) - shift ** 2, 0.0))})
 
-    both = mean.join(matrix, "corpus")
-    out = pts.join(broadcast_if_small(both), "corpus").mapInPandas(stats, f"corpus {cor}, id long, mean double, std double")
+    rows, both_of = _beside(pts, cut_lineage(mean.join(matrix, "corpus")))
+    out = rows.mapInPandas(stats, f"corpus {cor}, id long, mean double, std double")
     return out.select("corpus", "id", F.when(~F.isnan("mean"), F.col("mean")).alias("mean"), F.when(~F.isnan("std"), F.col("std")).alias("std"))
 
 

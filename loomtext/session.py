@@ -70,15 +70,33 @@ def _width(field) -> "Column":
     return F.lit(8 if isinstance(kind, (T.NumericType, T.BooleanType)) else 64)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint only behind a check of rows and bytes; larger sides are left to AQE."""
+def _fits(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
     from pyspark.sql import functions as F
 
     size = F.lit(0)
     for field in df.schema.fields:
         size = size + _width(field)
     n, width = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return F.broadcast(df) if n <= max_rows and width <= max_bytes else df
+    return n <= max_rows and width <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only behind a check of rows and bytes; larger sides are left to AQE."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if _fits(df, max_rows, max_bytes) else df
+
+
+def share_if_small(df: DataFrame, max_rows: int = 20_000, max_bytes: int = 16 << 20):
+    """The rows of a checkpointed table of flat columns and arrays of numbers as a broadcast variable
+    {corpus: [row, ..]} for functions over Arrow batches, so that a join need not copy them into every row;
+    None where the table is larger (check of rows and bytes), then it is to be joined."""
+    if not _fits(df, max_rows, max_bytes):
+        return None
+    rows: dict = {}
+    for r in df.collect():  # within the bound
+        rows.setdefault(r["corpus"], []).append(r)
+    return df.sparkSession.sparkContext.broadcast(rows)
 
 
 def ship(spark: SparkSession) -> None:
