@@ -119,14 +119,14 @@ def label_type(col) -> Column:
 
 def pair_row(n, pos) -> Column:
     """TXT18 row of the 1-based position `pos` in the row-major strict upper triangle of n x n."""
-    n, pos = _c(n), _c(pos)
+    n, pos = _c(n).cast("long"), _c(pos).cast("long")  # m * m leaves 32 bits beyond 23,170 rows
     m = 2 * n - 1
     return F.floor((m - F.sqrt(m * m - 8 * (pos - 1))) / 2).cast("long")
 
 
 def pair_col(n, pos) -> Column:
     """TXT18 column for the same position."""
-    n, pos = _c(n), _c(pos)
+    n, pos = _c(n).cast("long"), _c(pos).cast("long")
     r = pair_row(n, pos)
     return (pos - 1 - F.floor(r * (2 * n - r - 1) / 2) + r + 1).cast("long")
 

@@ -54,3 +54,11 @@ def test_l2_normalize(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     r = df.select(T.l2_normalize("v").alias("n")).collect()
     assert r[0].n == [0.6, 0.8] and r[1].n == [0.0, 0.0]
+
+
+def test_pair_index_of_many_rows(spark):
+    n = 256_410  # (2 n - 1)^2 leaves 32 bits
+    last = n * (n - 1) // 2
+    df = spark.createDataFrame([(1,), (n - 1,), (n,), (last,)], "pos long")
+    got = [(r.r, r.c) for r in df.select(T.pair_row(F.lit(n), "pos").alias("r"), T.pair_col(F.lit(n), "pos").alias("c")).collect()]
+    assert got == [(0, 1), (0, n - 1), (1, 2), (n - 2, n - 1)]
