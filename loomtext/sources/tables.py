@@ -26,6 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """The files of a table as a stream; a table is one parquet file or a folder of them."""
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    # a path without a pattern would become the base path of the files, which must be a folder
+    return reader.parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
+
+
 def documents_as_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC1 shape (id, question, corpus_id) from `documents`; corpus = language."""
     return table(spark, sf_dir, "documents").select(
