@@ -165,8 +165,9 @@ def contingency_by_corpus(grams: DataFrame, membership: DataFrame, match_by_gram
     n1 = grams.groupBy("corpus", "gram").agg(F.count(F.lit(1)).alias("n1"))
     nc = inside.groupBy("corpus", "cluster_id").agg(F.count(F.lit(1)).alias("nc"))
     nct = membership.groupBy("corpus", "cluster_id").agg(F.count(F.lit(1)).alias("nc_true"))
-    return n11.join(n1, ["corpus", "gram"]).join(nc, ["corpus", "cluster_id"]) \
-        .join(nct, ["corpus", "cluster_id"]).join(N, "corpus")
+    # the sizes are joined first: a row a cluster, so that the rows of all grams are shuffled for them once
+    sizes = nc.join(nct, ["corpus", "cluster_id"]).join(N, "corpus")
+    return n11.join(n1, ["corpus", "gram"]).join(sizes, ["corpus", "cluster_id"])
 
 
 TERM_BLOCK, CLUSTER_BLOCK = 4096, 512

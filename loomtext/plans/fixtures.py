@@ -37,12 +37,18 @@ def _memo(spark: SparkSession, sf: str, name: str, build):
     return _MEMO[key]
 
 
-def doc_token_lemmas(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, lang, lemma) without positions: the token stream of the cleaned documents."""
+def doc_lemmas(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, lang, lemmas ARRAY<STRING>) of the cleaned documents, a row each; kept as text (no lemma holds a space)."""
     from loomtext.functions import text as T
 
-    return _memo(spark, sf, "doc_token_lemmas", lambda: S.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), "lang", F.explode(T.lemmas(T.question_text("text"))).alias("lemma")))
+    words = _memo(spark, sf, "doc_words", lambda: S.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), "lang", F.array_join(T.lemmas(T.question_text("text")), " ").alias("words")))
+    return words.select("id", "lang", F.filter(F.split("words", " "), lambda w: w != "").alias("lemmas"))
+
+
+def doc_token_lemmas(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, lang, lemma) without positions: the token stream of the cleaned documents."""
+    return doc_lemmas(spark, sf).select("id", "lang", F.explode("lemmas").alias("lemma"))
 
 
 def background(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,11 +60,11 @@ def n_docs(spark: SparkSession, sf: str) -> int:
 
 
 def keywords(spark: SparkSession, sf: str) -> DataFrame:
-    return _memo(spark, sf, "keywords", lambda: S.derived_keywords(doc_token_lemmas(spark, sf), n_docs(spark, sf)))
+    return _memo(spark, sf, "keywords", lambda: S.derived_keywords(S.lemma_documents(doc_lemmas(spark, sf)), n_docs(spark, sf)))
 
 
 def stop_list(spark: SparkSession, sf: str) -> DataFrame:
-    return _memo(spark, sf, "stop", lambda: S.derived_stop_list(doc_token_lemmas(spark, sf)))
+    return _memo(spark, sf, "stop", lambda: S.derived_stop_list(S.lemma_documents(doc_lemmas(spark, sf), "lang")))
 
 
 def release() -> None:

@@ -100,14 +100,30 @@ def document_frequency(tokens: DataFrame) -> DataFrame:
     return tokens.select("id", "lemma").distinct().groupBy("lemma").agg(F.count(F.lit(1)).alias("df"))
 
 
-def derived_keywords(tokens: DataFrame, n_docs: int, how_many: int = 20) -> DataFrame:
-    """SRC3 fixture: `how_many` lemmas of >= 4 characters whose document frequency lies in
+def lemma_documents(docs: DataFrame, *keys: str) -> DataFrame:
+    """AG2 of documents (keys.., id, lemmas ARRAY<STRING>): (keys.., lemma, df), the distinct ids with the lemma.
+    A document whose id occurs once is counted where it is read, so that partial counts are shuffled and not
+    (id, lemma) rows; only the rows of repeated ids are made distinct by a shuffle."""
+    from loomtext.session import broadcast_if_small, cut_lineage
+
+    rows = docs.select(*keys, "id", F.array_distinct("lemmas").alias("lemmas"))
+    count = lambda df: df.groupBy(*keys, "lemma").agg(F.count(F.lit(1)).alias("df"))
+    repeated = cut_lineage(docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(F.col("id").alias("_id")))
+    if not repeated.limit(1).count():
+        return count(rows.select(*keys, F.explode("lemmas").alias("lemma")))
+    again, same = broadcast_if_small(repeated), F.col("id").eqNullSafe(F.col("_id"))
+    once = count(rows.join(again, same, "left_anti").select(*keys, F.explode("lemmas").alias("lemma")))
+    more = count(rows.join(again, same, "left_semi").select(*keys, "id", F.explode("lemmas").alias("lemma")).distinct())
+    return once.unionByName(more).groupBy(*keys, "lemma").agg(F.sum("df").alias("df"))
+
+
+def derived_keywords(df: DataFrame, n_docs: int, how_many: int = 20) -> DataFrame:
+    """SRC3 fixture, from document frequencies (lemma, df): `how_many` lemmas of >= 4 characters whose document frequency lies in
     [1 %, 20 %] of the documents, rarest first (df, lemma)."""
     from pyspark.sql import Window
 
-    df = document_frequency(tokens.where(F.length("lemma") >= 4))
     top = (
-        df.where((F.col("df") >= F.lit(0.01 * n_docs)) & (F.col("df") <= F.lit(0.2 * n_docs)))
+        df.where(F.length("lemma") >= 4).where((F.col("df") >= F.lit(0.01 * n_docs)) & (F.col("df") <= F.lit(0.2 * n_docs)))
         .orderBy("df", "lemma")
         .limit(how_many)
     )
@@ -116,19 +132,15 @@ def derived_keywords(tokens: DataFrame, n_docs: int, how_many: int = 20) -> Data
                       F.row_number().over(Window.orderBy("df", "lemma")).alias("kw_pos"))
 
 
-def derived_stop_list(tokens_with_lang: DataFrame, per_lang: int = 30) -> DataFrame:
-    """Stop list fixture: the `per_lang` highest-df lemmas per corpus language, plus the English
+def derived_stop_list(df: DataFrame, per_lang: int = 30) -> DataFrame:
+    """Stop list fixture, from document frequencies (lang, lemma, df): the `per_lang` highest-df lemmas per corpus language, plus the English
     seed list, minus the question words (TXT11)."""
     from pyspark.sql import Window
 
-    df = (
-        tokens_with_lang.select("lang", "id", "lemma").distinct()
-        .groupBy("lang", "lemma").agg(F.count(F.lit(1)).alias("df"))
-    )
     w = Window.partitionBy("lang").orderBy(F.col("df").desc(), F.col("lemma"))
     top = df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_lang).select("lemma")
-    seed = tokens_with_lang.sparkSession.createDataFrame([(w_,) for w_ in ENGLISH_STOP_SEED], "lemma string")
-    keep = tokens_with_lang.sparkSession.createDataFrame([(w_,) for w_ in T.KEEP_QUESTION_WORDS], "lemma string")
+    seed = df.sparkSession.createDataFrame([(w_,) for w_ in ENGLISH_STOP_SEED], "lemma string")
+    keep = df.sparkSession.createDataFrame([(w_,) for w_ in T.KEEP_QUESTION_WORDS], "lemma string")
     return top.unionByName(seed).distinct().join(keep, "lemma", "left_anti")
 
 
