@@ -38,6 +38,11 @@ def global_keywords(grams: DataFrame) -> DataFrame:
     return grams.select("gram").distinct()
 
 
+def global_keywords_of_lists(lists: DataFrame, *lengths: int) -> DataFrame:
+    """AG15 of lists (.., lems) for all `lengths`: partial sets of grams are shuffled, no gram sets of single questions."""
+    return global_keywords(lists.select(F.explode(F.concat(*(T.ngrams(F.col("lems"), n) for n in lengths))).alias("gram")))
+
+
 def contingency(grams: DataFrame, membership: DataFrame) -> DataFrame:
     """AG17: (cluster_id, gram, n11, n1, nc, N) for every gram present in the cluster.
     membership is (id, cluster_id)."""
@@ -48,6 +53,35 @@ def contingency(grams: DataFrame, membership: DataFrame) -> DataFrame:
     return n11.join(n1, "gram").join(broadcast_if_small(nc), "cluster_id").withColumn("N", F.lit(N).cast("long"))
 
 
+def contingency_of_rows(rows: DataFrame, *lengths: int) -> DataFrame:
+    """AG17 of rows (id, cluster_id, lems), each a question and its cluster: (cluster_id, gram, n11, n1, nc, N) for the
+    grams of all `lengths`, as `contingency` gives for their gram sets.
+
+    A question whose id occurs once is counted where it is read, so that partial counts by cluster and gram are
+    shuffled and no (id, gram) rows, and n1 is the sum of a gram's n11; only the rows of repeated ids are made distinct
+    and joined by id."""
+    N = rows.count()
+    count = F.count(F.lit(1))
+    grams = F.explode(F.concat(*(T.ngrams(F.col("lems"), n) for n in lengths))).alias("gram")  # words hold no space, so lengths do not mix
+    nc = rows.groupBy("cluster_id").agg(count.alias("nc"))
+    repeated = cut_lineage(rows.groupBy("id").agg(count.alias("n")).where((F.col("n") > 1) | F.col("id").isNull()).select(F.col("id").alias("_id")))
+    if not repeated.limit(1).count():
+        n11 = rows.select("cluster_id", grams).groupBy("cluster_id", "gram").agg(count.alias("n11")).withColumn("r", F.col("n11"))
+    else:
+        again, same = broadcast_if_small(repeated), F.col("id").eqNullSafe(F.col("_id"))
+        once = rows.join(again, same, "left_anti").select("cluster_id", grams, F.lit(1).alias("n11"), F.lit(1).alias("r"))
+        more = cut_lineage(rows.join(again, same, "left_semi").select("id", "cluster_id", "lems"))
+        sets = cut_lineage(more.select("id", grams).distinct())
+        inside = sets.join(more.select("id", "cluster_id"), "id").select("cluster_id", "gram", F.lit(1).alias("n11"), F.lit(0).alias("r"))
+        # an id counts once for n1, whatever its clusters: rows beside the clusters' own, told apart by n11 = 0
+        each = sets.select(F.lit(None).cast(rows.schema["cluster_id"].dataType).alias("cluster_id"), "gram", F.lit(0).alias("n11"), F.lit(1).alias("r"))
+        n11 = once.unionByName(inside).unionByName(each).groupBy("cluster_id", "gram").agg(
+            F.sum("n11").cast("long").alias("n11"), F.sum("r").cast("long").alias("r"))
+    both = n11.withColumn("n1", F.sum("r").over(Window.partitionBy("gram"))).drop("r")  # a row a cluster
+    return both.join(broadcast_if_small(nc), "cluster_id").where("n11 > 0").select(
+        "cluster_id", "gram", "n11", "n1", "nc", F.lit(N).cast("long").alias("N"))
+
+
 def _plogp(p):
     return F.when(p > 0, p * F.log2(p)).otherwise(F.lit(0.0))
 
