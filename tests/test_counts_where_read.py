@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from loomtext.operators import greedy as GR
 from loomtext.operators import labels as LB
 
 
@@ -28,3 +29,18 @@ def test_contingency_of_rows_shuffles_counts_only(spark):
     plan = LB.contingency_of_rows(rows, 1)._jdf.queryExecution().executedPlan().toString()
     shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
     assert shuffled and not any("(id#" in line for line in shuffled), plan
+
+
+def test_greedy_keeps_eligible_words_where_rows_are_read(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    for ids in (range(50), [i % 40 if i % 11 else None for i in range(60)]):  # ids once; repeated and null ids
+        rows = spark.createDataFrame([(i, [rng.choice(words) for _ in range(rng.randrange(5))] if n % 7 else None) for n, i in enumerate(ids)],
+                                     "id long, lemmas array<string>").cache()
+        questions = rows.select("id", F.lit("").alias("question"))
+        freq = spark.createDataFrame([(w, (1 + n * 7 % 30) / 1000) for n, w in enumerate(words)], "lemma string, freq double")
+        want, chosen = GR.greedy_clusters(questions, freq, tokens=rows.select("id", F.explode("lemmas").alias("lemma")), return_keywords=True)
+        got, mine = GR.greedy_clusters(questions, freq, lemmas=rows, return_keywords=True)
+        assert chosen and mine == chosen
+        order = lambda df: sorted(map(tuple, df.collect()), key=str)
+        assert order(got) == order(want)
