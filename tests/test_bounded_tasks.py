@@ -1,9 +1,62 @@
 """What a task holds at once does not grow with the rows that it gets."""
+import tracemalloc
+
 import numpy as np
 import pandas as pd
+import pytest
+
+from loomtext.operators import cells as C
 from loomtext.operators import pairs as PR
 
 
+class _Stop(Exception):
+    pass
+
+
+def _taken(monkeypatch, name, at):
+    """The function that is handed to `cells.<name>` as argument `at`."""
+    got = []
+
+    def take(*args):
+        got.append(args[at])
+        raise _Stop
+    monkeypatch.setattr(C, name, take)
+    return got
+
+
+def _frame(n, dims=64, first=0):
+    v = np.random.default_rng(first).normal(size=(n, dims))
+    return pd.DataFrame({"corpus": 0, "id": np.arange(first, first + n), "n": 1, "ids": [np.array([i]) for i in range(first, first + n)], "vec": list(v)})
+
+
+def test_queries_of_a_tile_are_compared_in_slices(spark, monkeypatch):
+    points = spark.createDataFrame([(0, 1, [0.0, 1.0]), (0, 2, [1.0, 1.0])], "corpus long, id long, vec array<double>")
+    got = _taken(monkeypatch, "meet_own", 1)
+    with pytest.raises(_Stop):
+        C.knn(points, 5, "minkowski:1.5")
+    q, m = _frame(1024, first=5000), _frame(512)
+    tracemalloc.start()
+    out = got[0](q, m)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20  # 1024 x 512 distances and their copies were held at once
+    D = PR.minkowski(PR.mat(q), PR.mat(m), 1.5)
+    best = np.argsort(D, axis=1, kind="stable")[:, :6]
+    assert out["nb_id"].to_numpy().reshape(-1, 6).tolist() == best.tolist()
+
+
+def test_visits_leave_in_slices(spark, monkeypatch):
+    points = spark.createDataFrame([(0, i, [float(i), 1.0]) for i in range(20)], "corpus long, id long, vec array<double>")
+    index = C.build(points, "euclidean")
+    got = _taken(monkeypatch, "_with_cells", 2)
+    with pytest.raises(_Stop):
+        C.visits(index, points)
+    q = _frame(3000).assign(bound=np.inf, own_cell=-1, own_tile=0)
+    cells = _frame(10, first=9000).rename(columns={"id": "cell"}).assign(radius=1.0, tiles=3)
+    sizes = [len(f) for f in got[0](q, cells)]
+    assert sum(sizes) == 3000 * 30 and max(sizes) <= C.VISITS
+
+
 def test_k_smallest_with_ties_and_without_numbers():
     rng = np.random.default_rng(2)
     a = pd.DataFrame({"id": rng.permutation(30)})
