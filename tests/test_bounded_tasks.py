@@ -4,9 +4,11 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from loomtext.operators import cells as C
 from loomtext.operators import pairs as PR
+from loomtext.operators import wordpairs as WP
 
 
 class _Stop(Exception):
@@ -89,3 +91,23 @@ def test_silhouette_sums_of_several_cuts(spark):
     for r in got:
         mine = labels[:, r["cut"]] == r["label"]
         assert abs(r["sum(dsum)"] - D[r["id"], mine].sum()) < 1e-6 and r["sum(cnt)"] == mine.sum() - mine[r["id"]]
+
+
+def test_similar_words_sends_a_word_to_few_blocks(spark, monkeypatch):
+    """Blocks of 1,024 words sent each word to as many blocks as there are thousands of words."""
+    sent, replicate = [], PR.replicate
+    monkeypatch.setattr(PR, "replicate", lambda pts: sent.append(replicate(pts)) or sent[-1])
+    words = spark.range(40_000).select(F.concat(F.lit("w"), "id").alias("lemma"), F.array(F.sin("id"), F.cos("id")).alias("vec"))
+    WP.similar_words(words, "cosine", 2.0)
+    assert sent[0].count() == WP.SIMILAR_BLOCKS * 40_000
+
+
+def test_similar_words_in_strips_and_tiles(spark, monkeypatch):
+    words = [(f"w{i % 50:02d}", [float(i % 7), float(i % 5)]) for i in range(60)]
+    table = spark.createDataFrame(words, "lemma string, vec array<double>").repartition(3)
+    want = sorted((a, b) for a, u in words for b, v in words if a != b and any(u) and any(v)
+                  and abs(np.dot(u, v)) / (np.linalg.norm(u) * np.linalg.norm(v)) >= 0.9)
+    for strip, tile in ((3, 4), (64, 1024)):
+        monkeypatch.setattr(WP, "STRIP", strip)
+        monkeypatch.setattr(WP, "TILE", tile)
+        assert sorted((r.lemma, r.other) for r in WP.similar_words(table, "cosine", 0.9).collect()) == want
