@@ -6,13 +6,16 @@ subtraction, and NMI is pure column arithmetic.
 """
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
-from loomtext.session import broadcast_if_small, cut_lineage
+from loomtext.session import broadcast_if_small, cut_lineage, cut_round
 
 TOP_LABELS = 5
 
@@ -109,25 +112,34 @@ def nmi(cont: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- sentence encoder (SRC7 default)
 
-def _hash_vector(h, dims: int):
-    return F.array(*[F.conv(F.substring(h, 1 + 2 * i, 2), 16, 10).cast("double") / 255.0 - 0.5 for i in range(dims)])
-
-
 def mean_word_vector(words_col, dims: int = 16):
     """Default encoder: mean of deterministic md5 word vectors (lower-case words); a narrow
     per-row expression (array aggregate), zero vector for an empty text."""
-    from loomtext.sources.tables import md5_word_vector
-
     zero = F.array_repeat(F.lit(0.0), dims)
-    # one md5 per word, then the byte columns of that hash (the hash is a lambda argument, so
-    # it is not recomputed per dimension)
-    hashes = F.transform(words_col, lambda w: F.md5(w))
-    summed = F.aggregate(F.transform(hashes, lambda h: _hash_vector(h, dims)), zero,
-                         lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    # one md5 per word as 16 characters, then the code of each (the characters are a lambda argument, so the hash is
+    # not recomputed per dimension)
+    chars = F.transform(words_col, lambda w: F.decode(F.unhex(F.md5(w)), "ISO-8859-1"))
+    vecs = F.transform(chars, lambda s: F.array(*[F.ascii(F.substring(s, 1 + i, 1)) / 255.0 - 0.5 for i in range(dims)]))
+    summed = F.aggregate(vecs, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
     n = F.greatest(F.size(words_col), F.lit(1)).cast("double")
     return F.zip_with(summed, F.array_repeat(n, dims), lambda a, m: a / m)
 
 
+def _word_vectors(texts: pa.Array, dims: int) -> np.ndarray:
+    """`mean_word_vector` of the blank-separated words of every text, for functions over Arrow batches."""
+    lists = pc.split_pattern(texts, " ")
+    coded, at = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+    table = np.full((max(len(coded.dictionary), 1), max(dims, 16)), np.nan)
+    for i, w in enumerate(coded.dictionary.to_pylist()):
+        table[i, :16] = np.frombuffer(hashlib.md5(w.encode()).digest(), np.uint8) / 255.0 - 0.5
+    codes, n = coded.indices.to_numpy(), np.diff(at)
+    out = np.zeros((len(texts), dims))
+    for k in range(int(n.max(initial=0))):  # in order of the words, as the expression adds them
+        more = np.flatnonzero(n > k)
+        out[more] += table[codes[at[more] + k], :dims]
+    return out / np.maximum(n, 1)[:, None]
+
+
 def centroids(points: DataFrame, key: str = "cluster_id", vec: str = "vec") -> DataFrame:
     """AG10: mean vector per key (partial/final aggregation per (key, dim))."""
     d = points.select(key, F.posexplode(vec).alias("dim", "x")).groupBy(key, "dim").agg(F.avg("x").alias("x"))
@@ -204,67 +216,222 @@ def contingency_by_corpus(grams: DataFrame, membership: DataFrame, match_by_gram
     return n11.join(n1, ["corpus", "gram"]).join(sizes, ["corpus", "cluster_id"])
 
 
+#: Words whose n-grams a task counts at once; a longer text is taken whole.
+COUNTED_WORDS = 1 << 18
+
+
+def _grams_counted(clusters: pa.Array, words: pa.Array, lengths: tuple[int, ...]) -> list[pa.Array]:
+    """Columns cluster (index into `clusters`' rows, the first row of that cluster), gram, n: how many rows of a
+    cluster have the gram."""
+    lists = pc.split_pattern(words, " ")
+    at, flat = lists.offsets.to_numpy(), lists.flatten()
+    row = np.repeat(np.arange(len(lists)), np.diff(at))
+    grams, rows = [], []
+    for n in lengths:
+        many = max(len(flat) - n + 1, 0)
+        inside = row[:many] == row[len(row) - many:]  # the last word is of the same row
+        g = pc.binary_join_element_wise(*(flat.slice(k, many) for k in range(n)), " ") if n > 1 else flat
+        grams.append(g.filter(pa.array(inside)))
+        rows.append(row[:many][inside])
+    coded = pa.concat_arrays(grams).dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    each = np.unique(np.concatenate(rows) * size + coded.indices.to_numpy())  # a gram counts once in a row
+    codes = clusters.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    _, first = np.unique(codes, return_index=True)
+    key, n = np.unique(first[codes[each // size]] * size + each % size, return_counts=True)
+    return [pa.array(key // size), coded.dictionary.take(pa.array(key % size)), pa.array(n, pa.int64())]
+
+
+def contingency_of_lists(lists: DataFrame, membership: DataFrame, *lengths: int) -> DataFrame:
+    """`contingency_by_corpus` of the gram sets of lists (corpus, id, lems) for all `lengths`, without (id, gram) rows:
+    (corpus, cluster_id, gram, n11, n1, nc, nc_true, N), and a row with a null cluster for grams that no cluster has.
+
+    Grams of a question are counted in the task that reads it and its cluster, and only counts by corpus, gram and
+    cluster are shuffled; questions or memberships whose key occurs more than once are made distinct first."""
+    key = ["corpus", "id"]
+    count = F.count(F.lit(1))
+    rows = lists.select(*key, F.array_join("lems", " ").alias("words"))  # no word holds a blank
+    members = membership.select(*key, "cluster_id")
+    repeated = rows.select(*key, F.lit(1).alias("q"), F.lit(0).alias("m")).unionByName(
+        members.select(*key, F.lit(0).alias("q"), F.lit(1).alias("m"))).groupBy(*key).agg(F.sum("q").alias("q"), F.sum("m").alias("m"))
+    repeated = cut_lineage(repeated.where("q > 1 or (q = 1 and m > 1)").select(F.col("corpus").alias("_c"), F.col("id").alias("_i")))
+    types = {**{f.name: f.dataType.simpleString() for f in membership.schema.fields}, "corpus": lists.schema["corpus"].dataType.simpleString()}
+
+    def counted(batches):
+        for batch in batches:
+            name, cluster, words = batch.column("corpus"), batch.column("cluster_id"), batch.column("words")
+            owner = name.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+            kind = cluster.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            pair = pa.array(owner * (kind.max(initial=0) + 1) + kind)
+            total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.count_substring(words, " "), 0).to_numpy(zero_copy_only=False) + 1)])
+            lo = 0
+            while lo < len(words):
+                hi = max(lo + 1, int(np.searchsorted(total, total[lo] + COUNTED_WORDS, "right")) - 1)
+                at, gram, n = _grams_counted(pair.slice(lo, hi - lo), words.slice(lo, hi - lo), lengths)
+                yield pa.RecordBatch.from_arrays([name.slice(lo).take(at), cluster.slice(lo).take(at), gram, n, n], names=["corpus", "cluster_id", "gram", "n11", "r"])
+                lo = hi
+
+    shape = f"corpus {types['corpus']}, cluster_id {types['cluster_id']}, gram string, n11 long, r long"
+    some, once, alone = bool(repeated.limit(1).count()), rows, members
+    if some:
+        again, same = broadcast_if_small(repeated), F.col("corpus").eqNullSafe(F.col("_c")) & F.col("id").eqNullSafe(F.col("_i"))
+        once, alone = rows.join(again, same, "left_anti"), members.join(again, same, "left_anti")
+    words = F.when(F.length("words") > 0, F.col("words"))  # a question without a word has no gram
+    parts = once.join(alone, key, "left").withColumn("words", words).where("words is not null").select(
+        "corpus", "cluster_id", "words").mapInArrow(counted, shape)
+    if some:
+        more = lists.join(again, same, "left_semi")
+        sets = cut_round(more.select(*key, F.explode(F.concat(*(T.ngrams(F.col("lems"), n) for n in lengths))).alias("gram")).distinct())
+        many = members.join(again, same, "left_semi").groupBy(*key, "cluster_id").agg(count.alias("n11"))
+        inside = sets.join(many, key).select("corpus", "cluster_id", "gram", "n11", F.lit(0).cast("long").alias("r"))
+        # an id counts once for n1, whatever its clusters: rows beside the clusters' own
+        each = sets.select("corpus", F.lit(None).cast(types["cluster_id"]).alias("cluster_id"), "gram",
+                           F.lit(0).cast("long").alias("n11"), F.lit(1).cast("long").alias("r"))
+        parts = parts.unionByName(inside).unionByName(each)
+    counts = parts.repartition("corpus", "gram").groupBy("corpus", "cluster_id", "gram").agg(F.sum("n11").alias("n11"), F.sum("r").alias("r"))
+    both = counts.withColumn("n1", F.sum("r").over(Window.partitionBy("corpus", "gram"))).drop("r")
+    nc = members.groupBy("corpus", "cluster_id").agg(count.alias("nc"))
+    sizes = broadcast_if_small(cut_lineage(nc.withColumn("N", F.sum("nc").over(Window.partitionBy("corpus")))))
+    return both.join(sizes, ["corpus", "cluster_id"], "left").select(
+        "corpus", "cluster_id", "gram", "n11", "n1", "nc", F.col("nc").alias("nc_true"), "N")
+
+
 TERM_BLOCK, CLUSTER_BLOCK = 4096, 512
 
 
-def label_scores_by_corpus(nmi_table: DataFrame, terms: DataFrame, cents: DataFrame, top: int = TOP_LABELS) -> DataFrame:
+def _groups(batches, keys: int):
+    """Whole groups of sorted Arrow batches: lists of columns with the rows of one value of the first `keys` columns."""
+    rest = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        t = t.combine_chunks()
+        new = np.zeros(max(len(t) - 1, 0), bool)
+        for k in range(keys):
+            code = t.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+            code = (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy()
+            new |= code[1:] != code[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield t.slice(lo, hi - lo)
+        rest = t.slice(cuts[-1])
+    if rest is not None:
+        yield rest
+
+
+def label_scores_by_corpus(nmi_table: DataFrame, terms: DataFrame | None, cents: DataFrame, top: int = TOP_LABELS,
+                           dims: int = 16) -> DataFrame:
     """LB2 + LB3 per corpus: terms (corpus, gram, vec), cents (corpus, cluster_id, centroid),
-    nmi_table (corpus, cluster_id, gram, nmi) -> (corpus, cluster_id, label, score, rank).
-
-    Blocks of at most about TERM_BLOCK terms and CLUSTER_BLOCK centroids of a corpus meet in one task
-    each (cogroup), so neither the driver nor a task holds a corpus's centroids or terms.  A first pass
-    finds each cluster's nearest term, a second the scores; only the best `top` of a block leave it,
-    ties by gram."""
-    hashed = lambda key, rows: F.pmod(F.xxhash64(key), F.greatest(rows, F.lit(1))).cast("int")
-    nt = terms.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / F.lit(TERM_BLOCK)).cast("int").alias("tbs"))
-    nc = cents.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / F.lit(CLUSTER_BLOCK)).cast("int").alias("cbs"))
-    n = cut_lineage(nt.join(nc, "corpus"))
+    nmi_table (corpus, cluster_id, gram, nmi) -> (corpus, gram_type, cluster_id, label, score, rank).
+    Grams of one word and of more are scored each on their own (WN3).  Without `terms` they are all grams of
+    `nmi_table`, also those of a null cluster, with their default word vectors in `dims` dimensions.
+
+    Blocks of about TERM_BLOCK rows of terms and CLUSTER_BLOCK centroids of a corpus meet in one task each (rows sorted
+    by block, a block at a time), so neither the driver nor a task holds a corpus's centroids or terms.  Where a
+    corpus has several blocks of terms, a first pass finds each cluster's nearest term and largest nmi; the scores
+    need these.  Only the best `top` of a block leave it, ties by gram."""
+    hashed = lambda key, rows: F.pmod(F.xxhash64(key), rows).cast("int")
+    kinds, cid_type = ["corpus", "gram_type"], cents.schema["cluster_id"].dataType.simpleString()
+    low = F.when(F.col("gram").rlike("[^\\x00-\\x7f]"), F.lower("gram"))  # ASCII is put in lower case where it is used
+    plain = terms is None
+    entries = nmi_table.select("corpus", "gram", low.alias("low") if plain else F.lit(None).cast("string").alias("low"),
+                               F.lit(None).cast("array<double>").alias("vec"), "cluster_id", "nmi")
+    if not plain:
+        entries = entries.unionByName(terms.select("corpus", "gram", F.col("vec").cast("array<double>").alias("vec")), allowMissingColumns=True)
+    entries = entries.withColumn("gram_type", T.label_type(F.col("gram")))
+    blocks = lambda n, size: F.ceil(F.col(n) / F.lit(size)).cast("int")
+    held = cents.groupBy("corpus").agg(F.count(F.lit(1)).alias("cs"))
+    n = cut_lineage(entries.groupBy(*kinds).agg(F.count(F.lit(1)).alias("ts")).join(held, "corpus").select(
+        *kinds, blocks("ts", TERM_BLOCK).alias("tbs"), blocks("cs", CLUSTER_BLOCK).alias("cbs")))
+    known = broadcast_if_small(n)
     to_all = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    tt = cut_lineage(terms.join(n, "corpus").withColumn("tb", hashed("gram", F.col("tbs"))).withColumn("cb", to_all("cbs"))
-                     .select("corpus", "tb", "cb", "gram", F.col("vec").cast("array<double>").alias("vec")))
-    cc = cents.join(n, "corpus").withColumn("cb", hashed("cluster_id", F.col("cbs")))
-    cor_type, cid_type = (cents.schema[c].dataType.simpleString() for c in ("corpus", "cluster_id"))
-    keys = ["corpus", "tb", "cb"]
-    block = lambda df: df.withColumn("tb", to_all("tbs")).drop("tbs", "cbs").groupBy(*keys)
-
-    def matrix(column) -> np.ndarray:
-        return np.vstack(column.to_numpy()).astype(float)
-
-    def nearest(c: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(c) or not len(t):
-            return pd.DataFrame(columns=["corpus", "cluster_id", "dmin"], dtype=object)
-        return pd.DataFrame({"corpus": c["corpus"], "cluster_id": c["cluster_id"],
-                             "dmin": _distances(matrix(c["centroid"]), matrix(t["vec"])).min(axis=1)})
-
-    dmin = block(cc).cogroup(tt.groupBy(*keys)).applyInPandas(
-        nearest, f"corpus {cor_type}, cluster_id {cid_type}, dmin double").groupBy("corpus", "cluster_id").agg(F.min("dmin").alias("dmin"))
-    mx = nmi_table.groupBy("corpus", "cluster_id").agg(F.max("nmi").alias("mx"))
-    scaled = cc.join(dmin, ["corpus", "cluster_id"]).join(mx, ["corpus", "cluster_id"], "left").withColumn(
-        "sc", 0.5 * F.greatest(F.coalesce("mx", F.lit(0.0)), F.lit(0.0)) * F.col("dmin")).drop("mx", "dmin")
-    per_term = nmi_table.where(F.col("nmi") != 0).join(cc.select("corpus", "cluster_id", "cb"), ["corpus", "cluster_id"]).groupBy(
-        "corpus", "gram", "cb").agg(F.collect_list(F.struct("cluster_id", "nmi")).alias("nm"))  # <= one entry per cluster of the block
-    tn = tt.join(per_term, ["corpus", "gram", "cb"], "left")
-
-    def scores(c: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(c) or not len(t):
-            return pd.DataFrame(columns=["corpus", "cluster_id", "label", "score"], dtype=object)
-        t = t.sort_values("gram", kind="stable").reset_index(drop=True)
-        cids = c["cluster_id"].to_numpy()
-        D, sc = _distances(matrix(c["centroid"]), matrix(t["vec"])), c["sc"].to_numpy()
-        S = np.where(D > 0, sc[:, None] / np.where(D > 0, D, 1.0), sc[:, None])
-        pos = {x: i for i, x in enumerate(cids)}
-        for j, nm in enumerate(t["nm"].to_numpy()):
-            if nm is not None:
-                for e in nm:
-                    S[pos[e["cluster_id"]], j] += e["nmi"]
-        best = np.argsort(-np.round(S, 12), axis=1, kind="stable")[:, :top]  # columns are in order of gram
-        rows = np.repeat(np.arange(len(cids)), best.shape[1])
-        return pd.DataFrame({"corpus": c["corpus"].iloc[0], "cluster_id": cids[rows], "label": t["gram"].to_numpy()[best.ravel()],
-                             "score": S[rows, best.ravel()]})
-
-    cand = block(scaled).cogroup(tn.groupBy(*keys)).applyInPandas(
-        scores, f"corpus {cor_type}, cluster_id {cid_type}, label string, score double")
-    w = Window.partitionBy("corpus", "cluster_id").orderBy(F.round("score", 12).desc(), F.col("label"))
+    keys = [*kinds, "tb", "cb"]
+    ours = entries.join(known, kinds).withColumn("tb", hashed("gram", F.col("tbs"))).withColumn("cb", to_all("cbs"))
+    clusters = cents.where(F.col("cluster_id").isNotNull()).join(known, "corpus").withColumn(
+        "cb", hashed("cluster_id", F.col("cbs"))).withColumn("tb", to_all("tbs"))
+    cor_type = cents.schema["corpus"].dataType.simpleString()
+
+    def matrix(column, width: int) -> np.ndarray:
+        out = column.combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(column) else np.zeros(0)
+        return out.reshape(len(column), width).astype(float)
+
+    def read(batches):
+        """Blocks as (key, clusters, distances, terms, term and cluster and nmi of the entries, stated dmin and mx)."""
+        for t in _groups(batches, len(keys)):
+            first = int(pc.sum(pc.is_valid(t.column("centroid"))).as_py())  # the centroids come first
+            c, t = t.slice(0, first), t.slice(first)
+            if not first or not len(t):
+                continue
+            gram = t.column("gram").combine_chunks().dictionary_encode()
+            order = pc.array_sort_indices(gram.dictionary).to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            term = place[gram.indices.to_numpy()]
+            labels = gram.dictionary.take(pa.array(order))
+            at = np.empty(len(labels), np.int64)
+            if plain:
+                at[term] = np.arange(len(t))
+                given = t.column("low").combine_chunks().take(pa.array(at))
+                vecs = _word_vectors(pc.if_else(pc.is_valid(given), given, pc.ascii_lower(labels)), dims)
+                width = dims
+            else:
+                own = np.flatnonzero(t.column("vec").is_valid().to_numpy())
+                if not len(own):
+                    continue
+                vec = t.column("vec").take(pa.array(own))
+                width = len(vec[0].as_py())
+                scored = np.unique(term[own])  # grams that are terms
+                place = np.full(len(labels), -1)
+                place[scored] = np.arange(len(scored))
+                vecs = np.empty((len(scored), width))
+                vecs[place[term[own]]] = matrix(vec, width)
+                labels, term = labels.take(pa.array(scored)), place[term]
+            cids = c.column("cluster_id").combine_chunks()
+            mine = pc.index_in(t.column("cluster_id").combine_chunks(), value_set=cids)
+            mine = pc.fill_null(mine, -1).to_numpy(zero_copy_only=False)
+            nmi_ = pc.fill_null(t.column("nmi").combine_chunks(), 0.0).to_numpy(zero_copy_only=False)
+            D = _distances(matrix(c.column("centroid"), width), vecs)
+            # entries of the clusters of this block; one whose gram is no term counts for the largest nmi alone
+            inside = (mine >= 0) & t.column("nmi").is_valid().to_numpy()
+            mx = np.full(first, -np.inf)
+            np.maximum.at(mx, mine[inside], nmi_[inside])
+            inside &= term >= 0
+            yield c, cids, D, labels, (term[inside], mine[inside], nmi_[inside]), mx
+
+    def nearest(batches):
+        for c, cids, D, _, _, mx in read(batches):
+            yield pa.RecordBatch.from_arrays([*(c.column(k).combine_chunks() for k in kinds), cids, pa.array(D.min(axis=1)),
+                                              pa.array(mx, mask=~np.isfinite(mx))], names=[*kinds, "cluster_id", "dmin", "mx"])
+
+    def scores(batches):
+        for c, cids, D, labels, (term, mine, value), mx in read(batches):
+            dmin = D.min(axis=1)
+            if c.column("tbs")[0].as_py() > 1:
+                dmin, mx = (c.column(k).to_numpy().astype(float) for k in ("dmin", "mx"))
+            sc = 0.5 * np.maximum(np.where(np.isfinite(mx), mx, 0.0), 0.0) * dmin
+            S = np.where(D > 0, sc[:, None] / np.where(D > 0, D, 1.0), sc[:, None])
+            np.add.at(S, (mine, term), value)
+            best = np.argsort(-np.round(S, 12), axis=1, kind="stable")[:, :top]  # columns are in order of gram
+            rows = pa.array(np.repeat(np.arange(len(cids)), best.shape[1]))
+            yield pa.RecordBatch.from_arrays(
+                [*(c.column(k).combine_chunks().take(rows) for k in kinds), cids.take(rows), labels.take(pa.array(best.ravel())),
+                 pa.array(S[rows.to_numpy(), best.ravel()])], names=[*kinds, "cluster_id", "label", "score"])
+
+    def met(t, c):
+        both = c.select(*keys, "tbs", "cluster_id", "centroid", "dmin", "mx").unionByName(
+            t.select(*keys, "gram", "low", "vec", "cluster_id", "nmi"), allowMissingColumns=True)
+        return both.repartition(*keys).sortWithinPartitions(*keys, F.col("centroid").isNull()).select(
+            *keys, "tbs", "cluster_id", "centroid", "dmin", "mx", "gram", "low", "vec", "nmi")
+
+    none = clusters.withColumn("dmin", F.lit(None).cast("double")).withColumn("mx", F.lit(None).cast("double"))
+    shape = f"corpus {cor_type}, gram_type int, cluster_id {cid_type}"
+    if n.where("tbs > 1").limit(1).count():
+        found = met(ours.where("tbs > 1"), none.where("tbs > 1")).mapInArrow(nearest, f"{shape}, dmin double, mx double")
+        found = cut_lineage(found.groupBy(*kinds, "cluster_id").agg(F.min("dmin").alias("dmin"), F.max("mx").alias("mx")))
+        none = clusters.join(broadcast_if_small(found), [*kinds, "cluster_id"], "left")
+    cand = met(ours, none).mapInArrow(scores, f"{shape}, label string, score double")
+    w = Window.partitionBy("corpus", "gram_type", "cluster_id").orderBy(F.round("score", 12).desc(), F.col("label"))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
@@ -280,19 +447,15 @@ def label_scores(questions: DataFrame, membership: DataFrame, qvec: DataFrame, s
                  dims: int = 16, encoder=None, top: int = TOP_LABELS) -> DataFrame:
     """LB2 + LB3 for 1-grams and 2-grams, each length on its own (WN3): (corpus, cluster_id, gram_type, label, score,
     rank up to `top`).  Arguments as `cluster_labels`."""
-    ll = cut_lineage(lemma_lists(questions, stop, keep=("corpus",)))
-    cents = cut_lineage(centroids(membership.join(qvec, ["corpus", "id"]).withColumn(
+    ll = lemma_lists(questions, stop, keep=("corpus",))
+    cents = cut_round(centroids(membership.join(qvec, ["corpus", "id"]).withColumn(
         "ck", F.struct("corpus", "cluster_id")), key="ck", vec="vec")
         .select(F.col("ck.corpus").alias("corpus"), F.col("ck.cluster_id").alias("cluster_id"), "centroid"))
-    parts = []
-    for n in (1, 2):
-        g = cut_lineage(ll.select("corpus", "id", F.explode(T.ngrams(F.col("lems"), n)).alias("gram")).distinct())
-        nm = cut_lineage(nmi(contingency_by_corpus(g, membership)).select("corpus", "cluster_id", "gram", "nmi"))
-        text = F.lower("gram")
-        vec = encoder(text) if encoder is not None else mean_word_vector(F.split(text, " "), dims)
-        parts.append(label_scores_by_corpus(nm, g.select("corpus", "gram").distinct().withColumn("vec", vec), cents, top)
-                     .withColumn("gram_type", F.lit(n)))
-    return parts[0].unionByName(parts[1])
+    nm = cut_round(nmi(contingency_of_lists(ll, membership, 1, 2)).select("corpus", "cluster_id", "gram", "nmi"))
+    terms = None
+    if encoder is not None:
+        terms = nm.select("corpus", "gram").distinct().withColumn("vec", encoder(F.lower("gram")))
+    return label_scores_by_corpus(nm, terms, cents, top, dims).select("corpus", "cluster_id", "gram_type", "label", "score", "rank")
 
 
 def cluster_labels(questions: DataFrame, membership: DataFrame, qvec: DataFrame, stop: DataFrame | None = None,
